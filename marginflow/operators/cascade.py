@@ -74,15 +74,20 @@ def totals_as_rows(
 def period_rollup(df: DataFrame, profile: str = "current") -> DataFrame:
     """Margins of every store for every year, quarter and month, each with the sum column.
 
-    Source rows are summed once per month; the coarser periods are made from those sums.
+    Source rows are summed once per month, and the families of a month's cell are put next
+    to each other; the coarser periods and the sum columns are made from those few rows.
     """
     periods = ["store", "year", "quarter", "month"]
     sums = measure_sums(df, periods).withColumn("family", known_family(F.col("measure")))
+    months = sums.groupBy(*periods, *AXES).agg(
+        *family_totals(F.col("family"), F.col("amount"))
+    )
     sets = []
     for depth in (2, 3, 4):
         sets += [[*periods[:depth], *AXES], periods[:depth]]
-    cells = sums.groupingSets(sets, *periods, *AXES).agg(
-        *family_totals(F.col("family"), F.col("amount")),
+    cells = months.groupingSets(sets, *periods, *AXES).agg(
+        *[F.sum(f).cast(MONEY).alias(f) for f in catalog.FAMILIES],
+        F.sum("known").alias("known"),
         F.grouping("quarter").alias("_no_quarter"),
         F.grouping("month").alias("_no_month"),
         F.grouping(AXES[0]).alias("_all_cells"),

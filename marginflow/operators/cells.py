@@ -55,6 +55,15 @@ def filter_level(df: DataFrame, level: str) -> DataFrame:
     return df.filter(F.col("level") == level)
 
 
+def in_report(df: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Rows whose store and period are known, asked in a form the file scan can use."""
+    source = dict.fromkeys("month" if c in ("year", "quarter") else c for c in scope)
+    for column in source:
+        if column in df.columns:
+            df = df.filter(F.col(column).isNotNull())
+    return df
+
+
 def money(amount: Column) -> Column:
     """Sum of amounts, 0 if there are none."""
     return F.coalesce(F.sum(amount), F.lit(0)).cast(MONEY)
@@ -66,9 +75,12 @@ def measure_sums(
     keep: Sequence[str] = (),
     axes: Sequence[str] = AXES,
 ) -> DataFrame:
-    """Amount per scope, kept columns, raw measure text and cell."""
+    """Amount per scope, kept columns, raw measure text and cell.
+
+    Rows without a store or period are in no report, as a report is of one store and period.
+    """
     return (
-        with_scope(df, scope)
+        in_report(with_scope(df, scope), scope)
         .select(
             *scope,
             *keep,
@@ -106,6 +118,32 @@ def label_grand_total(df: DataFrame, is_grand: Column) -> DataFrame:
     )
 
 
+def _by_sign(
+    df: DataFrame, sign: Column, scope: Sequence[str], grand_total: bool
+) -> DataFrame:
+    """Sum of amounts times sign per cell; a NULL sign leaves a measure out.
+
+    Cells without any chosen measure are dropped by their count. A filter on the name would
+    move below the first aggregation and normalize the name of every source row.
+    """
+    name = normalize_measure(F.col("measure"))
+    signed = measure_sums(df, scope).withColumn("name", name).withColumn("sign", sign)
+    totals = [
+        money(F.col("amount") * F.col("sign")).alias("value"),
+        F.count("sign").alias("known"),
+    ]
+    if grand_total:
+        cells = with_grand_total(signed, scope, totals)
+    else:
+        cells = signed.groupBy(*scope, *AXES).agg(*totals)
+    return cells.filter("known > 0").drop("known")
+
+
+def _targets(names: str | Iterable[str]) -> Column:
+    names = [names] if isinstance(names, str) else list(names)
+    return F.col("name").isin(*[normalize_measure(F.lit(n)) for n in names])
+
+
 def measure_cells(
     df: DataFrame,
     names: str | Iterable[str],
@@ -113,11 +151,7 @@ def measure_cells(
     grand_total: bool = False,
 ) -> DataFrame:
     """Sum of a measure, or of a set of spellings, per cell, if wanted with the sum column."""
-    chosen = measures_in(measure_sums(df, scope), names)
-    total = money(F.col("amount")).alias("value")
-    if grand_total:
-        return with_grand_total(chosen, scope, [total])
-    return chosen.groupBy(*scope, *AXES).agg(total)
+    return _by_sign(df, F.when(_targets(names), 1), scope, grand_total)
 
 
 def cell_label(line: Column, category: Column) -> Column:
@@ -169,11 +203,7 @@ def aligned_sum(
     One pass: a row's sign follows from the sets its measure is in, so no set is joined to
     another.
     """
-    name = F.col("name")
-    sign = sum((F.when(name.isin(*s), 1).otherwise(0) for s in plus), F.lit(0))
-    sign = sum((F.when(name.isin(*s), -1).otherwise(0) for s in minus), sign)
-    members = sorted({n for s in (*plus, *minus) for n in s})
-    sums = measure_sums(df, scope).withColumn("name", normalize_measure(F.col("measure")))
-    return with_grand_total(
-        sums.filter(name.isin(*members)), scope, [money(F.col("amount") * sign).alias("value")]
-    )
+    sign = sum((F.when(_targets(s), 1).otherwise(0) for s in plus), F.lit(0))
+    sign = sum((F.when(_targets(s), -1).otherwise(0) for s in minus), sign)
+    member = _targets([n for s in (*plus, *minus) for n in s])
+    return _by_sign(df, F.when(member, sign), scope, grand_total=True)

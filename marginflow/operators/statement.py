@@ -213,8 +213,10 @@ def _assemble(
     rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
     ranked = heads.withColumn("row_rank", rank)
     value = F.when(F.col("cascade"), F.col("margin")).otherwise(F.col("raw"))
-    keys = [*scope, *ROW_KEYS]
-    columns = [*scope, "level", "label", "row_label", "row_rank", "is_total"]
+    keys = list(dict.fromkeys([*scope, *ROW_KEYS]))
+    columns = list(
+        dict.fromkeys([*scope, "level", "label", "row_label", "row_rank", "is_total"])
+    )
     body = (
         cells.join(ranked, keys)
         .filter(F.col("listed") | F.col("all_cells"))

@@ -30,12 +30,12 @@ def _row(level: str, pos: str, measure: Column, value: Column) -> Column:
 
 def derived_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly measures per store. Line items are read once for the six rows of each."""
-    stores = _read(spark, sf_dir, "supplier").join(
-        _read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
+    supplier, nation = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "nation")
+    in_nation = F.col("s_nationkey") == F.col("n_nationkey")
     lines = (
         _read(spark, sf_dir, "lineitem")
-        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, in_nation)
         .join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("n_name").alias("store"),
@@ -66,9 +66,8 @@ def derived_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         _row("E3", "10", commission.otherwise("Commission in EUR"), _text(price * F.col("tax"))),
     )
-    fixed = stores.groupBy(F.col("n_name").alias("store")).agg(
-        F.sum(10 * F.abs("s_acctbal").cast("decimal(12,2)")).alias("base")
-    )
+    base = F.sum(10 * F.abs("s_acctbal").cast("decimal(12,2)")).alias("base")
+    fixed = supplier.join(nation, in_nation).groupBy(F.col("n_name").alias("store")).agg(base)
     salary_share = F.lit("2").cast("decimal(2,1)")
     social_share = F.lit("0.4").cast("decimal(2,1)")
     social = F.when(F.month("month") == 1, "n/a").otherwise(_text(F.col("base") * social_share))
