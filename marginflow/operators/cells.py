@@ -12,6 +12,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from marginflow import catalog
 from marginflow.functions import (
@@ -86,13 +87,32 @@ def measure_sums(
             *keep,
             "measure",
             *[fill_axis(F.col(axis)).alias(axis) for axis in axes],
-            coerce_or_zero(F.col("value")).alias("amount"),
+            _amount(df).alias("amount"),
         )
         .groupBy(*scope, *keep, "measure", *axes)
         .agg(F.sum("amount").alias("amount"))
     )
 
 
+def _amount(df: DataFrame) -> Column:
+    """Value as exact amount; a decimal column, such as a sum, keeps its precision."""
+    value = F.col("value")
+    if isinstance(df.schema["value"].dataType, DecimalType):
+        return F.coalesce(value, F.lit(0))
+    return coerce_or_zero(value)
+
+
+def summarize(df: DataFrame) -> DataFrame:
+    """The measure table with one row per store, month, level, position, measure and cell.
+
+    The result is a measure table again and gives every report that sums values the same
+    numbers, so it can be published once and asked many times.
+    """
+    keys = ["store", "month"]
+    sums = measure_sums(df, keys, keep=("level", "pos"))
+    return sums.withColumn("value", F.col("amount").cast(MONEY)).drop("amount")
+
+
 def with_grand_total(
     df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]
 ) -> DataFrame:

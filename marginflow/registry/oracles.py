@@ -427,14 +427,14 @@ def oracles() -> dict[str, str]:
               m.product_line, m.value, {_YEAR.replace('month', 'm.month')} AS year
               FROM measures m JOIN (SELECT store, max(year(month)) AS newest FROM measures
               GROUP BY store) n ON m.store = n.store AND year(m.month) = n.newest""",
-        "period_titles": _with(_TITLES)
+        "period_title": _with(_TITLES)
         + "SELECT store, year, grain, quarter, month, title FROM grains",
         "fill_axes": _with()
         + f"""SELECT store, month, level, pos, measure,
               coalesce(product_category, '{catalog.GENERAL}') AS product_category,
               coalesce(product_line, '{catalog.GENERAL}') AS product_line, value
               FROM measures""",
-        "coerce_values": _with()
+        "coerce_value": _with()
         + f"""SELECT store, month, level, pos, measure, product_category, product_line,
               CAST(coalesce({_AMOUNT}, 0) AS DECIMAL(18,4)) AS value, value AS text,
               {_AMOUNT} AS amount FROM measures""",

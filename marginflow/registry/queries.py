@@ -150,8 +150,8 @@ def latest_year_query(t: Tables) -> DataFrame:
     return periods.at_latest_year(t.measures).drop("quarter")
 
 
-@query("period_titles")
-def period_titles_query(t: Tables) -> DataFrame:
+@query("period_title")
+def period_title_query(t: Tables) -> DataFrame:
     return periods.period_titles(t.measures)
 
 
@@ -160,8 +160,8 @@ def fill_axes_query(t: Tables) -> DataFrame:
     return cells.fill_axes(t.measures)
 
 
-@query("coerce_values")
-def coerce_values_query(t: Tables) -> DataFrame:
+@query("coerce_value")
+def coerce_value_query(t: Tables) -> DataFrame:
     table = t.measures.withColumns(
         {"text": F.col("value"), "amount": coerce_value(F.col("value"))}
     )

@@ -28,12 +28,20 @@ def _row(level: str, pos: str, measure: Column, value: Column) -> Column:
     )
 
 
+def _spread(items: DataFrame) -> DataFrame:
+    """Line items over all cores, where the file has fewer pieces than there are cores."""
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    if items.rdd.getNumPartitions() >= cores:
+        return items
+    return items.repartition(cores, "l_orderkey", "l_linenumber")
+
+
 def derived_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly measures per store. Line items are read once for the six rows of each."""
     supplier, nation = _read(spark, sf_dir, "supplier"), _read(spark, sf_dir, "nation")
     in_nation = F.col("s_nationkey") == F.col("n_nationkey")
     lines = (
-        _read(spark, sf_dir, "lineitem")
+        _spread(_read(spark, sf_dir, "lineitem"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, in_nation)
         .join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -124,11 +132,14 @@ def by_campaign(measures: DataFrame) -> DataFrame:
 
 def store_entitlements(measures: DataFrame) -> DataFrame:
     """Sample entitlements: the first store, the first two stores, all stores."""
-    first = measures.select("store").distinct().orderBy("store")
-    one = first.limit(1).select(F.lit(1).alias("user_level"), "store")
-    two = first.limit(2).select(F.lit(2).alias("user_level"), "store")
-    every = first.limit(1).select(F.lit(3).alias("user_level"), F.lit("*").alias("store"))
-    return one.unionByName(two).unionByName(every)
+    two = measures.select("store").distinct().orderBy("store").limit(2)
+    names = two.agg(F.array_sort(F.collect_list("store")).alias("names"))
+    grants = [(1, F.get("names", F.lit(0))), (2, F.get("names", F.lit(0)))]
+    grants += [(2, F.get("names", F.lit(1))), (3, F.lit("*"))]
+    rows = F.array(
+        *[F.struct(F.lit(level).alias("user_level"), s.alias("store")) for level, s in grants]
+    )
+    return names.select(F.inline(rows)).filter("store IS NOT NULL")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,11 +46,18 @@ def scan_store_projected(df: DataFrame, store: str) -> DataFrame:
 
 
 def distinct_stores(df: DataFrame) -> DataFrame:
-    """Store names, trimmed, without NULLs and blanks, in order."""
+    """Store names, trimmed, without NULLs and blanks, in order.
+
+    Names are made distinct as stored first, so few of them are trimmed.
+    """
+    stored = df.select("store").filter(F.col("store").isNotNull()).distinct()
+    name = strip_space(F.col("store"))
+    # Blanks are found by an aggregate, as a filter would move down and trim every row.
     return (
-        df.select(strip_space(F.col("store")).alias("store"))
-        .filter("store <> ''")
-        .distinct()
+        stored.groupBy(name.alias("name"))
+        .agg(F.max(name != "").alias("named"))
+        .filter("named")
+        .select(F.col("name").alias("store"))
         .orderBy("store")
     )
 
