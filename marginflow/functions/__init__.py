@@ -17,6 +17,7 @@ from marginflow.functions.text import (
     level_number,
     normalize_measure,
     plain_norm,
+    quoted,
     row_label,
     row_slot,
     simple_norm,
@@ -40,6 +41,7 @@ __all__ = [
     "plain_norm",
     "profit_status",
     "quarter_label",
+    "quoted",
     "row_label",
     "row_slot",
     "simple_norm",

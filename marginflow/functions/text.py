@@ -44,6 +44,12 @@ def family_of(name: Column, families: dict[str, tuple[str, ...]]) -> Column:
     return column
 
 
+def quoted(text: str) -> str:
+    """Text as a SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def fill_axis(axis: Column) -> Column:
     """Rows without a product line or category count as general."""
     return F.coalesce(axis, F.lit(catalog.GENERAL))

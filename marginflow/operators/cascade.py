@@ -23,45 +23,68 @@ from marginflow.operators.cells import (
     label_grand_total,
     measure_sums,
     money,
+    sum_where,
     with_grand_total,
 )
 
 MARGINS = ("e1_total", "e2_total", "e3_total")
+STEPS = ("e1", "e2", "e3")
 
 
-def known_family(measure: Column) -> Column:
-    """Cascade family of a raw measure name."""
-    return family_of(normalize_measure(measure), catalog.FAMILIES)
+def step_names(profile: str) -> dict[str, tuple[str, ...]]:
+    """Names whose amounts make up E1, and those deducted at E2 and at E3."""
+    rule = catalog.PROFILES[profile]
+    deducted = {
+        step: tuple(n for family in families for n in catalog.FAMILIES[family])
+        for step, families in rule.items()
+    }
+    return {"e1": catalog.REVENUE + catalog.TRANSFER, **deducted}
 
 
-def family_totals(family: Column, amount: Column) -> list[Column]:
-    """One sum per cascade family, and the number of rows that belong to any."""
-    sums = [money(F.when(family == f, amount)).alias(f) for f in catalog.FAMILIES]
-    return [*sums, F.count(family).alias("known")]
+def with_step(sums: DataFrame, profile: str) -> DataFrame:
+    """Measure sums with the step of the cascade they enter at, NULL if at none."""
+    name = normalize_measure(F.col("measure"))
+    return sums.withColumn("step", family_of(name, step_names(profile)))
 
 
-def margin_columns(profile: str = "current") -> list[Column]:
-    """E1, E2 and E3 from the family sums under one of the margin rules."""
-    rule = catalog.PROFILES[profile]
-    e1 = F.col("revenue") + F.col("transfer")
-    e2 = e1 - sum((F.col(f) for f in rule["e2"]), F.lit(0))
-    e3 = e2 - sum((F.col(f) for f in rule["e3"]), F.lit(0))
+def step_sums() -> list[Column]:
+    """Amount per step, and the number of rows that are in any."""
+    zero = F.lit(0)
+    sums = [F.coalesce(sum_where("amount", "step", s), zero).cast(MONEY) for s in STEPS]
+    return [*[c.alias(s) for c, s in zip(sums, STEPS)], F.count("step").alias("known")]
+
+
+def summed_steps() -> list[Column]:
+    """Sums of what `step_sums` gave for smaller groups."""
+    sums = [F.sum(s).cast(MONEY).alias(s) for s in STEPS]
+    return [*sums, F.sum("known").alias("known")]
+
+
+def margin_columns() -> list[Column]:
+    """E1, E2 and E3 from the steps. Transfer prices are stored negative, so E1 adds them."""
+    e1 = F.col("e1")
+    e2 = e1 - F.col("e2")
+    e3 = e2 - F.col("e3")
     return [e.cast(MONEY).alias(n) for n, e in zip(MARGINS, (e1, e2, e3))]
 
 
+def _step_cells(df: DataFrame, scope: Sequence[str], profile: str) -> DataFrame:
+    """The steps of each cell, next to each other."""
+    return with_step(measure_sums(df, scope), profile).groupBy(*scope, *AXES).agg(*step_sums())
+
+
 def margin_cascade(
     df: DataFrame, scope: Sequence[str] = SCOPE, profile: str = "current"
 ) -> DataFrame:
     """Margins per scope and cell, with the sum column.
 
-    Transfer prices are stored negative, so they are added. Measures count by name whatever
-    their level. A scope without any known measure has no rows.
+    Measures count by name whatever their level. Cells and scopes without any measure the
+    rule knows have no rows.
     """
-    sums = measure_sums(df, scope).withColumn("family", known_family(F.col("measure")))
-    cells = with_grand_total(sums, scope, family_totals(F.col("family"), F.col("amount")))
+    cells = with_grand_total(_step_cells(df, scope, profile), scope, summed_steps())
     # Asked of the result and not of the rows: a filter on the name would move below the
     # first aggregation and normalize the name of every source row.
-    return cells.filter("known > 0").select(*scope, *AXES, *margin_columns(profile))
+    return cells.filter("known > 0").select(*scope, *AXES, *margin_columns())
 
 
 def totals_as_rows(
@@ -74,20 +97,15 @@ def totals_as_rows(
 def period_rollup(df: DataFrame, profile: str = "current") -> DataFrame:
     """Margins of every store for every year, quarter and month, each with the sum column.
 
-    Source rows are summed once per month, and the families of a month's cell are put next
-    to each other; the coarser periods and the sum columns are made from those few rows.
+    Source rows are summed once per month; the coarser periods and the sum columns are made
+    from the month's cells.
     """
     periods = ["store", "year", "quarter", "month"]
-    sums = measure_sums(df, periods).withColumn("family", known_family(F.col("measure")))
-    months = sums.groupBy(*periods, *AXES).agg(
-        *family_totals(F.col("family"), F.col("amount"))
-    )
     sets = []
     for depth in (2, 3, 4):
         sets += [[*periods[:depth], *AXES], periods[:depth]]
-    cells = months.groupingSets(sets, *periods, *AXES).agg(
-        *[F.sum(f).cast(MONEY).alias(f) for f in catalog.FAMILIES],
-        F.sum("known").alias("known"),
+    cells = _step_cells(df, periods, profile).groupingSets(sets, *periods, *AXES).agg(
+        *summed_steps(),
         F.grouping("quarter").alias("_no_quarter"),
         F.grouping("month").alias("_no_month"),
         F.grouping(AXES[0]).alias("_all_cells"),
@@ -107,7 +125,7 @@ def period_rollup(df: DataFrame, profile: str = "current") -> DataFrame:
         "quarter",
         "month",
         *AXES,
-        *margin_columns(profile),
+        *margin_columns(),
     )
 
 
@@ -202,15 +220,13 @@ def kpi_overview(
     Everything is taken from one aggregation of the sums per measure. Without any known
     measure E3 is 0, which is not profitable.
     """
-    sums = measure_sums(df, scope, axes=()).withColumn(
-        "family", known_family(F.col("measure"))
-    )
+    sums = with_step(measure_sums(df, scope, axes=()), profile)
     figures = sums.groupBy(*scope).agg(
-        *family_totals(F.col("family"), F.col("amount")),
+        *step_sums(),
         *revenue_figures(profile),
         *expected_flags(),
     )
-    e3 = margin_columns(profile)[2]
+    e3 = margin_columns()[2]
     return figures.select(
         *scope,
         "total_revenue",
@@ -225,11 +241,9 @@ def scope_status(
     df: DataFrame, scope: Sequence[str] = SCOPE, profile: str = "current"
 ) -> DataFrame:
     """Whether each scope is profitable, for scopes with a cascade."""
-    sums = measure_sums(df, scope, axes=()).withColumn(
-        "family", known_family(F.col("measure"))
-    )
-    totals = sums.groupBy(*scope).agg(*family_totals(F.col("family"), F.col("amount")))
-    return totals.filter("known > 0").select(*scope, margin_columns(profile)[2]).withColumn(
+    sums = with_step(measure_sums(df, scope, axes=()), profile)
+    totals = sums.groupBy(*scope).agg(*step_sums()).filter("known > 0")
+    return totals.select(*scope, margin_columns()[2]).withColumn(
         "status", profit_status(F.col("e3_total"))
     )
 

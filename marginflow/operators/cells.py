@@ -20,6 +20,7 @@ from marginflow.functions import (
     coerce_or_zero,
     fill_axis,
     normalize_measure,
+    quoted,
     simple_norm,
 )
 from marginflow.operators.periods import with_scope
@@ -65,6 +66,15 @@ def in_report(df: DataFrame, scope: Sequence[str]) -> DataFrame:
     return df
 
 
+def sum_where(amount: str, column: str, text: str) -> Column:
+    """Sum of the amounts of rows with `column` = `text`.
+
+    A filtered sum leaves the buffers of the sums a row is not part of alone, which for
+    wide decimals is several times faster than adding NULL to each.
+    """
+    return F.expr(f"sum({amount}) FILTER (WHERE {column} = {quoted(text)})")
+
+
 def money(amount: Column) -> Column:
     """Sum of amounts, 0 if there are none."""
     return F.coalesce(F.sum(amount), F.lit(0)).cast(MONEY)

@@ -25,8 +25,8 @@ from marginflow.functions import (
     simple_norm,
     strip_space,
 )
-from marginflow.operators.cascade import family_totals, known_family, margin_columns
-from marginflow.operators.cells import AXES, SCOPE, measure_sums, spread
+from marginflow.operators.cascade import margin_columns, step_sums, with_step
+from marginflow.operators.cells import AXES, SCOPE, measure_sums, spread, sum_where
 
 ROW_KEYS = ("level", "is_total", "name")
 
@@ -37,21 +37,19 @@ def _row_sums(
     levels: Sequence[str],
     excluded: Iterable[str],
     axes: Sequence[str] = AXES,
+    profile: str = "current",
 ) -> DataFrame:
     """Amount per scope, level, position, measure and cell, with the names matched.
 
     `shown` is the amount if the statement lists the row, else NULL.
     """
-    sums = measure_sums(df, scope, keep=("level", "pos"), axes=axes)
-    label = F.coalesce(strip_space(F.col("measure")), F.lit("None"))
-    name = F.coalesce(simple_norm(F.col("measure")), F.lit("none"))
+    sums = with_step(measure_sums(df, scope, keep=("level", "pos"), axes=axes), profile)
     listed = F.col("level").isin(*levels) & ~F.col("name").isin(*excluded)
     return sums.withColumns(
         {
-            "label": label,
-            "name": name,
+            "label": F.coalesce(strip_space(F.col("measure")), F.lit("None")),
+            "name": F.coalesce(simple_norm(F.col("measure")), F.lit("none")),
             "pos_num": F.col("pos").try_cast("double"),
-            "family": known_family(F.col("measure")),
         }
     ).withColumn("shown", F.when(listed, F.col("amount")))
 
@@ -59,8 +57,7 @@ def _row_sums(
 def _level_sums(levels: Sequence[str]) -> list[Column]:
     """Raw sum of each level's listed rows; NULL if it has none."""
     return [
-        F.sum(F.when(F.col("level") == level, F.col("shown"))).cast(MONEY).alias(f"raw_{level}")
-        for level in levels
+        sum_where("shown", "level", level).cast(MONEY).alias(f"raw_{level}") for level in levels
     ]
 
 
@@ -68,18 +65,6 @@ def _level_flags(levels: Sequence[str]) -> list[Column]:
     return [F.max(F.col("level") == level).alias(f"present_{level}") for level in levels]
 
 
-def _grouped(
-    sums: DataFrame, scope: Sequence[str], axes: Sequence[str], aggregates: Sequence[Column]
-) -> DataFrame:
-    """Aggregate per measure row and, in the same pass, over all measures of the scope."""
-    row = [*scope, *axes, "level", "name"]
-    return sums.groupingSets([row, [*scope, *axes]], *row).agg(
-        F.sum("shown").cast(MONEY).alias("shown_sum"),
-        *aggregates,
-        F.grouping("name").alias("_all_rows"),
-    )
-
-
 def _entry(level: Column, is_total: bool, name: Column, **fields: Column) -> Column:
     return F.struct(
         level.alias("level"),
@@ -90,32 +75,30 @@ def _entry(level: Column, is_total: bool, name: Column, **fields: Column) -> Col
 
 
 def _heads(
-    sums: DataFrame, scope: Sequence[str], levels: Sequence[str], profile: str | None
+    sums: DataFrame, scope: Sequence[str], levels: Sequence[str], cascade: bool
 ) -> DataFrame:
     """One row per statement row: label, position and sum over all cells.
 
-    With a `profile`, totals are the cascade's where the scope has a cascade, and an E2
-    total is added where no row is on E2. Without one, totals are the raw level sums.
+    With `cascade`, totals are the cascade's where the scope has one, and an E2 total is
+    added where no row is on E2. Without it, totals are the raw level sums.
     """
     # Cells are summed up by plain hash aggregation before the smallest label is taken, as
     # a minimum of text would make Spark sort its whole input.
-    per_label = sums.groupBy(*scope, "level", "name", "label", "pos_num", "family").agg(
+    per_label = sums.groupBy(*scope, "level", "name", "label", "pos_num", "step").agg(
         F.sum("shown").alias("shown"), F.sum("amount").alias("amount")
     )
-    grouped = _grouped(
-        per_label,
-        scope,
-        (),
-        [
-            F.min("label").alias("label"),
-            F.min("pos_num").alias("pos_num"),
-            *family_totals(F.col("family"), F.col("amount")),
-            *_level_sums(levels),
-            *_level_flags(levels),
-        ],
+    row = [*scope, "level", "name"]
+    grouped = per_label.groupingSets([row, [*scope]], *row).agg(
+        F.sum("shown").cast(MONEY).alias("shown_sum"),
+        F.min("label").alias("label"),
+        F.min("pos_num").alias("pos_num"),
+        *step_sums(),
+        *_level_sums(levels),
+        *_level_flags(levels),
+        F.grouping("name").alias("_all_rows"),
     )
-    known = F.col("known") > 0 if profile else F.lit(False)
-    margins = dict(zip(catalog.LEVELS, margin_columns(profile or "current")))
+    known = F.col("known") > 0 if cascade else F.lit(False)
+    margins = dict(zip(catalog.LEVELS, margin_columns()))
     measure_row = _entry(
         F.col("level"),
         False,
@@ -154,32 +137,25 @@ def _heads(
     )
 
 
-def _cells(
-    sums: DataFrame, scope: Sequence[str], levels: Sequence[str], profile: str | None
-) -> DataFrame:
+def _cells(sums: DataFrame, scope: Sequence[str], levels: Sequence[str]) -> DataFrame:
     """Amounts per cell for measure rows and for the total row of each level.
 
     Total rows come for every cell that any row shows (`listed`) or the cascade has.
     """
-    grouped = _grouped(
-        sums,
-        scope,
-        AXES,
-        [
-            *family_totals(F.col("family"), F.col("amount")),
-            *_level_sums(levels),
-        ],
+    rows = sums.groupBy(*scope, "level", "name", *AXES).agg(
+        F.sum("shown").cast(MONEY).alias("raw")
     )
-    listed = F.col("shown_sum").isNotNull()
-    margins = dict(zip(catalog.LEVELS, margin_columns(profile or "current")))
-    measure_row = _entry(
-        F.col("level"),
-        False,
-        F.col("name"),
-        raw=F.col("shown_sum"),
-        margin=F.lit(None).cast(MONEY),
-        listed=F.lit(True),
+    measure_rows = rows.filter("raw IS NOT NULL").withColumns(
+        {
+            "is_total": F.lit(False),
+            "margin": F.lit(None).cast(MONEY),
+            "listed": F.lit(True),
+        }
+    )
+    cells = sums.groupBy(*scope, *AXES).agg(
+        *step_sums(), *_level_sums(levels), (F.count("shown") > 0).alias("listed")
     )
+    margins = dict(zip(catalog.LEVELS, margin_columns()))
     totals = [
         _entry(
             F.lit(level),
@@ -187,38 +163,34 @@ def _cells(
             F.lit(""),
             raw=F.col(f"raw_{level}"),
             margin=margins.get(level, F.col(f"raw_{level}")),
-            listed=listed,
+            listed=F.col("listed"),
         )
         for level in levels
     ]
-    return grouped.select(
-        *scope,
-        *AXES,
-        F.inline(
-            F.when(F.col("_all_rows") == 0, F.when(listed, F.array(measure_row))).otherwise(
-                F.when(listed | (F.col("known") > 0), F.array(*totals))
-            )
-        ),
+    total_rows = cells.filter("listed OR known > 0").select(
+        *scope, *AXES, F.inline(F.array(*totals))
     )
+    return measure_rows.unionByName(total_rows)
 
 
 def _assemble(
-    heads: DataFrame, cells: DataFrame, scope: Sequence[str], order: Sequence[Column]
+    heads: DataFrame,
+    cells: DataFrame,
+    scope: Sequence[str],
+    order: Sequence[Column],
+    ranked_in: Sequence[str],
 ) -> DataFrame:
     """Rank the heads, give every cell its head, and add the sum column.
 
     A cell that no row shows is no column of the statement, unless an added E2 total brings
     all cells of the cascade with it.
     """
-    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*ranked_in).orderBy(*order))
     ranked = heads.withColumn("row_rank", rank)
     value = F.when(F.col("cascade"), F.col("margin")).otherwise(F.col("raw"))
-    keys = list(dict.fromkeys([*scope, *ROW_KEYS]))
-    columns = list(
-        dict.fromkeys([*scope, "level", "label", "row_label", "row_rank", "is_total"])
-    )
+    columns = [*scope, "level", "label", "row_label", "row_rank", "is_total"]
     body = (
-        cells.join(ranked, keys)
+        cells.join(ranked, [*scope, *ROW_KEYS])
         .filter(F.col("listed") | F.col("all_cells"))
         .select(*columns, *AXES, value.alias("value"))
         .filter("value IS NOT NULL")
@@ -298,10 +270,22 @@ def level_table(
 ) -> DataFrame:
     """Each level's own table: measure rows by position, then the raw level total."""
     sums = _row_sums(df, scope, levels, excluded)
-    heads = _heads(sums, scope, levels, None).withColumn("row_label", F.col("label"))
+    heads = _heads(sums, scope, levels, cascade=False).withColumn("row_label", F.col("label"))
     order = [F.col("is_total"), F.asc_nulls_last("pos_num"), F.col("label"), F.col("name")]
-    cells = _cells(sums, scope, levels, None)
-    return _assemble(heads, cells, [*scope, "level"], order)
+    return _assemble(heads, _cells(sums, scope, levels), scope, order, [*scope, "level"])
+
+
+def _ordered_heads(sums: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """Heads of the statement and the order they stand in."""
+    label = row_label(F.col("level"), F.col("label"))
+    heads = _heads(sums, scope, catalog.LEVELS, cascade=True).withColumn("row_label", label)
+    heads = heads.withColumns(
+        {
+            "level_number": level_number(F.col("level")),
+            "slot": row_slot(F.col("row_label"), F.col("is_total")),
+        }
+    )
+    return heads, [F.col(c) for c in ("level_number", "slot", "row_label", "name")]
 
 
 def margin_statement(
@@ -315,31 +299,23 @@ def margin_statement(
     `row_rank` is the place of a row in its scope. Measure rows keep their signs; totals
     run through the levels. Only cells with a value are listed; see `statement_wide`.
     """
-    levels = catalog.LEVELS
-    sums = _row_sums(df, scope, levels, excluded)
-    label = row_label(F.col("level"), F.col("label"))
-    heads = _heads(sums, scope, levels, profile).withColumn("row_label", label)
-    slot = row_slot(F.col("row_label"), F.col("is_total"))
-    order = [level_number(F.col("level")), slot, F.col("row_label"), F.col("name")]
-    return _assemble(heads, _cells(sums, scope, levels, profile), scope, order)
+    sums = _row_sums(df, scope, catalog.LEVELS, excluded, profile=profile)
+    heads, order = _ordered_heads(sums, scope)
+    return _assemble(heads, _cells(sums, scope, catalog.LEVELS), scope, order, scope)
 
 
 def statement_order(
-    df: DataFrame, scope: Sequence[str] = SCOPE, profile: str = "current"
+    df: DataFrame,
+    scope: Sequence[str] = SCOPE,
+    profile: str = "current",
+    excluded: Iterable[str] = catalog.EXCLUDED,
 ) -> DataFrame:
     """The rows of the statement in order, without their cells."""
-    sums = _row_sums(df, scope, catalog.LEVELS, catalog.EXCLUDED)
-    label = row_label(F.col("level"), F.col("label"))
-    heads = _heads(sums, scope, catalog.LEVELS, profile).withColumn("row_label", label)
-    level, slot = level_number(F.col("level")), row_slot(label, F.col("is_total"))
-    order = Window.partitionBy(*scope).orderBy(level, slot, "row_label", "name")
-    return heads.select(
-        *scope,
-        level.alias("level_number"),
-        slot.alias("slot"),
-        "row_label",
-        F.row_number().over(order).alias("row_rank"),
-        "is_total",
+    sums = _row_sums(df, scope, catalog.LEVELS, excluded, profile=profile)
+    heads, order = _ordered_heads(sums, scope)
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
+    return heads.withColumn("row_rank", rank).select(
+        *scope, "level_number", "slot", "row_label", "row_rank", "is_total"
     )
 
 

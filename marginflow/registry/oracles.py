@@ -106,7 +106,13 @@ def _summed(names: tuple[str, ...], column: str = "norm") -> str:
     return f"coalesce(sum(v) FILTER (WHERE {_in(column, names)}), 0)"
 
 
-_KNOWN = _in("norm", tuple(n for names in catalog.FAMILIES.values() for n in names))
+def _known(profile: str = "current") -> str:
+    """Whether a row of m enters the cascade under a rule."""
+    families = ("revenue", "transfer", *(f for fs in catalog.PROFILES[profile].values() for f in fs))
+    return _in("norm", tuple(n for family in families for n in catalog.FAMILIES[family]))
+
+
+_KNOWN = _known()
 
 
 def _margins(profile: str) -> tuple[str, str, str]:
@@ -129,10 +135,10 @@ def _cascade(scope: str, profile: str) -> str:
     """Margins per cell and over all cells, two separate groupings of the known rows."""
     margins = _margin_list(profile)
     return f"""
-  SELECT {scope}, product_line, product_category, {margins} FROM m WHERE {_KNOWN}
+  SELECT {scope}, product_line, product_category, {margins} FROM m WHERE {_known(profile)}
   GROUP BY {scope}, product_line, product_category
   UNION ALL
-  SELECT {scope}, {_SUM_LABELS}, {margins} FROM m WHERE {_KNOWN} GROUP BY {scope}"""
+  SELECT {scope}, {_SUM_LABELS}, {margins} FROM m WHERE {_known(profile)} GROUP BY {scope}"""
 
 
 def _cells(names: tuple[str, ...], scope: str, grand: bool) -> str:
