@@ -58,11 +58,16 @@ def filter_level(df: DataFrame, level: str) -> DataFrame:
 
 
 def in_report(df: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Rows whose store and period are known, asked in a form the file scan can use."""
-    source = dict.fromkeys("month" if c in ("year", "quarter") else c for c in scope)
-    for column in source:
-        if column in df.columns:
-            df = df.filter(F.col(column).isNotNull())
+    """Rows whose store and period are known, asked in a form the file scan can use.
+
+    All scope columns are asked for, as a join on them would ask, so that parts of a report
+    that are joined and parts that are not have the same scan and can share it.
+    """
+    columns = list(scope)
+    if "month" in df.columns and set(scope) & {"year", "quarter"}:
+        columns.append("month")
+    for column in dict.fromkeys(columns):
+        df = df.filter(F.col(column).isNotNull())
     return df
 
 

@@ -145,8 +145,11 @@ def _cells(sums: DataFrame, scope: Sequence[str], levels: Sequence[str]) -> Data
     rows = sums.groupBy(*scope, "level", "name", *AXES).agg(
         F.sum("shown").cast(MONEY).alias("raw")
     )
+    # The level is never NULL here, but the join on it must not ask that of the source rows:
+    # the totals need rows without a level, and all parts are to share one scan.
     measure_rows = rows.filter("raw IS NOT NULL").withColumns(
         {
+            "level": F.coalesce(F.col("level"), F.lit("")),
             "is_total": F.lit(False),
             "margin": F.lit(None).cast(MONEY),
             "listed": F.lit(True),
