@@ -15,6 +15,7 @@ from marginflow.sources import (
     adapt_columns,
     adapt_levels,
     distinct_stores,
+    load_once,
     publish,
     read_measures,
     require_columns,
@@ -31,6 +32,7 @@ __all__ = [
     "distinct_stores",
     "format_eur",
     "level_code",
+    "load_once",
     "normalize_measure",
     "publish",
     "read_measures",

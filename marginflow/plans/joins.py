@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-_BYTES_PER_FIELD = 24  # upper bound of a fixed-width field with its share of row overhead
+_BYTES_PER_FIELD = 48  # more than a date, a decimal or a short list of levels takes in a row
 
 
 def byte_bound(keys: DataFrame, extra_fields: int = 0) -> int:

@@ -2,6 +2,7 @@
 
 from marginflow.sources.readers import (
     distinct_stores,
+    load_once,
     publish,
     publish_view,
     read_jdbc,
@@ -9,6 +10,7 @@ from marginflow.sources.readers import (
     reload,
     scan_store,
     scan_store_projected,
+    shared_folder,
 )
 from marginflow.sources.schema import (
     MEASURES,
@@ -32,6 +34,7 @@ __all__ = [
     "adapt_levels",
     "distinct_stores",
     "has_levels",
+    "load_once",
     "publish",
     "publish_view",
     "read_jdbc",
@@ -40,4 +43,5 @@ __all__ = [
     "require_columns",
     "scan_store",
     "scan_store_projected",
+    "shared_folder",
 ]

@@ -6,6 +6,8 @@ files, and its files are sorted by month, so a period's scan skips row groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,34 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach, as the cluster names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir is not set; give a folder all executors reach")
+    return folder.rstrip("/")
+
+
+def load_once(
+    spark: SparkSession,
+    table: str,
+    make: Callable[[], DataFrame],
+    refresh: bool = False,
+    folder: str | None = None,
+) -> DataFrame:
+    """A table that is made once and then read, until it is asked for with `refresh`.
+
+    Its files are in the shared folder, so a lost executor takes nothing with it and the
+    steps that made it are not run again. The catalog knows the table only after all of it
+    was written, so a broken-off run leaves none to read.
+    """
+    if refresh or not spark.catalog.tableExists(table):
+        path = f"{folder or shared_folder(spark)}/{table}"
+        publish(make(), path, table, mode="overwrite")
+        spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
 def reload(spark: SparkSession, table: str) -> DataFrame:
     """A catalog table as it is now, forgetting cached file listings and data."""
     spark.catalog.refreshTable(table)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from marginflow import catalog, store_report
 from marginflow.operators import periods, quality
 from marginflow.operators.cascade import margin_cascade
+from marginflow.operators.cells import summarize
 from marginflow.plans.report import format_statement
 from marginflow.sources import (
     MEASURES,
@@ -13,6 +14,7 @@ from marginflow.sources import (
     adapt_levels,
     distinct_stores,
     has_levels,
+    load_once,
     publish,
     publish_view,
     read_measures,
@@ -20,6 +22,7 @@ from marginflow.sources import (
     require_columns,
     scan_store,
     scan_store_projected,
+    shared_folder,
 )
 
 JAN = "2024-01-01"
@@ -90,6 +93,44 @@ def test_publish_as_table_and_reload(measures, tmp_path):
         spark.sql("DROP TABLE measures_e1")
 
 
+def test_load_once_until_refreshed(measures, tmp_path):
+    spark = measures.sparkSession
+    made, folder = [], str(tmp_path)
+
+    def make():
+        made.append(1)
+        return summarize(measures.filter("level = 'E1'" if len(made) == 1 else "level = 'E2'"))
+
+    try:
+        first = rows(load_once(spark, "sums", make, folder=folder))
+        assert first == rows(load_once(spark, "sums", make, folder=folder)) and len(made) == 1
+        fresh = load_once(spark, "sums", make, refresh=True, folder=folder)
+        assert len(made) == 2
+        assert {r.level for r in fresh.select("level").distinct().collect()} == {"E2"}
+    finally:
+        spark.sql("DROP TABLE IF EXISTS sums")
+
+
+def test_broken_load_is_made_again(measures, tmp_path):
+    spark, folder = measures.sparkSession, str(tmp_path)
+    broken = measures.withColumn("value", F.raise_error(F.lit("lost")).cast("string"))
+    try:
+        with pytest.raises(Exception, match="lost"):
+            load_once(spark, "broken", lambda: broken, folder=folder)
+        assert load_once(spark, "broken", lambda: measures, folder=folder).count() == 32478
+    finally:
+        spark.sql("DROP TABLE IF EXISTS broken")
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert shared_folder(spark) == named.rstrip("/")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(spark)
+
+
 def test_publish_view(measures):
     publish_view(measures, "measures_view")
     assert measures.sparkSession.sql("SELECT count(*) AS n FROM measures_view").first().n == 32478
