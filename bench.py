@@ -76,10 +76,14 @@ def ten_pass_cascade(measures: DataFrame) -> DataFrame:
     ]
     table = reduce(lambda a, b: a.join(b, keys, "full"), [p for _, p in parts])
     zero = F.lit(0)
-    for family, groups in sets.items():
-        cells = [F.coalesce(F.col(f"{family}_{i}"), zero) for i in range(len(groups))]
-        table = table.withColumn(family, reduce(lambda a, b: a + b, cells))
-    return table.select(*keys, *margin_columns())
+
+    def total(*families: str):
+        cells = [F.coalesce(F.col(f"{f}_{i}"), zero) for f in families for i in range(len(sets[f]))]
+        return reduce(lambda a, b: a + b, cells)
+
+    rule = catalog.PROFILES["current"]
+    steps = {"e1": total("revenue", "transfer"), **{s: total(*f) for s, f in rule.items()}}
+    return table.withColumns(steps).select(*keys, *margin_columns())
 
 
 def main() -> None:
