@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginflow.llm import sql
+from marginflow.llm import language, mixing, sharding, sql, tokens, urls
 from marginflow.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,46 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, with_text=False, keep=["doc_id"])
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near-equal bytes for all documents."""
+    return sharding.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_source_mix", sql.SOURCE_MIX)
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, carry=["doc_id"]).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+@query("op9_url_filters", sql.URL_FILTERS)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries that held on its fetch day."""
+    pages = table(spark, sf_dir, "pages")
+    captures, entries = urls.derived_captures(pages), urls.derived_entries(pages)
+    return urls.filter_urls(captures, entries).drop("url")
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("op1_token_counts")
+def op1_token_counts(
+    spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY
+) -> DataFrame:
+    """What every text length of the corpus answers as a context limit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = tokens.token_counts(docs, vocabulary, keep=["doc_id"])
+    return tokens.context_limits(tokens.length_histogram(counts))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.language_id(docs).select("doc_id", "held_out", "lang_pred", "score")

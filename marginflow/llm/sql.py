@@ -63,3 +63,118 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_removed_words AS BIGINT) AS n_removed_words
 FROM figures
 """
+
+SOURCE_MIX = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce('0' || source, '1') AS src,
+         md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents
+),
+sizes AS (SELECT src, CAST(sum(size) AS BIGINT) AS s FROM docs GROUP BY src),
+weighted AS (SELECT src, s, (row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS w FROM sizes),
+filled AS (
+  SELECT *, row_number() OVER p AS nth,
+         (SELECT sum(s) FROM sizes)
+           - coalesce(sum(3 * s) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy
+  FROM weighted WINDOW p AS (ORDER BY CAST(s AS DOUBLE) / w, src)
+),
+level AS (
+  SELECT CAST(rest AS DOUBLE) / CAST(heavy AS DOUBLE) AS l FROM filled
+  WHERE rest * w <= 3 * s * heavy ORDER BY nth LIMIT 1
+),
+targets AS (SELECT src, s, least(l * w, CAST(3 * s AS DOUBLE)) AS target FROM filled, level),
+parts AS (
+  SELECT *, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target / s) AS BIGINT) END AS epochs,
+         target - (CASE WHEN s = 0 THEN 0 ELSE floor(target / s) END) * s AS r
+  FROM targets
+),
+run AS (
+  SELECT d.src, d.k, d.size, p.r,
+         sum(d.size) OVER (PARTITION BY d.src ORDER BY k[1:9]) AS upto
+  FROM docs d JOIN parts p USING (src)
+),
+drawn AS (SELECT src, k FROM run WHERE upto <= r),
+rest0 AS (
+  SELECT src, max(r) - coalesce(sum(size) FILTER (WHERE upto <= r), 0) AS r FROM run GROUP BY src
+),
+free AS (SELECT src, k, size FROM run WHERE upto > r AND size > 0),
+top1 AS (
+  SELECT f.src, max(struct_pack(size, k)) AS b FROM free f JOIN rest0 USING (src)
+  WHERE size <= r GROUP BY f.src
+),
+rest1 AS (SELECT src, r - coalesce(b.size, 0) AS r FROM rest0 LEFT JOIN top1 USING (src)),
+top2 AS (
+  SELECT f.src, max(struct_pack(size, k)) AS b FROM free f JOIN rest1 USING (src)
+  WHERE size <= r AND k NOT IN (SELECT b.k FROM top1) GROUP BY f.src
+),
+rest2 AS (SELECT src, r - coalesce(b.size, 0) AS r FROM rest1 LEFT JOIN top2 USING (src)),
+top3 AS (
+  SELECT f.src, max(struct_pack(size, k)) AS b FROM free f JOIN rest2 USING (src)
+  WHERE size <= r AND k NOT IN (SELECT b.k FROM top1) AND k NOT IN (SELECT b.k FROM top2)
+  GROUP BY f.src
+),
+extra AS (
+  SELECT src, b.k AS k FROM top1 UNION ALL SELECT src, b.k FROM top2
+  UNION ALL SELECT src, b.k FROM top3 UNION ALL SELECT src, k FROM drawn
+)
+SELECT doc_id, size, s AS source_size, target,
+       CAST(size * (epochs + CASE WHEN d.k IN (SELECT k FROM extra) THEN 1 ELSE 0 END) AS BIGINT)
+         AS taken
+FROM docs d JOIN parts USING (src)
+"""
+
+URL_FILTERS = r"""
+WITH captures AS (
+  SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
+         nullif(regexp_replace(lower(regexp_extract(url,
+           '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+         lower(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''),
+           '[?#][\s\S]*$', ''), '/+$', '')) AS u
+  FROM pages
+),
+hosts AS (
+  SELECT DISTINCT host, md5(host) AS h, string_split(host, '.') AS labels FROM captures
+  WHERE host IS NOT NULL
+),
+listed AS (
+  SELECT h, CAST('0x' || h[3:4] AS INTEGER) AS n,
+         CASE WHEN h[2:2] < '8' OR len(labels) < 4 THEN 'host' ELSE 'domain' END AS kind,
+         CASE WHEN h[2:2] < '8' OR len(labels) < 4 THEN host
+              ELSE array_to_string(labels[2:], '.') END AS pattern,
+         CASE WHEN h[7:7] < '8' THEN 'spam' ELSE 'adult' END AS category
+  FROM hosts WHERE regexp_matches(host, 'casino|bets|pills') OR h[1:1] < '4'
+),
+entries AS (
+  SELECT kind, pattern, true AS listing, n AS d, category FROM listed
+  UNION SELECT kind, pattern, false, n + 45, category FROM listed WHERE h[5:5] < 'c'
+  UNION SELECT kind, pattern, true, n + 90, category FROM listed WHERE h[6:6] < '8'
+  UNION SELECT 'url', u, true, CAST('0x' || md5(u)[3:4] AS INTEGER), 'single' FROM captures
+        WHERE md5(u)[1:1] = '0' AND md5(u)[2:2] < '4'
+),
+one AS (
+  SELECT kind, pattern, CAST(DATE '2024-01-01' + d AS DATE) AS since,
+         arg_max(listing, (listing, category)) AS listing,
+         arg_max(category, (listing, category)) AS category
+  FROM entries GROUP BY ALL
+),
+intervals AS (
+  SELECT *, lead(since, 1, DATE '9999-12-31') OVER (PARTITION BY kind, pattern ORDER BY since) AS until
+  FROM one
+),
+hits AS (
+  SELECT page_id, kind, pattern, category, since,
+         row_number() OVER (
+           PARTITION BY page_id
+           ORDER BY CASE kind WHEN 'url' THEN 0 WHEN 'host' THEN 1 ELSE 2 END, length(pattern) DESC
+         ) AS nth
+  FROM captures JOIN intervals
+    ON listing AND since <= fetched AND fetched < until
+   AND (kind = 'url' AND pattern = u OR kind = 'host' AND pattern = host
+        OR kind = 'domain' AND (pattern = host OR ends_with(host, '.' || pattern))
+           AND contains(pattern, '.'))
+)
+SELECT page_id, fetched, host, kind IS NOT NULL AS blocked, kind, pattern, category, since
+FROM captures LEFT JOIN (SELECT * FROM hits WHERE nth = 1) h USING (page_id)
+"""
