@@ -6,27 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.llm.frames import saved
+from marginflow.llm.links import own_shuffle
 
 
 def _least(edges: DataFrame, name: str) -> DataFrame:
-    """(`_key`, `name`): the smallest `v` of each `u`.
-
-    The key is a digest of `u`, so that a join with it gets a shuffle of its own, in which
-    adaptive execution can split a hub with very many edges.
-    """
+    """(`_u`, `name`): the smallest `v` of each `u`, for a join that can split a large hub."""
     return edges.groupBy("u").agg(F.min("v").alias(name)).select(
-        F.xxhash64("u").alias("_key"), F.col("u").alias("_u"), name
+        own_shuffle("u").alias("_u"), name
     )
 
 
 def _with_least(edges: DataFrame, of: DataFrame) -> DataFrame:
     least = _least(of, "_m")
-    return (
-        edges.withColumn("_key", F.xxhash64("u"))
-        .join(least, "_key")
-        .filter(F.col("u") == F.col("_u"))
-        .select("u", "v", "_m")
-    )
+    return edges.join(least, F.col("u") == F.col("_u")).select("u", "v", "_m")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +18,28 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+_SHIPPED: set[str] = set()  # ids of the applications that have the package
+
 
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, as they run its functions."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def append_columns(
     df: DataFrame,
     fields: T.StructType,
@@ -37,6 +55,7 @@ def append_columns(
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
     arrow = to_arrow_schema(schema)
+    ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,6 +81,7 @@ def explode_batches(
     """Rows made from Arrow batches: `compute` yields dicts of equally long columns."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
+    ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.llm.frames import saved
@@ -93,13 +93,29 @@ def forest(pairs: np.ndarray) -> np.ndarray:
 RESULT = "item long, hub long, links long, earlier boolean"
 
 
-def compare_blocks(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Function for one pair of blocks: links of its items, at most one row per item."""
+def compare_blocks(percent: int, may_match: Callable | None = None) -> Callable:
+    """Function for one pair of blocks: links of its items, at most one row per item.
+
+    `may_match` tells the pairs that need a look; sets without one are not compared.
+    """
+
+    def verified(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        if may_match is None:
+            return linked(left, right, percent)
+        maybe = may_match(left, right, percent)
+        if left is right:
+            np.fill_diagonal(maybe, False)
+        rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        out = np.zeros_like(maybe)
+        out[np.ix_(rows, columns)] = linked(
+            [left[i] for i in rows], [right[i] for i in columns], percent
+        )
+        return out & maybe
 
     def run(table: pa.Table) -> pa.Table:
-        item = table.column("item").to_numpy()
-        table = table.take(pa.array(np.argsort(item, kind="stable")))
-        item = table.column("item").to_numpy()
+        # Rows that repeat a document have brought the same item more than once.
+        item, once = np.unique(table.column("item").to_numpy(), return_index=True)
+        table = table.take(pa.array(once))
         second = table.column("second").to_numpy(zero_copy_only=False).astype(bool)
         same = bool(table.column("same")[0].as_py())
         first_rank = table.column("rank").to_numpy()
@@ -109,11 +125,11 @@ def compare_blocks(percent: int) -> Callable[[pa.Table], pa.Table]:
         n = len(item)
         square = np.zeros((n, n), dtype=bool)
         if same:
-            square = linked(sets, sets, percent)
+            square = verified(sets, sets)
             np.fill_diagonal(square, False)
         else:
             a, b = np.flatnonzero(~second), np.flatnonzero(second)
-            cross = linked([sets[i] for i in a], [sets[i] for i in b], percent)
+            cross = verified([sets[i] for i in a], [sets[i] for i in b])
             square[np.ix_(a, b)] = cross
             square[np.ix_(b, a)] = cross.T
         hub = forest(square)
@@ -135,6 +151,13 @@ def compare_blocks(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def own_shuffle(key: str) -> Column:
+    """The same number as an expression, so that a join on it does not reuse the grouping's
+    shuffle: adaptive execution splits hot keys only where both sides are shuffled for the join.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def shared_keys(keys: DataFrame) -> DataFrame:
     """(`item`, `key`) rows of the keys that two or more different items have, with `lead`.
 
@@ -145,14 +168,10 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         keys.groupBy("key")
         .agg(F.min("item").alias("lead"), F.max("item").alias("_last"))
         .filter(F.col("lead") < F.col("_last"))
-        .select(F.xxhash64("key").alias("_key"), F.col("key").alias("_same"), "lead")
-    )
-    return (
-        keys.withColumn("_key", F.xxhash64("key"))
-        .join(hot, "_key")
-        .filter(F.col("key") == F.col("_same"))
-        .select("item", "key", "lead")
+        .select(own_shuffle("key").alias("_key"), "lead")
     )
+    joined = keys.join(hot, F.col("key") == F.col("_key"))
+    return joined.select("item", "key", "lead").distinct()
 
 
 def blocks_of(shared: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -170,18 +189,14 @@ def blocks_of(shared: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         leads.groupBy("lead")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
         .select(
-            F.xxhash64("lead").alias("_key"),
-            F.col("lead").alias("_lead"),
+            own_shuffle("lead").alias("_lead"),
             F.greatest(
                 F.ceil(F.col("n") / BLOCK_ITEMS), F.ceil(F.col("total") / BLOCK_VALUES), F.lit(1)
             ).alias("n_blocks"),
         )
     )
     return (
-        leads.withColumn("_key", F.xxhash64("lead"))
-        .join(groups, "_key")
-        .filter(F.col("lead") == F.col("_lead"))
-        .select(
+        leads.join(groups, F.col("lead") == F.col("_lead")).select(
             "item",
             F.xxhash64("lead", F.pmod(F.xxhash64("item", F.lit(7)), F.col("n_blocks"))).alias(
                 "block"
@@ -195,6 +210,7 @@ def find_links(
     fetch: Callable[[DataFrame], DataFrame],
     percent: int,
     sizes: DataFrame | None = None,
+    may_match: Callable | None = None,
 ) -> DataFrame:
     """Links between items that share a key: (`item`, `hub`, `links`, `earlier`), with repeats.
 
@@ -230,4 +246,4 @@ def find_links(
         "weight",
         "values",
     )
-    return met.groupBy("a", "b").applyInArrow(compare_blocks(percent), RESULT)
+    return met.groupBy("a", "b").applyInArrow(compare_blocks(percent, may_match), RESULT)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginflow.llm import language, mixing, sharding, sql, tokens, urls
+from marginflow.llm import jaccard, language, lines, mixing, sharding, sql, tokens, urls
 from marginflow.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_line_dedup")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line."""
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
