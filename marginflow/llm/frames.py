@@ -98,6 +98,17 @@ def explode_batches(
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, decide: Callable[[pa.RecordBatch], Sequence[bool]]) -> DataFrame:
+    """The rows for which `decide` says so, batch by batch, in the tasks that hold them."""
+    ship_code(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, int]]:
     """Row ranges with at most `max_bytes` of text each, or with a single longer text."""
     start = used = 0

@@ -93,10 +93,11 @@ def forest(pairs: np.ndarray) -> np.ndarray:
 RESULT = "item long, hub long, links long, earlier boolean"
 
 
-def compare_blocks(percent: int, may_match: Callable | None = None) -> Callable:
+def compare_blocks(percent: int, may_match: Callable | None = None, extent: int = 0) -> Callable:
     """Function for one pair of blocks: links of its items, at most one row per item.
 
-    `may_match` tells the pairs that need a look; sets without one are not compared.
+    `may_match` tells the pairs that need a look; sets without one are not compared. Items of
+    one `rank` whose places are less than `extent` apart overlap and are not linked.
     """
 
     def verified(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -132,6 +133,9 @@ def compare_blocks(percent: int, may_match: Callable | None = None) -> Callable:
             cross = verified([sets[i] for i in a], [sets[i] for i in b])
             square[np.ix_(a, b)] = cross
             square[np.ix_(b, a)] = cross.T
+        if extent:
+            apart = np.abs(second_rank[:, None] - second_rank[None, :]) >= extent
+            square &= apart | (first_rank[:, None] != first_rank[None, :])
         hub = forest(square)
         links = square.astype(np.int64) @ weight
         # Places in the order of (rank, place): is there a linked item before this one?
@@ -211,6 +215,7 @@ def find_links(
     percent: int,
     sizes: DataFrame | None = None,
     may_match: Callable | None = None,
+    extent: int = 0,
 ) -> DataFrame:
     """Links between items that share a key: (`item`, `hub`, `links`, `earlier`), with repeats.
 
@@ -246,4 +251,6 @@ def find_links(
         "weight",
         "values",
     )
-    return met.groupBy("a", "b").applyInArrow(compare_blocks(percent, may_match), RESULT)
+    return met.groupBy("a", "b").applyInArrow(
+        compare_blocks(percent, may_match, extent), RESULT
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginflow.llm import jaccard, language, lines, mixing, sharding, sql, tokens, urls
+from marginflow.llm import decontaminate, jaccard, language, lines, mixing, paragraphs, sharding, sql, tokens, urls
 from marginflow.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,17 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line."""
     return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages that are repeated, and which of them go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraphs.substring_dedup(docs)
