@@ -96,6 +96,12 @@ EXPECTED = {
     ),
 }
 
+# Under the legacy rule: whole families, by the name they are reported under.
+EXPECTED_OLD = {
+    "E1": {"UmsatzEUR": "revenue", "TransferPriceEUR": "transfer"},
+    "E2": {"Commission/Commission in EUR": "commission"},
+}
+
 # --- fixed values: legend texts ------------------------------------------------------
 DESCRIPTIONS = {
     "UmsatzEUR": "Umsatz in EUR.",

@@ -9,11 +9,22 @@ from marginflow import catalog
 
 AMOUNT = "decimal(18,4)"  # one source value
 MONEY = "decimal(28,4)"  # any sum of source values
+LIMIT = 0.999e14  # an amount has 14 digits before the point
 
 
 def coerce_value(value: Column) -> Column:
-    """Value as exact decimal; text that is no number becomes NULL."""
-    return value.try_cast(AMOUNT)
+    """Value as exact decimal; text that is no number becomes NULL.
+
+    A number too large for an amount (1e14 and more) fails the query: as NULL or 0 it would
+    leave a sum wrong without a word.
+    """
+    number = value.try_cast("double")
+    too_large = number.isNotNull() & ~F.isnan(number) & (F.abs(number) >= LIMIT)
+    message = F.concat(F.lit("amount out of range: "), value.cast("string"))
+    # Asked only of what is no amount, so ordinary values are read once.
+    return F.coalesce(
+        value.try_cast(AMOUNT), F.when(too_large, F.raise_error(message).cast(AMOUNT))
+    )
 
 
 def coerce_or_zero(value: Column) -> Column:

@@ -9,13 +9,14 @@ from marginflow import catalog
 
 # Unicode white space plus the four ASCII separators that Java's \s leaves out.
 _SPACE = r"\s\x{1c}-\x{1f}"
-_EDGES = rf"(?U)^[{_SPACE}]+|[{_SPACE}]+$"
+# The same set, character by character, for trimming.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _SEPARATORS = rf"(?U)[._\-/{_SPACE}]+"
 
 
 def strip_space(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def normalize_measure(measure: Column) -> Column:

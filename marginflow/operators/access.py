@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginflow import catalog
+from marginflow.functions import strip_space
 from marginflow.operators.periods import period_titles
 from marginflow.plans.joins import join_small
 
@@ -27,7 +28,7 @@ def effective_levels(users: DataFrame) -> DataFrame:
 
 def stores_for(df: DataFrame, entitlements: DataFrame, user_level: int) -> DataFrame:
     """Rows one user level may see."""
-    mine = entitlements.filter(F.col("user_level") == user_level)
+    mine = entitlements.filter(clamp_level(F.col("user_level")) == user_level)
     return entitled_rows(df, mine).drop("user_level")
 
 
@@ -37,7 +38,11 @@ def entitled_rows(df: DataFrame, entitlements: DataFrame) -> DataFrame:
     The levels of a store come by equi-join, those with all stores as one scalar; there are
     three levels, so both lists are short. No row is compared with every entitlement.
     """
-    pairs = entitlements.select("user_level", F.trim("store").alias("store"))
+    # Three levels at most, whatever the entitlements say, so the sets below stay short.
+    pairs = entitlements.select(
+        clamp_level(F.col("user_level")).alias("user_level"),
+        strip_space(F.col("store")).alias("store"),
+    )
     named = (
         pairs.filter(F.col("store") != catalog.ALL_STORES)
         .groupBy("store")
@@ -50,7 +55,7 @@ def entitled_rows(df: DataFrame, entitlements: DataFrame) -> DataFrame:
     )
     levels = F.array_union(F.coalesce(F.col("_named"), F.array().cast("array<int>")), everywhere)
     return (
-        join_small(df, named, ["store"], "left")
+        join_small(df, named, ["store"], "left", keys=pairs)
         .withColumn("user_level", F.explode(levels))
         .drop("_named")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,29 +98,30 @@ def totals_as_rows(
 def period_rollup(df: DataFrame, profile: str = "current") -> DataFrame:
     """Margins of every store for every year, quarter and month, each with the sum column.
 
-    Source rows are summed once per month; the coarser periods and the sum columns are made
-    from the month's cells.
+    Source rows are summed once per month. Quarters are summed from the cells of their months
+    and years from those of their quarters, so each step starts from fewer rows, and the sum
+    columns come with their step.
     """
     periods = ["store", "year", "quarter", "month"]
-    sets = []
-    for depth in (2, 3, 4):
-        sets += [[*periods[:depth], *AXES], periods[:depth]]
-    cells = _step_cells(df, periods, profile).groupingSets(sets, *periods, *AXES).agg(
-        *summed_steps(),
-        F.grouping("quarter").alias("_no_quarter"),
-        F.grouping("month").alias("_no_month"),
-        F.grouping(AXES[0]).alias("_all_cells"),
-    )
-    grain = (
-        F.when(F.col("_no_quarter") == 1, "year")
-        .when(F.col("_no_month") == 1, "quarter")
-        .otherwise("month")
-    )
+    cells = _step_cells(df, periods, profile).filter("known > 0")
+    parts = []
+    for depth, grain in ((4, "month"), (3, "quarter"), (2, "year")):
+        keys = periods[:depth]
+        if depth < 4:
+            cells = cells.groupBy(*keys, *AXES).agg(*summed_steps())
+        grand = cells.groupBy(*keys).agg(*summed_steps())
+        parts += [
+            part.withColumn("grain", F.lit(grain))
+            for part in (
+                cells.withColumn("_all_cells", F.lit(False)),
+                grand.withColumn("_all_cells", F.lit(True)),
+            )
+        ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     title = period_title(F.col("year"), F.col("quarter"), F.col("month"))
-    named = label_grand_total(cells.filter("known > 0"), F.col("_all_cells") == 1)
-    return named.select(
+    return label_grand_total(rows, F.col("_all_cells")).select(
         "store",
-        grain.alias("grain"),
+        "grain",
         title.alias("period"),
         "year",
         "quarter",
@@ -164,26 +166,40 @@ def total_revenue(
     )
 
 
-def missing_of(flag: str = "has") -> Column:
+def expected_of(profile: str) -> dict:
+    """Expected names by level; the legacy rule expects families, the others single measures."""
+    return catalog.EXPECTED_OLD if profile == "legacy" else catalog.EXPECTED
+
+
+def missing_of(profile: str = "current") -> Column:
     """Expected measures whose flag column is not set, as (level, measure) pairs."""
     entries = [
         F.struct(
             F.lit(level).alias("level"),
             F.lit(name).alias("measure"),
-            F.coalesce(F.col(f"{flag}_{level}_{i}"), F.lit(False)).alias("present"),
+            F.coalesce(F.col(f"has_{level}_{i}"), F.lit(False)).alias("present"),
         )
-        for level, names in catalog.EXPECTED.items()
+        for level, names in expected_of(profile).items()
         for i, name in enumerate(names)
     ]
     return F.filter(F.array(*entries), lambda e: ~e["present"])
 
 
-def expected_flags(flag: str = "has") -> list[Column]:
-    """One aggregate per expected measure: does any row carry its plain name?"""
-    name = simple_norm(F.col("measure"))
+def expected_flags(profile: str = "current") -> list[Column]:
+    """One aggregate per expected measure: does any row carry its name?
+
+    Single measures are found by their plain name, families by any normalized name in them.
+    """
+
+    def found(names, measure: str) -> Column:
+        if profile == "legacy":
+            family = catalog.FAMILIES[names[measure]]
+            return normalize_measure(F.col("measure")).isin(*family)
+        return simple_norm(F.col("measure")) == measure.lower()
+
     return [
-        F.max(name == measure.lower()).alias(f"{flag}_{level}_{i}")
-        for level, names in catalog.EXPECTED.items()
+        F.max(found(names, measure)).alias(f"has_{level}_{i}")
+        for level, names in expected_of(profile).items()
         for i, measure in enumerate(names)
     ]
 
@@ -193,20 +209,22 @@ def _joined(missing: Column, level: str | None = None) -> Column:
     return F.array_join(F.transform(chosen, lambda e: e["measure"]), ", ")
 
 
-def missing_measures(df: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+def missing_measures(
+    df: DataFrame, scope: Sequence[str] = SCOPE, profile: str = "current"
+) -> DataFrame:
     """Expected measures a scope lacks, one row per level that lacks any.
 
     The expected names are tested inside one aggregation per scope, so neither a product of
     scopes and names nor a join is needed. The test ignores the level a row is on.
     """
-    flags = measure_sums(df, scope, axes=()).groupBy(*scope).agg(*expected_flags())
-    missing = flags.select(*scope, missing_of().alias("missing"))
+    flags = measure_sums(df, scope, axes=()).groupBy(*scope).agg(*expected_flags(profile))
+    missing = flags.select(*scope, missing_of(profile).alias("missing"))
     levels = F.array(
         *[
             F.struct(
                 F.lit(level).alias("level"), _joined(F.col("missing"), level).alias("missing")
             )
-            for level in catalog.EXPECTED
+            for level in expected_of(profile)
         ]
     )
     return missing.select(*scope, F.inline(levels)).filter("missing <> ''")
@@ -224,7 +242,7 @@ def kpi_overview(
     figures = sums.groupBy(*scope).agg(
         *step_sums(),
         *revenue_figures(profile),
-        *expected_flags(),
+        *expected_flags(profile),
     )
     e3 = margin_columns()[2]
     return figures.select(
@@ -233,7 +251,7 @@ def kpi_overview(
         "revenue_labels",
         (F.col("revenue_hits") > 0).alias("revenue_found"),
         e3,
-        _joined(missing_of()).alias("missing"),
+        _joined(missing_of(profile)).alias("missing"),
     ).withColumn("status", profit_status(F.col("e3_total")))
 
 

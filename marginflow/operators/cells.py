@@ -190,11 +190,19 @@ def measure_cells(
 
 
 def cell_label(line: Column, category: Column) -> Column:
-    """Name of a cell's column in the wide form."""
-    return F.concat(line, F.lit(" | "), category)
+    """Name of a cell's column in the wide form.
+
+    A bar inside a name is doubled, so that no two cells share a column.
+    """
+    return F.concat(
+        F.replace(line, F.lit("|"), F.lit("||")),
+        F.lit(" | "),
+        F.replace(category, F.lit("|"), F.lit("||")),
+    )
 
 
 GRAND_CELL = f"{catalog.SUM_LINE} | {catalog.SUM_CATEGORY}"
+OTHER_CELLS = "other cells"
 
 
 def spread(
@@ -205,11 +213,14 @@ def spread(
     """Cells as columns, 0 where a row has none, the sum column last.
 
     Give `columns` to fix the schema; else Spark lists them, up to
-    `spark.sql.pivotMaxValues`. The sum column counts all cells either way.
+    `spark.sql.pivotMaxValues`. With `columns`, the cells that are not listed are added up in
+    the column `other cells`, so a row's cells always make up its sum column.
     """
+    label = cell_label(*[F.col(a) for a in AXES])
     if columns is not None:
-        columns = [*[c for c in columns if c != GRAND_CELL], GRAND_CELL]
-    named = cells.withColumn("_cell", cell_label(*[F.col(a) for a in AXES]))
+        columns = [*[c for c in columns if c != GRAND_CELL], OTHER_CELLS, GRAND_CELL]
+        label = F.when(label.isin(*columns), label).otherwise(OTHER_CELLS)
+    named = cells.withColumn("_cell", label)
     wide = named.groupBy(*rows).pivot("_cell", columns).agg(F.sum("value").cast(MONEY))
     names = [c for c in wide.columns if c not in rows]
     names = [c for c in names if c != GRAND_CELL] + [c for c in names if c == GRAND_CELL]

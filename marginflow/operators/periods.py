@@ -78,7 +78,10 @@ def latest_year(df: DataFrame) -> DataFrame:
 def at_latest_year(df: DataFrame) -> DataFrame:
     """Rows of each store's newest year."""
     timed = df if "year" in df.columns else add_time_columns(df)
-    return join_small(timed, latest_year(df), ["store", "year"], "left_semi")
+    # One year per store, so the stores alone tell how many rows there are.
+    return join_small(
+        timed, latest_year(df), ["store", "year"], "left_semi", keys=df.select("store")
+    )
 
 
 def period_titles(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginflow import catalog
 from marginflow.functions import strip_space
-from marginflow.operators.cells import SCOPE
+from marginflow.operators.cells import SCOPE, in_report
 from marginflow.operators.periods import with_scope
 
 
@@ -28,16 +28,19 @@ def measure_legend(
 ) -> DataFrame:
     """Measures of a scope with their description, in the order the sorted rows show them.
 
+    Rows sort by month, level, position and measure, as far as the table has these columns.
+
     Source rows are first reduced to distinct sort positions by hash aggregation. The
     descriptions are a fixed list of ten, matched by expression.
     """
-    timed = with_scope(df, scope).filter(F.col("measure").isNotNull())
+    timed = in_report(with_scope(df, scope), scope).filter(F.col("measure").isNotNull())
+    places = [c for c in ("month", "level", "pos", "measure") if c in timed.columns]
     order = [
         F.struct(F.col(c).isNull().alias("missing"), F.col(c).alias("key")).alias(c)
-        for c in ("month", "level", "pos", "measure")
+        for c in places
     ]
     positions = timed.select(
-        *dict.fromkeys([*scope, "month", "level", "pos", "measure"])
+        *dict.fromkeys([*scope, *places])
     ).distinct()
     name = strip_space(F.col("measure"))
     first = (

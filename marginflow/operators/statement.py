@@ -26,7 +26,8 @@ from marginflow.functions import (
     strip_space,
 )
 from marginflow.operators.cascade import margin_columns, step_sums, with_step
-from marginflow.operators.cells import AXES, SCOPE, measure_sums, spread, sum_where
+from marginflow.operators.cells import AXES, SCOPE, in_report, measure_sums, spread, sum_where
+from marginflow.operators.periods import with_scope
 
 ROW_KEYS = ("level", "is_total", "name")
 
@@ -75,12 +76,16 @@ def _entry(level: Column, is_total: bool, name: Column, **fields: Column) -> Col
 
 
 def _heads(
-    sums: DataFrame, scope: Sequence[str], levels: Sequence[str], cascade: bool
+    sums: DataFrame,
+    scope: Sequence[str],
+    levels: Sequence[str],
+    cascade: bool,
+    added_e2: bool = False,
 ) -> DataFrame:
     """One row per statement row: label, position and sum over all cells.
 
-    With `cascade`, totals are the cascade's where the scope has one, and an E2 total is
-    added where no row is on E2. Without it, totals are the raw level sums.
+    With `cascade`, totals are the cascade's where the scope has one; with `added_e2` there is
+    an E2 total even where no row is on E2. Without, totals are the raw level sums.
     """
     # Cells are summed up by plain hash aggregation before the smallest label is taken, as
     # a minimum of text would make Spark sort its whole input.
@@ -94,7 +99,7 @@ def _heads(
         F.min("pos_num").alias("pos_num"),
         *step_sums(),
         *_level_sums(levels),
-        *_level_flags(levels),
+        *_level_flags(catalog.LEVELS),
         F.grouping("name").alias("_all_rows"),
     )
     known = F.col("known") > 0 if cascade else F.lit(False)
@@ -109,8 +114,10 @@ def _heads(
         cascade=F.lit(False),
         all_cells=F.lit(False),
     )
-    any_level = F.greatest(*[F.col(f"present_{level}") for level in levels])
-    lone_e2 = known & any_level & ~F.col("present_E2")
+    lone_e2 = F.lit(False)
+    if added_e2:
+        any_level = F.greatest(*[F.col(f"present_{level}") for level in catalog.LEVELS])
+        lone_e2 = known & any_level & ~F.col("present_E2")
     totals = []
     for level in levels:
         raw = F.col(f"raw_{level}")
@@ -278,32 +285,52 @@ def level_table(
     return _assemble(heads, _cells(sums, scope, levels), scope, order, [*scope, "level"])
 
 
-def _ordered_heads(sums: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, list[Column]]:
-    """Heads of the statement and the order they stand in."""
+def _ordered_heads(
+    sums: DataFrame, scope: Sequence[str], profile: str
+) -> tuple[DataFrame, list[Column]]:
+    """Heads of the statement and the order they stand in.
+
+    The legacy rule adds no E2 total and leaves the rows of a level by position, as in the
+    level's own table; the others give known rows their slots.
+    """
     label = row_label(F.col("level"), F.col("label"))
-    heads = _heads(sums, scope, catalog.LEVELS, cascade=True).withColumn("row_label", label)
+    legacy = profile == "legacy"
+    heads = _heads(sums, scope, catalog.LEVELS, cascade=True, added_e2=not legacy).withColumn(
+        "row_label", label
+    )
     heads = heads.withColumns(
         {
             "level_number": level_number(F.col("level")),
             "slot": row_slot(F.col("row_label"), F.col("is_total")),
         }
     )
+    if legacy:
+        by_position = [F.asc_nulls_last("pos_num"), F.col("label"), F.col("name")]
+        return heads, [F.col("level_number"), F.col("is_total"), *by_position]
     return heads, [F.col(c) for c in ("level_number", "slot", "row_label", "name")]
 
 
+def _excluded(profile: str, excluded: Iterable[str] | None) -> Iterable[str]:
+    if excluded is not None:
+        return excluded
+    return catalog.EXCLUDED_OLD if profile == "legacy" else catalog.EXCLUDED
+
+
 def margin_statement(
     df: DataFrame,
     scope: Sequence[str] = SCOPE,
     profile: str = "current",
-    excluded: Iterable[str] = catalog.EXCLUDED,
+    excluded: Iterable[str] | None = None,
 ) -> DataFrame:
     """The statement: levels below each other, totals from the cascade, rows ranked.
 
+    Without `excluded`, the measures left out are those of the profile.
+
     `row_rank` is the place of a row in its scope. Measure rows keep their signs; totals
     run through the levels. Only cells with a value are listed; see `statement_wide`.
     """
-    sums = _row_sums(df, scope, catalog.LEVELS, excluded, profile=profile)
-    heads, order = _ordered_heads(sums, scope)
+    sums = _row_sums(df, scope, catalog.LEVELS, _excluded(profile, excluded), profile=profile)
+    heads, order = _ordered_heads(sums, scope, profile)
     return _assemble(heads, _cells(sums, scope, catalog.LEVELS), scope, order, scope)
 
 
@@ -311,11 +338,11 @@ def statement_order(
     df: DataFrame,
     scope: Sequence[str] = SCOPE,
     profile: str = "current",
-    excluded: Iterable[str] = catalog.EXCLUDED,
+    excluded: Iterable[str] | None = None,
 ) -> DataFrame:
     """The rows of the statement in order, without their cells."""
-    sums = _row_sums(df, scope, catalog.LEVELS, excluded, profile=profile)
-    heads, order = _ordered_heads(sums, scope)
+    sums = _row_sums(df, scope, catalog.LEVELS, _excluded(profile, excluded), profile=profile)
+    heads, order = _ordered_heads(sums, scope, profile)
     rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
     return heads.withColumn("row_rank", rank).select(
         *scope, "level_number", "slot", "row_label", "row_rank", "is_total"
@@ -339,7 +366,8 @@ def statement_wide(
 
 
 def present_levels(df: DataFrame, scope: Sequence[str] = ("store",)) -> DataFrame:
-    """Which of the levels occur, in order."""
-    flags = df.groupBy(*scope).agg(*_level_flags(catalog.LEVELS))
+    """Which of the levels occur in a scope, in order."""
+    rows = in_report(with_scope(df, scope), scope)
+    flags = rows.groupBy(*scope).agg(*_level_flags(catalog.LEVELS))
     names = [F.when(F.col(f"present_{level}"), level) for level in catalog.LEVELS]
     return flags.select(*scope, F.concat_ws(", ", *names).alias("levels"))

@@ -31,10 +31,12 @@ def join_small(
 
     `small` is broadcast only after its size was counted and found below
     `MAX_BROADCAST_BYTES`. `keys` may give the same keys in a cheaper way than `small`
-    itself, so that the count reads the key columns only. Beyond the bound the join is left
+    itself, so that the count reads the key columns only; it may lack some of them if the
+    others tell the rows of `small` apart. Beyond the bound the join is left
     to Spark: a shuffled join in which adaptive execution splits hot keys.
     """
-    probe = (small if keys is None else keys).select(*on).distinct()
-    bound = byte_bound(probe, extra_fields=len(small.columns) - len(on))
+    source = small if keys is None else keys
+    probe = source.select(*[c for c in on if c in source.columns]).distinct()
+    bound = byte_bound(probe, extra_fields=len(small.columns) - len(probe.columns))
     side = F.broadcast(small) if bound <= MAX_BROADCAST_BYTES else small
     return big.join(side, list(on), how)

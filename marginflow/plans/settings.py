@@ -17,24 +17,38 @@ ADAPTIVE = {
 FIXED = {"spark.sql.session.timeZone": "UTC"}
 
 
-def cluster_settings(input_bytes: int, reduction: float = 0.2) -> dict[str, str]:
-    """Settings for a run over `input_bytes` of source data.
+PARTITION_BYTES = 256 * 1024 * 1024
+CELL_BYTES = 200  # of a row of sums in a shuffle
+MOST_SCANS = 100_000  # tasks of a scan, as the driver keeps the shuffle's map for each
 
-    `reduction` is the part of the input that is left after each task has combined its own
-    rows, which is what the first shuffle moves. The shuffle starts with partitions of about
-    256 MB, and adaptive execution merges what turns out small.
+
+def cluster_settings(input_bytes: int, cells: int) -> dict[str, str]:
+    """Settings for a run over `input_bytes` of source data with so many distinct cells.
+
+    Tasks combine their own rows, so the first shuffle moves sums per cell and its partitions
+    go by their number, not by the input. Scans are cut so that there are MOST_SCANS tasks at
+    most. Adaptive execution merges what turns out small.
     """
-    target = 256 * 1024 * 1024
-    partitions = max(200, int(input_bytes * reduction / target) + 1)
+    partitions = max(200, -(-cells * CELL_BYTES // PARTITION_BYTES))
     return {
         **ADAPTIVE,
         **FIXED,
         "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
-        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(
+            max(PARTITION_BYTES, -(-input_bytes // MOST_SCANS))
+        ),
     }
 
 
+def cluster_session(input_bytes: int, cells: int, name: str = "marginflow") -> SparkSession:
+    """A session on the cluster that the launcher names, sized for the input."""
+    builder = SparkSession.builder.appName(name)
+    for key, value in cluster_settings(input_bytes, cells).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g"):
     """A session for tests and measurements on one machine."""
     builder = (

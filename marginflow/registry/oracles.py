@@ -6,8 +6,8 @@ row, totals joined rather than grouped along, so that it does not repeat the ope
 
 from __future__ import annotations
 
-from marginflow import catalog
-from marginflow.registry.queries import CELL_COLUMNS, STATEMENT_COLUMNS, STORE
+from marginflow.registry import fixed
+from marginflow.registry.fixed import CELL_COLUMNS, STATEMENT_COLUMNS, STORE
 
 _MEASURES = """
 line AS (
@@ -74,7 +74,7 @@ _NORM = (
 )
 _PLAIN = "lower(trim(measure))"
 _SUM_LABELS = (
-    f"'{catalog.SUM_LINE}' AS product_line, '{catalog.SUM_CATEGORY}' AS product_category"
+    f"'{fixed.SUM_LINE}' AS product_line, '{fixed.SUM_CATEGORY}' AS product_category"
 )
 
 
@@ -83,8 +83,8 @@ def _m(where: str = "TRUE") -> str:
     return f"""
 m AS (
   SELECT store, month, {_YEAR} AS year, {_QUARTER} AS quarter, level, pos, measure,
-         coalesce(product_line, '{catalog.GENERAL}') AS product_line,
-         coalesce(product_category, '{catalog.GENERAL}') AS product_category,
+         coalesce(product_line, '{fixed.GENERAL}') AS product_line,
+         coalesce(product_category, '{fixed.GENERAL}') AS product_category,
          coalesce({_AMOUNT}, 0) AS v, {_NORM} AS norm, {_PLAIN} AS plain
   FROM measures WHERE {where}
 )"""
@@ -108,8 +108,8 @@ def _summed(names: tuple[str, ...], column: str = "norm") -> str:
 
 def _known(profile: str = "current") -> str:
     """Whether a row of m enters the cascade under a rule."""
-    families = ("revenue", "transfer", *(f for fs in catalog.PROFILES[profile].values() for f in fs))
-    return _in("norm", tuple(n for family in families for n in catalog.FAMILIES[family]))
+    families = ("revenue", "transfer", *(f for fs in fixed.PROFILES[profile].values() for f in fs))
+    return _in("norm", tuple(n for family in families for n in fixed.FAMILIES[family]))
 
 
 _KNOWN = _known()
@@ -117,8 +117,8 @@ _KNOWN = _known()
 
 def _margins(profile: str) -> tuple[str, str, str]:
     """The three margins as SQL over rows of m."""
-    family = {name: _summed(names) for name, names in catalog.FAMILIES.items()}
-    rule = catalog.PROFILES[profile]
+    family = {name: _summed(names) for name, names in fixed.FAMILIES.items()}
+    rule = fixed.PROFILES[profile]
     e1 = f"{family['revenue']} + {family['transfer']}"
     e2 = f"{e1} - " + " - ".join(family[f] for f in rule["e2"])
     e3 = f"{e2} - " + " - ".join(family[f] for f in rule["e3"])
@@ -153,7 +153,7 @@ def _cells(names: tuple[str, ...], scope: str, grand: bool) -> str:
 
 
 def _wide(source: str, keys: str, columns: tuple[str, ...]) -> str:
-    grand = f"{catalog.SUM_LINE} | {catalog.SUM_CATEGORY}"
+    grand = f"{fixed.SUM_LINE} | {fixed.SUM_CATEGORY}"
     cells = []
     for column in (*columns, grand):
         line, category = column.split(" | ")
@@ -161,25 +161,38 @@ def _wide(source: str, keys: str, columns: tuple[str, ...]) -> str:
         cells.append(
             f"CAST(coalesce(sum(value) FILTER (WHERE {test}), 0) AS DECIMAL(28,4)) AS \"{column}\""
         )
+    listed = ", ".join(f"'{column}'" for column in (*columns, grand))
+    rest = f"concat(product_line, ' | ', product_category) NOT IN ({listed})"
+    cells.append(
+        f"CAST(coalesce(sum(value) FILTER (WHERE {rest}), 0) AS DECIMAL(28,4)) AS \"other cells\""
+    )
     return f"SELECT {keys}, {', '.join(cells)} FROM {source} GROUP BY {keys}"
 
 
-_LISTED = f"level IN ('E1', 'E2', 'E3') AND NOT ({_in('plain', catalog.EXCLUDED)})"
+_LISTED = f"level IN ('E1', 'E2', 'E3') AND NOT ({_in('plain', fixed.EXCLUDED)})"
 
 
 def _slot() -> str:
     tests = []
-    for text, without, slot in catalog.ROW_SLOTS:
+    for text, without, slot in fixed.ROW_SLOTS:
         unless = f" AND NOT contains(row_label, '{without}')" if without else ""
         tests.append(f"WHEN contains(row_label, '{text}'){unless} THEN {slot}")
     return (
-        f"CASE WHEN is_total THEN {catalog.TOTAL_SLOT} {' '.join(tests)} "
-        f"ELSE {catalog.OTHER_SLOT} END"
+        f"CASE WHEN is_total THEN {fixed.TOTAL_SLOT} {' '.join(tests)} "
+        f"ELSE {fixed.OTHER_SLOT} END"
     )
 
 
 def _statement(scope: str, profile: str) -> str:
     """CTEs up to `statement`: (scope, level, row_label, row_rank, is_total, axes, value)."""
+    legacy = profile == "legacy"
+    known = _known(profile)
+    excluded = fixed.EXCLUDED_OLD if legacy else fixed.EXCLUDED
+    listed = f"level IN ('E1', 'E2', 'E3') AND NOT ({_in('plain', excluded)})"
+    lone = "FALSE" if legacy else f"bool_or({known}) AND NOT bool_or(level = 'E2')"
+    order = "level_number, slot, row_label, plain"
+    if legacy:
+        order = "level_number, is_total, pos_num NULLS LAST, label, plain"
     keys = [k.strip() for k in scope.split(",")]
 
     def on(left: str, right: str, *more: str) -> str:
@@ -191,11 +204,10 @@ def _statement(scope: str, profile: str) -> str:
     return f"""
 cascade AS ({_cascade(scope, profile)}),
 scopes AS (
-  SELECT {scope}, bool_or({_KNOWN}) AS has_cascade,
-         bool_or({_KNOWN}) AND NOT bool_or(level = 'E2') AS lone_e2
+  SELECT {scope}, bool_or({known}) AS has_cascade, {lone} AS lone_e2
   FROM m GROUP BY {scope} HAVING bool_or(level IN ('E1', 'E2', 'E3'))
 ),
-listed AS (SELECT * FROM m WHERE {_LISTED}),
+listed AS (SELECT * FROM m WHERE {listed}),
 lv AS (
   SELECT DISTINCT {scope}, level FROM listed
   UNION SELECT {scope}, 'E2' FROM scopes WHERE lone_e2
@@ -204,7 +216,7 @@ cols AS (
   SELECT DISTINCT {scope}, product_line, product_category FROM listed
   UNION SELECT {of('c')}, c.product_line, c.product_category
   FROM cascade c JOIN scopes s ON {on('c', 's')}
-  WHERE s.lone_e2 AND c.product_line <> '{catalog.SUM_LINE}'
+  WHERE s.lone_e2 AND c.product_line <> '{fixed.SUM_LINE}'
   UNION SELECT {scope}, {_SUM_LABELS} FROM scopes
 ),
 raw_total AS (
@@ -225,8 +237,9 @@ total_cells AS (
        AND r.level = lv.level
 ),
 names AS (
-  SELECT {scope}, level, plain, min(trim(measure)) AS label FROM listed
-  GROUP BY {scope}, level, plain
+  SELECT {scope}, level, plain, min(trim(measure)) AS label,
+         min(try_cast(pos AS DOUBLE)) AS pos_num
+  FROM listed GROUP BY {scope}, level, plain
 ),
 measure_cells AS (
   SELECT {scope}, level, plain, product_line, product_category, sum(v) AS value
@@ -235,10 +248,11 @@ measure_cells AS (
   SELECT {scope}, level, plain, {_SUM_LABELS}, sum(v) FROM listed GROUP BY {scope}, level, plain
 ),
 heads AS (
-  SELECT {scope}, level, plain, concat(level, ' | ', label) AS row_label, FALSE AS is_total
+  SELECT {scope}, level, plain, concat(level, ' | ', label) AS row_label, FALSE AS is_total,
+         label, pos_num
   FROM names
   UNION ALL
-  SELECT {scope}, level, '', concat(level, ' | ', level, ' Total'), TRUE FROM lv
+  SELECT {scope}, level, '', concat(level, ' | ', level, ' Total'), TRUE, '', NULL FROM lv
 ),
 placed AS (
   SELECT *, CAST(CASE level WHEN 'E1' THEN 1 WHEN 'E2' THEN 2 ELSE 3 END AS INTEGER)
@@ -247,7 +261,7 @@ placed AS (
 ),
 ranked AS (
   SELECT *, CAST(row_number() OVER (
-    PARTITION BY {scope} ORDER BY level_number, slot, row_label, plain) AS INTEGER) AS row_rank
+    PARTITION BY {scope} ORDER BY {order}) AS INTEGER) AS row_rank
   FROM placed
 ),
 statement AS (
@@ -286,7 +300,7 @@ with_totals AS (
 
 
 def _family_case(family: str) -> str:
-    test = _in(_PLAIN, catalog.CAMPAIGN_FAMILIES[family])
+    test = _in(_PLAIN, fixed.CAMPAIGN_FAMILIES[family])
     return _money(f"sum(CASE WHEN {test} THEN {_AMOUNT} ELSE 0 END)", family)
 
 
@@ -294,7 +308,7 @@ _CAMPAIGN_KEYS = "store, product_category, product_line, campaign"
 _VIEW_2 = f"""
 base AS (SELECT {_ELEVEN} FROM measures_db WHERE trim(db_level) IN ('DB1', 'DB2', 'DB3')),
 agg AS (
-  SELECT {_CAMPAIGN_KEYS}, {', '.join(_family_case(f) for f in catalog.CAMPAIGN_FAMILIES)}
+  SELECT {_CAMPAIGN_KEYS}, {', '.join(_family_case(f) for f in fixed.CAMPAIGN_FAMILIES)}
   FROM base GROUP BY {_CAMPAIGN_KEYS}
 ),
 margins AS (
@@ -319,7 +333,7 @@ names AS (SELECT DISTINCT store FROM measures),
 ent AS (
   SELECT 1 AS user_level, store FROM (SELECT store FROM names ORDER BY store LIMIT 1)
   UNION ALL SELECT 2, store FROM (SELECT store FROM names ORDER BY store LIMIT 2)
-  UNION ALL SELECT 3, '{catalog.ALL_STORES}'
+  UNION ALL SELECT 3, '{fixed.ALL_STORES}'
 )"""
 _TITLES = f"""
 grains AS (
@@ -350,7 +364,7 @@ revenue AS (
 def _missing(scope: str) -> str:
     rows = " UNION ALL ".join(
         f"SELECT '{level}' AS level, {i} AS ord, '{name}' AS measure"
-        for level, names in catalog.EXPECTED.items()
+        for level, names in fixed.EXPECTED.items()
         for i, name in enumerate(names)
     )
     keys = [k.strip() for k in scope.split(",")]
@@ -365,15 +379,24 @@ missing AS (
 )"""
 
 
+def _missing_legacy(scope: str) -> str:
+    parts = [
+        f"""SELECT {scope}, '{level}' AS level, {i} AS ord, '{name}' AS measure FROM m
+  GROUP BY {scope} HAVING NOT bool_or({_in('norm', family)})"""
+        for level, i, name, family in fixed.EXPECTED_OLD
+    ]
+    return f"missing AS ({' UNION ALL '.join(parts)})"
+
+
 def _german(value: str) -> str:
     return f"concat(translate(format('{{:,.2f}}', {value}), ',.', '.,'), ' €')"
 
 
 def _legend_case() -> str:
     tests = " ".join(
-        f"WHEN '{name}' THEN '{text}'" for name, text in catalog.DESCRIPTIONS.items()
+        f"WHEN '{name}' THEN '{text}'" for name, text in fixed.DESCRIPTIONS.items()
     )
-    return f"CASE measure {tests} ELSE '{catalog.NO_DESCRIPTION}' END"
+    return f"CASE measure {tests} ELSE '{fixed.NO_DESCRIPTION}' END"
 
 
 def _rollup() -> str:
@@ -401,9 +424,8 @@ def _rollup() -> str:
 def oracles() -> dict[str, str]:
     """SQL text per registered query."""
     value = _money("sum(v)", "value")
-    sums = catalog.SUM_LINE
+    sums = fixed.SUM_LINE
     rounded = f"CAST({_AMOUNT} AS DECIMAL(18,2))"
-    discount = f"CASE WHEN starts_with(measure, 'Discount') THEN {rounded} ELSE 0 END"
     statement = "level, row_label, row_rank, is_total, product_line, product_category, value"
     twelve = f"{_EIGHT}, e1_total, e2_total, e3_total, overall_total"
     return {
@@ -437,27 +459,27 @@ def oracles() -> dict[str, str]:
         + "SELECT store, year, grain, quarter, month, title FROM grains",
         "fill_axes": _with()
         + f"""SELECT store, month, level, pos, measure,
-              coalesce(product_category, '{catalog.GENERAL}') AS product_category,
-              coalesce(product_line, '{catalog.GENERAL}') AS product_line, value
+              coalesce(product_category, '{fixed.GENERAL}') AS product_category,
+              coalesce(product_line, '{fixed.GENERAL}') AS product_line, value
               FROM measures""",
         "coerce_value": _with()
         + f"""SELECT store, month, level, pos, measure, product_category, product_line,
               CAST(coalesce({_AMOUNT}, 0) AS DECIMAL(18,4)) AS value, value AS text,
               {_AMOUNT} AS amount FROM measures""",
         "exclude_measures": _with()
-        + f"SELECT {_EIGHT} FROM measures WHERE NOT ({_in(_PLAIN, catalog.EXCLUDED)})",
+        + f"SELECT {_EIGHT} FROM measures WHERE NOT ({_in(_PLAIN, fixed.EXCLUDED)})",
         "measure_in_set": _with()
-        + f"SELECT {_EIGHT} FROM measures WHERE {_in(_NORM, catalog.REVENUE)}",
+        + f"SELECT {_EIGHT} FROM measures WHERE {_in(_NORM, fixed.REVENUE)}",
         "filter_level": _with() + f"SELECT {_EIGHT} FROM measures WHERE level = 'E2'",
         "present_levels": _with()
         + f"""SELECT store, string_agg(DISTINCT level, ', ' ORDER BY level) AS levels
-              FROM measures WHERE {_WITHOUT_E2} GROUP BY store""",
+              FROM measures GROUP BY store""",
         "row_labels": _with(_m(), _statement("store, year", "current"))
         + "SELECT store, year, row_label, is_total FROM heads",
         "profit_status": _with(_m())
         + f"""SELECT store, month, {_money(_margins('current')[2], 'e3_total')},
-              CASE WHEN {_margins('current')[2]} > 0 THEN '{catalog.PROFITABLE}'
-                   ELSE '{catalog.NOT_PROFITABLE}' END AS status
+              CASE WHEN {_margins('current')[2]} > 0 THEN '{fixed.PROFITABLE}'
+                   ELSE '{fixed.NOT_PROFITABLE}' END AS status
               FROM m WHERE {_KNOWN} GROUP BY store, month""",
         "clamp_level": """
             SELECT user_name, security_level,
@@ -477,9 +499,13 @@ def oracles() -> dict[str, str]:
               GROUP BY store, year, product_line, product_category
               UNION ALL SELECT store, year, {_SUM_LABELS}, {value} FROM signed
               GROUP BY store, year""",
-        "missing_measures": _with(_m(_WITHOUT_E2), _missing("store, month"))
+        "missing_measures": _with(_m(), _missing("store, month"))
+        + """SELECT store, month, level, string_agg(measure, ', ' ORDER BY ord) AS missing
+             FROM missing GROUP BY store, month, level""",
+        "missing_measures_legacy": _with(_m(), _missing_legacy("store, month"))
         + """SELECT store, month, level, string_agg(measure, ', ' ORDER BY ord) AS missing
              FROM missing GROUP BY store, month, level""",
+        "entitled_overview": _with(_m(), _ENTITLEMENTS, *_overviews()) + _overview_rows(),
         "entitled_rows": _with(_ENTITLEMENTS)
         + """SELECT e.user_level, m.* FROM measures m
              JOIN ent e ON (e.store = '*' OR e.store = m.store)""",
@@ -497,13 +523,13 @@ def oracles() -> dict[str, str]:
         "level_totals": _with(_VIEW_1) + "SELECT * FROM totals",
         "family_sums": _with(_CAMPAIGN, _VIEW_2) + "SELECT * FROM agg",
         "family_margins": _with(_CAMPAIGN, _VIEW_2) + "SELECT * FROM margins",
-        "measure_cells": _with(_m()) + _cells(catalog.REVENUE, "store, year", False),
-        "measure_pivot": _with(_m(), f"c AS ({_cells(catalog.REVENUE, 'store, year', True)})")
+        "measure_cells": _with(_m()) + _cells(fixed.REVENUE, "store, year", False),
+        "measure_pivot": _with(_m(), f"c AS ({_cells(fixed.REVENUE, 'store, year', True)})")
         + _wide("c", "store, year", CELL_COLUMNS),
-        "grand_total_cell": _with(_m()) + _cells(catalog.COMMISSION, "store, month", True),
-        "total_revenue": _with(_m(), _revenue(catalog.KPI_REVENUE, "norm"))
+        "grand_total_cell": _with(_m()) + _cells(fixed.COMMISSION, "store, month", True),
+        "total_revenue": _with(_m(), _revenue(fixed.KPI_REVENUE, "norm"))
         + "SELECT * FROM revenue",
-        "total_revenue_legacy": _with(_m(), _revenue(catalog.KPI_REVENUE_OLD, "plain"))
+        "total_revenue_legacy": _with(_m(), _revenue(fixed.KPI_REVENUE_OLD, "plain"))
         + "SELECT * FROM revenue",
         "margin_cascade": _with(_m()) + _cascade("store, year", "current"),
         "margin_cascade_legacy": _with(_m()) + _cascade("store, year", "legacy"),
@@ -516,21 +542,25 @@ def oracles() -> dict[str, str]:
         + f"""SELECT store, year, level, product_line, product_category, {value}
               FROM m WHERE {_LISTED}
               GROUP BY store, year, level, product_line, product_category""",
+        "level_table_single": _with(_m(), _level_table())
+        + f"SELECT store, year, {statement} FROM tables WHERE level = 'E3'",
         "level_table": _with(_m(), _level_table()) + f"SELECT store, year, {statement} FROM tables",
-        "margin_statement": _with(_m(_WITHOUT_E2), _statement("store, year", "current"))
+        "margin_statement": _with(_m(), _statement("store, year", "current"))
+        + f"SELECT store, year, {statement} FROM statement",
+        "margin_statement_legacy": _with(_m(), _statement("store, year", "legacy"))
         + f"SELECT store, year, {statement} FROM statement",
         "statement_wide": _with(_m(), _statement("store, year", "current"))
         + _wide("statement", "store, year, row_rank, row_label, is_total", STATEMENT_COLUMNS),
         "kpi_overview": _with(
             _m(),
-            _revenue(catalog.KPI_REVENUE, "norm"),
+            _revenue(fixed.KPI_REVENUE, "norm"),
             _missing("store, year"),
             f"cascade AS ({_cascade('store, year', 'current')})",
         )
         + f"""SELECT r.store, r.year, r.total_revenue, r.revenue_labels, r.revenue_found,
               c.e3_total, coalesce(x.missing, '') AS missing,
-              CASE WHEN c.e3_total > 0 THEN '{catalog.PROFITABLE}'
-                   ELSE '{catalog.NOT_PROFITABLE}' END AS status
+              CASE WHEN c.e3_total > 0 THEN '{fixed.PROFITABLE}'
+                   ELSE '{fixed.NOT_PROFITABLE}' END AS status
               FROM revenue r
               JOIN cascade c ON r.store = c.store AND r.year = c.year
                    AND c.product_line = '{sums}'
@@ -547,7 +577,7 @@ def oracles() -> dict[str, str]:
         "row_head_order": _with(_m(), f"heads AS ({_row_heads()})")
         + """SELECT *, CAST(row_number() OVER (PARTITION BY store, level
              ORDER BY pos_num NULLS LAST, label, name) AS INTEGER) AS row_rank FROM heads""",
-        "statement_order": _with(_m(_WITHOUT_E2), _statement("store, year", "current"))
+        "statement_order": _with(_m(), _statement("store, year", "current"))
         + "SELECT store, year, level_number, slot, row_label, row_rank, is_total FROM ranked",
         "view_order": _with(_VIEW_1)
         + f"""SELECT {twelve} FROM with_totals ORDER BY month, level, pos, measure,
@@ -584,7 +614,7 @@ def oracles() -> dict[str, str]:
               FROM measures""",
         "format_eur_dash_zero": _with()
         + f"""SELECT store, month, measure, {rounded} AS rounded,
-              CASE WHEN coalesce({discount}, 0) = 0 THEN '-' ELSE {_german(rounded)} END AS text
+              CASE WHEN coalesce({rounded}, 0) = 0 THEN '-' ELSE {_german(rounded)} END AS text
               FROM measures""",
         "statement_text": _with(_m(), _statement("store, month", "current"))
         + f"""SELECT store, month, row_label, product_line, product_category,
@@ -604,10 +634,54 @@ def oracles() -> dict[str, str]:
     }
 
 
+_GRAINS = (
+    (1, "store, year"),
+    (2, "store, year, quarter"),
+    (3, "store, year, quarter, month"),
+)
+
+
+def _overviews() -> tuple[str, ...]:
+    """Figures and missing measures of all reports, for the grain of each user level."""
+    test = _in("norm", fixed.KPI_REVENUE)
+    parts = []
+    for level, scope in _GRAINS:
+        lacking = " || ".join(
+            f"CASE WHEN bool_or(plain = '{name.lower()}') THEN '' ELSE ', {name}' END"
+            for names in fixed.EXPECTED.values()
+            for name in names
+        )
+        parts.append(f"""
+figures{level} AS (
+  SELECT {scope}, CAST(coalesce(sum(v) FILTER (WHERE {test}), 0) AS DECIMAL(28,4))
+         AS total_revenue,
+         coalesce(string_agg(DISTINCT measure, ', ' ORDER BY measure) FILTER (WHERE {test}), '')
+         AS revenue_labels, bool_or({test}) AS revenue_found,
+         {_money(_margins('current')[2], 'e3_total')}, substr({lacking}, 3) AS missing
+  FROM m GROUP BY {scope}
+)""")
+    return tuple(parts)
+
+
+def _overview_rows() -> str:
+    parts = []
+    for level, scope in _GRAINS:
+        quarter = "f.quarter" if level > 1 else "CAST(NULL AS VARCHAR)"
+        month = "f.month" if level > 2 else "CAST(NULL AS DATE)"
+        parts.append(f"""
+  SELECT {level} AS user_level, f.store, f.year, {quarter} AS quarter, {month} AS month,
+         total_revenue, revenue_labels, revenue_found, e3_total, missing,
+         CASE WHEN e3_total > 0 THEN '{fixed.PROFITABLE}' ELSE '{fixed.NOT_PROFITABLE}' END AS status
+  FROM figures{level} f
+  WHERE EXISTS (SELECT 1 FROM ent e WHERE e.user_level = {level}
+                AND (e.store = '*' OR e.store = f.store))""")
+    return " UNION ALL ".join(parts)
+
+
 def _signed() -> str:
     """Revenue and transfer price with their sign, discounts with the other one."""
-    plus = catalog.REVENUE + catalog.TRANSFER
-    minus = catalog.MATERIAL_DISCOUNT + catalog.CATEGORY_DISCOUNT
+    plus = fixed.REVENUE + fixed.TRANSFER
+    minus = fixed.MATERIAL_DISCOUNT + fixed.CATEGORY_DISCOUNT
     return f"""
 signed AS (
   SELECT store, year, product_line, product_category,

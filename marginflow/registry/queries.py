@@ -25,13 +25,12 @@ from marginflow.functions import (
 from marginflow.operators import access, cascade, cells, ordering, periods, quality
 from marginflow.operators import statement as st
 from marginflow.operators import totals
-from marginflow.plans.report import format_statement
+from marginflow.plans.report import entitled_overview, format_statement, store_with_totals
 from marginflow.sources import (
     adapt_columns,
     adapt_levels,
     distinct_stores,
     scan_store,
-    scan_store_projected,
 )
 from marginflow.sources import derived
 
@@ -105,7 +104,7 @@ def scan_store_query(t: Tables) -> DataFrame:
 
 @query("scan_store_projected")
 def scan_store_projected_query(t: Tables) -> DataFrame:
-    return scan_store_projected(totals.measures_with_totals(t.measures), STORE)
+    return store_with_totals(t.measures, STORE)
 
 
 @query("distinct_stores")
@@ -185,7 +184,7 @@ def filter_level_query(t: Tables) -> DataFrame:
 
 @query("present_levels")
 def present_levels_query(t: Tables) -> DataFrame:
-    return st.present_levels(t.without_e2)
+    return st.present_levels(t.measures)
 
 
 @query("row_labels")
@@ -228,7 +227,17 @@ def aligned_sum_query(t: Tables) -> DataFrame:
 
 @query("missing_measures")
 def missing_measures_query(t: Tables) -> DataFrame:
-    return cascade.missing_measures(t.without_e2, BY_MONTH)
+    return cascade.missing_measures(t.measures, BY_MONTH)
+
+
+@query("missing_measures_legacy")
+def missing_measures_legacy_query(t: Tables) -> DataFrame:
+    return cascade.missing_measures(t.measures, BY_MONTH, "legacy")
+
+
+@query("entitled_overview")
+def entitled_overview_query(t: Tables) -> DataFrame:
+    return entitled_overview(t.measures, t.entitlements)
 
 
 @query("entitled_rows")
@@ -314,6 +323,11 @@ def level_raw_total_query(t: Tables) -> DataFrame:
     return st.level_raw_total(t.measures)
 
 
+@query("level_table_single")
+def level_table_single_query(t: Tables) -> DataFrame:
+    return st.level_table(t.measures, levels=("E3",)).drop("label")
+
+
 @query("level_table")
 def level_table_query(t: Tables) -> DataFrame:
     return st.level_table(t.measures).drop("label")
@@ -321,7 +335,12 @@ def level_table_query(t: Tables) -> DataFrame:
 
 @query("margin_statement")
 def margin_statement_query(t: Tables) -> DataFrame:
-    return st.margin_statement(t.without_e2).drop("label")
+    return st.margin_statement(t.measures).drop("label")
+
+
+@query("margin_statement_legacy")
+def margin_statement_legacy_query(t: Tables) -> DataFrame:
+    return st.margin_statement(t.measures, profile="legacy").drop("label")
 
 
 @query("statement_wide")
@@ -369,7 +388,7 @@ def row_head_order_query(t: Tables) -> DataFrame:
 
 @query("statement_order")
 def statement_order_query(t: Tables) -> DataFrame:
-    return st.statement_order(t.without_e2)
+    return st.statement_order(t.measures)
 
 
 @query("view_order")
@@ -439,9 +458,7 @@ def format_eur_query(t: Tables) -> DataFrame:
 
 @query("format_eur_dash_zero")
 def format_eur_dash_zero_query(t: Tables) -> DataFrame:
-    zeroed = F.when(F.col("measure").startswith("Discount"), F.col("rounded")).otherwise(0)
-    amount = zeroed.cast("decimal(18,2)")
-    return _rounded(t).withColumn("text", format_eur(amount, zero_as_dash=True))
+    return _rounded(t).withColumn("text", format_eur(F.col("rounded"), zero_as_dash=True))
 
 
 @query("statement_text")

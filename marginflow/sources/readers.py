@@ -8,20 +8,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from marginflow import catalog
 from marginflow.functions import strip_space
 from marginflow.operators.ordering import sorted_scan
 from marginflow.sources.schema import REQUIRED_STRICT, adapt_columns, adapt_levels, require_columns
 
 
 def read_measures(
-    spark: SparkSession, path: str, format: str = "parquet", **options: str
+    spark: SparkSession, path: str, format: str = "parquet", trimmed: bool = False, **options: str
 ) -> DataFrame:
-    """A measure table from files, with adapted column names and levels."""
-    raw = spark.read.format(format).options(**options).load(path)
-    return adapt_levels(adapt_columns(raw))
+    """A measure table from files, with adapted column names and levels.
+
+    Store names are text, whatever they look like, without blanks at the ends. Spark takes
+    names that are all digits for numbers where it guesses a type, as for the partitions of a
+    published table: these are read again as text, so that `001` and `1` stay two stores. Say
+    `trimmed` of files whose names have no blanks at the ends, so that a filter by store can
+    skip parts of them; published tables need not.
+    """
+
+    def load(reader: DataFrameReader) -> DataFrame:
+        return reader.format(format).options(**options).load(path)
+
+    raw = load(spark.read)
+    names = [c for c in raw.columns if catalog.SOURCE_COLUMNS.get(c, c) == "store"]
+    if any(not isinstance(raw.schema[c].dataType, StringType) for c in names):
+        fields = [StructField(f.name, StringType()) if f.name in names else f for f in raw.schema]
+        raw = load(spark.read.schema(StructType(fields)))
+    return clean_stores(adapt_levels(adapt_columns(raw)), trimmed)
+
+
+def clean_stores(df: DataFrame, trimmed: bool = False) -> DataFrame:
+    """Store names as text without blanks at the ends."""
+    if "store" not in df.columns:
+        return df
+    name = F.col("store").cast("string")
+    return df.withColumn("store", name if trimmed else strip_space(name))
 
 
 def read_jdbc(
@@ -33,7 +58,7 @@ def read_jdbc(
 ) -> DataFrame:
     """A measure table from a database, one partition per predicate (such as one month each)."""
     raw = spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
-    return adapt_levels(adapt_columns(raw))
+    return clean_stores(adapt_levels(adapt_columns(raw)))
 
 
 def scan_store(df: DataFrame, store: str) -> DataFrame:

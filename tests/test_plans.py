@@ -80,10 +80,11 @@ def test_filters_reach_the_scan(stored):
     assert "EqualTo(store,NATION_12)" in plan and "IsNotNull(month)" in plan
 
 
-def test_cluster_settings_grow_with_the_input():
-    small, large = cluster_settings(10**9), cluster_settings(100 * 10**12)
+def test_cluster_settings_go_by_cells():
+    small, large = cluster_settings(10**9, 10**6), cluster_settings(100 * 10**12, 10**10)
     assert small["spark.sql.shuffle.partitions"] == "200"
-    assert int(large["spark.sql.shuffle.partitions"]) > 50000
+    assert 200 < int(large["spark.sql.shuffle.partitions"]) < 20_000
+    assert 100 * 10**12 / int(large["spark.sql.files.maxPartitionBytes"]) <= 100_000
     assert large["spark.sql.adaptive.enabled"] == "true"
 
 
