@@ -316,12 +316,16 @@ def drop_lines(
     docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """`docs` without the lines that `line_dedup` lists, with the columns they came with."""
-    gone = found.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "removed")
-    lines = F.split(F.col(text), "\n", -1)
+    gone = found.filter("n_removed > 0").select("doc_id", "removed")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("body"))
+    joined = rows.join(gone, rows["row"][doc_id].cast("long").eqNullSafe(gone["doc_id"]), "left")
     rest = F.array_join(
-        F.filter(lines, lambda line, i: ~F.array_contains(F.col("removed"), i)), "\n"
+        F.filter(
+            F.split("body", "\n", -1), lambda line, i: ~F.array_contains(F.col("removed"), i)
+        ),
+        "\n",
+    )
+    body = F.when(F.col("removed").isNotNull(), rest).otherwise(F.col("body"))
+    return joined.select(
+        *(body.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns)
     )
-    joined = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["_id"]), "left")
-    return joined.withColumn(
-        text, F.when(F.col("removed").isNotNull(), rest).otherwise(F.col(text))
-    ).select(*docs.columns)

@@ -249,25 +249,29 @@ def drop_passages(
 
     What stands between the words that stay is kept as it is.
     """
-    gone = found.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "spans")
-    joined = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["_id"]), "left")
+    gone = found.filter("n_removed > 0").select("doc_id", "spans")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("body"))
+    joined = rows.join(gone, rows["row"][doc_id].cast("long").eqNullSafe(gone["doc_id"]), "left")
     pattern = regex.compile(WORD)
 
+    def rest(body: str, spans: list[dict]) -> str:
+        lost = {
+            w for s in spans if s["removed"] for w in range(s["start"], s["start"] + PARAGRAPH)
+        }
+        parts, end = [], 0
+        for i, m in enumerate(pattern.finditer(body)):
+            if i in lost:
+                parts.append(body[end : m.start()])
+                end = m.end()
+        return "".join([*parts, body[end:]])
+
     def compute(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        bodies = batch.column(batch.schema.get_field_index("body")).to_pylist()
         spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-        out = []
-        for body, some in zip(texts, spans):
-            if body is not None and some:
-                lost = {w for s in some if s["removed"] for w in range(s["start"], s["start"] + PARAGRAPH)}
-                parts, end = [], 0
-                for i, m in enumerate(pattern.finditer(body)):
-                    if i in lost:
-                        parts.append(body[end : m.start()])
-                        end = m.end()
-                body = "".join([*parts, body[end:]])
-            out.append(body)
-        return {text: out}
-
-    fields = T.StructType([T.StructField(text, T.StringType())])
-    return append_columns(joined, fields, compute, docs.columns).select(*docs.columns)
+        return {"body": [rest(b, s) if b and s else b for b, s in zip(bodies, spans)]}
+
+    fields = T.StructType([T.StructField("body", T.StringType())])
+    cleaned = append_columns(joined, fields, compute, ["row"])
+    return cleaned.select(
+        *(F.col("body" if c == text else f"row.`{c}`").alias(c) for c in docs.columns)
+    )

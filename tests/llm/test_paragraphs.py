@@ -1,0 +1,87 @@
+import random
+from collections import defaultdict
+
+from brute import words
+
+from marginflow.llm.paragraphs import PARAGRAPH, drop_passages, substring_dedup
+
+
+def corpus(seed=6):
+    """Texts of their own words, with passages of 50 to 90 words put in at any place."""
+    draw = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(5000)]
+
+    def run(n):
+        return [draw.choice(vocabulary) for _ in range(n)]
+
+    passages = [run(draw.randint(50, 90)) for _ in range(12)]
+    rows, holds = [], defaultdict(set)
+    for i in range(80):
+        text = run(draw.randint(0, 150))
+        if i % 2:
+            p = draw.randrange(len(passages))
+            at = draw.randint(0, len(text))
+            text[at:at] = passages[p]
+            holds[p].add(i)
+        joined = "".join(w + draw.choice([" ", " ", " ", "\n"]) for w in text)
+        rows.append((i, joined))
+    return rows, holds
+
+
+def repeated_places(rows, n):
+    places = defaultdict(set)
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - n + 1):
+            places[tuple(w[k : k + n])].add((i, k))
+    return [v for v in places.values() if len(v) > 1]
+
+
+def test_every_long_passage_is_found_and_nothing_else(docs):
+    rows, holds = corpus()
+    got = {r.doc_id: r for r in substring_dedup(docs(rows)).collect()}
+    planted = {i for ids in holds.values() if len(ids) > 1 for i in ids}
+    assert set(got) == planted
+    for ids in holds.values():
+        if len(ids) > 1:
+            first, *later = sorted(ids)
+            assert got[first].n_removed == 0 and all(got[i].n_removed > 0 for i in later)
+            assert set.intersection(*({s.cluster for s in got[i].spans} for i in ids))
+
+
+def test_paragraphs_of_a_text_do_not_link_to_their_own_overlaps(docs):
+    draw = random.Random(8)
+    rows = [(i, " ".join(f"u{i}-{draw.randrange(9**9)}" for _ in range(3000))) for i in range(3)]
+    assert substring_dedup(docs(rows)).collect() == []
+
+
+def test_near_copies_of_a_paragraph(docs):
+    base = [f"p{i}" for i in range(120)]
+    other = [*base[:118], "changed", "end"]
+    rows = [(1, " ".join(base)), (2, "one two " + " ".join(other))]
+    got = {r.doc_id: r for r in substring_dedup(docs(rows)).collect()}
+    assert set(got) == {1, 2} and got[1].n_removed == 0 < got[2].n_removed
+
+
+def test_text_without_the_passages(docs):
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(1, f"start {passage} end"), (2, f"other\n{passage}\nwords")]
+    df = docs(rows, clashing=True)
+    found = substring_dedup(df)
+    out = drop_passages(df, found)
+    assert out.columns == df.columns
+    by = {r.doc_id: r.text for r in out.collect()}
+    spans = {r.doc_id: r for r in found.collect()}
+    assert by[1] == rows[0][1]
+    assert len(words(by[2])) == 102 - spans[2].removed_words
+    assert by[2].startswith("other") and by[2].endswith("words") and spans[2].removed_words > 40
+
+
+def test_odd_rows(docs, odd):
+    df = docs([*odd, (8, odd[7][1])], clashing=True)
+    got = {r.doc_id: r for r in substring_dedup(df).collect()}
+    # The long text repeats itself every 88733 words only, but stands in two documents.
+    assert set(got) == {5, 8} and got[5].n_removed == 0
+    assert got[8].n_removed == got[8].n_repeated > 60_000 / 27
+    assert got[8].removed_words <= 60_000 and PARAGRAPH <= got[8].removed_words
+    assert substring_dedup(docs([])).collect() == []
