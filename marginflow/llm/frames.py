@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
@@ -141,6 +142,46 @@ def work_folder(spark: SparkSession) -> None:
         )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, for results of which later steps read some columns.
+
+    Files are compressed, unlike checkpoints. They stay until the folder is cleared.
+    """
+    spark = df.sparkSession
+    work_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def may_hold(df: DataFrame, keys: Sequence[str], wanted: DataFrame, bits: int = 1 << 25):
+    """Rows of `df` whose `keys` may be among those of `wanted`: all that are, and a few others.
+
+    A bitmap of digests, of `bits` / 8 bytes whatever the tables' size, goes to all tasks, so a
+    join that follows moves few rows in vain. Where `wanted` has more keys than there are bits
+    this lets most rows through and the join still is right.
+    """
+    bit = (F.pmod(F.xxhash64(*keys), F.lit(bits)) + 1).cast("long")
+    maps = (
+        wanted.select(bit.alias("bit"))
+        .groupBy(F.bitmap_bucket_number("bit").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    )
+    numbered = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn(
+        "_place", F.bitmap_bit_position(bit)
+    )
+    # One row of 4 KB for each of bits / 32768 buckets.
+    held = F.expr(
+        "CAST(conv(hex(substring(_map, CAST(_place DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+        " & shiftleft(1, CAST(_place % 8 AS INT)) <> 0"
+    )
+    return (
+        numbered.join(F.broadcast(maps), "_bucket")
+        .filter(held)
+        .drop("_bucket", "_place", "_map")
+    )
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder: computed once, and read again if an executor is lost."""
     work_folder(df.sparkSession)

@@ -11,18 +11,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginflow.llm.frames import explode_batches, saved, slices
+from marginflow.llm.frames import explode_batches, may_hold, ship_code, slices, stored
 from marginflow.llm.hashing import Words, mixed, shingle_sets
 from marginflow.llm.links import find_links, own_shuffle
 
 PERCENT = 80
 WIDTH = 5  # words of a token
 MIN_WORDS = 5  # shorter lines are left alone
-SLOTS = 1 << 17  # counters of the rarity table
+SLOTS = 1 << 22  # counters of the rarity table
+CHUNKS = 64  # pieces of it that are added up apart from each other
+PARTS = 32  # groups of tasks whose pieces are added first
 SLICE_BYTES = 2 * 1024 * 1024
+MOST_LINES = 1 << 17  # sorted at a time
 
 
 def split_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -51,54 +55,106 @@ def prefix_length(n, percent: int):
     return n + (-percent * n) // 100 + 1
 
 
-def ordered_sets(
-    values: np.ndarray, starts: np.ndarray, counts: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of each line, rarest first, and the starts of each line's.
+def rank_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Place of each token in one order of all tokens, rarest first: a number of 46 bits.
+
+    `counts` has for each slot how often it occurs, as a power of two.
 
-    The order is by the counter of the token's slot, then by the token: one order for all
-    lines, which is all the filters need. How well the counters tell rare tokens apart decides
-    only how many candidates there are.
+    Six bits tell how often the token's slot occurs, as a power of two, and 40 are of its hash.
+    One order for all lines is all the filters need; how well the counters tell rare tokens
+    apart decides only how many candidates there are.
     """
-    n = counts[(values % np.uint64(SLOTS)).astype(np.int64)]
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.lexsort((values, n, owner))
-    values, owner = values[order], owner[order]
-    fresh = np.ones(len(values), dtype=bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[fresh], owner[fresh]
-    return values, np.searchsorted(owner, np.arange(len(starts)))
+    power = counts[(values % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64)
+    return (power << np.uint64(40)) | (values >> np.uint64(24))
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """How often the tokens of each slot occur in the lines of all documents.
+def ordered_ranks(
+    values: np.ndarray, starts: np.ndarray, counts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Different tokens of each line as ranks, rarest first, and the starts of each line's."""
+    ranks = rank_of(values, counts)
+    bits = max(1, int(len(starts) - 1).bit_length())
+    if bits > 18:
+        raise ValueError("too many lines at a time")
+    owner = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
+    joined = np.sort((owner << np.uint64(46)) | ranks)
+    fresh = np.ones(len(joined), dtype=bool)
+    fresh[1:] = joined[1:] != joined[:-1]
+    joined = joined[fresh]
+    owner = (joined >> np.uint64(46)).astype(np.int64)
+    return joined & np.uint64(2**46 - 1), np.searchsorted(owner, np.arange(len(starts)))
+
+
+def ordered_set(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Different tokens of one line, in the order of their ranks."""
+    values = np.unique(values)
+    return values[np.argsort(rank_of(values, counts), kind="stable")]
+
+
+COUNTS = "chunk int, part int, data binary"
+
+
+def _chunks(total: np.ndarray, chunks: list[int], part: int) -> pa.RecordBatch:
+    """Pieces of a table of counters as rows, compressed."""
+    size = SLOTS // CHUNKS
+    pieces = [total[i * size : (i + 1) * size] for i in range(len(chunks))]
+    return pa.RecordBatch.from_pydict(
+        {
+            "chunk": pa.array(chunks, type=pa.int32()),
+            "part": pa.array([part] * len(chunks), type=pa.int32()),
+            "data": [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in pieces],
+        }
+    )
 
-    A token's slot is a part of its hash. Tasks count in a table of SLOTS counters, so neither
-    what is shuffled nor what is collected here, 1 MB, grows with the vocabulary.
-    """
 
-    def compute(batch: pa.RecordBatch) -> Iterator[dict]:
-        total = np.zeros(SLOTS, dtype=np.int64)
-        for start, end in slices(batch.column(0), SLICE_BYTES):
-            lines, _, _ = split_lines(batch.column(0).slice(start, end - start))
-            values, _ = shingle_sets(Words(lines), WIDTH)
-            total += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        some = np.flatnonzero(total)
-        yield {"slot": pa.array(some.astype(np.int32)), "n": pa.array(total[some])}
-
-    counted = explode_batches(docs.select("text"), "slot int, n long", compute)
-    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, dtype=np.int64)
-    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return out
+def _added(table: pa.Table) -> pa.Table:
+    """Sum of the pieces of one chunk."""
+    size = SLOTS // CHUNKS
+    total = np.zeros(size, dtype=np.uint64)
+    for data in table.column("data"):
+        raw = pa.decompress(data.as_py(), decompressed_size=8 * size, codec="zstd", asbytes=True)
+        total += np.frombuffer(raw, dtype=np.uint64)
+    chunk, part = table.column("chunk")[0].as_py(), table.column("part")[0].as_py()
+    return pa.Table.from_batches([_chunks(total, [chunk], part)])
 
 
-def line_rows(docs: DataFrame, counters=None, percent: int = PERCENT) -> DataFrame:
+def rarity(docs: DataFrame) -> np.ndarray:
+    """How often the tokens of each slot occur in all documents' lines, as a power of two.
+
+    A token's slot is a part of its hash. Each task counts in a table of SLOTS counters, which
+    it hands on in compressed pieces when it is done. The pieces are added in two steps, so no
+    task gets those of all others, and what is collected here, SLOTS numbers, does not grow
+    with the corpus or its vocabulary.
+    """
+    ship_code(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.uint64)
+        for batch in batches:
+            for start, end in slices(batch.column(0), SLICE_BYTES):
+                lines, _, _ = split_lines(batch.column(0).slice(start, end - start))
+                values, _ = shingle_sets(Words(lines), WIDTH)
+                slot, times = np.unique(values % np.uint64(SLOTS), return_counts=True)
+                total[slot.astype(np.int64)] += times.astype(np.uint64)
+        yield _chunks(total, list(range(CHUNKS)), TaskContext.get().partitionId() % PARTS)
+
+    tables = docs.select("text").mapInArrow(count, COUNTS)
+    for keys in (["chunk", "part"], ["chunk"]):
+        tables = tables.groupBy(*keys).applyInArrow(_added, COUNTS)
+    out = np.zeros(SLOTS, dtype=np.uint64)
+    size = SLOTS // CHUNKS
+    for row in tables.toArrow().to_pylist():
+        raw = pa.decompress(row["data"], decompressed_size=8 * size, codec="zstd", asbytes=True)
+        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(raw, dtype=np.uint64)
+    return np.frexp(out.astype(np.float64))[1].astype(np.uint8)
+
+
+def line_rows(docs: DataFrame, counters, percent: int = PERCENT) -> DataFrame:
     """`docs` (`doc_id`, `text`) to its lines of MIN_WORDS words or more.
 
     (`doc_id`, `line_no`, `h1`, `h2`, `size`, `keys`): two independent 64-bit hashes stand for
     the words of the line in their order, so lines that differ in blanks alone are equal;
-    `size` is the number of its tokens, `keys` its prefix (null without `counters`).
+    `size` is the number of its different tokens, `keys` its prefix, rarest first.
     """
 
     def compute(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -106,29 +162,32 @@ def line_rows(docs: DataFrame, counters=None, percent: int = PERCENT) -> DataFra
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         for start, end in slices(texts, SLICE_BYTES):
             lines, owner, number = split_lines(texts.slice(start, end - start))
-            long = np.flatnonzero(Words(lines).counts >= MIN_WORDS)
-            words = Words(lines.take(pa.array(long)))
+            words = Words(lines)
             h1, h2 = sequence_hashes(words)
-            made = {
-                "doc_id": ids.take(pa.array(owner[long] + start)),
-                "line_no": pa.array(number[long].astype(np.int32)),
-                "h1": pa.array(h1.view(np.int64)),
-                "h2": pa.array(h2.view(np.int64)),
-                "size": pa.array((words.counts - WIDTH + 1).astype(np.int32)),
-                "keys": pa.nulls(len(long), pa.list_(pa.int64())),
-            }
-            if counters is not None:
-                tokens, starts = ordered_sets(*shingle_sets(words, WIDTH), counters.value)
-                sizes = np.diff(starts)
+            long = np.flatnonzero(words.counts >= MIN_WORDS)
+            values, starts = shingle_sets(words, WIDTH)
+            for some in np.array_split(long, len(long) // MOST_LINES + 1):
+                # The tokens of lines of MIN_WORDS words or more.
+                n = np.diff(starts)[some]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                nth = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+                own = values[np.repeat(starts[some], n) + nth]
+                ranks, first = ordered_ranks(own, ends, counters.value)
+                sizes = np.diff(first)
                 lengths = np.minimum(prefix_length(sizes, percent), sizes)
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 nth = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
-                keys = tokens[np.repeat(starts[:-1], lengths) + nth]
-                made["size"] = pa.array(sizes.astype(np.int32))
-                made["keys"] = pa.ListArray.from_arrays(
-                    pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64))
-                )
-            yield made
+                keys = ranks[np.repeat(first[:-1], lengths) + nth]
+                yield {
+                    "doc_id": ids.take(pa.array(owner[some] + start)),
+                    "line_no": pa.array(number[some].astype(np.int32)),
+                    "h1": pa.array(h1[some].view(np.int64)),
+                    "h2": pa.array(h2[some].view(np.int64)),
+                    "size": pa.array(sizes.astype(np.int32)),
+                    "keys": pa.ListArray.from_arrays(
+                        pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64))
+                    ),
+                }
 
     return explode_batches(
         docs,
@@ -140,44 +199,37 @@ def line_rows(docs: DataFrame, counters=None, percent: int = PERCENT) -> DataFra
 def line_sets(wanted: DataFrame, docs: DataFrame, counters) -> DataFrame:
     """Members for `find_links`: `wanted` (`item`, `block`, `doc_id`, `line_no`) with tokens.
 
-    A document is read once for all its wanted lines, which are as many as it has at most.
+    Lines that nobody wants are left out before the join, so few texts move.
     """
-    by_doc = wanted.groupBy("doc_id").agg(
-        F.collect_list(F.struct("item", "block", "line_no")).alias("wanted")
+    every = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = may_hold(every, ["doc_id", "line_no"], wanted)
+    asked = wanted.select(
+        "item", "block", F.col("doc_id").alias("_id"), F.col("line_no").alias("_no")
     )
-    # The document's own rows; where its id repeats, one of them has the line.
-    rows = docs.join(
-        by_doc.select(own_shuffle("doc_id").alias("_id"), "wanted"),
-        F.col("doc_id").eqNullSafe(F.col("_id")),
-    ).select("doc_id", "text", "wanted")
+    rows = lines.join(
+        asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("line_no") == F.col("_no"))
+    ).select("item", "block", "doc_id", "line_no", "line")
 
     def compute(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        wishes = batch.column(batch.schema.get_field_index("wanted"))
-        for start, end in slices(texts, SLICE_BYTES):
-            item, block, rank, place, bodies = [], [], [], [], []
-            for i in range(start, end):
-                lines = (texts[i].as_py() or "").split("\n")
-                for wish in wishes[i].as_py():
-                    if wish["line_no"] < len(lines):
-                        item.append(wish["item"])
-                        block.append(wish["block"])
-                        rank.append(-(2**63) if ids[i] is None else ids[i])
-                        place.append(wish["line_no"])
-                        bodies.append(lines[wish["line_no"]])
-            words = Words(pa.array(bodies, type=pa.string()))
+        part = pa.Table.from_batches([batch])
+        for start, end in slices(batch.column(4), SLICE_BYTES):
+            own = part.slice(start, end - start)
+            words = Words(own.column("line").combine_chunks())
             h1, _ = sequence_hashes(words)
-            right = h1.view(np.int64) == np.array(item, dtype=np.int64)
-            tokens, starts = ordered_sets(*shingle_sets(words, WIDTH), counters.value)
-            pick = np.flatnonzero(right)
+            values, starts = shingle_sets(words, WIDTH)
+            # Where an id repeats, the line at this place may be another one.
+            pick = np.flatnonzero(h1.view(np.int64) == own.column("item").to_numpy())
+            own = own.take(pa.array(pick))
             yield {
-                "item": pa.array(item, type=pa.int64()).take(pa.array(pick)),
-                "block": pa.array(block, type=pa.int64()).take(pa.array(pick)),
+                "item": own.column("item").combine_chunks(),
+                "block": own.column("block").combine_chunks(),
                 "weight": pa.array(np.ones(len(pick), dtype=np.int64)),
-                "rank": pa.array(rank, type=pa.int64()).take(pa.array(pick)),
-                "place": pa.array(place, type=pa.int64()).take(pa.array(pick)),
-                "values": [tokens[starts[i] : starts[i + 1]].tobytes() for i in pick],
+                "rank": own.column("doc_id").combine_chunks().fill_null(-(2**63)),
+                "place": own.column("line_no").combine_chunks().cast(pa.int64()),
+                "values": [
+                    ordered_set(values[starts[i] : starts[i + 1]], counters.value).tobytes()
+                    for i in pick
+                ],
             }
 
     return explode_batches(
@@ -233,39 +285,32 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     similarity of `percent` / 100 or more to it, whether that one stays or goes itself.
     """
     counters = docs.sparkSession.sparkContext.broadcast(rarity(docs))
+    rows = stored(line_rows(docs, counters, percent))
+    keys = rows.select(F.col("h1").alias("item"), F.explode("keys").alias("key"))
     # One row per different line, where it comes first.
-    firsts = saved(
-        line_rows(docs, counters, percent)
-        .groupBy("h1", "h2")
-        .agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"),
-            F.count(F.lit(1)).alias("n"),
-            F.first("size").alias("size"),
-            F.first("keys").alias("keys"),
-        )
-        .select("h1", "h2", "first", "n", "size", "keys")
+    firsts = rows.groupBy("h1", "h2").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("first"),
+        F.count(F.lit(1)).alias("n"),
     )
-    keys = firsts.select(F.col("h1").alias("item"), F.explode("keys").alias("key"))
 
     def fetch(blocks: DataFrame) -> DataFrame:
-        wanted = blocks.join(
-            firsts.select(F.col("h1").alias("item"), "first.doc_id", "first.line_no"), "item"
+        asked = blocks.select(own_shuffle("item").alias("item"), "block")
+        wanted = firsts.join(asked, F.col("h1") == F.col("item")).select(
+            "item", "block", "first.doc_id", "first.line_no"
         )
-        return line_sets(wanted, docs, counters)
+        return line_sets(stored(wanted), docs, counters)
 
-    sizes = firsts.select(F.col("h1").alias("item"), "size")
-    found = find_links(keys, fetch, percent, sizes, may_match)
-    late = found.filter("earlier").select(F.col("item").alias("h1")).distinct()
-    verdicts = firsts.join(late.withColumn("late", F.lit(True)), "h1", "left").filter(
-        "late OR n > 1"
-    )
+    found = find_links(keys, fetch, percent, may_match=may_match)
+    late = found.filter("earlier").select(own_shuffle("item").alias("_item")).distinct()
+    verdicts = firsts.join(
+        late.withColumn("late", F.lit(True)), F.col("h1") == F.col("_item"), "left"
+    ).filter("late OR n > 1")
     verdicts = verdicts.select(
         own_shuffle("h1").alias("_h1"),
         F.col("h2").alias("_h2"),
         "first",
         F.coalesce("late", F.lit(False)).alias("late"),
     )
-    rows = line_rows(docs).drop("keys", "size")
     here = F.struct("doc_id", "line_no")
     return rows.join(
         verdicts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left"
