@@ -7,17 +7,21 @@ returns has one row per item: how many links it found and which items hang toget
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginflow.llm.frames import saved
+from marginflow.llm.frames import may_hold, saved, ship_code, stored
 
 BLOCK_ITEMS = 256
 BLOCK_VALUES = 1 << 18  # hashes in the sets of a block, unless a single item has more
+MANY_BITS = 1 << 26  # of the bitmap of shared keys, 8 MB
+CALL_ITEMS = 2048  # items of the pairs of blocks that one call compares, about
+SMALL = 12  # items up to which sets are compared one by one
 CHUNK = 4096  # columns of the incidence matrix at a time
 
 
@@ -94,7 +98,7 @@ RESULT = "item long, hub long, links long, earlier boolean"
 
 
 def compare_blocks(percent: int, may_match: Callable | None = None, extent: int = 0) -> Callable:
-    """Function for one pair of blocks: links of its items, at most one row per item.
+    """Function for some pairs of blocks: a row per pair and item with links in it.
 
     `may_match` tells the pairs that need a look; sets without one are not compared. Items of
     one `rank` whose places are less than `extent` apart overlap and are not linked.
@@ -113,48 +117,119 @@ def compare_blocks(percent: int, may_match: Callable | None = None, extent: int
         )
         return out & maybe
 
-    def run(table: pa.Table) -> pa.Table:
-        # Rows that repeat a document have brought the same item more than once.
-        item, once = np.unique(table.column("item").to_numpy(), return_index=True)
-        table = table.take(pa.array(once))
-        second = table.column("second").to_numpy(zero_copy_only=False).astype(bool)
-        same = bool(table.column("same")[0].as_py())
-        first_rank = table.column("rank").to_numpy()
-        second_rank = table.column("place").to_numpy()
-        weight = table.column("weight").to_numpy()
-        sets = [unpack(x) for x in table.column("values").to_pylist()]
-        n = len(item)
+    def large(rows: Rows) -> list[tuple]:
+        """One pair of blocks by products of matrices."""
+        sets = [unpack(x) for x in rows.values]
+        n = len(rows.item)
         square = np.zeros((n, n), dtype=bool)
-        if same:
+        if rows.same:
             square = verified(sets, sets)
             np.fill_diagonal(square, False)
         else:
-            a, b = np.flatnonzero(~second), np.flatnonzero(second)
+            a, b = np.flatnonzero(~rows.second), np.flatnonzero(rows.second)
             cross = verified([sets[i] for i in a], [sets[i] for i in b])
             square[np.ix_(a, b)] = cross
             square[np.ix_(b, a)] = cross.T
         if extent:
-            apart = np.abs(second_rank[:, None] - second_rank[None, :]) >= extent
-            square &= apart | (first_rank[:, None] != first_rank[None, :])
+            apart = np.abs(rows.place[:, None] - rows.place[None, :]) >= extent
+            square &= apart | (rows.rank[:, None] != rows.rank[None, :])
         hub = forest(square)
-        links = square.astype(np.int64) @ weight
+        links = square.astype(np.int64) @ rows.weight
         # Places in the order of (rank, place): is there a linked item before this one?
         position = np.empty(n, dtype=np.int64)
-        position[np.lexsort((item, second_rank, first_rank))] = np.arange(n)
+        position[np.lexsort((rows.item, rows.place, rows.rank))] = np.arange(n)
         least = np.where(square, position[None, :], n).min(axis=1)
-        some = square.any(axis=1)
+        return [
+            (rows.item[i], rows.item[hub[i]], links[i], least[i] < position[i])
+            for i in np.flatnonzero(square.any(axis=1))
+        ]
+
+    def small(rows: Rows) -> list[tuple]:
+        """One pair of blocks with few items, set by set, which beats matrices there."""
+        sets = [frozenset(unpack(x).tolist()) for x in rows.values]
+        n, label = len(sets), list(range(len(sets)))
+        links, earlier = [0] * n, [False] * n
+        order = list(zip(rows.rank.tolist(), rows.place.tolist(), rows.item.tolist()))
+        for i in range(n):
+            for j in range(i):
+                x, y = sets[i], sets[j]
+                if not rows.same and rows.second[i] == rows.second[j]:
+                    continue
+                # The smaller set has `percent` of the larger, or they are not similar enough.
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = len(x & y)
+                if not both or 100 * both < percent * (len(x) + len(y) - both):
+                    continue
+                if order[i][0] == order[j][0] and abs(order[i][1] - order[j][1]) < extent:
+                    continue
+                links[i] += int(rows.weight[j])
+                links[j] += int(rows.weight[i])
+                late = i if order[j] < order[i] else j
+                earlier[late] = True
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+        return [(rows.item[i], rows.item[label[i]], links[i], earlier[i]) for i in range(n) if links[i]]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for rows in pairs_of_blocks(table):
+            out += small(rows) if len(rows.item) <= SMALL else large(rows)
+        item, hub, links, earlier = zip(*out) if out else ([], [], [], [])
         return pa.table(
             {
-                "item": item[some],
-                "hub": item[hub[some]],
-                "links": links[some],
-                "earlier": (least < position)[some],
+                "item": pa.array(item, type=pa.int64()),
+                "hub": pa.array(hub, type=pa.int64()),
+                "links": pa.array(links, type=pa.int64()),
+                "earlier": pa.array(earlier, type=pa.bool_()),
             }
         )
 
     return run
 
 
+@dataclass
+class Rows:
+    """The items of one pair of blocks, by number, each once."""
+
+    same: bool
+    second: np.ndarray
+    item: np.ndarray
+    rank: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
+    values: list[bytes]
+
+
+def pairs_of_blocks(table: pa.Table) -> Iterator[Rows]:
+    """The pairs of blocks that were dealt to one group of rows, one after the other."""
+    a, b, item, rank, place, weight = (
+        table.column(c).to_numpy() for c in ("a", "b", "item", "rank", "place", "weight")
+    )
+    second = table.column("second").to_numpy().astype(bool)
+    values = table.column("values")
+    order = np.lexsort((item, b, a))
+    a, b, item = a[order], b[order], item[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    # Rows that repeat a document have brought the same item more than once.
+    fresh = new.copy()
+    fresh[1:] |= item[1:] != item[:-1]
+    starts = np.append(np.flatnonzero(new), len(order))
+    for start, end in zip(starts[:-1], starts[1:]):
+        mine = np.arange(start, end)[fresh[start:end]]
+        at = order[mine]
+        yield Rows(
+            bool(a[start] == b[start]),
+            second[at],
+            item[mine],
+            rank[at],
+            place[at],
+            weight[at],
+            values.take(pa.array(at)).to_pylist(),
+        )
+
+
 def own_shuffle(key: str) -> Column:
     """The same number as an expression, so that a join on it does not reuse the grouping's
     shuffle: adaptive execution splits hot keys only where both sides are shuffled for the join.
@@ -165,16 +240,20 @@ def own_shuffle(key: str) -> Column:
 def shared_keys(keys: DataFrame) -> DataFrame:
     """(`item`, `key`) rows of the keys that two or more different items have, with `lead`.
 
-    `lead` is the smallest item of the key. The counts are made from partial sums; the way
-    back is a join with a shuffle of its own, so a hot key is split by adaptive execution.
+    `lead` is the smallest item of the key. The extremes are made from partial ones. Most keys
+    have one item, and a bitmap of the others keeps their rows from moving. The way back is a
+    join with a shuffle of its own, so a hot key is split by adaptive execution; the side of
+    one row per shared key is hashed, so that the many rows need no sorting.
     """
-    hot = (
+    hot = stored(
         keys.groupBy("key")
         .agg(F.min("item").alias("lead"), F.max("item").alias("_last"))
         .filter(F.col("lead") < F.col("_last"))
-        .select(own_shuffle("key").alias("_key"), "lead")
+        .select("key", "lead")
     )
-    joined = keys.join(hot, F.col("key") == F.col("_key"))
+    few = may_hold(keys, ["key"], hot, MANY_BITS)
+    found = hot.select(F.col("key").alias("_key"), "lead").hint("shuffle_hash")
+    joined = few.join(found, F.col("key") == F.col("_key"))
     return joined.select("item", "key", "lead").distinct()
 
 
@@ -239,11 +318,16 @@ def find_links(
             F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
         ).alias("block"),
     )
+    # Many pairs of blocks have a few items only: a task's call gets several of them.
+    seats = saved(seats)
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    seated = seats.join(sizes, "block").agg(F.sum("n")).first()[0] or 0
+    calls = max(1, -(-seated // CALL_ITEMS))
     members = fetch(blocks)
     met = seats.join(members, "block").select(
+        F.pmod(F.xxhash64("a", "b"), F.lit(calls)).alias("call"),
         "a",
         "b",
-        (F.col("a") == F.col("b")).alias("same"),
         (F.col("block") != F.col("a")).alias("second"),
         "item",
         "rank",
@@ -251,6 +335,5 @@ def find_links(
         "weight",
         "values",
     )
-    return met.groupBy("a", "b").applyInArrow(
-        compare_blocks(percent, may_match, extent), RESULT
-    )
+    ship_code(keys.sparkSession)
+    return met.groupBy("call").applyInArrow(compare_blocks(percent, may_match, extent), RESULT)

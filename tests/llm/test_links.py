@@ -77,3 +77,18 @@ def test_bands_reach_the_recall():
     for rows in (1, 2, 5):
         n = tune(0.8, 0.999, rows)
         assert 1 - (1 - 0.8**rows) ** n >= 0.999 > 1 - (1 - 0.8**rows) ** (n - 1)
+
+
+def test_may_hold_keeps_every_wanted_row(spark):
+    from pyspark.sql import functions as F
+
+    from marginflow.llm.frames import may_hold
+
+    rows = spark.range(20_000).select((F.col("id") - 7).alias("a"), F.lit("x").alias("b"))
+    wanted = spark.createDataFrame([(-7,), (0,), (5,), (19_000,), (10**12,)], "a long")
+    few = may_hold(rows, ["a"], wanted, 1 << 20)
+    got = {r.a for r in few.collect()}
+    assert few.columns == ["a", "b"] and {-7, 0, 5, 19_000} <= got and len(got) < 100
+    full = may_hold(rows, ["a"], rows.select("a"), 1 << 15)
+    assert full.count() == 20_000  # a bitmap that is full lets all through
+    assert may_hold(rows, ["a"], wanted.limit(0)).collect() == []
