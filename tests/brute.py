@@ -67,9 +67,11 @@ def statement(rows, profile="current"):
     present = [level for level in catalog.LEVELS if any(r[2] == level for r in rows)]
     if not present:
         return []
-    shown = [r for r in rows if r[2] in present and plain(r[4]) not in catalog.EXCLUDED]
+    legacy = profile == "legacy"
+    excluded = catalog.EXCLUDED_OLD if legacy else catalog.EXCLUDED
+    shown = [r for r in rows if r[2] in present and plain(r[4]) not in excluded]
     columns = {cell_of(r) for r in shown}
-    added = "E2" not in present and bool(totals)
+    added = "E2" not in present and bool(totals) and not legacy
     if added:
         columns |= set(totals) - {GRAND}
     out = []
@@ -84,7 +86,11 @@ def statement(rows, profile="current"):
             for r in same:
                 cells[cell_of(r)] += amount(r[7])
                 cells[GRAND] += amount(r[7])
-            out.append(((catalog.LEVELS.index(level), slot(label), label, name), label, cells))
+            key = (catalog.LEVELS.index(level), slot(label), label, name)
+            if legacy:  # by position inside the level, unreadable ones last
+                place = min((number(r[3]) for r in same), default=None)
+                key = (catalog.LEVELS.index(level), 0, place, label, name)
+            out.append((key, label, cells))
         if not totals:
             cells = defaultdict(Decimal)
             for r in mine:
@@ -101,6 +107,14 @@ def statement(rows, profile="current"):
     return [(label, dict(cells)) for _, label, cells in sorted(out, key=lambda e: e[0])]
 
 
+def number(pos):
+    """Position as a number, for sorting; what is no number comes last."""
+    try:
+        return (0, float(pos))
+    except (TypeError, ValueError):
+        return (1, 0.0)
+
+
 def _total(level, cells):
     label = f"{level} | {level} Total"
     return (catalog.LEVELS.index(level), catalog.TOTAL_SLOT, label, ""), label, cells

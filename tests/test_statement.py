@@ -204,7 +204,8 @@ def test_wide_form_fills_zeros_and_ends_with_the_sum(table):
         "E3 | E3 Total": [-30, 100, 70],
     }
     narrow = statement_wide(statement, columns=["Z | K"])
-    assert narrow.columns[5:] == ["Z | K", "Summen | Gesamt"]
+    assert narrow.columns[5:] == ["Z | K", "other cells", "Summen | Gesamt"]
+    assert all(r[5] + r[6] == r[7] for r in narrow.collect())
 
 
 def test_sum_column_is_sum_of_cells(measures):
