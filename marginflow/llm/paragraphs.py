@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginflow.llm.components import components
-from marginflow.llm.frames import WORD, append_columns, explode_batches, saved, slices
+from marginflow.llm.frames import (
+    WORD,
+    append_columns,
+    explode_batches,
+    may_hold,
+    slices,
+    stored,
+)
 from marginflow.llm.hashing import Words, mixed, seeds, shingles, sliding, tune
 from marginflow.llm.links import find_links, own_shuffle, pack
 
@@ -26,8 +33,9 @@ PARAGRAPH = 20  # words
 REACH = 31  # with PARAGRAPH: passages of 50 words or more are found
 WIDTH = 5  # words of a shingle
 PERCENT = 80
-RECALL = 0.99
+RECALL = 0.95  # of a paragraph; a passage has several
 ROWS = 1
+MANY_BITS = 1 << 26
 SLICE_BYTES = 2 * 1024 * 1024
 
 
@@ -75,42 +83,70 @@ def paragraph_shingles(words: Words, starts: np.ndarray) -> np.ndarray:
     return h[starts[:, None] + np.arange(PARAGRAPH - WIDTH + 1)[None, :]]
 
 
-def paragraph_rows(docs: DataFrame, bands: int = 0, rows: int = ROWS) -> DataFrame:
-    """`docs` (`doc_id`, `text`) to (`doc_id`, `start`, `item`, `keys`).
+def counted_keys(owner: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which rows tell of a key at a place of its own.
+
+    Paragraphs that overlap share most shingles and so many keys, which says nothing. Of the
+    paragraphs of a text with the same key the first counts, and the last if they do not
+    overlap. Keys that count twice or more are at two places that do not overlap.
+    """
+    order = np.lexsort((start, key, owner))
+    o, k, s = owner[order], key[order], start[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(order)) - 1
+    far = s[ends] - s[begins] >= PARAGRAPH
+    out = np.zeros(len(order), dtype=bool)
+    out[order[begins]] = True
+    out[order[ends[far]]] = True
+    return out
+
+
+def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
+    """`docs` (`doc_id`, `text`) to (`doc_id`, `start`, `item`, `keys`, `counted`).
 
     `start` is the number of the paragraph's first word in its document, `item` the hash of its
-    words, `keys` the hashes of its bands (empty if `bands` is 0).
+    words, `keys` the hashes of its bands, and the bits of `counted` tell which of them count.
     """
 
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
     def compute(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = batch.column(batch.schema.get_field_index("text"))
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         for start, end in slices(texts, SLICE_BYTES):
             words = Words(texts.slice(start, end - start))
             places = anchors(words)
+            if not len(places):
+                continue
             owner = np.searchsorted(words.first, places, side="right") - 1
+            first = places - words.first[owner]
+            values = paragraph_shingles(words, places)
+            salts = seeds(rows * bands, 22)
             keys = np.zeros((len(places), bands), dtype=np.uint64)
-            if bands and len(places):
-                values = paragraph_shingles(words, places)
-                salts = seeds(rows * bands, 22)
-                for b in range(bands):
-                    keys[:, b] = salts[b]
-                    for r in range(rows):
-                        salt = salts[b * rows + r]
-                        order = (values ^ salt) * (salt | np.uint64(1))
-                        order ^= order >> np.uint64(32)
-                        keys[:, b] = mixed(keys[:, b] + order.min(axis=1))
+            told = np.zeros((len(places), bands), dtype=bool)
+            for b in range(bands):
+                keys[:, b] = salts[b]
+                for r in range(rows):
+                    salt = salts[b * rows + r]
+                    order = (values ^ salt) * (salt | np.uint64(1))
+                    order ^= order >> np.uint64(32)
+                    keys[:, b] = mixed(keys[:, b] + order.min(axis=1))
+                told[:, b] = counted_keys(owner, first, keys[:, b])
             yield {
                 "doc_id": ids.take(pa.array(owner + start)),
-                "start": pa.array((places - words.first[owner]).astype(np.int32)),
+                "start": pa.array(first.astype(np.int32)),
                 "item": pa.array(paragraph_hashes(words, places).view(np.int64)),
-                "keys": pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(places) + 1, dtype=np.int32) * bands),
-                    pa.array(keys.ravel().view(np.int64)),
-                ),
+                "keys": lists(keys.ravel(), np.full(len(places), bands)),
+                "counted": pa.array((told << np.arange(bands)).sum(axis=1).astype(np.int32)),
             }
 
-    return explode_batches(docs, "doc_id long, start int, item long, keys array<long>", compute)
+    return explode_batches(
+        docs, "doc_id long, start int, item long, keys array<long>, counted int", compute
+    )
 
 
 def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -122,7 +158,7 @@ def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     by_doc = wanted.groupBy("doc_id").agg(
         F.collect_list(F.struct("item", "block", "start")).alias("wanted")
     )
-    rows = docs.join(
+    rows = may_hold(docs, ["doc_id"], wanted).join(
         by_doc.select(own_shuffle("doc_id").alias("_id"), "wanted"),
         F.col("doc_id").eqNullSafe(F.col("_id")),
     ).select("doc_id", "text", "wanted")
@@ -168,35 +204,44 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     removed.
     """
     n_bands = tune(percent / 100, recall, ROWS)
-    keys = paragraph_rows(docs, n_bands).select("item", F.explode("keys").alias("key"))
-    firsts = (
-        paragraph_rows(docs)
-        .groupBy("item")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = stored(paragraph_rows(docs, n_bands))
+    band = [F.when(F.col("counted").bitwiseAND(F.lit(1 << b)) != 0, F.col("keys")[b]) for b in range(n_bands)]
+    told = rows.select(F.explode(F.array_compact(F.array(*band))).alias("key"))
+    several = stored(
+        told.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     )
+    every = rows.select("item", F.explode("keys").alias("key"))
+    keys = may_hold(every, ["key"], several, MANY_BITS)
+
+    def places(items: DataFrame) -> DataFrame:
+        """(`doc_id`, `start`) of all paragraphs that are one of `items`, with its columns."""
+        asked = items.withColumn("_item", own_shuffle("item")).drop("item")
+        few = may_hold(rows.select("doc_id", "start", "item"), ["item"], items, MANY_BITS)
+        return few.join(asked, F.col("item") == F.col("_item")).drop("_item")
 
     def fetch(blocks: DataFrame) -> DataFrame:
-        asked = blocks.select(own_shuffle("item").alias("_item"), "block")
-        wanted = firsts.join(asked, F.col("item") == F.col("_item")).select(
-            "item", "block", "first.doc_id", "first.start"
+        wanted = places(blocks).groupBy("item", "block").agg(
+            F.min(F.struct("doc_id", "start")).alias("first")
         )
-        return paragraph_sets(wanted, docs)
+        return paragraph_sets(stored(wanted.select("item", "block", "first.*")), docs)
 
-    found = saved(find_links(keys, fetch, percent, extent=PARAGRAPH))
+    found = stored(find_links(keys, fetch, percent, extent=PARAGRAPH))
     linked_items = components(found.select(F.col("item").alias("u"), F.col("hub").alias("v")))
     clusters = linked_items.select(F.col("node").alias("item"), F.col("component").alias("cluster"))
-    known = firsts.join(clusters, "item", "left").filter("n > 1 OR cluster IS NOT NULL")
-    known = saved(known.withColumn("cluster", F.coalesce("cluster", "item")))
-    leads = known.groupBy("cluster").agg(F.min("first").alias("lead"))
-    verdicts = known.join(
+    again = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    known = again.select("item").unionByName(clusters.select("item")).distinct()
+    known = stored(
+        known.join(clusters, "item", "left").select(
+            "item", F.coalesce("cluster", "item").alias("cluster")
+        )
+    )
+    spots = stored(places(known))
+    leads = spots.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("lead"))
+    here = F.struct("doc_id", "start")
+    return spots.join(
         leads.select(own_shuffle("cluster").alias("_cluster"), "lead"),
         F.col("cluster") == F.col("_cluster"),
-    ).select(own_shuffle("item").alias("_item"), "cluster", "lead")
-    rows = paragraph_rows(docs)
-    here = F.struct("doc_id", "start")
-    return rows.join(verdicts, F.col("item") == F.col("_item")).select(
-        "doc_id", "start", "cluster", (~here.eqNullSafe(F.col("lead"))).alias("removed")
-    )
+    ).select("doc_id", "start", "cluster", (~here.eqNullSafe(F.col("lead"))).alias("removed"))
 
 
 def substring_dedup(
