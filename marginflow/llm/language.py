@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,13 @@ def letters(text: str) -> str:
     return " ".join(out.split())
 
 
+@cache
+def letter_table() -> np.ndarray:
+    """Which code points are letters or marks on them."""
+    kinds = (unicodedata.category(chr(cp))[0] in "LM" for cp in range(0x110000))
+    return np.fromiter(kinds, dtype=bool, count=0x110000)
+
+
 def suffix_automaton(symbols: Sequence[int]) -> list[dict[int, int]]:
     """Transitions of the smallest automaton of all factors of the sequence; 0 is the start."""
     moves: list[dict[int, int]] = [{}]
@@ -157,10 +165,7 @@ class CrossParser:
         # Symbol 0 is the blank, then the shared symbols, then those of their own.
         points = np.arange(0x110000)
         self.symbol = (1 + points % shared).astype(np.uint8)
-        for cp in range(0x110000):
-            c = chr(cp)
-            if not c.isalpha() and unicodedata.category(c)[0] != "M":
-                self.symbol[cp] = 0
+        self.symbol[~letter_table()] = 0
         for i, c in enumerate(own):
             self.symbol[ord(c)] = 1 + shared + i
         self.width = 1 + shared + len(own)
