@@ -21,7 +21,6 @@ from marginflow.functions import (
 from marginflow.operators.cells import (
     AXES,
     SCOPE,
-    label_grand_total,
     measure_sums,
     money,
     sum_where,
@@ -109,17 +108,10 @@ def period_rollup(df: DataFrame, profile: str = "current") -> DataFrame:
         keys = periods[:depth]
         if depth < 4:
             cells = cells.groupBy(*keys, *AXES).agg(*summed_steps())
-        grand = cells.groupBy(*keys).agg(*summed_steps())
-        parts += [
-            part.withColumn("grain", F.lit(grain))
-            for part in (
-                cells.withColumn("_all_cells", F.lit(False)),
-                grand.withColumn("_all_cells", F.lit(True)),
-            )
-        ]
+        parts.append(with_grand_total(cells, keys, summed_steps()).withColumn("grain", F.lit(grain)))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     title = period_title(F.col("year"), F.col("quarter"), F.col("month"))
-    return label_grand_total(rows, F.col("_all_cells")).select(
+    return rows.select(
         "store",
         "grain",
         title.alias("period"),
