@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from plain_versions import has_near
+from llm.plain_versions import has_near
 
 from marginflow.llm.decontaminate import Budget, Index, benchmark_hits, decontaminate, plain
 

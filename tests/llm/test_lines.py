@@ -1,6 +1,6 @@
 import random
 
-from plain_versions import late_lines, words
+from llm.plain_versions import late_lines, words
 
 from marginflow.llm.lines import drop_lines, line_dedup
 

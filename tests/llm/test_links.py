@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from plain_versions import classes
+from llm.plain_versions import classes
 
 from marginflow.llm.components import components
 from marginflow.llm.hashing import Words, shingle_sets, sliding, tune

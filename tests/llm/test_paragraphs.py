@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from plain_versions import words
+from llm.plain_versions import words
 
 from marginflow.llm.paragraphs import PARAGRAPH, drop_passages, substring_dedup
 

@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from plain_versions import classes, jaccard_links
+from llm.plain_versions import classes, jaccard_links
 
 from marginflow.llm.decontaminate import Budget, Index, plain
 from marginflow.llm.quality import LineRules, judge
