@@ -33,8 +33,8 @@ PARAGRAPH = 20  # words
 REACH = 31  # with PARAGRAPH: passages of 50 words or more are found
 WIDTH = 5  # words of a shingle
 PERCENT = 80
-RECALL = 0.95  # of a paragraph; a passage has several
-ROWS = 1
+RECALL = 0.93  # of a paragraph; a passage has several
+ROWS = 4
 MANY_BITS = 1 << 26
 SLICE_BYTES = 2 * 1024 * 1024
 
@@ -83,6 +83,18 @@ def paragraph_shingles(words: Words, starts: np.ndarray) -> np.ndarray:
     return h[starts[:, None] + np.arange(PARAGRAPH - WIDTH + 1)[None, :]]
 
 
+def least_similarity(percent: int) -> float:
+    """Smallest Jaccard similarity of `percent` / 100 or more that two paragraphs can have.
+
+    Their sets have one size, so similarities come in steps: at 80 the next is 15/17, which
+    is one different word at an end. The bands are tuned to that: many minima in few bands
+    keep paragraphs apart that have half of their words in common.
+    """
+    size = PARAGRAPH - WIDTH + 1
+    both = -(-2 * size * percent // (100 + percent))
+    return both / (2 * size - both)
+
+
 def counted_keys(owner: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which rows tell of a key at a place of its own.
 
@@ -203,7 +215,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     smallest item in it. Paragraphs that overlap where they first stand do not link. All paragraphs of a cluster but the first, by document and place, are
     removed.
     """
-    n_bands = tune(percent / 100, recall, ROWS)
+    n_bands = tune(least_similarity(percent), recall, ROWS)
     rows = stored(paragraph_rows(docs, n_bands))
     band = [F.when(F.col("counted").bitwiseAND(F.lit(1 << b)) != 0, F.col("keys")[b]) for b in range(n_bands)]
     told = rows.select(F.explode(F.array_compact(F.array(*band))).alias("key"))
