@@ -1,8 +1,6 @@
 import random
 from collections import Counter, defaultdict
 
-from pyspark.sql import functions as F
-
 from marginflow.llm.mixing import copies, mix
 
 
