@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginflow.llm import decontaminate, jaccard, language, lines, mixing, paragraphs, sharding, sql, tokens, urls
+from marginflow.llm import (
+    decontaminate,
+    jaccard,
+    language,
+    lines,
+    mixing,
+    paragraphs,
+    sharding,
+    sql,
+    tokens,
+    urls,
+)
+from marginflow.llm.frames import saved
 from marginflow.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,7 +79,8 @@ def op1_token_counts(
     """What every text length of the corpus answers as a context limit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = tokens.token_counts(docs, vocabulary, keep=["doc_id"])
-    return tokens.context_limits(tokens.length_histogram(counts))
+    # Written once, as the sums read it twice and the texts behind it should be read once.
+    return tokens.context_limits(saved(tokens.length_histogram(counts)))
 
 
 @query("op7_language_id")
