@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from marginflow.llm.frames import saved
+from marginflow.llm.frames import ship_code, stored
 
 EVERY = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -19,25 +23,48 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def running_sums(rows: DataFrame, size: str) -> DataFrame:
+    """Rows with `_range` (partition), and `_sum1` and `_rows1` before them in their partition."""
+    names = {"_range": T.IntegerType(), "_sum1": T.LongType(), "_rows1": T.LongType()}
+    schema = T.StructType([*rows.schema, *(T.StructField(k, v) for k, v in names.items())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, total, n = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            sizes = batch.column(batch.schema.get_field_index(size)).to_numpy()
+            sums = total + np.cumsum(sizes)
+            made = [
+                pa.array(np.full(len(sizes), here, dtype=np.int32)),
+                pa.array(sums - sizes),
+                pa.array(n + np.arange(len(sizes), dtype=np.int64)),
+            ]
+            if len(sizes):
+                total, n = int(sums[-1]), n + len(sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema=arrow)
+
+    ship_code(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def prefix_sums(
     rows: DataFrame, order: Sequence[str | Column], size: str, partitions: int | None = None
 ) -> DataFrame:
     """Each row with its place in the global order.
 
     `_before` has the sizes before it, `_at` the rows before it, `_total` all sizes.
-    Rows are dealt into ranges of the order and written out, so that all later steps and any
-    task run again see the same ranges. Only the totals of ranges, one row each, meet in one
-    task. Inside a range the sums run over its own rows. The order should end in a key that
-    few rows share: rows that are equal in it all cannot be dealt to different ranges.
+    Rows are dealt into ranges of the order, sorted there, summed up as they pass, and written
+    out, so that all later steps and any task run again see the same ranges. Rows move once.
+    Only the totals of ranges, one row each, meet in one task. The order should end in a key
+    that few rows share: rows that are equal in it all cannot be dealt to different ranges.
     """
     spark = rows.sparkSession
     n = partitions or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     names = [f"_order_{i}" for i in range(len(keys))]
     keyed = rows.select("*", *(k.alias(name) for k, name in zip(keys, names)))
-    dealt = saved(
-        keyed.repartitionByRange(n, *names).withColumn("_range", F.spark_partition_id())
-    )
+    sorted_rows = keyed.repartitionByRange(n, *names).sortWithinPartitions(*names).drop(*names)
+    dealt = stored(running_sums(sorted_rows, size))
     totals = dealt.groupBy("_range").agg(
         F.sum(size).alias("_sum"), F.count(F.lit(1)).alias("_rows")
     )
@@ -48,16 +75,12 @@ def prefix_sums(
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows0"),
         F.sum("_sum").over(Window.orderBy("_range").rowsBetween(*EVERY)).alias("_total"),
     )
-    inside = Window.partitionBy("_range").orderBy(*names)
-    running = inside.rowsBetween(Window.unboundedPreceding, -1)
     # One row per range: its number is set above, whatever the size of the table.
     return (
-        dealt.withColumn("_sum1", F.coalesce(F.sum(size).over(running), F.lit(0)))
-        .withColumn("_rows1", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), "_range")
+        dealt.join(F.broadcast(offsets), "_range")
         .withColumn("_before", F.col("_sum0") + F.col("_sum1"))
         .withColumn("_at", (F.col("_rows0") + F.col("_rows1")).cast("long"))
-        .drop("_range", "_sum0", "_sum1", "_rows0", "_rows1", *names)
+        .drop("_range", "_sum0", "_sum1", "_rows0", "_rows1")
     )
 
 
