@@ -150,7 +150,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     work_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
