@@ -143,9 +143,11 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
             np.cumsum(n_shingles[long]) - n_shingles[long], n_shingles[long]
         )
         out[starts[owner] + nth] = full[words.first[owner] + nth]
-    for i in np.flatnonzero((counts > 0) & ~long):
-        own = words.hash[words.first[i] : words.first[i + 1]]
-        out[starts[i]] = shingles(own, len(own), salt=3 + len(own))[0]
+    for n in range(1, width):
+        some = np.flatnonzero(counts == n)
+        own = words.hash[words.first[some][:, None] + np.arange(n)]
+        factor = seeds(n, 3 + n) | np.uint64(1)
+        out[starts[some]] = mixed((own * factor).sum(axis=1, dtype=np.uint64))
     return out, starts
 
 

@@ -21,7 +21,7 @@ from marginflow.llm.links import find_links, own_shuffle
 
 PERCENT = 80
 WIDTH = 5  # words of a token
-MIN_WORDS = 5  # shorter lines are left alone
+MIN_WORDS = 5  # of a line, unless the caller asks for another least
 SLOTS = 1 << 22  # counters of the rarity table
 CHUNKS = 64  # pieces of it that are added up apart from each other
 PARTS = 32  # groups of tasks whose pieces are added first
@@ -149,12 +149,16 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return np.frexp(out.astype(np.float64))[1].astype(np.uint8)
 
 
-def line_rows(docs: DataFrame, counters, percent: int = PERCENT) -> DataFrame:
-    """`docs` (`doc_id`, `text`) to its lines of MIN_WORDS words or more.
+def line_rows(
+    docs: DataFrame, counters, percent: int = PERCENT, least: int = MIN_WORDS
+) -> DataFrame:
+    """`docs` (`doc_id`, `text`) to its lines of `least` words or more.
 
     (`doc_id`, `line_no`, `h1`, `h2`, `size`, `keys`): two independent 64-bit hashes stand for
     the words of the line in their order, so lines that differ in blanks alone are equal;
-    `size` is the number of its different tokens, `keys` its prefix, rarest first.
+    `size` is the number of its different tokens, `keys` its prefix, rarest first. A line of
+    fewer than WIDTH words has no keys: its one token is all its words, so it is similar to
+    equal lines alone, and these are one item.
     """
 
     def compute(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -164,10 +168,10 @@ def line_rows(docs: DataFrame, counters, percent: int = PERCENT) -> DataFrame:
             lines, owner, number = split_lines(texts.slice(start, end - start))
             words = Words(lines)
             h1, h2 = sequence_hashes(words)
-            long = np.flatnonzero(words.counts >= MIN_WORDS)
+            wanted = np.flatnonzero(words.counts >= max(1, least))
             values, starts = shingle_sets(words, WIDTH)
-            for some in np.array_split(long, len(long) // MOST_LINES + 1):
-                # The tokens of lines of MIN_WORDS words or more.
+            for some in np.array_split(wanted, len(wanted) // MOST_LINES + 1):
+                # The tokens of lines of `least` words or more.
                 n = np.diff(starts)[some]
                 ends = np.concatenate([[0], np.cumsum(n)])
                 nth = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
@@ -175,6 +179,7 @@ def line_rows(docs: DataFrame, counters, percent: int = PERCENT) -> DataFrame:
                 ranks, first = ordered_ranks(own, ends, counters.value)
                 sizes = np.diff(first)
                 lengths = np.minimum(prefix_length(sizes, percent), sizes)
+                lengths[words.counts[some] < WIDTH] = 0
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 nth = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
                 keys = ranks[np.repeat(first[:-1], lengths) + nth]
@@ -278,14 +283,16 @@ def may_match(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
     return out
 
 
-def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def repeated_lines(
+    docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS
+) -> DataFrame:
     """Lines of `docs` (`doc_id`, `text`) with `h1`, `h2` and whether they are `removed`.
 
     A line goes if an earlier line, in the order of document id and line number, has a Jaccard
     similarity of `percent` / 100 or more to it, whether that one stays or goes itself.
     """
     counters = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    rows = stored(line_rows(docs, counters, percent))
+    rows = stored(line_rows(docs, counters, percent, least))
     keys = rows.select(F.col("h1").alias("item"), F.explode("keys").alias("key"))
     # One row per different line, where it comes first.
     firsts = rows.groupBy("h1", "h2").agg(
@@ -326,12 +333,17 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def line_dedup(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    percent: int = PERCENT,
+    least: int = MIN_WORDS,
 ) -> DataFrame:
     """(`doc_id`, `n_lines`, `n_removed`, `removed`): per document what line dedup takes out.
 
-    `n_lines` counts lines of five words or more, the only ones looked at; `removed` lists the
-    numbers of the lines (from 0) that repeat an earlier one.
+    `n_lines` counts lines of `least` words or more, the only ones looked at; `removed` lists the
+    numbers of the lines (from 0) that repeat an earlier one. With `least` 1 every line that has
+    a word is looked at; a line of fewer than five words repeats equal lines only.
 
     The join is exact: every pair that the filters let through is compared. Equal lines are
     one item, so a hot line makes no pairs; near copies of a line are compared in blocks.
@@ -342,7 +354,7 @@ def line_dedup(
     gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = repeated_lines(rows, percent).select(
+    lines = repeated_lines(rows, percent, least).select(
         "doc_id", F.lit(1).alias("n"), F.when(F.col("removed"), F.col("line_no")).alias("gone")
     )
     nothing = rows.select("doc_id", F.lit(0).alias("n"), F.lit(None).cast("int").alias("gone"))

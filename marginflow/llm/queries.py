@@ -98,8 +98,8 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_line_dedup")
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document that repeat an earlier line."""
-    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Lines of every document that repeat an earlier line, short lines too."""
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
 
 
 @query("op2_benchmark_decontamination")

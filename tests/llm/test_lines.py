@@ -3,6 +3,7 @@ import random
 from llm.plain_versions import late_lines, words
 
 from marginflow.llm.lines import drop_lines, line_dedup
+from marginflow.llm.queries import QUERIES
 
 
 def corpus(seed=2):
@@ -61,3 +62,27 @@ def test_odd_rows(docs, odd):
     assert got[None].n_removed == 0 and got[2].n_lines == got[3].n_lines == got[4].n_lines == 0
     assert got[5].n_lines == 1 and len(words(odd[7][1])) == 60_000
     assert line_dedup(docs([])).collect() == []
+
+
+def test_short_lines_against_brute_force(docs):
+    draw = random.Random(3)
+    menu = ["Home", "Read more", "Read  more", "Log in now", "a a", "a a a", "All rights are kept"]
+    rows = [
+        (i, text + "\n" + "\n".join(draw.choices([*menu, "", " "], k=draw.randint(0, 5))))
+        for i, text in corpus(9)
+    ]
+    found = line_dedup(docs(rows), least=1).collect()
+    got = {(r.doc_id, k) for r in found for k in r.removed}
+    want = late_lines(rows, least=1)
+    assert got == want and len(want) > len(late_lines(rows)) + 50
+    lines = {i: sum(bool(words(k)) for k in text.split("\n")) for i, text in rows}
+    assert {r.doc_id: r.n_lines for r in found} == lines
+
+
+def test_the_query_looks_at_short_lines(spark, docs, tmp_path):
+    rows = [(1, "one two three\nRead more"), (2, "four\n\nRead more"), (3, "Read more")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_lines, list(r.removed)) for r in got} == {
+        1: (2, []), 2: (2, [2]), 3: (1, [0])
+    }
