@@ -4,6 +4,8 @@ A paragraph is a run of PARAGRAPH words that starts at an anchor. Anchors are th
 five-word shingle has the smallest hash among REACH places in a row, so they depend on the
 words around them alone: wherever a passage of PARAGRAPH + REACH - 1 words is repeated, in the
 middle of a line or across lines, all its copies have an anchor, and so a paragraph, in common.
+Shorter natural paragraphs (lines, runs of lines without a blank one, whole texts) have an anchor
+of their own, chosen by their own words, so exact copies of them have one in common as well.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from marginflow.llm.frames import (
     slices,
     stored,
 )
-from marginflow.llm.hashing import Words, mixed, seeds, shingles, sliding, tune
+from marginflow.llm.hashing import LARGEST, Words, mixed, seeds, shingles, sliding, tune
 from marginflow.llm.links import find_links, own_shuffle, pack
 
 PARAGRAPH = 20  # words
@@ -42,8 +44,10 @@ SLICE_BYTES = 2 * 1024 * 1024
 def anchors(words: Words) -> np.ndarray:
     """Places (over all texts) of the words at which paragraphs start.
 
-    Windows of REACH shingles that lie in one text mark their smallest; a text with fewer
-    shingles is one window. A paragraph must end in the text that it starts in.
+    Windows of REACH shingles that lie in one text mark their smallest. Lines, runs of lines
+    and texts of PARAGRAPH words or more that are too short to be sure of one mark the smallest
+    of the places at which a whole paragraph fits. A paragraph must end in the text that it
+    starts in. `words` come with their lines.
     """
     h = shingles(words.hash, WIDTH)
     counts = words.counts
@@ -61,13 +65,34 @@ def anchors(words: Words) -> np.ndarray:
     padded = np.concatenate([np.zeros(REACH - 1, dtype=np.uint64), windows, np.zeros(REACH, dtype=np.uint64)])
     best = sliding(padded, REACH, np.maximum)[:n]
     marked = best == h
-    for i in np.flatnonzero((counts >= PARAGRAPH) & (counts < REACH + WIDTH - 1)):
-        own = h[words.first[i] : words.first[i + 1] - WIDTH + 1]
-        marked[words.first[i] : words.first[i + 1]] = False
-        marked[words.first[i] + int(own.argmin())] = True
+    for first in natural_starts(words):
+        marked[own_anchors(h, first)] = True
     return at[marked & (at + PARAGRAPH <= last)]
 
 
+def natural_starts(words: Words) -> Iterator[np.ndarray]:
+    """First words of all texts, of all runs of lines without a blank one, and of all lines.
+
+    Each has the number of words as its last entry.
+    """
+    n = len(words.hash)
+    yield np.unique(np.append(words.first, n))
+    step = np.diff(words.line)
+    for least in (2, 1):
+        starts = np.flatnonzero(step >= least) + 1
+        yield np.unique(np.concatenate([words.first, starts, [n]]))
+
+
+def own_anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The smallest of the places at which a paragraph fits, of each part too short for REACH."""
+    sizes = np.diff(first)
+    some = np.flatnonzero((sizes >= PARAGRAPH) & (sizes < PARAGRAPH + REACH - 1))
+    begin, nth = first[some], np.arange(REACH - 1)
+    fits = nth[None, :] <= (sizes[some] - PARAGRAPH)[:, None]
+    places = np.minimum(begin[:, None] + nth[None, :], len(h) - 1)
+    return begin + np.where(fits, h[places], LARGEST).argmin(axis=1)
+
+
 def paragraph_hashes(words: Words, starts: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the words of each paragraph, in their order."""
     factor = seeds(PARAGRAPH, 21) | np.uint64(1)
@@ -130,7 +155,7 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
         texts = batch.column(batch.schema.get_field_index("text"))
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         for start, end in slices(texts, SLICE_BYTES):
-            words = Words(texts.slice(start, end - start))
+            words = Words(texts.slice(start, end - start), lines=True)
             places = anchors(words)
             if not len(places):
                 continue
@@ -268,7 +293,9 @@ def substring_dedup(
     (`doc_id`, `n_repeated`, `n_removed`, `removed_words`, `spans`): how many of its paragraphs
     repeat, how many of these go as a later copy, how many words those cover, and `spans`, an
     array of (`start`, `cluster`, `removed`) by place. The first copy stays. Passages of 50
-    words or more are found wherever they stand; anything shorter than 20 words never is.
+    words or more are found wherever they stand, and exact copies of lines, runs of lines and
+    whole texts of 20 words or more. Other passages of 20 to 49 words are found by chance;
+    anything shorter than 20 words never is.
 
     Null, empty and short texts have no paragraphs and no row. A null id sorts before all
     others. Rows that repeat an id are one document: paragraphs at the same place in two of

@@ -85,3 +85,27 @@ def test_odd_rows(docs, odd):
     assert got[8].n_removed == got[8].n_repeated > 60_000 / 27
     assert got[8].removed_words <= 60_000 and PARAGRAPH <= got[8].removed_words
     assert substring_dedup(docs([])).collect() == []
+
+
+def test_short_natural_paragraphs(docs):
+    draw = random.Random(12)
+
+    def run(n):
+        return [f"n{draw.randrange(9**9)}" for _ in range(n)]
+
+    rows, later = [], set()
+    for n in range(20, 50):
+        text, line, block = " ".join(run(n)), " ".join(run(n)), run(n)
+        block = " ".join(block[:9]) + "\n" + " ".join(block[9:])
+        for copy in (0, 1):
+            ids = [1000 * copy + 10 * n + k for k in range(3)]
+            own = [" ".join(run(draw.randint(0, 40))) for _ in range(4)]
+            rows += [
+                (ids[0], text),
+                (ids[1], f"{own[0]}\n{line}\n{own[1]}"),
+                (ids[2], f"{own[2]}\n \n{block}\n\n{own[3]}"),
+            ]
+            later |= set(ids) if copy else set()
+    got = {r.doc_id: r for r in substring_dedup(docs(rows)).collect()}
+    assert set(got) == {i for i, _ in rows}
+    assert {i for i, r in got.items() if r.n_removed} == later
