@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ WIDTH = 5  # words of a shingle
 PERCENT = 80
 RECALL = 0.93  # of a paragraph; a passage has several
 ROWS = 4
+CONTEXT = 32  # words beside a paragraph; anchors of a passage and its ends are nearer than that
 MANY_BITS = 1 << 26
 SLICE_BYTES = 2 * 1024 * 1024
 
@@ -232,13 +234,112 @@ def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def paragraph_contexts(spots: DataFrame, docs: DataFrame) -> DataFrame:
+    """`spots` (`doc_id`, `start`, `item`, `cluster`) with `around`, read from the documents.
+
+    `around` has 32-bit hashes of the paragraph's words and of CONTEXT words on either side, 0
+    where the text has none. Rows that repeat a document have the spots that are theirs.
+    """
+    by_doc = spots.groupBy("doc_id").agg(
+        F.collect_set(F.struct("start", "item", "cluster")).alias("wanted")
+    )
+    rows = may_hold(docs, ["doc_id"], spots).join(
+        by_doc.select(own_shuffle("doc_id").alias("_id"), "wanted"),
+        F.col("doc_id").eqNullSafe(F.col("_id")),
+    ).select("doc_id", "text", "wanted")
+
+    def compute(batch: pa.RecordBatch) -> Iterator[dict]:
+        texts = batch.column(batch.schema.get_field_index("text"))
+        wishes = batch.column(batch.schema.get_field_index("wanted"))
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        for start, end in slices(texts, SLICE_BYTES):
+            words = Words(texts.slice(start, end - start))
+            own = wishes.slice(start, end - start)
+            owner = pc.list_parent_indices(own).to_numpy()
+            asked = pc.list_flatten(own)
+            first, item, cluster = (asked.field(i).to_numpy() for i in range(3))
+            # Where an id repeats, each of its rows is asked for all.
+            fits = np.flatnonzero(first + PARAGRAPH <= words.counts[owner])
+            places = words.first[owner[fits]] + first[fits]
+            mine = paragraph_hashes(words, places).view(np.int64) == item[fits]
+            pick, places = fits[mine], places[mine]
+            if not len(pick):
+                continue
+            low, high = words.first[owner[pick]], words.first[owner[pick] + 1]
+            at = places[:, None] + np.arange(-CONTEXT, PARAGRAPH + CONTEXT)[None, :]
+            short = (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            around = short[np.clip(at, 0, len(short) - 1)]
+            around[(at < low[:, None]) | (at >= high[:, None])] = 0
+            yield {
+                "doc_id": ids.take(pa.array(owner[pick] + start)),
+                "start": pa.array(first[pick]),
+                "cluster": pa.array(cluster[pick]),
+                "around": [x.tobytes() for x in around],
+            }
+
+    return explode_batches(rows, "doc_id long, start int, cluster long, around binary", compute)
+
+
+def common_run(here: np.ndarray, lead: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words before and after each paragraph are those beside the lead's paragraph.
+
+    (paragraphs, words) hashes, 0 for no word. Similar paragraphs may start up to `shift` words
+    apart; the shift with the longest run counts.
+    """
+    before = after = np.zeros(len(here), dtype=np.int64)
+    for d in sorted(range(-shift, shift + 1), key=abs):
+        other = np.zeros_like(lead)
+        if d >= 0:
+            other[:, : lead.shape[1] - d] = lead[:, d:]
+        else:
+            other[:, -d:] = lead[:, :d]
+        same = (here == other) & (here != 0)
+        left = np.cumprod(same[:, :CONTEXT][:, ::-1], axis=1).sum(axis=1)
+        right = np.cumprod(same[:, CONTEXT + PARAGRAPH :], axis=1).sum(axis=1)
+        longer = left + right > before + after
+        before, after = np.where(longer, left, before), np.where(longer, right, after)
+    return before, after
+
+
+def extended(spots: DataFrame, percent: int) -> DataFrame:
+    """`spots` (`doc_id`, `start`, `cluster`, `removed`, `around`, `_around`) with their words.
+
+    `begin` and `end` of a removed one go on as far as the words are the lead's.
+    """
+    size = PARAGRAPH - WIDTH + 1
+    shift = size + (-2 * size * percent) // (100 + percent)
+
+    def compute(batch: pa.RecordBatch) -> dict:
+        def matrix(name: str) -> np.ndarray:
+            column = batch.column(batch.schema.get_field_index(name))
+            data = b"".join(column.to_pylist())
+            return np.frombuffer(data, dtype=np.uint32).reshape(len(column), -1)
+
+        start, removed = (
+            batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            for c in ("start", "removed")
+        )
+        if not len(start):
+            return {"begin": [], "end": []}
+        before, after = common_run(matrix("around"), matrix("_around"), shift)
+        return {
+            "begin": pa.array((start - before * removed).astype(np.int32)),
+            "end": pa.array((start + PARAGRAPH + after * removed).astype(np.int32)),
+        }
+
+    fields = T.StructType(
+        [T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]
+    )
+    return append_columns(spots, fields, compute, ["doc_id", "start", "cluster", "removed"])
+
+
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """(`doc_id`, `start`, `cluster`, `removed`): the paragraphs of `docs` that repeat.
+    """(`doc_id`, `start`, `cluster`, `removed`, `begin`, `end`): paragraphs of `docs` that repeat.
 
     Equal paragraphs are one item. Items that share a band and have a Jaccard similarity of
     `percent` / 100 or more are linked, and a cluster is what hangs together; `cluster` is the
     smallest item in it. Paragraphs that overlap where they first stand do not link. All paragraphs of a cluster but the first, by document and place, are
-    removed.
+    removed, with the words on either side (from `begin` up to `end`) that the first has too.
     """
     n_bands = tune(least_similarity(percent), recall, ROWS)
     rows = stored(paragraph_rows(docs, n_bands))
@@ -272,13 +373,22 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
             "item", F.coalesce("cluster", "item").alias("cluster")
         )
     )
-    spots = stored(places(known))
-    leads = spots.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("lead"))
+    spots = stored(paragraph_contexts(stored(places(known)), docs))
+    leads = spots.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", "around")).alias("lead"))
     here = F.struct("doc_id", "start")
-    return spots.join(
+    lead = F.struct(F.col("lead.doc_id").alias("doc_id"), F.col("lead.start").alias("start"))
+    met = spots.join(
         leads.select(own_shuffle("cluster").alias("_cluster"), "lead"),
         F.col("cluster") == F.col("_cluster"),
-    ).select("doc_id", "start", "cluster", (~here.eqNullSafe(F.col("lead"))).alias("removed"))
+    ).select(
+        "doc_id",
+        "start",
+        "cluster",
+        (~here.eqNullSafe(lead)).alias("removed"),
+        "around",
+        F.col("lead.around").alias("_around"),
+    )
+    return extended(met, percent)
 
 
 def substring_dedup(
@@ -292,7 +402,10 @@ def substring_dedup(
 
     (`doc_id`, `n_repeated`, `n_removed`, `removed_words`, `spans`): how many of its paragraphs
     repeat, how many of these go as a later copy, how many words those cover, and `spans`, an
-    array of (`start`, `cluster`, `removed`) by place. The first copy stays. Passages of 50
+    array of (`start`, `cluster`, `removed`, `begin`, `end`) by place. The first copy stays. Of a
+    later one the words from `begin` up to `end` go: the paragraph, and up to 32 words on either
+    side that stand beside the first copy too, which is all up to the next paragraph or the end
+    of the passage. Passages of 50
     words or more are found wherever they stand, and exact copies of lines, runs of lines and
     whole texts of 20 words or more. Other passages of 20 to 49 words are found by chance;
     anything shorter than 20 words never is.
@@ -306,15 +419,19 @@ def substring_dedup(
     found = repeated_paragraphs(rows, percent, recall)
     # A document's own paragraphs: as many as it has anchors.
     spans = found.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "cluster", "removed"))).alias("spans")
+        F.sort_array(F.collect_list(F.struct("start", "cluster", "removed", "begin", "end"))).alias(
+            "spans"
+        )
     )
     gone = F.filter("spans", lambda s: s["removed"])
+    # In the order of their first words, what each adds to those before it.
+    by_begin = F.sort_array(F.transform(gone, lambda s: F.struct(s["begin"], s["end"])))
     covered = F.aggregate(
-        gone,
+        by_begin,
         F.struct(F.lit(0).alias("words"), F.lit(0).alias("end")),
         lambda a, s: F.struct(
-            (a["words"] + s["start"] + PARAGRAPH - F.least(F.greatest(a["end"], s["start"]), s["start"] + PARAGRAPH)).alias("words"),
-            F.greatest(a["end"], s["start"] + PARAGRAPH).alias("end"),
+            (a["words"] + F.greatest(s["end"] - F.greatest(a["end"], s["begin"]), F.lit(0))).alias("words"),
+            F.greatest(a["end"], s["end"]).alias("end"),
         ),
     )
     return spans.select(
@@ -339,9 +456,7 @@ def drop_passages(
     pattern = regex.compile(WORD)
 
     def rest(body: str, spans: list[dict]) -> str:
-        lost = {
-            w for s in spans if s["removed"] for w in range(s["start"], s["start"] + PARAGRAPH)
-        }
+        lost = {w for s in spans if s["removed"] for w in range(s["begin"], s["end"])}
         parts, end = [], 0
         for i, m in enumerate(pattern.finditer(body)):
             if i in lost:

@@ -109,3 +109,32 @@ def test_short_natural_paragraphs(docs):
     got = {r.doc_id: r for r in substring_dedup(docs(rows)).collect()}
     assert set(got) == {i for i, _ in rows}
     assert {i for i, r in got.items() if r.n_removed} == later
+
+
+def test_all_words_of_a_passage_go(docs):
+    draw = random.Random(13)
+
+    def run(n):
+        return [f"x{draw.randrange(9**9)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for i, n in enumerate([50, 51, 60, 80, 100, 200, 400]):
+        passage = run(n)
+        for copy in (0, 1, 2):
+            before, after = run(draw.randint(0, 60)), run(draw.randint(0, 60))
+            own = 100 * copy + i
+            rows.append((own, " ".join(before + passage + after)))
+            want[own] = (" ".join(before + after) if copy else rows[-1][1], n if copy else 0)
+    # A passage that follows itself, and one whose last word but one differs.
+    twice, near = run(70), run(60)
+    rows.append((300, " ".join(twice + twice)))
+    want[300] = (" ".join(twice), 70)
+    rows += [(301, " ".join(near)), (302, " ".join([*near[:58], "other", "end"]))]
+    want[301] = (" ".join(near), 0)
+    df = docs(rows)
+    found = substring_dedup(df)
+    got = {r.doc_id: r.removed_words for r in found.collect()}
+    left = {r.doc_id: " ".join(r.text.split()) for r in drop_passages(df, found).collect()}
+    for i, (text, n) in want.items():
+        assert (left[i], got[i]) == (text, n), i
+    assert left[302].split() in ([], ["end"], ["other", "end"])
