@@ -22,8 +22,9 @@ MAX_EPOCHS = 3  # no document is taken more often
 BLOCK_DIGITS = 2  # of the key, in base 16
 STEP_DIGITS = 3  # by which the end of the partial epoch is narrowed down
 STEPS = 3
-TOP_UPS = 3  # documents that may fill what the partial epoch falls short of its target
+TOP_UPS = 3  # largest documents that fit, taken when the partial epoch meets one that does not
 KEY_DIGITS = STEP_DIGITS * STEPS
+PAST_ALL = "g"  # behind every key
 
 
 def document_key(doc_id: Column, text: Column, seed: int) -> Column:
@@ -140,6 +141,58 @@ def top_up(units: DataFrame, ends: DataFrame) -> DataFrame:
     return ends
 
 
+def go_on(units: DataFrame, ends: DataFrame) -> DataFrame:
+    """`ends` with `_steps`, by which the partial epoch goes on past units that do not fit.
+
+    Each pass draws the stretch behind the last unit that did not fit, of the units that fit by
+    themselves, until none does. Its step has the keys `after` and `until` which it lies, and
+    `most`, the words of a unit it may take. `_at` is where the source is left. Units whose
+    digests agree in KEY_DIGITS digits are drawn or passed over together.
+    """
+    tops = F.array(*(f"_top{i}" for i in range(TOP_UPS)))
+    kind = "array<struct<after:string,until:string,most:double>>"
+    state = saved(ends.withColumn("_steps", F.array().cast(kind)).withColumn("_at", F.col("_end")))
+    free = units.select("_src", "_key", "_words")
+    while True:
+        bounds = state.select("_src", "_at", "_rest", tops.alias("_tops"))
+        free = saved(
+            join_small(free, bounds, ["_src"])
+            .filter(
+                (F.substring("_key", 1, KEY_DIGITS) > F.col("_at"))
+                & (F.col("_words") > 0)
+                & (F.col("_words") <= F.col("_rest"))
+                & ~F.coalesce(F.array_contains("_tops", F.col("_key")), F.lit(False))
+            )
+            .select("_src", "_key", "_words")
+        )
+        sums = saved(free.groupBy("_src").agg(F.sum("_words").alias("_all")))
+        if sums.isEmpty():
+            return state
+        crossed = narrow(free, state.join(sums, "_src").select("_src", "_rest"))
+        crossed = crossed.select("_src", F.col("_end").alias("_until"), F.col("_rest").alias("_left"))
+        until = F.coalesce("_until", F.lit(PAST_ALL))
+        step = F.struct(
+            F.col("_at").alias("after"), until.alias("until"), F.col("_rest").alias("most")
+        )
+        went = F.col("_all").isNotNull()
+        state = saved(
+            state.join(sums, "_src", "left")
+            .join(crossed, "_src", "left")
+            .withColumn(
+                "_steps",
+                F.when(went, F.concat("_steps", F.array(step))).otherwise(F.col("_steps")),
+            )
+            .withColumn("_at", F.when(went, until).otherwise(F.col("_at")))
+            .withColumn(
+                "_rest",
+                F.when(went, F.coalesce("_left", F.col("_rest") - F.col("_all"))).otherwise(
+                    F.col("_rest")
+                ),
+            )
+            .drop("_all", "_until", "_left")
+        )
+
+
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(`_src`, `_quota`) to (`_src`, `_shard`, `_quota`): a tree of hypergeometric draws.
 
@@ -209,8 +262,9 @@ def mix(
     New columns: `size` (words), `source_size`, `target` (of its source, in words), `taken`
     (words, repeats counted), `copies` and `shards`, the output shard of each copy. With
     `carry` (default: all columns) other columns go along; those named like a new one are
-    replaced. Documents are taken whole, up to three times. A source ends up short of its
-    target by less than the smallest document that would still fit, after three top-ups.
+    replaced. Documents are taken whole, up to three times. The partial epoch
+    goes on past documents that do not fit until none does, so a source is short of its target
+    by less than any document that the epoch has left.
 
     A null source is a source of its own, the last. A null or empty text has no words; it may
     lie in a drawn block, and adds nothing. Rows equal in id, source and text are drawn
@@ -225,7 +279,11 @@ def mix(
         document_key(F.col(doc_id), F.col(text), seed).alias("_key"),
         word_count(F.col(text)).alias("size"),
     )
-    units = saved(rows.groupBy("_src", "_key").agg(F.sum("size").alias("_words")))
+    units = saved(
+        rows.groupBy("_src", "_key").agg(
+            F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_rows")
+        )
+    )
     sizes = units.groupBy("_src").agg(F.sum("_words").alias("source_size"))
     targets = source_targets(sizes, weights).withColumn(
         "_epochs",
@@ -235,12 +293,15 @@ def mix(
         targets.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     )
     ends = top_up(units, narrow(units, targets.filter("_rest > 0").select("_src", "_rest")))
+    ends = go_on(units, ends)
     tops = [f"_top{i}" for i in range(TOP_UPS)]
     plan = targets.drop("_rest").join(ends.drop("_rest"), "_src", "left")
-    last = F.conv(F.substring("_end", 1, BLOCK_DIGITS), 16, 10).cast("int")
+    per_epoch = 16**BLOCK_DIGITS
+    last = F.when(F.col("_at") == PAST_ALL, per_epoch - 1).otherwise(
+        F.conv(F.substring("_at", 1, BLOCK_DIGITS), 16, 10).cast("int")
+    )
     plan = saved(plan.withColumn("_last", F.coalesce(last, F.lit(-1))))
 
-    per_epoch = 16**BLOCK_DIGITS
     epochs = plan.select(
         "_src",
         F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS))).alias("_epoch"),
@@ -272,8 +333,17 @@ def mix(
     drawn = join_small(rows, plan, ["_src"]).withColumn(
         "_block", F.conv(F.substring("_key", 1, BLOCK_DIGITS), 16, 10).cast("int")
     )
-    partial = F.coalesce(F.substring("_key", 1, KEY_DIGITS) < F.col("_end"), F.lit(False))
+    # Rows that are a unit by themselves, nearly all, know its words.
+    several = units.filter("_rows > 1").select("_src", "_key", "_words")
+    drawn = join_small(drawn, several, ["_src", "_key"], "left")
+    words, place = F.coalesce("_words", "size"), F.substring("_key", 1, KEY_DIGITS)
+    later = F.exists(
+        "_steps",
+        lambda s: (place > s["after"]) & (place < s["until"]) & (words > 0) & (words <= s["most"]),
+    )
+    partial = F.coalesce(place < F.col("_end"), F.lit(False))
     extra = F.coalesce(F.array_contains(F.array(*tops), F.col("_key")), F.lit(False))
+    partial = partial | (F.coalesce(later, F.lit(False)) & ~extra)
     drawn = join_small(drawn, by_block, ["_src", "_block"], "left")
     times = F.col("_epochs").cast("int") + F.when(partial, 1).otherwise(0)
     own = F.transform(

@@ -86,3 +86,23 @@ def test_odd_rows(docs, odd):
     assert mix(docs([])).collect() == []
     blank = mix(docs([(1, None), (2, "")])).collect()
     assert [r.taken for r in blank] == [0, 0] and [r.target for r in blank] == [0.0, 0.0]
+
+
+def test_a_source_of_which_one_document_holds_half(docs):
+    short = [(i, " ".join(f"w{k}" for k in range(1 + i % 20)), "en", "a") for i in range(400)]
+    total = sum(len(r[1].split()) for r in short)
+    # As one document, and as equal rows that are drawn together.
+    long = [(1000, " ".join(["long"] * total), "en", "a")]
+    hot = [(1000, " ".join(["hot"] * 42), "en", "a")] * (total // 42)
+    other = [(2000 + i, "x y z " * 100, "en", "b") for i in range(12)]
+    for large in (long, hot):
+        for seed in (1, 2):
+            got = mix(docs(short + large + other), shards=4, seed=seed).collect()
+            own = [r for r in got if r.source == "a"]
+            taken, target = sum(r.taken for r in own), own[0].target
+            assert len(got) == len(short + large + other)
+            assert 0 <= target - taken < 1, (seed, target, taken)
+            assert all(len(r["shards"]) == r["copies"] and None not in r["shards"] for r in got)
+            assert len({r["copies"] for r in own if r.doc_id == 1000}) == 1
+            shards = Counter(k for r in own for k in r["shards"] if r.doc_id < 1000)
+            assert len(shards) == 4
