@@ -3,7 +3,15 @@ from collections import defaultdict
 
 from llm.plain_versions import words
 
-from marginflow.llm.paragraphs import PARAGRAPH, drop_passages, substring_dedup
+from marginflow.llm.hashing import tune
+from marginflow.llm.paragraphs import (
+    PARAGRAPH,
+    RECALL,
+    ROWS,
+    drop_passages,
+    least_similarity,
+    substring_dedup,
+)
 
 
 def corpus(seed=6):
@@ -138,3 +146,14 @@ def test_all_words_of_a_passage_go(docs):
     for i, (text, n) in want.items():
         assert (left[i], got[i]) == (text, n), i
     assert left[302].split() in ([], ["end"], ["other", "end"])
+
+
+def test_recall_of_pairs_at_the_least_similarity(docs):
+    least = least_similarity(80)
+    assert 1 - (1 - least**ROWS) ** tune(least, RECALL, ROWS) >= 0.99
+    rows = []
+    for i in range(400):
+        w = [f"r{i}-{k}" for k in range(20)]
+        rows += [(i, " ".join(w)), (1000 + i, " ".join([*w[:19], "end"]))]
+    got = {r.doc_id for r in substring_dedup(docs(rows)).collect()}
+    assert len(got) >= 2 * 390
