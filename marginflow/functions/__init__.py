@@ -8,6 +8,7 @@ from marginflow.functions.money import (
     coerce_value,
     decimal_round,
     format_eur,
+    is_refused,
     profit_status,
 )
 from marginflow.functions.text import (
@@ -34,6 +35,7 @@ __all__ = [
     "family_of",
     "fill_axis",
     "format_eur",
+    "is_refused",
     "level_code",
     "level_number",
     "normalize_measure",

@@ -12,11 +12,18 @@ MONEY = "decimal(28,4)"  # any sum of source values
 LIMIT = 0.999e14  # an amount has 14 digits before the point
 
 
+def is_refused(value: Column) -> Column:
+    """Whether the value reads as a number that is too large for an amount: 1e14 and more."""
+    number = value.try_cast("double")
+    large = number.isNotNull() & ~F.isnan(number) & (F.abs(number) >= LIMIT)
+    return large & value.try_cast(AMOUNT).isNull()
+
+
 def coerce_value(value: Column) -> Column:
     """Value as exact decimal; text that is no number becomes NULL.
 
     A number too large for an amount (1e14 and more) fails the query: as NULL or 0 it would
-    leave a sum wrong without a word.
+    leave a sum wrong without a word. `set_aside` takes such rows out beforehand and lists them.
     """
     number = value.try_cast("double")
     too_large = number.isNotNull() & ~F.isnan(number) & (F.abs(number) >= LIMIT)

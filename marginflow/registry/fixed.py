@@ -1,6 +1,7 @@
 """Fixed values of the checking SQL, set down apart from the package's own.
 
-A wrong name in the catalog would otherwise be wrong on both sides and pass.
+A wrong name in the catalog would otherwise be wrong on both sides and pass. Lists stand in the
+order of the rules they come from.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ ALL_STORES = "*"
 TOTAL_SLOT = 99
 OTHER_SLOT = 50
 
-REVENUE = ("umsatz eur", "umsatzeur")
-TRANSFER = ("transfer price eur", "transferpriceeur")
-COMMISSION = ("commission", "commission in eur")
+REVENUE = ("umsatzeur", "umsatz eur")
+TRANSFER = ("transferpriceeur", "transfer price eur")
+COMMISSION = ("commission in eur", "commission")
 MATERIAL_DISCOUNT = ("discountaufmaterialeur",)
 CATEGORY_DISCOUNT = ("discountaufmaterialkategorieeur",)
 FIXED_COSTS = (
+    "additional procurement costs",
+    "marketing campaign",
     "monthly rent",
     "monthly salary",
     "monthly social costs",
-    "marketing campaign",
-    "additional procurement costs",
 )
 FAMILIES = {
     "revenue": REVENUE,
@@ -37,41 +38,41 @@ FAMILIES = {
 }
 PROFILES = {
     "current": {
-        "e2": ("category_discount", "material_discount"),
-        "e3": ("fixed_costs", "commission"),
+        "e2": ("material_discount", "category_discount"),
+        "e3": ("commission", "fixed_costs"),
     },
     "handbook": {
-        "e2": ("category_discount", "material_discount", "commission"),
+        "e2": ("commission", "material_discount", "category_discount"),
         "e3": ("fixed_costs",),
     },
     "legacy": {"e2": ("commission",), "e3": ("fixed_costs",)},
 }
 KPI_REVENUE = (
-    "umsatz",
     "umsatzeur",
     "umsatz eur",
+    "umsatz",
     "revenue",
-    "totalrevenue",
     "sales",
-    "saleseur",
     "sales eur",
+    "saleseur",
+    "totalrevenue",
 )
-KPI_REVENUE_OLD = ("umsatz", "umsatzeur", "revenue", "totalrevenue", "sales", "saleseur")
+KPI_REVENUE_OLD = ("umsatzeur", "umsatz", "revenue", "sales", "saleseur", "totalrevenue")
 CAMPAIGN_FAMILIES = {
     "revenue": KPI_REVENUE,
     "transfer": TRANSFER,
     "db2_cost": (
-        "commission",
         "commission in eur",
-        "discount auf material eur",
+        "commission",
         "discountaufmaterialeur",
-        "discount auf material kategorie eur",
+        "discount auf material eur",
         "discountaufmaterialkategorieeur",
+        "discount auf material kategorie eur",
     ),
     "db3_cost": FIXED_COSTS,
 }
-EXCLUDED = ("salesamount", "salesprice", "salespriceeur")
-EXCLUDED_OLD = ("salesamount", "sales amount", "salesprice", "sales price", "salespriceeur")
+EXCLUDED = ("salesprice", "salespriceeur", "salesamount")
+EXCLUDED_OLD = ("salespriceeur", "salesamount", "salesprice", "sales amount", "sales price")
 EXPECTED = {
     "E1": ("UmsatzEUR", "TransferPriceEUR"),
     "E2": ("DiscountAufMaterialEUR", "DiscountAufMaterialKategorieEUR"),

@@ -3,8 +3,12 @@
 from marginflow.sources.readers import (
     distinct_stores,
     load_once,
+    one_store,
     publish,
+    publish_by_month,
     publish_view,
+    published_stores,
+    read_footers,
     read_jdbc,
     read_measures,
     reload,
@@ -35,8 +39,12 @@ __all__ = [
     "distinct_stores",
     "has_levels",
     "load_once",
+    "one_store",
     "publish",
+    "publish_by_month",
     "publish_view",
+    "published_stores",
+    "read_footers",
     "read_jdbc",
     "read_measures",
     "reload",

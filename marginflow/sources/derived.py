@@ -122,6 +122,14 @@ def by_campaign(measures: DataFrame) -> DataFrame:
     return rows.unionByName(unknown, allowMissingColumns=True)
 
 
+def with_large_amounts(measures: DataFrame) -> DataFrame:
+    """Measures with amounts out of range: salaries of January and sales amounts of February."""
+    month = F.month("month")
+    large = F.when((F.col("pos") == "4") & (month == 1), "1e15")
+    large = large.when((F.col("pos") == "9") & (month == 2), "-Infinity")
+    return measures.withColumn("value", large.otherwise(F.col("value")))
+
+
 def store_entitlements(measures: DataFrame) -> DataFrame:
     """Sample entitlements: the first store, the first two stores, all stores."""
     two = measures.select("store").distinct().orderBy("store").limit(2)

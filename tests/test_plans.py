@@ -10,10 +10,17 @@ from marginflow.operators.cascade import kpi_overview, margin_cascade, period_ro
 from marginflow.operators.totals import measures_with_totals
 from marginflow.plans.settings import cluster_settings
 from marginflow.registry import QUERIES, Tables, registered
-from marginflow.sources import publish, read_measures
+from marginflow.sources import (
+    publish,
+    publish_by_month,
+    published_stores,
+    read_footers,
+    read_measures,
+    scan_store,
+)
 
 # Results that are one row or a top list, and the sample entitlements made from a top list.
-ONE_TASK = {"row_count", "top_200", "entitled_rows", "entitled_grains"}
+ONE_TASK = {"row_count", "published_row_count", "top_200", "entitled_rows", "entitled_grains"}
 
 
 def plan_of(df):
@@ -102,3 +109,79 @@ def test_published_cells_serve_a_report_by_partition(measures, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*store#\d+[^\]]*= NATION_12", plan_of(one))
     want = margin_cascade(measures.filter("store = 'NATION_12'"))
     assert sorted(map(str, one.collect())) == sorted(map(str, want.collect()))
+
+
+def pushed(df):
+    return re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan_of(df), re.DOTALL).group(1)
+
+
+def test_one_store_reaches_the_scan_of_names_with_blanks(spark, table, tmp_path):
+    """On the path read_measures takes by itself."""
+    names = ("B", " B ", "\u3000B", "AB", "A B", "b", "C", None)
+    rows = [(s, "2024-01-01", "E1", "1", "m", "K", "L", str(i)) for i, s in enumerate(names)]
+    table(rows).write.parquet(str(tmp_path / "t"))
+    read = read_measures(spark, str(tmp_path / "t"))
+    one = scan_store(read, " B ")
+    assert "StringContains(store,B)" in pushed(one) and "StringStartsWith(store,B)" in pushed(one)
+    assert sorted(r.value for r in one.collect()) == ["0", "1", "2"]
+    assert scan_store(read.filter("value <> '1'"), "B").count() == 2
+    # Where the stored name is out of reach the exact condition does it alone.
+    grouped = read.groupBy("store").agg({"value": "max"})
+    assert [r.store for r in scan_store(grouped, "B").collect()] == ["B"]
+
+
+def test_one_store_skips_row_groups(spark, tmp_path):
+    rows = spark.range(0, 40_000, 1, 1).selectExpr(
+        "format_string('S%05d', id DIV 10) store", "CAST(id AS STRING) value"
+    )
+    rows.write.option("parquet.block.size", 65536).option("parquet.page.row.count.limit", 500).parquet(
+        str(tmp_path / "t")
+    )
+    one = scan_store(read_measures(spark, str(tmp_path / "t")), "S00017")
+    assert one.count() == 10
+
+
+def test_totals_by_month_move_no_rows_and_start_no_job(spark, measures, tmp_path):
+    publish_by_month(measures, "plan_by_month", 4, str(tmp_path / "t"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("planning", "")
+    try:
+        df = measures_with_totals(spark.table("plan_by_month"), by_month=True)
+        plan_of(df)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+        plan = final_plan(df)
+        assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+        want = measures_with_totals(measures).select(*df.columns)
+        assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("DROP TABLE plan_by_month")
+
+
+def test_counts_and_extremes_come_from_footers(spark, measures, tmp_path):
+    from marginflow.operators.periods import latest_year
+    from marginflow.operators.quality import row_count
+
+    publish(measures, str(tmp_path / "t"))
+    table = read_footers(spark, str(tmp_path / "t"))
+    assert "PushedAggregation: [COUNT(*)]" in plan_of(row_count(table))
+    assert "PushedAggregation: [MAX(month)]" in plan_of(latest_year(table))
+    assert row_count(table).first()[0] == 32478
+    got = sorted(map(tuple, latest_year(table).collect()))
+    assert got == sorted(map(tuple, latest_year(measures).collect()))
+    # Other reads go on as before.
+    assert "FileScan" in plan_of(spark.read.parquet(str(tmp_path / "t")))
+
+
+def test_stores_of_a_published_table_open_no_file(spark, table, tmp_path):
+    rows = [(s, "2024-01-01", "E1", "1", "m", "K", "L", "1") for s in ("B ", "001", "1", "a/b=%c", None)]
+    publish(table(rows), str(tmp_path / "t"))
+    plan = plan_of(published_stores(spark, str(tmp_path / "t")))
+    assert "parquet" not in plan.lower()
+    for file in (tmp_path / "t").rglob("*.parquet"):
+        if "store=B" in str(file):
+            file.write_bytes(b"not parquet")  # a file that is opened would fail the query
+    got = [r.store for r in published_stores(spark, str(tmp_path / "t")).collect()]
+    assert got == ["001", "1", "B", "a/b=%c"]
