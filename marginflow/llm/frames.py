@@ -9,7 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,7 +144,7 @@ def work_folder(spark: SparkSession) -> None:
         )
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """`df` as a table in the shared folder, for results of which later steps read some columns.
 
     Files are compressed, unlike checkpoints. They stay until the folder is cleared.
@@ -150,7 +152,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     work_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -186,3 +188,40 @@ def saved(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder: computed once, and read again if an executor is lost."""
     work_folder(df.sparkSession)
     return df.checkpoint()
+
+
+SUM_PARTS = 32  # groups of tasks whose arrays are added first
+
+
+def summed_arrays(
+    df: DataFrame, total: Callable[[Iterator[pa.RecordBatch]], np.ndarray], dtype: str
+) -> np.ndarray:
+    """The sum of the flat arrays, all of one length, that `total` makes of each task's rows.
+
+    Arrays of SUM_PARTS groups of tasks are added first, so no task gets those of all others and
+    as many arrays as there are groups come here, whatever the input's size. They are added in
+    the order of the tasks, so sums of floats are the same in every run. Without tasks it is empty.
+    """
+    ship_code(df.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        data = total(batches).astype(dtype).tobytes()
+        yield pa.RecordBatch.from_pydict(
+            {
+                "group": pa.array([part % SUM_PARTS], type=pa.int32()),
+                "part": pa.array([part], type=pa.int32()),
+                "data": pa.array([data], type=pa.binary()),
+            }
+        )
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("part")
+        first = rows.slice(0, 1)
+        out = sum(np.frombuffer(x.as_py(), dtype=dtype) for x in rows.column("data"))
+        return first.set_column(2, "data", pa.array([out.tobytes()], type=pa.binary()))
+
+    schema = "group int, part int, data binary"
+    groups = df.mapInArrow(count, schema).groupBy("group").applyInArrow(add, schema)
+    rows = groups.toArrow().sort_by("group").column("data")
+    return sum((np.frombuffer(x.as_py(), dtype=dtype) for x in rows), np.zeros(0, dtype) if not len(rows) else 0)

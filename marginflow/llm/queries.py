@@ -11,14 +11,17 @@ from marginflow.llm import (
     jaccard,
     language,
     lines,
+    middle,
     mixing,
     paragraphs,
     sharding,
+    simhash,
     sql,
     tokens,
     urls,
+    whitening,
 )
-from marginflow.llm.frames import saved
+from marginflow.llm.frames import saved, stored
 from marginflow.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +117,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages that are repeated, and which of them go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return paragraphs.substring_dedup(docs)
+
+
+@query("op11_fill_middle", sql.FILL_MIDDLE)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut and rearranged form of every document, by the digests of output and restored text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The frames are compressed already.
+    framed = stored(middle.frame_texts(docs, keep=["doc_id"]), "none")
+    return middle.digests(middle.fill_middle(framed))
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the first 32 components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

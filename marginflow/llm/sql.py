@@ -178,3 +178,45 @@ hits AS (
 SELECT page_id, fetched, host, kind IS NOT NULL AS blocked, kind, pattern, category, since
 FROM captures LEFT JOIN (SELECT * FROM hits WHERE nth = 1) h USING (page_id)
 """
+
+FILL_MIDDLE = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+),
+draws AS (
+  SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a,
+         CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+         CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d
+  FROM docs
+),
+cuts AS (
+  SELECT doc_id, t, n, least(a, b) AS i, greatest(a, b) AS j,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM draws
+),
+outputs AS (
+  SELECT doc_id, n, i, j, form,
+         CASE form WHEN 'plain' THEN t
+              WHEN 'psm' THEN '<P>' || substr(t, 1, i) || '<S>' || substr(t, j + 1) || '<M>'
+                              || substr(t, i + 1, j - i)
+              ELSE '<S>' || substr(t, j + 1) || '<P>' || substr(t, 1, i) || '<M>'
+                   || substr(t, i + 1, j - i) END AS o
+  FROM cuts
+),
+marks AS (
+  SELECT *, strpos(o, CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) AS s, strpos(o, '<M>') AS m
+  FROM outputs
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(i AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(j - i AS BIGINT) END AS middle_chars,
+       sha256(o) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN o
+              WHEN 'psm' THEN substr(o, 4, s - 4) || substr(o, m + 3) || substr(o, s + 3, m - s - 3)
+              ELSE substr(o, s + 3, m - s - 3) || substr(o, m + 3) || substr(o, 4, s - 4) END)
+         AS restored_sha256
+FROM marks
+"""
