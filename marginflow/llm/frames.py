@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,6 +157,20 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_order(df: DataFrame) -> list[Column]:
+    """Columns that sort the rows of `df`, read from files, as they were written.
+
+    Spark names files by the number of the partition they were written from, and knows the place
+    of each row in its file. Of what was not read from files it is the order of its partitions.
+    """
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        df.select(*place)
+    except AnalysisException:
+        return [F.monotonically_increasing_id()]
+    return place
+
+
 def may_hold(df: DataFrame, keys: Sequence[str], wanted: DataFrame, bits: int = 1 << 25):
     """Rows of `df` whose `keys` may be among those of `wanted`: all that are, and a few others.
 

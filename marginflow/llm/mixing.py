@@ -363,18 +363,34 @@ def mix(
     )
 
 
-def copies(mixed: DataFrame, doc_id: str = "doc_id", seed: int = 1) -> DataFrame:
+def copies(
+    mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 1
+) -> DataFrame:
     """One row per copy, with its `mix_shard` and `mix_order`, shuffled inside each shard.
 
     Rows lie in the order (`mix_shard`, `mix_order`) over the partitions, so that each output
-    shard is read front to back in its own random order.
+    shard is read front to back in its own random order, and files written from them hold that
+    order (see `frames.stored_order`). The order is by a digest of the id, the text if the rows
+    have it, and the number of the copy, so copies of one document are apart by chance. Rows that
+    repeat an id and a text tie and stand in either order; a null id or text counts as empty.
+    Documents of which nothing is taken have no row, and an empty table gives none.
     """
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = mixed.select(
         *[c for c in mixed.columns if c not in ("shards", "copies", "mix_shard", "mix_order")],
         F.posexplode("shards").alias("mix_epoch", "mix_shard"),
     )
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc_id).cast("string"), "mix_epoch"))
+    body = F.col(text) if text in mixed.columns else F.lit("")
+    blank = F.lit("")
+    digest = F.md5(
+        F.concat_ws(
+            "|",
+            F.lit(str(seed)),
+            F.coalesce(F.col(doc_id).cast("string"), blank),
+            F.md5(F.coalesce(body, blank)),
+            "mix_epoch",
+        )
+    )
     rows = rows.withColumn("mix_order", digest)
     return rows.repartitionByRange(n, "mix_shard", "mix_order").sortWithinPartitions(
         "mix_shard", "mix_order"

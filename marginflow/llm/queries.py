@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginflow.llm import (
     decontaminate,
@@ -57,10 +58,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_source_mix", sql.SOURCE_MIX)
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words the mix takes of every document."""
+    """Words the mix takes of every document, and the output shard of each copy."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    shards = F.concat_ws(",", F.col("shards").cast("array<string>"))
     return mixing.mix(docs, carry=["doc_id"]).select(
-        "doc_id", "size", "source_size", "target", "taken"
+        "doc_id", "size", "source_size", "target", "taken", shards.alias("shards")
     )
 
 

@@ -109,10 +109,11 @@ def shard(
     text: str = "text",
     doc_id: str = "doc_id",
     carry: Sequence[str] | None = None,
+    order: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Documents dealt to shards 0 to `shards` - 1 of near-equal bytes, in one global order.
 
-    The order is by a hash of the text and then by document id, so that equal texts lie side
+    With `order` it is the order of these columns, such as that of a mix. Else it is by a hash of the text and then by document id, so that equal texts lie side
     by side and at most `shards` - 1 groups of them are cut, and a hot text is still spread
     over many tasks. Only id, size and checksum are sorted; with `carry` (default: all other
     columns) these go along. New columns: `size`, `text_crc32`, `shard`, `slot` (0, 1, ... in
@@ -125,14 +126,16 @@ def shard(
     others = docs.columns if carry is None else carry
     others = [c for c in others if c.lower() not in made and c != doc_id]
     body = F.col(text)
+    by = [F.when(body.isNotNull(), F.xxhash64(body))] if order is None else order
+    keys = [f"_key{i}" for i in range(len(by))]
     rows = docs.select(
         F.struct(doc_id, *others).alias("row"),
         text_size(body).alias("size"),
         F.coalesce(F.crc32(body.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.when(body.isNotNull(), F.xxhash64(body)).alias("_key"),
+        *(k.alias(name) for k, name in zip(by, keys)),
     )
-    order = ["_key", "text_crc32", F.col("row").getField(doc_id)]
-    placed = cut(prefix_sums(rows, order, "size"), "size", shards)
+    last = [] if order is not None else ["text_crc32", F.col("row").getField(doc_id)]
+    placed = cut(prefix_sums(rows, [*keys, *last], "size"), "size", shards)
     return placed.select("row.*", "size", "text_crc32", "shard", "slot")
 
 

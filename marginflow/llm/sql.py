@@ -65,7 +65,7 @@ FROM figures
 """
 
 SOURCE_MIX = r"""
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, source, coalesce('0' || source, '1') AS src,
          md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
@@ -115,16 +115,104 @@ top3 AS (
   WHERE size <= r AND k NOT IN (SELECT b.k FROM top1) AND k NOT IN (SELECT b.k FROM top2)
   GROUP BY f.src
 ),
-extra AS (
+rest3 AS (SELECT src, r - coalesce(b.size, 0) AS r FROM rest2 LEFT JOIN top3 USING (src)),
+tops AS (
   SELECT src, b.k AS k FROM top1 UNION ALL SELECT src, b.k FROM top2
-  UNION ALL SELECT src, b.k FROM top3 UNION ALL SELECT src, k FROM drawn
+  UNION ALL SELECT src, b.k FROM top3
+),
+ends AS (
+  SELECT run.src, min(k[1:9]) AS pos FROM run JOIN parts p ON p.src = run.src AND p.r > 0
+  WHERE upto > run.r GROUP BY run.src
+),
+later AS (
+  SELECT f.src, f.k, f.size FROM free f JOIN ends USING (src)
+  WHERE f.k[1:9] > pos AND f.k NOT IN (SELECT k FROM tops)
+),
+steps AS (
+  SELECT src, 0 AS step, '' AS after, pos, CAST(0 AS DOUBLE) AS most, r AS rest
+  FROM rest3 JOIN ends USING (src)
+  UNION ALL
+  SELECT src, step + 1, pos, coalesce(min(k) FILTER (WHERE through > rest), 'g'), rest,
+         rest - coalesce(sum(size) FILTER (WHERE through <= rest), 0)
+  FROM (
+    SELECT s.src, s.step, s.pos, s.rest, l.k[1:9] AS k, l.size,
+           sum(l.size) OVER (PARTITION BY s.src ORDER BY l.k[1:9]) AS through
+    FROM steps s JOIN later l ON l.src = s.src AND l.k[1:9] > s.pos AND l.size <= s.rest
+  ) GROUP BY src, step, pos, rest
+),
+went AS (
+  SELECT l.src, l.k FROM later l JOIN steps s
+  ON l.src = s.src AND s.step > 0 AND l.k[1:9] > s.after AND l.k[1:9] < s.pos AND l.size <= s.most
+),
+part AS (SELECT src, k FROM drawn UNION ALL SELECT src, k FROM went),
+last AS (
+  SELECT p.src, p.epochs,
+         CASE WHEN s.pos IS NULL THEN -1 WHEN s.pos = 'g' THEN 255
+              ELSE CAST('0x' || s.pos[1:2] AS INTEGER) END AS last
+  FROM parts p LEFT JOIN (SELECT src, arg_max(pos, step) AS pos FROM steps GROUP BY src) s USING (src)
+),
+blocks AS (
+  SELECT src, epoch, unnest(range(0, top + 1)) AS block
+  FROM (
+    SELECT src, epoch, CASE WHEN epoch < epochs THEN 255 ELSE last END AS top
+    FROM last, range(0, 4) e(epoch) WHERE epoch <= epochs
+  ) WHERE top >= 0
+),
+level0 AS (SELECT src, 0 AS lo, 8 AS hi, count(*) AS q FROM blocks GROUP BY src),
+LEVELS
+quotas AS (
+  SELECT src, lo AS shard, sum(q) OVER p - q AS low, sum(q) OVER p AS high
+  FROM level3 WINDOW p AS (PARTITION BY src ORDER BY lo)
+),
+dealt AS (
+  SELECT b.src, b.epoch, b.block, q.shard
+  FROM (
+    SELECT src, epoch, block, row_number() OVER (
+      PARTITION BY src ORDER BY md5('1|' || src || '|' || epoch || '|' || block), epoch, block
+    ) - 1 AS place FROM blocks
+  ) b JOIN quotas q ON q.src = b.src AND place >= low AND place < high
+),
+taken AS (
+  SELECT d.doc_id, d.src, d.size, d.k,
+         epochs + CASE WHEN d.k IN (SELECT k FROM part) THEN 1 ELSE 0 END AS times,
+         CASE WHEN d.k IN (SELECT k FROM tops) THEN 1 ELSE 0 END AS extra
+  FROM docs d JOIN parts USING (src)
+),
+placed AS (
+  SELECT t.doc_id, t.k, x.epoch AS nth, x.shard FROM taken t
+  JOIN dealt x ON x.src = t.src AND x.block = CAST('0x' || t.k[1:2] AS INTEGER) AND x.epoch < t.times
+  UNION ALL
+  SELECT t.doc_id, t.k, 9, x.shard FROM taken t JOIN last l ON l.src = t.src AND t.extra = 1
+  JOIN dealt x ON x.src = t.src AND x.block = l.last AND x.epoch = l.epochs
+),
+listed AS (
+  SELECT doc_id, k, string_agg(CAST(shard AS VARCHAR), ',' ORDER BY nth) AS shards
+  FROM placed GROUP BY doc_id, k
 )
-SELECT doc_id, size, s AS source_size, target,
-       CAST(size * (epochs + CASE WHEN d.k IN (SELECT k FROM extra) THEN 1 ELSE 0 END) AS BIGINT)
-         AS taken
-FROM docs d JOIN parts USING (src)
+SELECT t.doc_id, t.size, s AS source_size, target, CAST(t.size * (times + extra) AS BIGINT) AS taken,
+       coalesce(shards, '') AS shards
+FROM taken t JOIN parts USING (src) LEFT JOIN listed USING (doc_id, k)
 """
 
+
+def _level(n: int) -> str:
+    """One level of the tree of draws: the blocks of each node by their digests, left ones first."""
+    return f"""level{n} AS (
+  SELECT src, CASE WHEN nth <= share THEN lo ELSE mid END AS lo,
+         CASE WHEN nth <= share THEN mid ELSE hi END AS hi, count(*) AS q
+  FROM (
+    SELECT src, lo, hi, (lo + hi) // 2 AS mid,
+           row_number() OVER (
+             PARTITION BY lo, hi ORDER BY md5('1|' || lo || '|' || hi || '|' || src || '|' || i), src, i
+           ) AS nth,
+           floor(count(*) OVER (PARTITION BY lo, hi) * ((lo + hi) // 2 - lo) / (hi - lo)) AS share
+    FROM (SELECT src, lo, hi, unnest(range(1, q + 1)) AS i FROM level{n - 1})
+  ) GROUP BY ALL
+),"""
+
+
+SOURCE_MIX = SOURCE_MIX.replace("LEVELS", "\n".join(_level(n) for n in (1, 2, 3)))
+
 URL_FILTERS = r"""
 WITH captures AS (
   SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,

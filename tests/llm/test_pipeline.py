@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from llm.plain_versions import classes, jaccard_links
 
+from marginflow.llm import mixing
 from marginflow.llm.decontaminate import Budget, Index, plain
 from marginflow.llm.quality import LineRules, judge
 
@@ -45,6 +46,14 @@ def test_stages_against_brute_force(spark, tmp_path):
         sizes[r.shard] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in seen[4])
+    # The order of the mix stays, so its shards and its shuffle do.
+    mixed = mixing.copies(mixing.mix(spark.read.parquet(f"{tmp_path}/2"))).collect()
+    in_mix = [r.doc_id for r in sorted(mixed, key=lambda r: (r.mix_shard, r.mix_order))]
+    assert [r.doc_id for r in sorted(seen[4], key=lambda r: (r.shard, r.slot))] == in_mix
+    # Copies of a document do not lie side by side, but for a few by chance.
+    several = {i for i, n in copies.items() if n > 1}
+    side_by_side = {a for a, b in zip(in_mix, in_mix[1:]) if a == b}
+    assert len(several) > 20 and len(side_by_side) < len(several) / 5
 
 
 def test_run_gives_the_last_stage(spark):
