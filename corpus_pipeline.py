@@ -1,7 +1,8 @@
 """A corpus pipeline: five stages from raw documents to shards of a training mix.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Its
-result is written as Parquet and read again as the documents of the next stage.
+result is written as Parquet and read again as the documents of the next stage. Null, empty and
+repeated rows go through every stage as its operator says; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from marginflow.llm import decontaminate, jaccard, mixing, quality, sharding
+from marginflow.llm.frames import stored_order
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-# Hashes of the texts decide the order of shards, which SQL here cannot express.
+# SQL cannot express the stage of near duplicates, so the tests have a brute-force version.
 ORACLE_SQL = None
 
 
@@ -38,13 +40,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy that the mix takes, so a document may repeat or be left out."""
+    """One row for each copy that the mix takes, so a document may repeat or be left out.
+
+    The rows lie shard by shard of the mix, shuffled in each, and are written in that order.
+    """
     return mixing.copies(mixing.mix(docs)).select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its place in it."""
-    return sharding.shard(docs).select(*COLUMNS, "size", "shard", "slot")
+    """Every row with its shard and its place in it, in the order in which the mix was written."""
+    placed = sharding.shard(docs, order=stored_order(docs))
+    return placed.select(*COLUMNS, "size", "shard", "slot")
 
 
 STAGES = [
