@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginflow.llm.frames import saved
-from marginflow.llm.links import own_shuffle
+from marginflow.llm.frames import own_shuffle, saved
 
 
 def _least(edges: DataFrame, name: str) -> DataFrame:

@@ -171,6 +171,13 @@ def stored_order(df: DataFrame) -> list[Column]:
     return place
 
 
+def own_shuffle(key: str) -> Column:
+    """The same number as an expression, so that a join on it does not reuse a grouping's shuffle:
+    adaptive execution splits hot keys only where both sides are shuffled for the join.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def may_hold(df: DataFrame, keys: Sequence[str], wanted: DataFrame, bits: int = 1 << 25):
     """Rows of `df` whose `keys` may be among those of `wanted`: all that are, and a few others.
 

@@ -15,18 +15,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginflow.llm.frames import explode_batches, may_hold, ship_code, slices, stored
+from marginflow.llm.frames import (
+    explode_batches,
+    may_hold,
+    own_shuffle,
+    ship_code,
+    slices,
+    stored,
+)
 from marginflow.llm.hashing import Words, mixed, shingle_sets
-from marginflow.llm.links import find_links, own_shuffle
+from marginflow.llm.links import late_items
 
 PERCENT = 80
 WIDTH = 5  # words of a token
-MIN_WORDS = 5  # of a line, unless the caller asks for another least
+MIN_WORDS = 1  # of a line, unless the caller asks for another least
 SLOTS = 1 << 22  # counters of the rarity table
 CHUNKS = 64  # pieces of it that are added up apart from each other
 PARTS = 32  # groups of tasks whose pieces are added first
 SLICE_BYTES = 2 * 1024 * 1024
 MOST_LINES = 1 << 17  # sorted at a time
+MANY_BITS = 1 << 26  # of the bitmap of lines with a verdict, 8 MB
 
 
 def split_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -202,22 +210,20 @@ def line_rows(
 
 
 def line_sets(wanted: DataFrame, docs: DataFrame, counters) -> DataFrame:
-    """Members for `find_links`: `wanted` (`item`, `block`, `doc_id`, `line_no`) with tokens.
+    """Members for `late_items`: `wanted` (`item`, `doc_id`, `line_no`) with tokens.
 
     Lines that nobody wants are left out before the join, so few texts move.
     """
     every = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = may_hold(every, ["doc_id", "line_no"], wanted)
-    asked = wanted.select(
-        "item", "block", F.col("doc_id").alias("_id"), F.col("line_no").alias("_no")
-    )
+    asked = wanted.select("item", F.col("doc_id").alias("_id"), F.col("line_no").alias("_no"))
     rows = lines.join(
         asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("line_no") == F.col("_no"))
-    ).select("item", "block", "doc_id", "line_no", "line")
+    ).select("item", "doc_id", "line_no", "line")
 
     def compute(batch: pa.RecordBatch) -> Iterator[dict]:
         part = pa.Table.from_batches([batch])
-        for start, end in slices(batch.column(4), SLICE_BYTES):
+        for start, end in slices(batch.column(3), SLICE_BYTES):
             own = part.slice(start, end - start)
             words = Words(own.column("line").combine_chunks())
             h1, _ = sequence_hashes(words)
@@ -227,8 +233,6 @@ def line_sets(wanted: DataFrame, docs: DataFrame, counters) -> DataFrame:
             own = own.take(pa.array(pick))
             yield {
                 "item": own.column("item").combine_chunks(),
-                "block": own.column("block").combine_chunks(),
-                "weight": pa.array(np.ones(len(pick), dtype=np.int64)),
                 "rank": own.column("doc_id").combine_chunks().fill_null(-(2**63)),
                 "place": own.column("line_no").combine_chunks().cast(pa.int64()),
                 "values": [
@@ -239,7 +243,7 @@ def line_sets(wanted: DataFrame, docs: DataFrame, counters) -> DataFrame:
 
     return explode_batches(
         rows,
-        "item long, block long, weight long, rank long, place long, values binary",
+        "item long, rank long, place long, values binary",
         compute,
     )
 
@@ -285,51 +289,60 @@ def may_match(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
 
 def repeated_lines(
     docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS
-) -> DataFrame:
-    """Lines of `docs` (`doc_id`, `text`) with `h1`, `h2` and whether they are `removed`.
+) -> tuple[DataFrame, DataFrame]:
+    """All lines of `docs` (`doc_id`, `text`) by `doc_id`, and those that go (`doc_id`, `line_no`).
 
     A line goes if an earlier line, in the order of document id and line number, has a Jaccard
     similarity of `percent` / 100 or more to it, whether that one stays or goes itself.
     """
     counters = docs.sparkSession.sparkContext.broadcast(rarity(docs))
     rows = stored(line_rows(docs, counters, percent, least))
-    keys = rows.select(F.col("h1").alias("item"), F.explode("keys").alias("key"))
+    rank = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
+    keys = rows.select(
+        F.col("h1").alias("item"),
+        F.explode("keys").alias("key"),
+        rank.alias("rank"),
+        F.col("line_no").cast("long").alias("place"),
+    )
     # One row per different line, where it comes first.
-    firsts = rows.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"),
-        F.count(F.lit(1)).alias("n"),
+    firsts = stored(
+        rows.groupBy("h1", "h2").agg(
+            F.min(F.struct("doc_id", "line_no")).alias("first"),
+            F.count(F.lit(1)).alias("n"),
+        )
     )
 
-    def fetch(blocks: DataFrame) -> DataFrame:
-        asked = blocks.select(own_shuffle("item").alias("item"), "block")
-        wanted = firsts.join(asked, F.col("h1") == F.col("item")).select(
-            "item", "block", "first.doc_id", "first.line_no"
+    def fetch(items: DataFrame) -> DataFrame:
+        asked = items.select(own_shuffle("item").alias("item"))
+        few = may_hold(
+            firsts.withColumnRenamed("h1", "_h1"), ["_h1"], items.select(F.col("item").alias("_h1"))
+        )
+        wanted = few.join(asked, F.col("_h1") == F.col("item")).select(
+            "item", "first.doc_id", "first.line_no"
         )
         return line_sets(stored(wanted), docs, counters)
 
-    found = find_links(keys, fetch, percent, may_match=may_match)
-    late = found.filter("earlier").select(own_shuffle("item").alias("_item")).distinct()
+    late = stored(late_items(keys, fetch, percent, may_match))
     verdicts = firsts.join(
-        late.withColumn("late", F.lit(True)), F.col("h1") == F.col("_item"), "left"
+        late.select(own_shuffle("item").alias("_item"), F.lit(True).alias("late")),
+        F.col("h1") == F.col("_item"),
+        "left",
     ).filter("late OR n > 1")
-    verdicts = verdicts.select(
-        own_shuffle("h1").alias("_h1"),
-        F.col("h2").alias("_h2"),
-        "first",
-        F.coalesce("late", F.lit(False)).alias("late"),
+    verdicts = stored(
+        verdicts.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"))
     )
+    # Lines without a verdict stay where they are.
     here = F.struct("doc_id", "line_no")
-    return rows.join(
-        verdicts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left"
-    ).select(
-        "doc_id",
-        "line_no",
-        "h1",
-        "h2",
-        (
-            F.col("_h1").isNotNull() & (F.col("late") | ~here.eqNullSafe(F.col("first")))
-        ).alias("removed"),
+    told = verdicts.select(
+        own_shuffle("h1").alias("_h1"), F.col("h2").alias("_h2"), "first", "late"
     )
+    few = may_hold(rows.select("doc_id", "line_no", "h1", "h2"), ["h1", "h2"], verdicts.select("h1", "h2"), MANY_BITS)
+    removed = (
+        few.join(told, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+        .filter(F.col("late") | ~here.eqNullSafe(F.col("first")))
+        .select("doc_id", "line_no")
+    )
+    return rows.select("doc_id"), removed
 
 
 def line_dedup(
@@ -342,11 +355,12 @@ def line_dedup(
     """(`doc_id`, `n_lines`, `n_removed`, `removed`): per document what line dedup takes out.
 
     `n_lines` counts lines of `least` words or more, the only ones looked at; `removed` lists the
-    numbers of the lines (from 0) that repeat an earlier one. With `least` 1 every line that has
+    numbers of the lines (from 0) that repeat an earlier one. By default every line that has
     a word is looked at; a line of fewer than five words repeats equal lines only.
 
-    The join is exact: every pair that the filters let through is compared. Equal lines are
-    one item, so a hot line makes no pairs; near copies of a line are compared in blocks.
+    The join is exact: a line that the first line of none of its prefix tokens makes go is compared
+    with every earlier one that the filters let through. Equal lines are one item, so a hot line
+    makes no pairs; of near copies each is compared with the first.
 
     Null, empty and blank texts have no lines and give a row with zeros. A null id sorts
     before all others. Rows that repeat an id are one document: a line at the same place in
@@ -354,12 +368,15 @@ def line_dedup(
     gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = repeated_lines(rows, percent, least).select(
-        "doc_id", F.lit(1).alias("n"), F.when(F.col("removed"), F.col("line_no")).alias("gone")
-    )
-    nothing = rows.select("doc_id", F.lit(0).alias("n"), F.lit(None).cast("int").alias("gone"))
+    lines, removed = repeated_lines(rows, percent, least)
+    nowhere = F.lit(None).cast("int").alias("gone")
+    parts = [
+        lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "n", nowhere),
+        removed.select("doc_id", F.lit(0).cast("long").alias("n"), F.col("line_no").alias("gone")),
+        rows.select("doc_id", F.lit(0).cast("long").alias("n"), nowhere),
+    ]
     return (
-        lines.unionByName(nothing)
+        parts[0].unionByName(parts[1]).unionByName(parts[2])
         .groupBy("doc_id")
         .agg(
             F.sum("n").cast("long").alias("n_lines"),
@@ -372,7 +389,11 @@ def line_dedup(
 def drop_lines(
     docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """`docs` without the lines that `line_dedup` lists, with the columns they came with."""
+    """`docs` without the lines that `line_dedup` lists, with the columns they came with.
+
+    Null texts, and documents of which no line goes, stay as they are; a text that loses all its
+    lines is empty. Rows that repeat an id lose the same line numbers. An empty table gives no rows.
+    """
     gone = found.filter("n_removed > 0").select("doc_id", "removed")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("body"))
     joined = rows.join(gone, rows["row"][doc_id].cast("long").eqNullSafe(gone["doc_id"]), "left")

@@ -1,8 +1,11 @@
 """Verified links between items that share a key, without a row for every pair.
 
-Items with a common key are put in blocks of bounded size. Blocks whose items share a key meet
-in pairs, and a task that holds such a pair of blocks compares their sets all at once. What it
-returns has one row per item: how many links it found and which items hang together.
+Each key has a representative, the first of its items. Every item is compared with those of its
+keys, and moves once for each: a star. Near copies are linked by then, however many there are. What
+is left to ask goes in blocks: items are compared with those of their keys that may still tell
+something new, which are of another component, or come before an item that has no earlier
+partner yet. A task that holds a block on either side compares all their sets at once, and returns
+a row per item. So no link between components is lost, and a crowd is not compared with itself.
 """
 
 from __future__ import annotations
@@ -12,16 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginflow.llm.frames import may_hold, saved, ship_code, stored
+from marginflow.llm.components import components
+from marginflow.llm.frames import may_hold, own_shuffle, saved, ship_code, stored
 
-BLOCK_ITEMS = 256
+BLOCK_ITEMS = 512
 BLOCK_VALUES = 1 << 18  # hashes in the sets of a block, unless a single item has more
 MANY_BITS = 1 << 26  # of the bitmap of shared keys, 8 MB
-CALL_ITEMS = 2048  # items of the pairs of blocks that one call compares, about
-SMALL = 12  # items up to which sets are compared one by one
+CALL_ITEMS = 4096  # items that one call compares, about
+CALL_VALUES = 1 << 20  # hashes in their sets, about
+SMALL = 64  # pairs up to which sets are compared one by one
 CHUNK = 4096  # columns of the incidence matrix at a time
 
 
@@ -80,10 +85,9 @@ def linked(
     return (both > 0) & (100 * both >= percent * (a + b - both))
 
 
-def forest(pairs: np.ndarray) -> np.ndarray:
-    """Smallest node each node hangs together with; `pairs` is a square matrix of links."""
-    label = np.arange(len(pairs))
-    u, v = np.nonzero(pairs)
+def reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest of `n` nodes that each hangs together with over the links (`u`, `v`)."""
+    label = np.arange(n)
     while True:
         new = label.copy()
         np.minimum.at(new, u, label[v])
@@ -94,246 +98,343 @@ def forest(pairs: np.ndarray) -> np.ndarray:
         label = new
 
 
-RESULT = "item long, hub long, links long, earlier boolean"
-
-
-def compare_blocks(percent: int, may_match: Callable | None = None, extent: int = 0) -> Callable:
-    """Function for some pairs of blocks: a row per pair and item with links in it.
-
-    `may_match` tells the pairs that need a look; sets without one are not compared. Items of
-    one `rank` whose places are less than `extent` apart overlap and are not linked.
-    """
-
-    def verified(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        if may_match is None:
-            return linked(left, right, percent)
-        maybe = may_match(left, right, percent)
-        if left is right:
-            np.fill_diagonal(maybe, False)
-        rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
-        out = np.zeros_like(maybe)
-        out[np.ix_(rows, columns)] = linked(
-            [left[i] for i in rows], [right[i] for i in columns], percent
-        )
-        return out & maybe
-
-    def large(rows: Rows) -> list[tuple]:
-        """One pair of blocks by products of matrices."""
-        sets = [unpack(x) for x in rows.values]
-        n = len(rows.item)
-        square = np.zeros((n, n), dtype=bool)
-        if rows.same:
-            square = verified(sets, sets)
-            np.fill_diagonal(square, False)
-        else:
-            a, b = np.flatnonzero(~rows.second), np.flatnonzero(rows.second)
-            cross = verified([sets[i] for i in a], [sets[i] for i in b])
-            square[np.ix_(a, b)] = cross
-            square[np.ix_(b, a)] = cross.T
-        if extent:
-            apart = np.abs(rows.place[:, None] - rows.place[None, :]) >= extent
-            square &= apart | (rows.rank[:, None] != rows.rank[None, :])
-        hub = forest(square)
-        links = square.astype(np.int64) @ rows.weight
-        # Places in the order of (rank, place): is there a linked item before this one?
-        position = np.empty(n, dtype=np.int64)
-        position[np.lexsort((rows.item, rows.place, rows.rank))] = np.arange(n)
-        least = np.where(square, position[None, :], n).min(axis=1)
-        return [
-            (rows.item[i], rows.item[hub[i]], links[i], least[i] < position[i])
-            for i in np.flatnonzero(square.any(axis=1))
-        ]
-
-    def small(rows: Rows) -> list[tuple]:
-        """One pair of blocks with few items, set by set, which beats matrices there."""
-        sets = [frozenset(unpack(x).tolist()) for x in rows.values]
-        n, label = len(sets), list(range(len(sets)))
-        links, earlier = [0] * n, [False] * n
-        order = list(zip(rows.rank.tolist(), rows.place.tolist(), rows.item.tolist()))
-        for i in range(n):
-            for j in range(i):
-                x, y = sets[i], sets[j]
-                if not rows.same and rows.second[i] == rows.second[j]:
-                    continue
-                # The smaller set has `percent` of the larger, or they are not similar enough.
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(x & y)
-                if not both or 100 * both < percent * (len(x) + len(y) - both):
-                    continue
-                if order[i][0] == order[j][0] and abs(order[i][1] - order[j][1]) < extent:
-                    continue
-                links[i] += int(rows.weight[j])
-                links[j] += int(rows.weight[i])
-                late = i if order[j] < order[i] else j
-                earlier[late] = True
-                low, high = sorted((label[i], label[j]))
-                label = [low if k == high else k for k in label]
-        return [(rows.item[i], rows.item[label[i]], links[i], earlier[i]) for i in range(n) if links[i]]
-
-    def run(table: pa.Table) -> pa.Table:
-        out = []
-        for rows in pairs_of_blocks(table):
-            out += small(rows) if len(rows.item) <= SMALL else large(rows)
-        item, hub, links, earlier = zip(*out) if out else ([], [], [], [])
-        return pa.table(
-            {
-                "item": pa.array(item, type=pa.int64()),
-                "hub": pa.array(hub, type=pa.int64()),
-                "links": pa.array(links, type=pa.int64()),
-                "earlier": pa.array(earlier, type=pa.bool_()),
-            }
-        )
-
-    return run
+RESULT = "item long, hub long, late long"
 
 
 @dataclass
-class Rows:
-    """The items of one pair of blocks, by number, each once."""
+class Side:
+    """Items that stand on one side of a comparison."""
 
-    same: bool
-    second: np.ndarray
     item: np.ndarray
     rank: np.ndarray
     place: np.ndarray
-    weight: np.ndarray
     values: list[bytes]
 
+    def sets(self) -> list[np.ndarray]:
+        return [unpack(x) for x in self.values]
+
+    @property
+    def order(self) -> list[tuple]:
+        return list(zip(self.rank.tolist(), self.place.tolist(), self.item.tolist()))
+
 
-def pairs_of_blocks(table: pa.Table) -> Iterator[Rows]:
-    """The pairs of blocks that were dealt to one group of rows, one after the other."""
-    a, b, item, rank, place, weight = (
-        table.column(c).to_numpy() for c in ("a", "b", "item", "rank", "place", "weight")
+def sides(table: pa.Table) -> Iterator[tuple[Side, Side]]:
+    """The pairs of blocks that were dealt to one call, each with its two sides."""
+    a, b, item, rank, place = (
+        table.column(c).to_numpy() for c in ("a", "b", "item", "rank", "place")
     )
     second = table.column("second").to_numpy().astype(bool)
     values = table.column("values")
-    order = np.lexsort((item, b, a))
-    a, b, item = a[order], b[order], item[order]
+    order = np.lexsort((item, second, b, a))
+    a, b, second, item = a[order], b[order], second[order], item[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     # Rows that repeat a document have brought the same item more than once.
     fresh = new.copy()
-    fresh[1:] |= item[1:] != item[:-1]
+    fresh[1:] |= (item[1:] != item[:-1]) | (second[1:] != second[:-1])
     starts = np.append(np.flatnonzero(new), len(order))
+
+    def side(mine: np.ndarray) -> Side:
+        at = order[mine]
+        return Side(item[mine], rank[at], place[at], values.take(pa.array(at)).to_pylist())
+
     for start, end in zip(starts[:-1], starts[1:]):
         mine = np.arange(start, end)[fresh[start:end]]
-        at = order[mine]
-        yield Rows(
-            bool(a[start] == b[start]),
-            second[at],
-            item[mine],
-            rank[at],
-            place[at],
-            weight[at],
-            values.take(pa.array(at)).to_pylist(),
-        )
+        yield side(mine[~second[mine]]), side(mine[second[mine]])
+
 
+def compare_sides(percent: int, may_match: Callable | None = None, extent: int = 0) -> Callable:
+    """Function for some pairs of blocks: rows of items with links between the two sides.
 
-def own_shuffle(key: str) -> Column:
-    """The same number as an expression, so that a join on it does not reuse the grouping's
-    shuffle: adaptive execution splits hot keys only where both sides are shuffled for the join.
+    `hub` is an item that `item` hangs together with, `late` the one of a linked pair that comes
+    after the other, if that was not said already. `may_match` tells the pairs that need a look;
+    sets without one are not compared. Items of one `rank` whose places are less than `extent`
+    apart overlap and are not linked.
     """
-    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+
+    def one_by_one(left: Side, right: Side) -> np.ndarray:
+        out = np.zeros((len(left.item), len(right.item)), dtype=bool)
+        ours, theirs = ([frozenset(s.tolist()) for s in x.sets()] for x in (left, right))
+        for i, x in enumerate(ours):
+            for j, y in enumerate(theirs):
+                # The smaller set has `percent` of the larger, or they are not similar enough.
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    both = len(x & y)
+                    out[i, j] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+        return out
+
+    def at_once(left: Side, right: Side) -> np.ndarray:
+        ours, theirs = left.sets(), right.sets()
+        if may_match is None:
+            return linked(ours, theirs, percent)
+        maybe = may_match(ours, theirs, percent)
+        rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        out = np.zeros_like(maybe)
+        out[np.ix_(rows, columns)] = linked(
+            [ours[i] for i in rows], [theirs[i] for i in columns], percent
+        )
+        return out & maybe
+
+    def compared(left: Side, right: Side) -> Iterator[tuple]:
+        few = len(left.item) * len(right.item) <= SMALL
+        found = (one_by_one if few else at_once)(left, right)
+        found &= left.item[:, None] != right.item[None, :]
+        if extent:
+            apart = np.abs(left.place[:, None] - right.place[None, :]) >= extent
+            found &= apart | (left.rank[:, None] != right.rank[None, :])
+        i, j = np.nonzero(found)
+        if not len(i):
+            return
+        # An item may stand on both sides.
+        items, node = np.unique(np.concatenate([left.item, right.item]), return_inverse=True)
+        u, v = node[i], node[len(left.item) + j]
+        label = reachable(len(items), u, v)
+        before, after = left.order, right.order
+        late = {before[x][2] if after[y] < before[x] else after[y][2] for x, y in zip(i.tolist(), j.tolist())}
+        for at in np.unique(np.concatenate([u, v])).tolist():
+            item = int(items[at])
+            yield item, int(items[label[at]]), item if item in late else None
+
+    def run(table: pa.Table) -> pa.Table:
+        out = [row for left, right in sides(table) for row in compared(left, right)]
+        columns = zip(*out) if out else ([], [], [])
+        return pa.table(
+            {
+                name: pa.array(column, type=pa.int64())
+                for name, column in zip(("item", "hub", "late"), columns)
+            }
+        )
+
+    return run
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(`item`, `key`) rows of the keys that two or more different items have, with `lead`.
+    """(`item`, `key`, `rank`, `place`) rows of the keys that two or more different items have.
 
-    `lead` is the smallest item of the key. The extremes are made from partial ones. Most keys
-    have one item, and a bitmap of the others keeps their rows from moving. The way back is a
-    join with a shuffle of its own, so a hot key is split by adaptive execution; the side of
-    one row per shared key is hashed, so that the many rows need no sorting.
+    The extremes are made from partial ones. Most keys have one item, and a bitmap of the others
+    keeps their rows from moving. The way back is a join with a shuffle of its own, so a hot key is
+    split by adaptive execution; the side of one row per shared key is hashed, so that the many
+    rows need no sorting. Of an item that stands at several places the first counts.
     """
     hot = stored(
         keys.groupBy("key")
-        .agg(F.min("item").alias("lead"), F.max("item").alias("_last"))
-        .filter(F.col("lead") < F.col("_last"))
-        .select("key", "lead")
+        .agg(F.min("item").alias("_first"), F.max("item").alias("_last"))
+        .filter(F.col("_first") < F.col("_last"))
+        .select("key")
     )
     few = may_hold(keys, ["key"], hot, MANY_BITS)
-    found = hot.select(F.col("key").alias("_key"), "lead").hint("shuffle_hash")
+    found = hot.select(F.col("key").alias("_key")).hint("shuffle_hash")
     joined = few.join(found, F.col("key") == F.col("_key"))
-    return joined.select("item", "key", "lead").distinct()
+    order = F.min(F.struct("rank", "place"))
+    return joined.groupBy("item", "key").agg(order.alias("at")).select("item", "key", "at.*")
 
 
-def blocks_of(shared: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """(`item`, `block`): items by their smallest lead, in blocks of about BLOCK_ITEMS.
+def dealt(groups: DataFrame, by: str) -> DataFrame:
+    """(`item`, `by`, `size`) rows with `chunk`: parts of each group with bounded items and sizes.
 
-    `sizes` (`item`, `size`) keeps blocks with large sets small. Items of a lead are dealt to
-    its blocks by a digest, so no task sees a whole group.
+    Items are dealt by a digest, so no task sees a whole group.
     """
-    leads = shared.groupBy("item").agg(F.min("lead").alias("lead"))
-    if sizes is not None:
-        leads = leads.join(sizes, "item")
-    else:
-        leads = leads.withColumn("size", F.lit(1))
-    groups = (
-        leads.groupBy("lead")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
-        .select(
-            own_shuffle("lead").alias("_lead"),
-            F.greatest(
-                F.ceil(F.col("n") / BLOCK_ITEMS), F.ceil(F.col("total") / BLOCK_VALUES), F.lit(1)
-            ).alias("n_blocks"),
-        )
+    totals = groups.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    chunks = totals.select(
+        own_shuffle(by).alias("_by"),
+        F.greatest(
+            F.ceil(F.col("n") / BLOCK_ITEMS), F.ceil(F.col("total") / BLOCK_VALUES), F.lit(1)
+        ).alias("chunks"),
     )
     return (
-        leads.join(groups, F.col("lead") == F.col("_lead")).select(
-            "item",
-            F.xxhash64("lead", F.pmod(F.xxhash64("item", F.lit(7)), F.col("n_blocks"))).alias(
-                "block"
-            ),
-        )
+        groups.join(chunks, F.col(by) == F.col("_by"))
+        .withColumn("chunk", F.pmod(F.xxhash64("item", F.lit(7)), F.col("chunks")))
+        .drop("_by", "chunks")
     )
 
 
-def find_links(
-    keys: DataFrame,
-    fetch: Callable[[DataFrame], DataFrame],
-    percent: int,
-    sizes: DataFrame | None = None,
-    may_match: Callable | None = None,
-    extent: int = 0,
-) -> DataFrame:
-    """Links between items that share a key: (`item`, `hub`, `links`, `earlier`), with repeats.
-
-    `keys` has (`item`, `key`), both long, with repeats if need be. `fetch` adds to candidates
-    (`item`, `block`) their `values` (packed set), `weight` (copies), `rank` and `place`
-    (order). An item has a row for each pair of blocks in which it has a link: `links` is the
-    weight of its partners there, `hub` an item it hangs together with, `earlier` whether a
-    partner comes before it. Two items meet in one pair of blocks only, so sums of `links`
-    count each partner once. All pairs that share a key are compared; no key is left out.
+def compared_seats(seats: DataFrame, members: DataFrame, compare: Callable) -> DataFrame:
+    """`compare` over `seats` (`a`, `b`, `second`, `item`), each with the set of its item.
+
+    Many pairs of blocks have a few items only, so a call gets several of them.
     """
-    shared = saved(shared_keys(keys))
-    blocks = saved(blocks_of(shared, sizes))
-    spots = shared.join(blocks, "item").select("key", "block").distinct()
-    left = spots.select(F.col("key"), F.col("block").alias("a"))
-    right = spots.select(F.col("key"), F.col("block").alias("b"))
-    pairs = left.join(right, "key").filter("a <= b").select("a", "b").distinct()
-    seats = pairs.select(
-        "a",
-        "b",
-        F.explode(
-            F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
-        ).alias("block"),
-    )
-    # Many pairs of blocks have a few items only: a task's call gets several of them.
     seats = saved(seats)
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    seated = seats.join(sizes, "block").agg(F.sum("n")).first()[0] or 0
-    calls = max(1, -(-seated // CALL_ITEMS))
-    members = fetch(blocks)
-    met = seats.join(members, "block").select(
+    sizes = members.select(
+        own_shuffle("item").alias("_item"), "rank", "place", "values",
+        (F.octet_length("values") / 8).alias("size"),
+    )
+    met = seats.join(sizes, F.col("item") == F.col("_item"))
+    known = seats.join(sizes.select("_item", "size"), F.col("item") == F.col("_item"))
+    n, total = known.agg(F.count(F.lit(1)), F.sum("size")).first()
+    calls = max(1, -(-n // CALL_ITEMS), int(-(-(total or 0) // CALL_VALUES)))
+    rows = met.select(
         F.pmod(F.xxhash64("a", "b"), F.lit(calls)).alias("call"),
         "a",
         "b",
-        (F.col("block") != F.col("a")).alias("second"),
+        "second",
         "item",
         "rank",
         "place",
-        "weight",
         "values",
     )
-    ship_code(keys.sparkSession)
-    return met.groupBy("call").applyInArrow(compare_blocks(percent, may_match, extent), RESULT)
+    ship_code(seats.sparkSession)
+    return rows.groupBy("call").applyInArrow(compare, RESULT)
+
+
+def star_links(shared: DataFrame, members: DataFrame, compare: Callable) -> DataFrame:
+    """Links between the items of each key and its representative, the first of them."""
+    first = shared.groupBy("key").agg(F.min(F.struct("rank", "place", "item")).alias("first"))
+    asks = (
+        shared.select("item", "key")
+        .join(
+            first.select(own_shuffle("key").alias("_key"), F.col("first.item").alias("lead")),
+            F.col("key") == F.col("_key"),
+        )
+        .filter("item <> lead")
+        .select("item", "lead")
+        .distinct()
+    )
+    sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
+    groups = asks.join(sizes, F.col("item") == F.col("_item")).drop("_item")
+    stars = saved(dealt(groups, "lead").select("lead", "chunk", "item"))
+    spot = [F.col("lead").alias("a"), F.col("chunk").cast("long").alias("b")]
+    askers = stars.select(*spot, F.lit(False).alias("second"), "item")
+    leads = stars.select(*spot, F.lit(True).alias("second"), F.col("lead").alias("item")).distinct()
+    return compared_seats(askers.unionByName(leads), members, compare)
+
+
+def block_links(
+    asks: DataFrame, answers: DataFrame, worth: str, members: DataFrame, compare: Callable
+) -> DataFrame:
+    """Links between items that ask and items that answer under one key.
+
+    `asks` and `answers` have (`item`, `key`, `group`, `low`, `high`): `group` is where the item is
+    put with others like it, `low` and `high` are the bounds of a number that `worth` compares
+    (`l_low`, `l_high` of the asking block, `r_low`, `r_high` of the answering one) to leave out
+    pairs of blocks that have nothing to say. An item is in one block on each side.
+    """
+    sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
+
+    def blocks(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        groups = rows.groupBy("item").agg(F.min("group").alias("group"))
+        groups = groups.join(sizes, F.col("item") == F.col("_item")).drop("_item")
+        placed = saved(
+            dealt(groups, "group").select("item", F.xxhash64("group", "chunk").alias("block"))
+        )
+        spots = (
+            rows.join(
+                placed.select(own_shuffle("item").alias("_item"), "block"),
+                F.col("item") == F.col("_item"),
+            )
+            .groupBy("key", F.col("block").alias(side))
+            .agg(F.min("low").alias(f"{side}_low"), F.max("high").alias(f"{side}_high"))
+        )
+        return placed, spots
+
+    placed_l, l = blocks(asks, "l")
+    placed_r, r = blocks(answers, "r")
+    r = r.withColumn("_key", own_shuffle("key")).drop("key")
+    pairs = saved(
+        l.join(r, (F.col("key") == F.col("_key")) & F.expr(worth))
+        .select(F.col("l").alias("a"), F.col("r").alias("b"))
+        .distinct()
+    )
+    seats = [
+        pairs.select("a", "b", own_shuffle(end).alias("_block"))
+        .join(placed, F.col("_block") == F.col("block"))
+        .select("a", "b", F.lit(second).alias("second"), "item")
+        for end, placed, second in (("a", placed_l, False), ("b", placed_r, True))
+    ]
+    return compared_seats(seats[0].unionByName(seats[1]), members, compare)
+
+
+def _members(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return stored(fetch(shared.select("item").distinct()))
+
+
+def linked_components(
+    keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, extent: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """What hangs together of items that share keys: (`node`, `component`), and links (`u`, `v`).
+
+    `keys` has (`item`, `key`, `rank`, `place`), the first three long, with repeats if need be.
+    `fetch` adds to items their `rank`, `place` and `values` (packed set). After the stars, the items of each
+    key ask those of components that are larger than theirs, or as large with a greater number,
+    so of two components one asks the other. Items without a link have no row. The links, which
+    may repeat, are verified and hold every component together; they are not all there are.
+    """
+    shared = saved(shared_keys(keys))
+    members = _members(shared, fetch)
+    compare = compare_sides(percent, extent=extent)
+    stars = saved(star_links(shared, members, compare))
+    first = saved(components(stars.select(F.col("item").alias("u"), F.col("hub").alias("v"))))
+    sizes = first.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    known = first.join(
+        sizes.select(own_shuffle("component").alias("_component"), "size"),
+        F.col("component") == F.col("_component"),
+    ).select(F.col("node").alias("_node"), "component", "size")
+    # A number that orders components by size, and tells them apart.
+    number = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "item").alias("of"))
+    rows = shared.join(known, F.col("item") == F.col("_node"), "left").select(
+        "item", "key", number.alias("number"), "rank", "place"
+    )
+    spread = rows.groupBy("key").agg(
+        F.min("number").alias("low"),
+        F.max("number").alias("high"),
+        F.min(F.struct("rank", "place", "item")).alias("first"),
+    )
+    mixed = spread.filter("low < high").select(
+        own_shuffle("key").alias("_key"), "low", "high", F.col("first.item").alias("lead")
+    )
+    open_rows = saved(rows.join(mixed, F.col("key") == F.col("_key")).drop("_key", "rank", "place"))
+    # Crowds are put in blocks of their own, so that these are of one component.
+    crowd = F.when(F.col("number.size") >= BLOCK_ITEMS, F.col("number.of"))
+    columns = [
+        "item",
+        "key",
+        F.xxhash64("lead", crowd).alias("group"),
+        F.col("number").alias("low"),
+        F.col("number").alias("high"),
+    ]
+    asks = open_rows.filter("number < high").select(*columns)
+    answers = open_rows.filter("number > low").select(*columns)
+    rest = saved(block_links(asks, answers, "l_low < r_high", members, compare))
+    links = stars.unionByName(rest).select(F.col("item").alias("u"), F.col("hub").alias("v"))
+    return components(links), links
+
+
+def late_items(
+    keys: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    percent: int,
+    may_match: Callable | None = None,
+) -> DataFrame:
+    """(`item`): items with a partner that comes before them, by `rank` and `place`.
+
+    Takes what `linked_components` takes. The representative of a key is the first of its items, so
+    most items that have an earlier partner find it there. Each of the others asks all items that
+    come before it under one of its keys.
+    """
+    shared = saved(shared_keys(keys))
+    members = _members(shared, fetch)
+    compare = compare_sides(percent, may_match)
+    stars = saved(star_links(shared, members, compare).filter("late IS NOT NULL").select("late"))
+    told = stars.distinct().select(own_shuffle("late").alias("_late"))
+    at = F.struct("rank", "place", "item")
+    rows = shared.select("item", "key", at.alias("at"))
+    firsts = rows.groupBy("key").agg(F.min("at").alias("first"))
+    placed = rows.join(
+        firsts.select(own_shuffle("key").alias("_key"), "first"), F.col("key") == F.col("_key")
+    ).drop("_key")
+    # The first of a key has nobody to ask there.
+    asks = saved(
+        placed.filter("at > first").join(told, F.col("item") == F.col("_late"), "left_anti")
+    )
+    columns = [
+        "item", "key", F.col("first.item").alias("group"), F.col("at").alias("low"), F.col("at").alias("high"),
+    ]
+    wanted = asks.groupBy("key").agg(F.max("at").alias("last"))
+    answers = placed.join(
+        wanted.select(own_shuffle("key").alias("_key"), "last"),
+        (F.col("key") == F.col("_key")) & (F.col("at") < F.col("last")),
+    )
+    rest = block_links(
+        asks.select(*columns), answers.select(*columns), "r_low < l_high", members, compare
+    )
+    found = rest.filter("late IS NOT NULL").select("late")
+    return stars.unionByName(found).select(F.col("late").alias("item")).distinct()

@@ -20,17 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginflow.llm.components import components
 from marginflow.llm.frames import (
     WORD,
     append_columns,
     explode_batches,
     may_hold,
+    own_shuffle,
+    saved,
     slices,
     stored,
 )
 from marginflow.llm.hashing import LARGEST, Words, mixed, seeds, shingles, sliding, tune
-from marginflow.llm.links import find_links, own_shuffle, pack
+from marginflow.llm.links import linked_components, pack
 
 PARAGRAPH = 20  # words
 REACH = 31  # with PARAGRAPH: passages of 50 words or more are found
@@ -189,13 +190,13 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
 
 
 def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Members for `find_links`: `wanted` (`item`, `block`, `doc_id`, `start`) with shingles.
+    """Members for `linked_components`: `wanted` (`item`, `doc_id`, `start`) with shingles.
 
     A document is read once for all its wanted paragraphs, of which it has at most as many as
     words.
     """
     by_doc = wanted.groupBy("doc_id").agg(
-        F.collect_list(F.struct("item", "block", "start")).alias("wanted")
+        F.collect_list(F.struct("item", "start")).alias("wanted")
     )
     rows = may_hold(docs, ["doc_id"], wanted).join(
         by_doc.select(own_shuffle("doc_id").alias("_id"), "wanted"),
@@ -220,8 +221,6 @@ def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             values = paragraph_shingles(words, places[pick])
             yield {
                 "item": pa.array(items[pick]),
-                "block": pa.array([asked[i][1]["block"] for i in pick], type=pa.int64()),
-                "weight": pa.array(np.ones(len(pick), dtype=np.int64)),
                 "rank": ids.take(pa.array([start + asked[i][0] for i in pick], type=pa.int64())),
                 "place": pa.array([asked[i][1]["start"] for i in pick], type=pa.int64()),
                 "values": [pack(v) for v in values],
@@ -229,7 +228,7 @@ def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
     return explode_batches(
         rows,
-        "item long, block long, weight long, rank long, place long, values binary",
+        "item long, rank long, place long, values binary",
         compute,
     )
 
@@ -348,7 +347,12 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     several = stored(
         told.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     )
-    every = rows.select("item", F.explode("keys").alias("key"))
+    every = rows.select(
+        "item",
+        F.explode("keys").alias("key"),
+        F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("rank"),
+        F.col("start").cast("long").alias("place"),
+    )
     keys = may_hold(every, ["key"], several, MANY_BITS)
 
     def places(items: DataFrame) -> DataFrame:
@@ -357,14 +361,12 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
         few = may_hold(rows.select("doc_id", "start", "item"), ["item"], items, MANY_BITS)
         return few.join(asked, F.col("item") == F.col("_item")).drop("_item")
 
-    def fetch(blocks: DataFrame) -> DataFrame:
-        wanted = places(blocks).groupBy("item", "block").agg(
-            F.min(F.struct("doc_id", "start")).alias("first")
-        )
-        return paragraph_sets(stored(wanted.select("item", "block", "first.*")), docs)
+    def fetch(items: DataFrame) -> DataFrame:
+        wanted = places(items).groupBy("item").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+        return paragraph_sets(stored(wanted.select("item", "first.*")), docs)
 
-    found = stored(find_links(keys, fetch, percent, extent=PARAGRAPH))
-    linked_items = components(found.select(F.col("item").alias("u"), F.col("hub").alias("v")))
+    linked_items, _ = linked_components(keys, fetch, percent, extent=PARAGRAPH)
+    linked_items = saved(linked_items)
     clusters = linked_items.select(F.col("node").alias("item"), F.col("component").alias("cluster"))
     again = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     known = again.select("item").unionByName(clusters.select("item")).distinct()

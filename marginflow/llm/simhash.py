@@ -25,6 +25,7 @@ from marginflow.llm.components import components
 from marginflow.llm.frames import (
     append_columns,
     explode_batches,
+    own_shuffle,
     saved,
     ship_code,
     slices,
@@ -32,7 +33,7 @@ from marginflow.llm.frames import (
     summed_arrays,
 )
 from marginflow.llm.hashing import mixed, seeds
-from marginflow.llm.links import own_shuffle
+from marginflow.llm.links import reachable
 
 BITS = 64
 DISTANCE = 4
@@ -272,21 +273,13 @@ def runs_of_neighbours(values: DataFrame, parts: list[Part], distance: int = DIS
             # The last few of the batch before are met again.
             turn = np.concatenate([turn[-NEXT:], batch.column(0).to_numpy()])
             own = np.concatenate([own[-NEXT:], fresh])
-            label = np.arange(len(own))
             found = []
             for step in range(1, min(NEXT, len(own) - 1) + 1):
                 near = np.bitwise_count(own[step:] ^ own[:-step]) <= distance
                 at = np.flatnonzero(near & (turn[step:] == turn[:-step]))
                 found.append(np.stack([at, at + step]))
             a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-            while len(a):
-                new = label.copy()
-                np.minimum.at(new, a, label[b])
-                np.minimum.at(new, b, label[a])
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+            label = reachable(len(own), a, b)
             some = np.flatnonzero(label != np.arange(len(own)))
             yield pa.RecordBatch.from_pydict(
                 {

@@ -44,7 +44,7 @@ def classes(n, links):
     return label
 
 
-def late_lines(rows, percent=80, least=5):
+def late_lines(rows, percent=80, least=1):
     """(id, number) of lines that repeat an earlier one, in the order of id and number."""
     lines = [
         (i, k, grams(line))

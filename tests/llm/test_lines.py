@@ -32,6 +32,19 @@ def test_against_brute_force(docs):
     assert got == want and len(want) > 50
 
 
+def test_a_chain_of_lines_in_which_the_first_is_far_from_the_last(docs):
+    """A line may have an earlier partner that is not the first of any key they share."""
+    base = [f"b{i}" for i in range(60)]
+    rows, line = [], list(base)
+    for i in range(30):
+        line = list(line)
+        line[(7 * i) % 60] = f"x{i}"
+        rows.append((i, " ".join(line)))
+    rows += [(50 + i, t) for i, (_, t) in enumerate(rows[::-1])]
+    got = {(r.doc_id, k) for r in line_dedup(docs(rows)).collect() for k in r.removed}
+    assert got == late_lines(rows)
+
+
 def test_a_hot_line_and_its_near_copies_in_many_blocks(docs, monkeypatch):
     from marginflow.llm import links
 
@@ -43,6 +56,12 @@ def test_a_hot_line_and_its_near_copies_in_many_blocks(docs, monkeypatch):
     assert got == late_lines(rows)
 
 
+def test_lines_of_a_least_length(docs):
+    rows = corpus(4)
+    got = {(r.doc_id, k) for r in line_dedup(docs(rows), least=5).collect() for k in r.removed}
+    assert got == late_lines(rows, least=5)
+
+
 def test_text_without_the_lines(docs):
     rows = [(1, "a b c d e f\n\nshort"), (2, "g h i j k\na b c d e f\nlast"), (3, None)]
     df = docs(rows, clashing=True)
@@ -71,10 +90,10 @@ def test_short_lines_against_brute_force(docs):
         (i, text + "\n" + "\n".join(draw.choices([*menu, "", " "], k=draw.randint(0, 5))))
         for i, text in corpus(9)
     ]
-    found = line_dedup(docs(rows), least=1).collect()
+    found = line_dedup(docs(rows)).collect()
     got = {(r.doc_id, k) for r in found for k in r.removed}
-    want = late_lines(rows, least=1)
-    assert got == want and len(want) > len(late_lines(rows)) + 50
+    want = late_lines(rows)
+    assert got == want and len(want) > len(late_lines(rows, least=5)) + 50
     lines = {i: sum(bool(words(k)) for k in text.split("\n")) for i, text in rows}
     assert {r.doc_id: r.n_lines for r in found} == lines
 

@@ -6,7 +6,7 @@ from llm.plain_versions import classes
 
 from marginflow.llm.components import components
 from marginflow.llm.hashing import Words, shingle_sets, sliding, tune
-from marginflow.llm.links import forest, linked, overlaps
+from marginflow.llm.links import linked, overlaps, reachable
 
 
 def test_components_against_brute_force(spark):
@@ -24,7 +24,7 @@ def test_components_against_brute_force(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def test_overlaps_and_forest():
+def test_overlaps_and_what_is_reachable():
     draw = np.random.default_rng(1)
     sets = [np.unique(draw.integers(0, 40, draw.integers(0, 30))).astype(np.uint64) for _ in range(30)]
     both = overlaps(sets, sets)
@@ -40,7 +40,7 @@ def test_overlaps_and_forest():
                 assert other[i, j - 10] == n
     np.fill_diagonal(hits, False)
     label = classes(30, {i: set(np.flatnonzero(hits[i])) for i in range(30)})
-    assert forest(hits).tolist() == label
+    assert reachable(30, *np.nonzero(hits)).tolist() == label
 
 
 def test_words_as_bytes_split_them():
