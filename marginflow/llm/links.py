@@ -249,19 +249,15 @@ def dealt(groups: DataFrame, by: str) -> DataFrame:
 
 
 def compared_seats(seats: DataFrame, members: DataFrame, compare: Callable) -> DataFrame:
-    """`compare` over `seats` (`a`, `b`, `second`, `item`), each with the set of its item.
+    """`compare` over `seats` (`a`, `b`, `second`, `item`, `size`), each with the set of its item.
 
     Many pairs of blocks have a few items only, so a call gets several of them.
     """
     seats = saved(seats)
-    sizes = members.select(
-        own_shuffle("item").alias("_item"), "rank", "place", "values",
-        (F.octet_length("values") / 8).alias("size"),
-    )
-    met = seats.join(sizes, F.col("item") == F.col("_item"))
-    known = seats.join(sizes.select("_item", "size"), F.col("item") == F.col("_item"))
-    n, total = known.agg(F.count(F.lit(1)), F.sum("size")).first()
+    n, total = seats.agg(F.count(F.lit(1)), F.sum("size")).first()
     calls = max(1, -(-n // CALL_ITEMS), int(-(-(total or 0) // CALL_VALUES)))
+    sets = members.select(own_shuffle("item").alias("_item"), "rank", "place", "values")
+    met = seats.join(sets, F.col("item") == F.col("_item"))
     rows = met.select(
         F.pmod(F.xxhash64("a", "b"), F.lit(calls)).alias("call"),
         "a",
@@ -291,10 +287,12 @@ def star_links(shared: DataFrame, members: DataFrame, compare: Callable) -> Data
     )
     sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
     groups = asks.join(sizes, F.col("item") == F.col("_item")).drop("_item")
-    stars = saved(dealt(groups, "lead").select("lead", "chunk", "item"))
+    stars = saved(dealt(groups, "lead").select("lead", "chunk", "item", "size"))
     spot = [F.col("lead").alias("a"), F.col("chunk").cast("long").alias("b")]
-    askers = stars.select(*spot, F.lit(False).alias("second"), "item")
-    leads = stars.select(*spot, F.lit(True).alias("second"), F.col("lead").alias("item")).distinct()
+    askers = stars.select(*spot, F.lit(False).alias("second"), "item", "size")
+    # A representative is about as large as what is like it.
+    leads = stars.groupBy(*spot, "lead").agg(F.max("size").alias("size"))
+    leads = leads.select("a", "b", F.lit(True).alias("second"), F.col("lead").alias("item"), "size")
     return compared_seats(askers.unionByName(leads), members, compare)
 
 
@@ -314,7 +312,7 @@ def block_links(
         groups = rows.groupBy("item").agg(F.min("group").alias("group"))
         groups = groups.join(sizes, F.col("item") == F.col("_item")).drop("_item")
         placed = saved(
-            dealt(groups, "group").select("item", F.xxhash64("group", "chunk").alias("block"))
+            dealt(groups, "group").select("item", "size", F.xxhash64("group", "chunk").alias("block"))
         )
         spots = (
             rows.join(
@@ -337,7 +335,7 @@ def block_links(
     seats = [
         pairs.select("a", "b", own_shuffle(end).alias("_block"))
         .join(placed, F.col("_block") == F.col("block"))
-        .select("a", "b", F.lit(second).alias("second"), "item")
+        .select("a", "b", F.lit(second).alias("second"), "item", "size")
         for end, placed, second in (("a", placed_l, False), ("b", placed_r, True))
     ]
     return compared_seats(seats[0].unionByName(seats[1]), members, compare)
@@ -362,7 +360,7 @@ def linked_components(
     members = _members(shared, fetch)
     compare = compare_sides(percent, extent=extent)
     stars = saved(star_links(shared, members, compare))
-    first = saved(components(stars.select(F.col("item").alias("u"), F.col("hub").alias("v"))))
+    first = components(stars.select(F.col("item").alias("u"), F.col("hub").alias("v")))
     sizes = first.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     known = first.join(
         sizes.select(own_shuffle("component").alias("_component"), "size"),

@@ -26,7 +26,6 @@ from marginflow.llm.frames import (
     explode_batches,
     may_hold,
     own_shuffle,
-    saved,
     slices,
     stored,
 )
@@ -366,7 +365,6 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
         return paragraph_sets(stored(wanted.select("item", "first.*")), docs)
 
     linked_items, _ = linked_components(keys, fetch, percent, extent=PARAGRAPH)
-    linked_items = saved(linked_items)
     clusters = linked_items.select(F.col("node").alias("item"), F.col("component").alias("cluster"))
     again = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     known = again.select("item").unionByName(clusters.select("item")).distinct()

@@ -377,7 +377,7 @@ def near_values(values: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if n < 2:
         return spark.createDataFrame([], "value long, component long")
     parts = planned(values, n)
-    first = saved(components(runs_of_neighbours(values, parts, distance)))
+    first = components(runs_of_neighbours(values, parts, distance))
     sizes = first.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     known = first.join(
         sizes.select(own_shuffle("component").alias("_component"), "size"),
