@@ -1,7 +1,7 @@
 """Verified links between items that share a key, without a row for every pair.
 
-Each key has a representative, the first of its items. Every item is compared with those of its
-keys, and moves once for each: a star. Near copies are linked by then, however many there are. What
+The representative of an item is the first of all it shares a key with. Items are compared with it
+and move once for that: a star. Most near copies are linked by then, however many there are. What
 is left to ask goes in blocks: items are compared with those of their keys that may still tell
 something new, which are of another component, or come before an item that has no earlier
 partner yet. A task that holds a block on either side compares all their sets at once, and returns
@@ -98,6 +98,20 @@ def reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = new
 
 
+def spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of some of the links (`u`, `v`), under n, that hold together all that the links do."""
+    label, chosen = np.arange(n), np.zeros(0, dtype=np.int64)
+    while True:
+        between = np.flatnonzero(label[u] != label[v])
+        if not len(between):
+            return chosen
+        # A link out of each part.
+        parts = np.concatenate([label[u[between]], label[v[between]]])
+        _, first = np.unique(parts, return_index=True)
+        chosen = np.union1d(chosen, between[first % len(between)])
+        label = reachable(n, u[chosen], v[chosen])
+
+
 RESULT = "item long, hub long, late long"
 
 
@@ -144,10 +158,11 @@ def sides(table: pa.Table) -> Iterator[tuple[Side, Side]]:
 
 
 def compare_sides(percent: int, may_match: Callable | None = None, extent: int = 0) -> Callable:
-    """Function for some pairs of blocks: rows of items with links between the two sides.
+    """Function for some pairs of blocks: what is told of the links between the two sides.
 
-    `hub` is an item that `item` hangs together with, `late` the one of a linked pair that comes
-    after the other, if that was not said already. `may_match` tells the pairs that need a look;
+    Rows with a `hub` are links, as many as hold together what all links do: `item` is of the first
+    side, `hub` of the second. Rows with `late` name an item of which a partner comes before it.
+    `may_match` tells the pairs that need a look;
     sets without one are not compared. Items of one `rank` whose places are less than `extent`
     apart overlap and are not linked.
     """
@@ -188,12 +203,12 @@ def compare_sides(percent: int, may_match: Callable | None = None, extent: int =
         # An item may stand on both sides.
         items, node = np.unique(np.concatenate([left.item, right.item]), return_inverse=True)
         u, v = node[i], node[len(left.item) + j]
-        label = reachable(len(items), u, v)
+        for at in spanning(len(items), u, v).tolist():
+            yield int(items[u[at]]), int(items[v[at]]), None
         before, after = left.order, right.order
-        late = {before[x][2] if after[y] < before[x] else after[y][2] for x, y in zip(i.tolist(), j.tolist())}
-        for at in np.unique(np.concatenate([u, v])).tolist():
-            item = int(items[at])
-            yield item, int(items[label[at]]), item if item in late else None
+        pairs = zip(i.tolist(), j.tolist())
+        for late in {max(before[x], after[y])[2] for x, y in pairs}:
+            yield late, None, late
 
     def run(table: pa.Table) -> pa.Table:
         out = [row for left, right in sides(table) for row in compared(left, right)]
@@ -273,17 +288,17 @@ def compared_seats(seats: DataFrame, members: DataFrame, compare: Callable) -> D
 
 
 def star_links(shared: DataFrame, members: DataFrame, compare: Callable) -> DataFrame:
-    """Links between the items of each key and its representative, the first of them."""
+    """Links between items and their representative, the first of all items they share a key with."""
     first = shared.groupBy("key").agg(F.min(F.struct("rank", "place", "item")).alias("first"))
     asks = (
         shared.select("item", "key")
         .join(
-            first.select(own_shuffle("key").alias("_key"), F.col("first.item").alias("lead")),
-            F.col("key") == F.col("_key"),
+            first.select(own_shuffle("key").alias("_key"), "first"), F.col("key") == F.col("_key")
         )
+        .groupBy("item")
+        .agg(F.min("first").alias("first"))
+        .select("item", F.col("first.item").alias("lead"))
         .filter("item <> lead")
-        .select("item", "lead")
-        .distinct()
     )
     sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
     groups = asks.join(sizes, F.col("item") == F.col("_item")).drop("_item")
@@ -345,6 +360,29 @@ def _members(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> Data
     return stored(fetch(shared.select("item").distinct()))
 
 
+def star_labels(stars: DataFrame) -> DataFrame:
+    """(`_node`, `component`, `size`): the representative that each linked item leads to in two steps.
+
+    What has one label hangs together; what hangs together may have several.
+    """
+    up = saved(
+        stars.filter("item <> hub").groupBy("item").agg(F.min("hub").alias("hub"))
+    )
+    again = up.select(own_shuffle("item").alias("_hub"), F.col("hub").alias("_top"))
+    low = up.join(again, F.col("hub") == F.col("_hub"), "left").select(
+        F.col("item").alias("_node"), F.coalesce("_top", "hub").alias("component")
+    )
+    tops = low.select(F.col("component").alias("_node"), "component").distinct()
+    labels = saved(
+        low.unionByName(tops).groupBy("_node").agg(F.min("component").alias("component"))
+    )
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return labels.join(
+        sizes.select(own_shuffle("component").alias("_component"), "size"),
+        F.col("component") == F.col("_component"),
+    ).select("_node", "component", "size")
+
+
 def linked_components(
     keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, extent: int = 0
 ) -> tuple[DataFrame, DataFrame]:
@@ -352,20 +390,15 @@ def linked_components(
 
     `keys` has (`item`, `key`, `rank`, `place`), the first three long, with repeats if need be.
     `fetch` adds to items their `rank`, `place` and `values` (packed set). After the stars, the items of each
-    key ask those of components that are larger than theirs, or as large with a greater number,
-    so of two components one asks the other. Items without a link have no row. The links, which
+    key ask those of stars that are larger than theirs, or as large with a greater number, so of
+    two stars one asks the other. Items without a link have no row. The links, which
     may repeat, are verified and hold every component together; they are not all there are.
     """
     shared = saved(shared_keys(keys))
     members = _members(shared, fetch)
     compare = compare_sides(percent, extent=extent)
     stars = saved(star_links(shared, members, compare))
-    first = components(stars.select(F.col("item").alias("u"), F.col("hub").alias("v")))
-    sizes = first.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    known = first.join(
-        sizes.select(own_shuffle("component").alias("_component"), "size"),
-        F.col("component") == F.col("_component"),
-    ).select(F.col("node").alias("_node"), "component", "size")
+    known = star_labels(stars)
     # A number that orders components by size, and tells them apart.
     number = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "item").alias("of"))
     rows = shared.join(known, F.col("item") == F.col("_node"), "left").select(

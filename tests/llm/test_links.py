@@ -6,7 +6,7 @@ from llm.plain_versions import classes
 
 from marginflow.llm.components import components
 from marginflow.llm.hashing import Words, shingle_sets, sliding, tune
-from marginflow.llm.links import linked, overlaps, reachable
+from marginflow.llm.links import linked, overlaps, reachable, spanning
 
 
 def test_components_against_brute_force(spark):
@@ -40,7 +40,10 @@ def test_overlaps_and_what_is_reachable():
                 assert other[i, j - 10] == n
     np.fill_diagonal(hits, False)
     label = classes(30, {i: set(np.flatnonzero(hits[i])) for i in range(30)})
-    assert reachable(30, *np.nonzero(hits)).tolist() == label
+    u, v = np.nonzero(hits)
+    assert reachable(30, u, v).tolist() == label
+    few = spanning(30, u, v)
+    assert reachable(30, u[few], v[few]).tolist() == label and len(few) < 30
 
 
 def test_words_as_bytes_split_them():
