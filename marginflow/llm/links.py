@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from marginflow.llm.components import components
 from marginflow.llm.frames import may_hold, own_shuffle, saved, ship_code, stored
 
-BLOCK_ITEMS = 512
-BLOCK_VALUES = 1 << 18  # hashes in the sets of a block, unless a single item has more
+BLOCK_ITEMS = 2048
+BLOCK_VALUES = 1 << 20  # hashes in the sets of a block, unless a single item has more
 MANY_BITS = 1 << 26  # of the bitmap of shared keys, 8 MB
 CALL_ITEMS = 4096  # items that one call compares, about
 CALL_VALUES = 1 << 20  # hashes in their sets, about
@@ -245,9 +245,9 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def dealt(groups: DataFrame, by: str) -> DataFrame:
-    """(`item`, `by`, `size`) rows with `chunk`: parts of each group with bounded items and sizes.
+    """(`item`, `by`, `size`, `spread`) rows with `chunk`: parts of bounded items and sizes.
 
-    Items are dealt by a digest, so no task sees a whole group.
+    Items are dealt by ranges of `spread`, an evenly spread number, so no task sees a whole group.
     """
     totals = groups.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     chunks = totals.select(
@@ -258,7 +258,12 @@ def dealt(groups: DataFrame, by: str) -> DataFrame:
     )
     return (
         groups.join(chunks, F.col(by) == F.col("_by"))
-        .withColumn("chunk", F.pmod(F.xxhash64("item", F.lit(7)), F.col("chunks")))
+        .withColumn(
+            "chunk",
+            F.least(
+                F.floor((F.col("spread") / F.lit(2.0**64) + 0.5) * F.col("chunks")), F.col("chunks") - 1
+            ),
+        )
         .drop("_by", "chunks")
     )
 
@@ -302,6 +307,7 @@ def star_links(shared: DataFrame, members: DataFrame, compare: Callable) -> Data
     )
     sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
     groups = asks.join(sizes, F.col("item") == F.col("_item")).drop("_item")
+    groups = groups.withColumn("spread", F.xxhash64("item"))
     stars = saved(dealt(groups, "lead").select("lead", "chunk", "item", "size"))
     spot = [F.col("lead").alias("a"), F.col("chunk").cast("long").alias("b")]
     askers = stars.select(*spot, F.lit(False).alias("second"), "item", "size")
@@ -316,15 +322,17 @@ def block_links(
 ) -> DataFrame:
     """Links between items that ask and items that answer under one key.
 
-    `asks` and `answers` have (`item`, `key`, `group`, `low`, `high`): `group` is where the item is
-    put with others like it, `low` and `high` are the bounds of a number that `worth` compares
+    `asks` and `answers` have (`item`, `key`, `group`, `spread`, `low`, `high`): `group` is where the
+    item is put with others like it, `spread` deals a large group to blocks, `low` and `high` are the bounds of a number that `worth` compares
     (`l_low`, `l_high` of the asking block, `r_low`, `r_high` of the answering one) to leave out
     pairs of blocks that have nothing to say. An item is in one block on each side.
     """
     sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
 
     def blocks(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-        groups = rows.groupBy("item").agg(F.min("group").alias("group"))
+        groups = rows.groupBy("item").agg(
+            F.min("group").alias("group"), F.min("spread").alias("spread")
+        )
         groups = groups.join(sizes, F.col("item") == F.col("_item")).drop("_item")
         placed = saved(
             dealt(groups, "group").select("item", "size", F.xxhash64("group", "chunk").alias("block"))
@@ -390,8 +398,8 @@ def linked_components(
 
     `keys` has (`item`, `key`, `rank`, `place`), the first three long, with repeats if need be.
     `fetch` adds to items their `rank`, `place` and `values` (packed set). After the stars, the items of each
-    key ask those of stars that are larger than theirs, or as large with a greater number, so of
-    two stars one asks the other. Items without a link have no row. The links, which
+    key ask those of stars with a greater number, the largest stars last, so of two stars one asks
+    the other. Items without a link have no row. The links, which
     may repeat, are verified and hold every component together; they are not all there are.
     """
     shared = saved(shared_keys(keys))
@@ -399,8 +407,10 @@ def linked_components(
     compare = compare_sides(percent, extent=extent)
     stars = saved(star_links(shared, members, compare))
     known = star_labels(stars)
-    # A number that orders components by size, and tells them apart.
-    number = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "item").alias("of"))
+    # A number that orders stars and tells them apart, crowds last by size.
+    size = F.when(F.col("size") >= BLOCK_ITEMS, F.col("size")).otherwise(F.lit(0))
+    of = F.coalesce("component", "item")
+    number = F.struct(size.alias("size"), F.xxhash64(of).alias("of"))
     rows = shared.join(known, F.col("item") == F.col("_node"), "left").select(
         "item", "key", number.alias("number"), "rank", "place"
     )
@@ -413,12 +423,14 @@ def linked_components(
         own_shuffle("key").alias("_key"), "low", "high", F.col("first.item").alias("lead")
     )
     open_rows = saved(rows.join(mixed, F.col("key") == F.col("_key")).drop("_key", "rank", "place"))
-    # Crowds are put in blocks of their own, so that these are of one component.
-    crowd = F.when(F.col("number.size") >= BLOCK_ITEMS, F.col("number.of"))
+    # Crowds are put in blocks of their own, so that these are of one star. Other items are dealt in
+    # the order of their numbers, so of two blocks one asks the other.
+    crowd = F.when(F.col("number.size") > 0, F.col("number.of"))
     columns = [
         "item",
         "key",
         F.xxhash64("lead", crowd).alias("group"),
+        F.when(crowd.isNull(), F.col("number.of")).otherwise(F.xxhash64("item")).alias("spread"),
         F.col("number").alias("low"),
         F.col("number").alias("high"),
     ]
@@ -457,7 +469,12 @@ def late_items(
         placed.filter("at > first").join(told, F.col("item") == F.col("_late"), "left_anti")
     )
     columns = [
-        "item", "key", F.col("first.item").alias("group"), F.col("at").alias("low"), F.col("at").alias("high"),
+        "item",
+        "key",
+        F.col("first.item").alias("group"),
+        F.xxhash64("item").alias("spread"),
+        F.col("at").alias("low"),
+        F.col("at").alias("high"),
     ]
     wanted = asks.groupBy("key").agg(F.max("at").alias("last"))
     answers = placed.join(
