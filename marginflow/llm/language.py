@@ -28,13 +28,13 @@ class Bounds:
     """What is learned from and how texts are parsed.
 
     The sample has at most `docs` texts of a language, `chars` characters in all of them
-    together, and `total_chars` over all languages, of at most `languages` languages.
+    together, and `total_chars` over all languages, of the `languages` most frequent ones.
     """
 
     docs: int = 64
     chars: int = 32_000
     total_chars: int = 160_000
-    languages: int = 200
+    languages: int = 1000
     own_symbols: int = 96  # the rest of the letters share `shared_symbols`
     shared_symbols: int = 32
     segment: int = 1000  # phrases end at the end of a segment of so many characters
@@ -50,53 +50,65 @@ def training_sample(
 ) -> dict[str, list[str]]:
     """Whole texts by language from the documents that are not held out.
 
-    Texts of a quarter of the bound at most are taken in the order of a digest of the text.
-    How many rows of a language qualify is counted first, so the sample is drawn by a
-    threshold on the digest and a few hundred rows of a language meet, not all of them. Where
-    a language has no text so short, the first characters of its shortest text stand in.
+    Of the different texts of a language that are a quarter of the bound at most, those with the
+    smallest digests are taken, so copies of a text count once and a language of few texts gets
+    them all. Only digests and lengths are shuffled; which texts fit is settled by these, and
+    the chosen texts are read in a second pass. Where a language has no text so short, the first
+    characters of its shortest text stand in. Of more than `bounds.languages` languages those
+    with the most documents are learned, of equal ones the first by code.
     """
     rows = docs.select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), fold(F.col(doc_id)).alias("fold")
-    ).filter((F.col("fold") != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    short = F.length("text") <= bounds.chars // 4
-    sizes = (
+        F.col(lang).alias("lang"),
+        F.col(text).alias("text"),
+        F.length(F.col(text)).alias("size"),
+        fold(F.col(doc_id)).alias("fold"),
+    ).filter((F.col("fold") != 0) & F.col("lang").isNotNull() & (F.col("size") > 0))
+    short = F.col("size") <= bounds.chars // 4
+    stand_in = F.when(~short, F.struct("size", F.substring("text", 1, bounds.chars).alias("part")))
+    counts = (
         rows.groupBy("lang")
         .agg(
-            F.sum(F.when(short, 1).otherwise(0)).alias("short"),
-            F.min(F.struct(F.length("text"), F.substring("text", 1, bounds.chars))).alias("least"),
+            F.count(F.lit(1)).alias("n"),
+            F.count(F.when(short, 1)).alias("short"),
+            F.min(stand_in).alias("least"),
         )
-        .select("lang", "short", F.when(F.col("short") == 0, F.col("least.col2")).alias("least"))
-        .limit(bounds.languages + 1)
+        .orderBy(F.desc("n"), "lang")
+        .select("lang", F.when(F.col("short") == 0, F.col("least.part")).alias("least"))
+        .limit(bounds.languages)
         .collect()
     )
-    if len(sizes) > bounds.languages:
-        raise ValueError(f"more than {bounds.languages} languages")
-    if not sizes:
+    if not counts:
         return {}
-    each = min(bounds.chars, bounds.total_chars // len(sizes))
-    spark = docs.sparkSession
-    # Four times the rows wanted, so that enough pass the threshold; 2**31 is all of them.
-    shares = spark.createDataFrame(
-        [(r.lang, int(min(1.0, 4 * bounds.docs / max(1, r.short)) * 2**31)) for r in sizes],
-        "lang string, threshold long",
+    each = min(bounds.chars, max(1, bounds.total_chars // len(counts)))
+    learned = docs.sparkSession.createDataFrame([(r.lang,) for r in counts], "lang string")
+    digests = rows.filter(short).select("lang", F.xxhash64("text").alias("digest"), "size")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "size"))
+    smallest = (
+        digests.join(F.broadcast(learned), "lang")  # bounds.languages rows at most
+        .distinct()
+        .withColumn("nth", nth)
+        .filter(F.col("nth") <= bounds.docs)
+        .collect()
+    )
+    wanted, used = [], Counter()
+    for r in sorted(smallest, key=lambda r: (r.lang, r.nth)):
+        if used[r.lang] + r.size <= each or r.lang not in used:
+            wanted.append((r.lang, r.digest, r.size, r.nth))
+            used[r.lang] += r.size
+    sample: dict[str, list[str]] = {r.lang: [r.least[:each]] for r in counts if r.least}
+    asked = docs.sparkSession.createDataFrame(
+        wanted, "lang string, digest long, size int, nth int"
     )
-    digest = F.xxhash64("text")
-    first = Window.partitionBy("lang").orderBy(digest, "text")
     chosen = (
         rows.filter(short)
-        .join(F.broadcast(shares), "lang")  # one row per language, bounded above
-        .filter(F.pmod(digest, F.lit(2**31)) < F.col("threshold"))
-        .withColumn("nth", F.row_number().over(first))
-        .filter(F.col("nth") <= bounds.docs)
-        .select("lang", "text", "nth")
+        .withColumn("digest", F.xxhash64("text"))
+        .join(F.broadcast(asked), ["lang", "digest", "size"])  # bounds.docs rows a language at most
+        .groupBy("lang", "nth")
+        .agg(F.min(F.substring("text", 1, each)).alias("text"))
         .collect()
     )
-    sample: dict[str, list[str]] = {r.lang: [r.least[:each]] for r in sizes if r.least}
-    used: Counter = Counter()
     for r in sorted(chosen, key=lambda r: (r.lang, r.nth)):
-        if used[r.lang] + len(r.text) <= each or r.lang not in sample:
-            sample.setdefault(r.lang, []).append(r.text[:each])
-            used[r.lang] += len(r.text)
+        sample.setdefault(r.lang, []).append(r.text)
     return sample
 
 
@@ -307,7 +319,13 @@ def language_id(
     lang: str = "lang",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Learn from the documents that are not held out, then identify all; adds `held_out`."""
+    """Learn from the documents that are not held out, then identify all; adds `held_out`.
+
+    Rows with a null label, or a null or empty text, are not learned from; a null id counts as an
+    empty text and is held out if the fold of that is. Copies of a text are learned once for
+    each of their labels. Every row gets a prediction as `identify` describes, whatever its
+    label; where nothing was learned, or the table is empty, no language is predicted.
+    """
     sample = training_sample(docs, bounds, text, lang, doc_id)
     rows = docs.withColumn("held_out", fold(F.col(doc_id)) == 0)
     return identify(rows, sample, bounds, text)

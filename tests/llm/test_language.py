@@ -95,6 +95,38 @@ def test_sample_is_bounded(docs):
     assert all(len(ts) <= 5 and sum(map(len, ts)) <= 1000 for ts in sample.values())
 
 
+def test_many_copies_of_few_texts(docs):
+    few = [f"wort nummer {i} steht hier im satz" for i in range(20)]
+    rows = [(i, few[i % 20], "de", "s") for i in range(10_000)]
+    rows += [(10_000 + i, f"the word {i} is here in a row", "en", "s") for i in range(500)]
+    sample = training_sample(docs(rows), Bounds(), "text", "lang", "doc_id")
+    assert sorted(sample["de"]) == sorted(few)  # each once
+    assert len(set(sample["en"])) == len(sample["en"]) == Bounds().docs
+    got = language_id(docs(rows)).groupBy("lang", "lang_pred").count().collect()
+    assert {(r.lang, r.lang_pred, r["count"]) for r in got} == {("de", "de", 10_000), ("en", "en", 500)}
+
+
+def test_many_languages(docs):
+    rows = [(i, f"{chr(97 + i % 26)}{i % 300} wort", f"l{i % 300:03}", "s") for i in range(3000)]
+    assert len(training_sample(docs(rows), Bounds(), "text", "lang", "doc_id")) == 300
+    got = language_id(docs(rows)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000))
+    assert all(r.lang_pred != "und" for r in got)
+    # Of more languages than the bound, the most frequent are learned and all rows are identified.
+    rows += [(3000 + i, f"text {i}", "often", "s") for i in range(50)]
+    few = Bounds(languages=2)
+    learned = training_sample(docs(rows), few, "text", "lang", "doc_id")
+    assert len(learned) == 2 and "often" in learned
+    assert language_id(docs(rows), few).count() == len(rows)
+
+
+def test_long_texts_stand_in(docs):
+    long = "abc def " * 2000
+    rows = [(i, long + "x" * (i % 3), "en", "s") for i in range(30)]
+    sample = training_sample(docs(rows), Bounds(), "text", "lang", "doc_id")
+    assert sample == {"en": [long[:32_000]]}
+
+
 def test_odd_rows(docs, odd):
     df = docs(odd + [(8, "1234 !!"), (9, "été où ça")], clashing=True)
     got = identify(df, {"en": ["the quick brown fox"], "fr": ["été où ça va"]}).collect()
