@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from marginflow.llm.frames import explode_batches, keep_rows, slices
 from marginflow.llm.hashing import mixed, seeds
 
 BLOCK_CHARS = 1_000_000  # characters of benchmark items searched for in one pass
+BLANKLESS = 0x2E80  # scripts from this code point on write words without blanks
 SLICE_BYTES = 1024 * 1024
 
 
@@ -70,6 +72,15 @@ def points_of(texts: Sequence[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+@cache
+def word_points() -> np.ndarray:
+    """Code points that belong to one word with those beside them."""
+    kinds = (chr(cp).isalnum() for cp in range(BLANKLESS))
+    out = np.zeros(0x110000, dtype=bool)
+    out[:BLANKLESS] = np.fromiter(kinds, dtype=bool, count=BLANKLESS)
+    return out
+
+
 def align(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int):
     """Fewest edits between `item` and a part of `region`, and where that part ends.
 
@@ -100,12 +111,28 @@ def align(item: np.ndarray, region: np.ndarray, low: int, high: int, budget: int
 class Index:
     """The q-grams of some benchmark items, and where texts share enough of them."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], budget: Budget):
+    def __init__(self, items: Sequence[tuple[int | None, str]], budget: Budget):
         self.budget = budget
-        known = [(i, plain(t)) for i, t in items]
-        known = [(i, t) for i, t in known if len(t) >= budget.q]
-        self.ids = [i for i, _ in known]
+        every = [(i, plain(t)) for i, t in items]
+        known = [(i, t) for i, t in every if len(t) >= budget.q]
+        small = [(i, t) for i, t in every if 0 < len(t) < budget.q]
+        self.ids = [i for i, _ in [*known, *small]]
         self.texts = [t for _, t in known]
+        # Items shorter than a gram: by length the hashes, and by hash the items.
+        self.small: dict[int, tuple[np.ndarray, list[str], list[list[int]]]] = {}
+        for n in sorted({len(t) for _, t in small}):
+            holders: dict[str, list[int]] = {}
+            for k, (_, t) in enumerate(small, len(known)):
+                if len(t) == n:
+                    holders.setdefault(t, []).append(k)
+            hashes = np.concatenate([gram_hashes(points_of([t]), n) for t in holders])
+            order = np.argsort(hashes, kind="stable")
+            names = list(holders)
+            self.small[n] = (
+                hashes[order],
+                [names[j] for j in order],
+                [holders[names[j]] for j in order],
+            )
         self.points = [points_of([t]) for t in self.texts]
         sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.sizes = sizes
@@ -131,7 +158,7 @@ class Index:
         Band b of an item has the diagonals from b to b + 2 steps; bands overlap by a step,
         which is more than the edits allowed, so the diagonals of a match lie in one band.
         """
-        if not self.ids:
+        if not self.texts:
             return
         flat = points_of(texts)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -164,9 +191,36 @@ class Index:
             low = (b - 1) * self.step[i] - self.sizes[i]
             yield int(p // len(self.ids)), int(i), int(low)
 
+    def whole_words(self, texts: Sequence[str]) -> Iterator[tuple[int, int, int]]:
+        """(text, item, end) of items shorter than a gram, where each first stands by itself."""
+        if not self.small:
+            return
+        flat = points_of(texts)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        word = word_points()[flat]
+        joined = np.zeros(len(flat) + 1, dtype=bool)  # a word goes on over this place
+        joined[1:-1] = word[:-1] & word[1:]
+        joined[starts] = False
+        for n, (hashes, names, holders) in self.small.items():
+            grams = gram_hashes(flat, n)
+            at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+            free = ~joined[: len(grams)] & ~joined[n : n + len(grams)]
+            spot = np.flatnonzero((hashes[at] == grams) & free)
+            text = np.searchsorted(starts, spot, side="right") - 1
+            inside = spot + n <= starts[text + 1]
+            spot, text = spot[inside], text[inside]
+            _, first = np.unique(text * len(hashes) + at[spot], return_index=True)
+            for j in first:
+                t, h = int(text[j]), int(at[spot[j]])
+                place = int(spot[j] - starts[t])
+                if texts[t][place : place + n] == names[h]:
+                    for item in holders[h]:
+                        yield t, item, place + n
+
     def matches(self, texts: Sequence[str]) -> dict[tuple[int, int], tuple[int, int]]:
         """(text, item) to (edits, end) of the best alignment within the budget."""
-        out: dict[tuple[int, int], tuple[int, int]] = {}
+        out = {(t, i): (0, end) for t, i, end in self.whole_words(texts)}
         for t, i, low in self.regions(texts):
             if out.get((t, i), (1, 0))[0] == 0:
                 continue
@@ -189,7 +243,7 @@ class Index:
 _INDEXES: dict[str, Index] = {}
 
 
-def index_of(items: Sequence[tuple[int, str]], budget: Budget) -> Index:
+def index_of(items: Sequence[tuple[int | None, str]], budget: Budget) -> Index:
     """The index of a block of items, made once per worker process."""
     key = hashlib.sha256(repr((items, budget)).encode()).hexdigest()
     if key not in _INDEXES:
@@ -200,22 +254,22 @@ def index_of(items: Sequence[tuple[int, str]], budget: Budget) -> Index:
 
 def item_blocks(
     benchmark: DataFrame, text: str, item_id: str, block_chars: int
-) -> Iterator[list[tuple[int, str]]]:
+) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark in blocks of about `block_chars` characters, one after the other.
 
     Items are dealt to blocks by a digest, so only one block is held at a time. Items with a
-    null id or text are left out.
+    null text are left out; those with a null id are items like others.
     """
     rows = benchmark.select(
         F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")
-    ).dropna()
+    ).filter(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
     for b in range(blocks):
         mine = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b
         found = rows.filter(mine).distinct().collect()
         if found:
-            yield sorted((r.id, r.text) for r in found)
+            yield sorted(((r.id, r.text) for r in found), key=lambda x: (x[0] is not None, *x[::-1]))
 
 
 def benchmark_hits(
@@ -237,9 +291,12 @@ def benchmark_hits(
     diagonals; bands with so many are aligned. Every item is searched for in every text, in
     blocks of items that are broadcast one at a time; documents are not moved.
 
-    Null and empty texts hold nothing. Items shorter than a gram are not searched for; items
-    that repeat are found each by its id. Documents that repeat give a row each. Long texts
-    are scanned whole. Without items or documents there are no rows.
+    Null and empty texts hold nothing, and empty items are in no text. An item shorter than a
+    gram is found only as it is and not as a part of a longer word, so "yes" is not in
+    "yesterday"; scripts without blanks have no such ends of words. Items that repeat are found
+    each by its id; different items without an id give a row each, with a null `item_id`.
+    Documents that repeat give a row each. Long texts are scanned whole. Without items or
+    documents there are no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, edits long, end long"
@@ -255,7 +312,7 @@ def benchmark_hits(
                 hits = index.matches([plain(t) for t in texts[start:end].to_pylist()])
                 yield {
                     "doc_id": ids.take(pa.array([start + t for t, _ in hits], type=pa.int64())),
-                    "item_id": [index.ids[i] for _, i in hits],
+                    "item_id": pa.array([index.ids[i] for _, i in hits], type=pa.int64()),
                     "edits": [edits for edits, _ in hits.values()],
                     "end": [stop for _, stop in hits.values()],
                 }
@@ -275,7 +332,10 @@ def decontaminate(
 ) -> DataFrame:
     """The documents that hold no benchmark item, with the columns they came with.
 
-    Judged row by row in the tasks that read them, so nothing is shuffled or joined.
+    Judged row by row in the tasks that read them, so nothing is shuffled or joined. An item is
+    held as `benchmark_hits` describes, also one that is short or has no id. Documents with a
+    null or empty text stay, rows that repeat are judged alike, and without items or documents
+    nothing changes.
     """
     out = docs
     for items in item_blocks(benchmark, item_text, item_id, block_chars):
