@@ -6,6 +6,7 @@ words around them alone: wherever a passage of PARAGRAPH + REACH - 1 words is re
 middle of a line or across lines, all its copies have an anchor, and so a paragraph, in common.
 Shorter natural paragraphs (lines, runs of lines without a blank one, whole texts) have an anchor
 of their own, chosen by their own words, so exact copies of them have one in common as well.
+Whole natural paragraphs are items of their own beside these, see `natural`.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from marginflow.llm.frames import (
 )
 from marginflow.llm.hashing import LARGEST, Words, mixed, seeds, shingles, sliding, tune
 from marginflow.llm.links import linked_components, pack
+from marginflow.llm.natural import repeated_parts
 
 PARAGRAPH = 20  # words
 REACH = 31  # with PARAGRAPH: passages of 50 words or more are found
@@ -407,7 +409,10 @@ def substring_dedup(
     side that stand beside the first copy too, which is all up to the next paragraph or the end
     of the passage. Passages of 50
     words or more are found wherever they stand, and exact copies of lines, runs of lines and
-    whole texts of 20 words or more. Other passages of 20 to 49 words are found by chance;
+    whole texts of 20 words or more. Near copies of whole natural paragraphs (lines of 20 words or
+    more, runs of shorter lines without a blank one) are found from a Jaccard similarity of
+    `percent` / 100 on; of these the words between the first and the last five in a row that the
+    first copy has too go. Other passages of 20 to 49 words are found by chance;
     anything shorter than 20 words never is.
 
     Null, empty and short texts have no paragraphs and no row. A null id sorts before all
@@ -416,8 +421,10 @@ def substring_dedup(
     no rows. Long texts are read whole.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = repeated_paragraphs(rows, percent, recall)
-    # A document's own paragraphs: as many as it has anchors.
+    found = repeated_paragraphs(rows, percent, recall).unionByName(
+        repeated_parts(rows, percent, recall, PARAGRAPH, WIDTH)
+    )
+    # A document's own paragraphs: as many as it has anchors and lines.
     spans = found.groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "cluster", "removed", "begin", "end"))).alias(
             "spans"

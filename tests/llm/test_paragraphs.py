@@ -4,6 +4,7 @@ from collections import defaultdict
 from llm.plain_versions import words
 
 from marginflow.llm.hashing import tune
+from marginflow.llm.natural import repeated_parts
 from marginflow.llm.paragraphs import (
     PARAGRAPH,
     RECALL,
@@ -157,3 +158,93 @@ def test_recall_of_pairs_at_the_least_similarity(docs):
         rows += [(i, " ".join(w)), (1000 + i, " ".join([*w[:19], "end"]))]
     got = {r.doc_id for r in substring_dedup(docs(rows)).collect()}
     assert len(got) >= 2 * 390
+
+
+def plain_parts(text, least=20):
+    """(first word, words) of each natural paragraph, line by line."""
+    out, run, at = [], [], 0
+    for line in [*text.split("\n"), ""]:
+        w = words(line)
+        if run and (not w or len(w) >= least):
+            if sum(map(len, run)) >= least:
+                flat = [x for r in run for x in r]
+                out.append((at - len(flat), flat))
+            run = []
+        if len(w) >= least:
+            out.append((at, w))
+        elif w:
+            run.append(w)
+        at += len(w)
+    return out
+
+
+def shingle_list(w):
+    return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+
+
+def test_paragraphs_with_one_word_changed_anywhere(docs):
+    draw = random.Random(21)
+    rows, whole = [], 0
+    for i in range(200):
+        w = [f"z{i}-{k}" for k in range(60)]
+        changed = [*w]
+        changed[draw.randrange(60)] = "changed"
+        rows += [(i, " ".join(w)), (1000 + i, f"title {i}\n\n{' '.join(changed)}\nend")]
+    got = {r.doc_id: r for r in substring_dedup(docs(rows)).collect()}
+    found = [i for i in range(200) if i in got and 1000 + i in got]
+    assert len(found) >= 190 and all(got[i].n_removed == 0 for i in found)
+    whole = [i for i in found if got[1000 + i].removed_words >= 55]
+    assert len(whole) >= 190
+
+
+def test_natural_paragraphs_against_brute_force(docs):
+    draw = random.Random(22)
+    base = [[f"y{b}-{k}" for k in range(draw.randint(15, 70))] for b in range(12)]
+    rows = []
+    for i in range(160):
+        parts = []
+        for _ in range(draw.randint(0, 3)):
+            w = list(draw.choice(base))
+            for _ in range(draw.choice([0, 0, 1, 2, 6])):
+                w[draw.randrange(len(w))] = f"c{draw.randrange(10**6)}"
+            if draw.random() < 0.3:
+                w.insert(draw.randrange(len(w)), "\n")
+            parts.append(" ".join(w))
+        rows.append((i, draw.choice(["\n", "\n\n", "\n \n"]).join(parts)))
+    rows += [(None, rows[5][1]), (200, None), (201, "")]
+    got = repeated_parts(docs(rows), 80, 0.9999999, 20, 5).collect()
+    places = [(i, at, w) for i, t in rows for at, w in plain_parts(t or "")]
+    group = list(range(len(places)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    sets = [set(shingle_list(w)) for _, _, w in places]
+    for x in range(len(places)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                group[root(x)] = root(y)
+    clusters = defaultdict(list)
+    for x in range(len(places)):
+        clusters[root(x)].append(x)
+    want = set()
+    for xs in clusters.values():
+        if len(xs) < 2:
+            continue
+        order = sorted(xs, key=lambda x: (places[x][0] is not None, places[x][0] or 0, places[x][1]))
+        for x in order:
+            doc, at, w = places[x]
+            shared = [k for k, g in enumerate(shingle_list(w)) if g in sets[order[0]]]
+            if x == order[0]:
+                want.add((doc, at, False, at, at + len(w)))
+            else:
+                want.add((doc, at, True, at + shared[0], at + shared[-1] + 5))
+    assert {(r.doc_id, r.start, r.removed, r.begin, r.end) for r in got} == want and len(want) > 60
+    names = defaultdict(set)
+    for r in got:
+        names[r.cluster].add((r.doc_id, r.start))
+    assert sorted(map(len, names.values())) == sorted(len(x) for x in clusters.values() if len(x) > 1)
+    assert repeated_parts(docs([]), 80, 0.99, 20, 5).collect() == []
