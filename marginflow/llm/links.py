@@ -3,9 +3,9 @@
 The representative of an item is the first of all it shares a key with. Items are compared with it
 and move once for that: a star. Most near copies are linked by then, however many there are. What
 is left to ask goes in blocks: items are compared with those of their keys that may still tell
-something new, which are of another component, or come before an item that has no earlier
+something new, which are of another star, or come before an item that has no earlier
 partner yet. A task that holds a block on either side compares all their sets at once, and returns
-a row per item. So no link between components is lost, and a crowd is not compared with itself.
+a row per item. So no link between stars is lost, and a crowd is not compared with itself.
 """
 
 from __future__ import annotations
@@ -133,7 +133,10 @@ class Side:
 
 
 def sides(table: pa.Table) -> Iterator[tuple[Side, Side]]:
-    """The pairs of blocks that were dealt to one call, each with its two sides."""
+    """The pairs of blocks that were dealt to one call, each with its two sides.
+
+    A block without a second side meets itself.
+    """
     a, b, item, rank, place = (
         table.column(c).to_numpy() for c in ("a", "b", "item", "rank", "place")
     )
@@ -154,7 +157,8 @@ def sides(table: pa.Table) -> Iterator[tuple[Side, Side]]:
 
     for start, end in zip(starts[:-1], starts[1:]):
         mine = np.arange(start, end)[fresh[start:end]]
-        yield side(mine[~second[mine]]), side(mine[second[mine]])
+        left = side(mine[~second[mine]])
+        yield left, side(mine[second[mine]]) if second[mine].any() else left
 
 
 def compare_sides(percent: int, may_match: Callable | None = None, extent: int = 0) -> Callable:
@@ -179,7 +183,8 @@ def compare_sides(percent: int, may_match: Callable | None = None, extent: int =
         return out
 
     def at_once(left: Side, right: Side) -> np.ndarray:
-        ours, theirs = left.sets(), right.sets()
+        ours = left.sets()
+        theirs = ours if right is left else right.sets()
         if may_match is None:
             return linked(ours, theirs, percent)
         maybe = may_match(ours, theirs, percent)
@@ -194,6 +199,8 @@ def compare_sides(percent: int, may_match: Callable | None = None, extent: int =
         few = len(left.item) * len(right.item) <= SMALL
         found = (one_by_one if few else at_once)(left, right)
         found &= left.item[:, None] != right.item[None, :]
+        if right is left:
+            found = np.triu(found)
         if extent:
             apart = np.abs(left.place[:, None] - right.place[None, :]) >= extent
             found &= apart | (left.rank[:, None] != right.rank[None, :])
@@ -364,6 +371,51 @@ def block_links(
     return compared_seats(seats[0].unionByName(seats[1]), members, compare)
 
 
+def key_links(rows: DataFrame, members: DataFrame, compare: Callable) -> DataFrame:
+    """Links between items of different stars that share a key; one row of an item for each key.
+
+    `rows` has (`item`, `key`, `star`, `crowd`): `crowd` names a star that is too large for a block,
+    of which no two items are compared. Keys of the same items are one. The items of a key meet in
+    one block, or in each pair of its blocks if it has more.
+    """
+    # Items stand once under a key, so two digests of 64 bits tell their sets apart.
+    same = [F.bit_xor(F.xxhash64("item", F.lit(i))).alias(f"_same{i}") for i in range(2)]
+    spread = rows.groupBy("key").agg(
+        F.min("star").alias("low"), F.max("star").alias("high"), F.count(F.lit(1)).alias("n"), *same
+    )
+    chosen = (
+        spread.filter("low < high").groupBy("n", "_same0", "_same1").agg(F.min("key").alias("key"))
+    )
+    mixed = rows.join(
+        chosen.select(own_shuffle("key").alias("_key")), F.col("key") == F.col("_key")
+    ).drop("_key")
+    sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
+    sized = mixed.join(sizes, F.col("item") == F.col("_item")).drop("_item")
+    parts = sized.withColumn("part", F.xxhash64("key", "crowd")).withColumn("spread", F.xxhash64("item"))
+    placed = saved(
+        dealt(parts, "part").select(
+            "item", "key", "crowd", "size", F.xxhash64("part", "chunk").alias("block")
+        )
+    )
+    blocks = placed.select("key", "crowd", "block").distinct()
+    others = blocks.select(
+        own_shuffle("key").alias("_key"), F.col("crowd").alias("_crowd"), F.col("block").alias("b")
+    )
+    pairs = saved(
+        blocks.join(others, (F.col("key") == F.col("_key")) & (F.col("block") <= F.col("b")))
+        .filter(~F.coalesce(F.col("crowd") == F.col("_crowd"), F.lit(False)))
+        .select(F.col("block").alias("a"), "b")
+    )
+    met = placed.select("item", "size", "block")
+    seats = [
+        ends.select("a", "b", own_shuffle(end).alias("_block"))
+        .join(met, F.col("_block") == F.col("block"))
+        .select("a", "b", F.lit(second).alias("second"), "item", "size")
+        for end, ends, second in (("a", pairs, False), ("b", pairs.filter("a < b"), True))
+    ]
+    return compared_seats(seats[0].unionByName(seats[1]), members, compare)
+
+
 def _members(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return stored(fetch(shared.select("item").distinct()))
 
@@ -397,46 +449,23 @@ def linked_components(
     """What hangs together of items that share keys: (`node`, `component`), and links (`u`, `v`).
 
     `keys` has (`item`, `key`, `rank`, `place`), the first three long, with repeats if need be.
-    `fetch` adds to items their `rank`, `place` and `values` (packed set). After the stars, the items of each
-    key ask those of stars with a greater number, the largest stars last, so of two stars one asks
-    the other. Items without a link have no row. The links, which
-    may repeat, are verified and hold every component together; they are not all there are.
+    `fetch` adds to items their `rank`, `place` and `values` (packed set). After the stars, the
+    items of each key that has several stars are compared. Items without a link have no row. The
+    links, which may repeat, are verified and hold every component together; they are not all there
+    are.
     """
     shared = saved(shared_keys(keys))
     members = _members(shared, fetch)
     compare = compare_sides(percent, extent=extent)
     stars = saved(star_links(shared, members, compare))
     known = star_labels(stars)
-    # A number that orders stars and tells them apart, crowds last by size.
-    size = F.when(F.col("size") >= BLOCK_ITEMS, F.col("size")).otherwise(F.lit(0))
-    of = F.coalesce("component", "item")
-    number = F.struct(size.alias("size"), F.xxhash64(of).alias("of"))
-    rows = shared.join(known, F.col("item") == F.col("_node"), "left").select(
-        "item", "key", number.alias("number"), "rank", "place"
-    )
-    spread = rows.groupBy("key").agg(
-        F.min("number").alias("low"),
-        F.max("number").alias("high"),
-        F.min(F.struct("rank", "place", "item")).alias("first"),
-    )
-    mixed = spread.filter("low < high").select(
-        own_shuffle("key").alias("_key"), "low", "high", F.col("first.item").alias("lead")
+    crowd = F.when(F.col("size") >= BLOCK_ITEMS, F.col("component"))
+    rows = saved(
+        shared.join(known, F.col("item") == F.col("_node"), "left").select(
+            "item", "key", F.coalesce("component", "item").alias("star"), crowd.alias("crowd")
+        )
     )
-    open_rows = saved(rows.join(mixed, F.col("key") == F.col("_key")).drop("_key", "rank", "place"))
-    # Crowds are put in blocks of their own, so that these are of one star. Other items are dealt in
-    # the order of their numbers, so of two blocks one asks the other.
-    crowd = F.when(F.col("number.size") > 0, F.col("number.of"))
-    columns = [
-        "item",
-        "key",
-        F.xxhash64("lead", crowd).alias("group"),
-        F.when(crowd.isNull(), F.col("number.of")).otherwise(F.xxhash64("item")).alias("spread"),
-        F.col("number").alias("low"),
-        F.col("number").alias("high"),
-    ]
-    asks = open_rows.filter("number < high").select(*columns)
-    answers = open_rows.filter("number > low").select(*columns)
-    rest = saved(block_links(asks, answers, "l_low < r_high", members, compare))
+    rest = saved(key_links(rows, members, compare))
     links = stars.unionByName(rest).select(F.col("item").alias("u"), F.col("hub").alias("v"))
     return components(links), links
 
