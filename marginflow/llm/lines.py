@@ -24,7 +24,7 @@ from marginflow.llm.frames import (
     stored,
 )
 from marginflow.llm.hashing import Words, mixed, shingle_sets
-from marginflow.llm.links import late_items
+from marginflow.llm.links import STRIP, late_items
 
 PERCENT = 80
 WIDTH = 5  # words of a token
@@ -276,14 +276,15 @@ def may_match(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
         j0, j1 = np.searchsorted(token_b, [token, token + np.uint64(1)])
         if token == np.uint64(2**64 - 1):
             i1, j1 = len(token_a), len(token_b)
-        rows, columns = owner_a[i0:i1], owner_b[j0:j1]
-        sizes_a, sizes_b = a[rows][:, None], b[columns][None, :]
-        needed = -(-percent * (sizes_a + sizes_b) // (100 + percent))
-        reach = np.minimum(
-            sizes_a - place_a[i0:i1][:, None], sizes_b - place_b[j0:j1][None, :]
-        )
-        near = 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
-        out[np.ix_(rows, columns)] |= near & (reach >= needed)
+        columns, rest_b = owner_b[j0:j1], (b[owner_b[j0:j1]] - place_b[j0:j1])[None, :]
+        for start in range(i0, i1, STRIP):
+            some = slice(start, min(start + STRIP, i1))
+            rows = owner_a[some]
+            sizes_a, sizes_b = a[rows][:, None], b[columns][None, :]
+            needed = -(-percent * (sizes_a + sizes_b) // (100 + percent))
+            reach = np.minimum(sizes_a - place_a[some][:, None], rest_b)
+            near = 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
+            out[np.ix_(rows, columns)] |= near & (reach >= needed)
     return out
 
 

@@ -28,6 +28,7 @@ CALL_ITEMS = 4096  # items that one call compares, about
 CALL_VALUES = 1 << 20  # hashes in their sets, about
 SMALL = 64  # pairs up to which sets are compared one by one
 CHUNK = 4096  # columns of the incidence matrix at a time
+STRIP = 256  # rows of a matrix of pairs at a time, where it needs further ones of its size
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -44,7 +45,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
     Products of incidence matrices, over the values that both sides have, some at a time.
     """
-    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    out = np.zeros((len(left), len(right)), dtype=np.int32)
     if not left or not right:
         return out
     a, b = np.concatenate(left), np.concatenate(right)
@@ -71,7 +72,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         y = np.zeros((len(right), width), dtype=np.float32)
         x[rows[i[0] : i[1]], at[i[0] : i[1]] - start] = 1
         y[columns[j[0] : j[1]], bt[j[0] : j[1]] - start] = 1
-        out += (x @ y.T).astype(np.int64)
+        out += (x @ y.T).astype(np.int32)
     return out
 
 
@@ -82,7 +83,12 @@ def linked(
     both = overlaps(left, right)
     a = np.array([len(x) for x in left])[:, None]
     b = np.array([len(x) for x in right])[None, :]
-    return (both > 0) & (100 * both >= percent * (a + b - both))
+    out = np.zeros(both.shape, dtype=bool)
+    for start in range(0, len(left), STRIP):
+        rows = slice(start, start + STRIP)
+        part = both[rows].astype(np.int64)
+        out[rows] = (part > 0) & (100 * part >= percent * (a[rows] + b - part))
+    return out
 
 
 def reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -327,32 +333,26 @@ def star_links(shared: DataFrame, members: DataFrame, compare: Callable) -> Data
 def block_links(
     asks: DataFrame, answers: DataFrame, worth: str, members: DataFrame, compare: Callable
 ) -> DataFrame:
-    """Links between items that ask and items that answer under one key.
+    """Links between items that ask and items that answer under one key, key by key.
 
-    `asks` and `answers` have (`item`, `key`, `group`, `spread`, `low`, `high`): `group` is where the
-    item is put with others like it, `spread` deals a large group to blocks, `low` and `high` are the bounds of a number that `worth` compares
-    (`l_low`, `l_high` of the asking block, `r_low`, `r_high` of the answering one) to leave out
-    pairs of blocks that have nothing to say. An item is in one block on each side.
+    `asks` and `answers` have (`item`, `key`, `low`, `high`): `low` and `high` are the bounds of a
+    number that `worth` compares (`l_low`, `l_high` of the asking block, `r_low`, `r_high` of the
+    answering one) to leave out pairs of blocks that have nothing to say. On either side the items
+    of a key are one block, or several if they are many.
     """
     sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
 
     def blocks(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-        groups = rows.groupBy("item").agg(
-            F.min("group").alias("group"), F.min("spread").alias("spread")
-        )
-        groups = groups.join(sizes, F.col("item") == F.col("_item")).drop("_item")
+        sized = rows.join(sizes, F.col("item") == F.col("_item")).drop("_item")
         placed = saved(
-            dealt(groups, "group").select("item", "size", F.xxhash64("group", "chunk").alias("block"))
-        )
-        spots = (
-            rows.join(
-                placed.select(own_shuffle("item").alias("_item"), "block"),
-                F.col("item") == F.col("_item"),
+            dealt(sized.withColumn("spread", F.xxhash64("item")), "key").select(
+                "item", "size", "key", "low", "high", F.xxhash64("key", "chunk").alias("block")
             )
-            .groupBy("key", F.col("block").alias(side))
-            .agg(F.min("low").alias(f"{side}_low"), F.max("high").alias(f"{side}_high"))
         )
-        return placed, spots
+        spots = placed.groupBy("key", F.col("block").alias(side)).agg(
+            F.min("low").alias(f"{side}_low"), F.max("high").alias(f"{side}_high")
+        )
+        return placed.select("item", "size", "block"), spots
 
     placed_l, l = blocks(asks, "l")
     placed_r, r = blocks(answers, "r")
@@ -360,7 +360,6 @@ def block_links(
     pairs = saved(
         l.join(r, (F.col("key") == F.col("_key")) & F.expr(worth))
         .select(F.col("l").alias("a"), F.col("r").alias("b"))
-        .distinct()
     )
     seats = [
         pairs.select("a", "b", own_shuffle(end).alias("_block"))
@@ -480,7 +479,7 @@ def late_items(
 
     Takes what `linked_components` takes. The representative of a key is the first of its items, so
     most items that have an earlier partner find it there. Each of the others asks all items that
-    come before it under one of its keys.
+    come before it under one of its keys, where that is not just the one it was compared with.
     """
     shared = saved(shared_keys(keys))
     members = _members(shared, fetch)
@@ -493,25 +492,45 @@ def late_items(
     placed = rows.join(
         firsts.select(own_shuffle("key").alias("_key"), "first"), F.col("key") == F.col("_key")
     ).drop("_key")
-    # The first of a key has nobody to ask there.
-    asks = saved(
-        placed.filter("at > first").join(told, F.col("item") == F.col("_late"), "left_anti")
+    # An item was compared with the first of all its keys. It asks where another one comes before it.
+    asked = rows.select("item").distinct().join(told, F.col("item") == F.col("_late"), "left_anti")
+    leads = placed.groupBy("item").agg(F.min("first").alias("lead"))
+    open_items = leads.join(
+        asked.select(own_shuffle("item").alias("_item")), F.col("item") == F.col("_item")
+    ).select(own_shuffle("item").alias("_item"), "lead")
+    seconds = (
+        placed.filter("at > first").groupBy("key").agg(F.min("at").alias("second"))
+        .select(own_shuffle("key").alias("_key"), "second")
     )
-    columns = [
-        "item",
-        "key",
-        F.col("first.item").alias("group"),
-        F.xxhash64("item").alias("spread"),
-        F.col("at").alias("low"),
-        F.col("at").alias("high"),
-    ]
+    asks = (
+        placed.filter("at > first")
+        .join(open_items, F.col("item") == F.col("_item"))
+        .join(seconds, F.col("key") == F.col("_key"))
+        .filter("first <> lead OR at > second")
+        .select("item", "key", "at")
+    )
+    asks = saved(asks)
+    bounds = [F.col("at").alias("low"), F.col("at").alias("high")]
     wanted = asks.groupBy("key").agg(F.max("at").alias("last"))
-    answers = placed.join(
+    answers = rows.join(
         wanted.select(own_shuffle("key").alias("_key"), "last"),
         (F.col("key") == F.col("_key")) & (F.col("at") < F.col("last")),
     )
-    rest = block_links(
-        asks.select(*columns), answers.select(*columns), "r_low < l_high", members, compare
+    # Keys under which the same items ask and answer are one.
+    both = asks.select("item", "key", F.lit(0).alias("side")).unionByName(
+        answers.select("item", "key", F.lit(1).alias("side"))
+    )
+    same = [F.bit_xor(F.xxhash64("item", "side", F.lit(i))).alias(f"_same{i}") for i in range(2)]
+    chosen = saved(
+        both.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *same)
+        .groupBy("n", "_same0", "_same1").agg(F.min("key").alias("key"))
+        .select(own_shuffle("key").alias("_key"))
+    )
+    asks, answers = (
+        side.join(chosen.withColumnRenamed("_key", "_chosen"), F.col("key") == F.col("_chosen"), "left_semi")
+        .select("item", "key", *bounds)
+        for side in (asks, answers)
     )
+    rest = block_links(asks, answers, "r_low < l_high", members, compare)
     found = rest.filter("late IS NOT NULL").select("late")
     return stars.unionByName(found).select(F.col("late").alias("item")).distinct()
