@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from marginflow.llm.frames import WORD, explode_batches, own_shuffle, saved, slices
 from marginflow.llm.hashing import Words, bands, shingle_sets, tune
-from marginflow.llm.links import linked_components, pack
+from marginflow.llm.links import NO_RANK, class_links, linked_components, pack
 
 WIDTH = 5  # words of an n-gram
 PERCENT = 80  # least similarity
@@ -83,13 +83,13 @@ def packed_sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def text_classes(
-    docs: DataFrame, width: int, percent: int, rows: int, recall: float
+    docs: DataFrame, width: int, percent: int, rows: int, recall: float, counted: bool = True
 ) -> DataFrame:
     """One row per different text of `docs` (`doc_id`, `text`) that has words.
 
-    (`digest`, `first_id`, `weight`, `class_id`, `rep_id`, `n_links`, `leads`): the smallest id that
-    has the text, how many rows have it, its class, the id of a text of the class that it is linked
-    to, the links of each of these rows, and whether it is the first text of its class.
+    (`digest`, `first_id`, `weight`, `class_id`, `leads`): the smallest id that has the text, how
+    many rows have it, its class, and whether it is the first text of its class. If `counted`, also
+    `rep_id`, the smallest id of a text that it is linked to, and `n_links` of each of these rows.
     """
     n_bands = tune(percent / 100, recall, rows)
     texts = (
@@ -117,12 +117,7 @@ def text_classes(
         )
         return packed_sets(near.select("item", "text"), width)
 
-    linked_items, links = linked_components(keys, fetch, percent)
-    ends = F.array(F.struct(F.col("u").alias("item"), F.col("v").alias("other")), F.struct(F.col("v").alias("item"), F.col("u").alias("other")))
-    per_item = (
-        links.filter("u <> v").select(F.inline(ends)).distinct()
-        .groupBy("item").agg(F.count(F.lit(1)).alias("links"), F.min("other").alias("other"))
-    )
+    linked_items, members = linked_components(keys, fetch, percent)
     # A class is named by the smallest document id in it; texts without an id come last.
     firsts = texts.select(F.col("item").alias("node"), "first_id", "digest")
     named = linked_items.join(firsts, "node")
@@ -132,25 +127,40 @@ def text_classes(
         leaders.select(own_shuffle("component").alias("_component"), "leader"),
         F.col("component") == F.col("_component"),
     ).select(F.col("node").alias("item"), "leader")
-    partners = firsts.select(own_shuffle("node").alias("_other"), F.col("first_id").alias("other_id"))
-    linked_to = per_item.join(partners, F.col("other") == F.col("_other")).select(
-        "item", "links", "other_id"
-    )
-    return (
+    named_texts = (
         texts.join(classes, "item", "left")
-        .join(linked_to, "item", "left")
         .select(
+            "item",
             "digest",
             "first_id",
             "weight",
             F.when(F.col("leader").isNull(), F.col("first_id"))
             .otherwise(F.col("leader.first_id"))
             .alias("class_id"),
-            F.when(F.col("links").isNull(), F.col("first_id")).otherwise(F.col("other_id")).alias("rep_id"),
-            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
             F.coalesce(F.col("leader.digest") == F.col("digest"), F.lit(True)).alias("leads"),
         )
     )
+    if not counted:
+        return named_texts.drop("item")
+    weights = texts.select(
+        own_shuffle("item").alias("_text"),
+        F.coalesce("first_id", F.lit(NO_RANK)).alias("rank"),
+        F.col("weight").alias("place"),
+    )
+    sets = members.select("item", "values").join(weights, F.col("item") == F.col("_text")).drop("_text")
+    in_classes = linked_items.select(F.col("node").alias("item"), F.col("component").alias("class"))
+    per_item = class_links(in_classes, sets, percent).select(
+        own_shuffle("item").alias("_linked"), "links", F.expr(f"nullif(rep, {NO_RANK})").alias("rep")
+    )
+    return named_texts.join(per_item, F.col("item") == F.col("_linked"), "left").select(
+        "digest",
+        "first_id",
+        "weight",
+        "class_id",
+        F.when(F.col("links").isNull(), F.col("first_id")).otherwise(F.col("rep")).alias("rep_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
+        "leads",
+    )
 
 
 def jaccard_groups(
@@ -169,14 +179,14 @@ def jaccard_groups(
     links; a document without links is its own class. Words are as they stand; a text of 1 to 4
     words has all its words as its only n-gram.
 
-    Equal texts are one item. Of a crowd of near copies every text is linked to representatives,
-    not to all others, and texts of different classes that share a band are all compared, so
-    classes are those of all links, but a row for each pair is never made. `n_links` counts the
-    verified links that hold the document to its class: its equal copies, and the texts it was
-    linked to. It is 0 just where there is no link. `rep_id` is the smallest id of a text it is
-    linked to, or that of its own text. The number of bands follows from the recall wanted at
-    the least similarity; which texts share a band is found exactly in all buckets, and pairs
-    are verified on their full sets (64-bit hashes of the n-grams).
+    Equal texts are one item. To find the classes, texts of a crowd of near copies are compared with
+    representatives, and texts of different classes that share a band with each other. Then every
+    two texts of a class are compared, in blocks, without a row for a pair: `n_links` counts all
+    documents that the document is linked to, its equal copies among them. `rep_id` is the
+    smallest id of a text it is linked to, or that of its own text if there is none. The number of
+    bands follows from the recall wanted at the least similarity; which texts share a band is
+    found exactly in all buckets, and pairs are verified on their full sets (64-bit hashes of the
+    n-grams).
 
     Null, empty and blank texts have no n-grams: no links and a class of their own. A null id
     names no class, but is in one like any other; a class of null ids alone is null. Rows that
@@ -216,7 +226,7 @@ def keep_one(
     """
     renamed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     kept = (
-        text_classes(renamed, width, percent, rows, recall)
+        text_classes(renamed, width, percent, rows, recall, counted=False)
         .filter("leads")
         .select("digest", "first_id", F.lit(True).alias("kept"))
     )

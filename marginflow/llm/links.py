@@ -119,6 +119,8 @@ def spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 RESULT = "item long, hub long, late long"
+COUNTED = "item long, links long, rep long"
+NO_RANK = 2**63 - 1
 
 
 @dataclass
@@ -167,6 +169,54 @@ def sides(table: pa.Table) -> Iterator[tuple[Side, Side]]:
         yield left, side(mine[second[mine]]) if second[mine].any() else left
 
 
+def one_by_one(left: Side, right: Side, percent: int) -> np.ndarray:
+    """What `linked` tells, for few pairs."""
+    out = np.zeros((len(left.item), len(right.item)), dtype=bool)
+    ours, theirs = ([frozenset(s.tolist()) for s in x.sets()] for x in (left, right))
+    for i, x in enumerate(ours):
+        for j, y in enumerate(theirs):
+            # The smaller set has `percent` of the larger, or they are not similar enough.
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                both = len(x & y)
+                out[i, j] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+    return out
+
+
+def count_sides(percent: int) -> Callable:
+    """Function for some pairs of blocks: how many links each item has to the other side.
+
+    An item counts `place` times. `rep` is the smallest `rank` of the items it is linked to.
+    """
+
+    def counted(left: Side, right: Side) -> Iterator[tuple]:
+        if len(left.item) * len(right.item) <= SMALL:
+            found = one_by_one(left, right, percent)
+        else:
+            ours = left.sets()
+            found = linked(ours, ours if right is left else right.sets(), percent)
+        if right is left:
+            np.fill_diagonal(found, False)
+        both = [(left, right, found)] if right is left else [(left, right, found), (right, left, found.T)]
+        for mine, other, hits in both:
+            for start in range(0, len(mine.item), STRIP):
+                part = hits[start : start + STRIP]
+                links = part @ other.place
+                least = np.where(part, other.rank[None, :], NO_RANK).min(axis=1)
+                yield from zip(mine.item[start : start + STRIP].tolist(), links.tolist(), least.tolist())
+
+    def run(table: pa.Table) -> pa.Table:
+        out = [row for left, right in sides(table) for row in counted(left, right)]
+        columns = zip(*out) if out else ([], [], [])
+        return pa.table(
+            {
+                name: pa.array(column, type=pa.int64())
+                for name, column in zip(("item", "links", "rep"), columns)
+            }
+        )
+
+    return run
+
+
 def compare_sides(percent: int, may_match: Callable | None = None, extent: int = 0) -> Callable:
     """Function for some pairs of blocks: what is told of the links between the two sides.
 
@@ -177,17 +227,6 @@ def compare_sides(percent: int, may_match: Callable | None = None, extent: int =
     apart overlap and are not linked.
     """
 
-    def one_by_one(left: Side, right: Side) -> np.ndarray:
-        out = np.zeros((len(left.item), len(right.item)), dtype=bool)
-        ours, theirs = ([frozenset(s.tolist()) for s in x.sets()] for x in (left, right))
-        for i, x in enumerate(ours):
-            for j, y in enumerate(theirs):
-                # The smaller set has `percent` of the larger, or they are not similar enough.
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(x & y)
-                    out[i, j] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-        return out
-
     def at_once(left: Side, right: Side) -> np.ndarray:
         ours = left.sets()
         theirs = ours if right is left else right.sets()
@@ -203,7 +242,7 @@ def compare_sides(percent: int, may_match: Callable | None = None, extent: int =
 
     def compared(left: Side, right: Side) -> Iterator[tuple]:
         few = len(left.item) * len(right.item) <= SMALL
-        found = (one_by_one if few else at_once)(left, right)
+        found = one_by_one(left, right, percent) if few else at_once(left, right)
         found &= left.item[:, None] != right.item[None, :]
         if right is left:
             found = np.triu(found)
@@ -282,10 +321,12 @@ def dealt(groups: DataFrame, by: str) -> DataFrame:
 
 
 def compared_seats(seats: DataFrame, members: DataFrame, compare: Callable) -> DataFrame:
-    """`compare` over `seats` (`a`, `b`, `second`, `item`, `size`), each with the set of its item.
+    """`compare` over `seats` (`a`, `b`, `second`, `item`, `size`), each with the set of its item."""
+    return called(seats, members, compare, RESULT)
 
-    Many pairs of blocks have a few items only, so a call gets several of them.
-    """
+
+def called(seats: DataFrame, members: DataFrame, compare: Callable, result: str) -> DataFrame:
+    """`compare` over calls: many pairs of blocks have a few items only, so a call gets several."""
     seats = saved(seats)
     n, total = seats.agg(F.count(F.lit(1)), F.sum("size")).first()
     calls = max(1, -(-n // CALL_ITEMS), int(-(-(total or 0) // CALL_VALUES)))
@@ -302,7 +343,7 @@ def compared_seats(seats: DataFrame, members: DataFrame, compare: Callable) -> D
         "values",
     )
     ship_code(seats.sparkSession)
-    return rows.groupBy("call").applyInArrow(compare, RESULT)
+    return rows.groupBy("call").applyInArrow(compare, result)
 
 
 def star_links(shared: DataFrame, members: DataFrame, compare: Callable) -> DataFrame:
@@ -442,16 +483,47 @@ def star_labels(stars: DataFrame) -> DataFrame:
     ).select("_node", "component", "size")
 
 
+def class_links(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(`item`, `links`, `rep`): all links of each item of `classes` (`item`, `class`).
+
+    `members` has (`item`, `rank`, `place`, `values`): an item counts `place` times, and `rep` is the
+    smallest `rank` of the items it is linked to. Every two items of a class are compared, once.
+    A class of up to BLOCK_ITEMS items is one block; of a larger one each pair of blocks meets, so
+    its rows grow with the square of its size over BLOCK_ITEMS.
+    """
+    sizes = members.select(own_shuffle("item").alias("_item"), (F.octet_length("values") / 8).alias("size"))
+    sized = classes.join(sizes, F.col("item") == F.col("_item")).drop("_item")
+    placed = saved(
+        dealt(sized.withColumn("spread", F.xxhash64("item")), "class").select(
+            "item", "size", "class", "chunk"
+        )
+    )
+    blocks = placed.select("class", F.xxhash64("class", "chunk").alias("block")).distinct()
+    others = blocks.select(own_shuffle("class").alias("_class"), F.col("block").alias("b"))
+    pairs = saved(
+        blocks.join(others, (F.col("class") == F.col("_class")) & (F.col("block") <= F.col("b")))
+        .select(F.col("block").alias("a"), "b")
+    )
+    met = placed.select("item", "size", F.xxhash64("class", "chunk").alias("block"))
+    seats = [
+        ends.select("a", "b", own_shuffle(end).alias("_block"))
+        .join(met, F.col("_block") == F.col("block"))
+        .select("a", "b", F.lit(second).alias("second"), "item", "size")
+        for end, ends, second in (("a", pairs, False), ("b", pairs.filter("a < b"), True))
+    ]
+    counted = called(seats[0].unionByName(seats[1]), members, count_sides(percent), COUNTED)
+    return counted.groupBy("item").agg(F.sum("links").alias("links"), F.min("rep").alias("rep"))
+
+
 def linked_components(
     keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, extent: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """What hangs together of items that share keys: (`node`, `component`), and links (`u`, `v`).
+    """What hangs together of items that share keys: (`node`, `component`), and their members.
 
     `keys` has (`item`, `key`, `rank`, `place`), the first three long, with repeats if need be.
     `fetch` adds to items their `rank`, `place` and `values` (packed set). After the stars, the
     items of each key that has several stars are compared. Items without a link have no row. The
-    links, which may repeat, are verified and hold every component together; they are not all there
-    are.
+    links behind it are verified and hold every component together; `class_links` counts all.
     """
     shared = saved(shared_keys(keys))
     members = _members(shared, fetch)
@@ -466,7 +538,7 @@ def linked_components(
     )
     rest = saved(key_links(rows, members, compare))
     links = stars.unionByName(rest).select(F.col("item").alias("u"), F.col("hub").alias("v"))
-    return components(links), links
+    return components(links), members
 
 
 def late_items(

@@ -131,3 +131,13 @@ def test_rows_that_repeat_an_id_with_other_texts(docs):
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_groups(docs(rows)).collect())
     assert got == [(1, 1, 0), (1, 1, 2), (2, 1, 2), (2, 1, 2)]
     assert sorted(r.text for r in keep_one(docs(rows)).collect()) == ["a b c d e f", "g h i j k l"]
+
+
+def test_every_link_of_a_crowd_counts(docs, monkeypatch):
+    """Members of a crowd are linked to each other, not to representatives alone, across blocks too."""
+    monkeypatch.setattr(links_module, "BLOCK_ITEMS", 16)
+    draw = random.Random(12)
+    for rows in (crowd(50, draw) + [(100 + i, crowd(1, draw)[0][1]) for i in range(3)], corpus(4)):
+        rows += [(1000 + i, rows[0][1]) for i in range(4)]  # equal copies count one by one
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_groups(docs(rows)).collect()}
+        assert got == expected(rows)
