@@ -27,7 +27,7 @@ MANY_BITS = 1 << 26  # of the bitmap of shared keys, 8 MB
 CALL_ITEMS = 4096  # items that one call compares, about
 CALL_VALUES = 1 << 20  # hashes in their sets, about
 SMALL = 64  # pairs up to which sets are compared one by one
-CHUNK = 4096  # columns of the incidence matrix at a time
+CHUNK = 1024  # columns of the incidence matrix at a time
 STRIP = 256  # rows of a matrix of pairs at a time, where it needs further ones of its size
 
 
@@ -72,7 +72,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         y = np.zeros((len(right), width), dtype=np.float32)
         x[rows[i[0] : i[1]], at[i[0] : i[1]] - start] = 1
         y[columns[j[0] : j[1]], bt[j[0] : j[1]] - start] = 1
-        out += (x @ y.T).astype(np.int32)
+        for top in range(0, len(left), STRIP):
+            out[top : top + STRIP] += (x[top : top + STRIP] @ y.T).astype(np.int32)
     return out
 
 
@@ -135,9 +136,18 @@ class Side:
     def sets(self) -> list[np.ndarray]:
         return [unpack(x) for x in self.values]
 
-    @property
-    def order(self) -> list[tuple]:
-        return list(zip(self.rank.tolist(), self.place.tolist(), self.item.tolist()))
+
+def in_turn(left: Side, right: Side) -> np.ndarray:
+    """Numbers of the items of both sides, in the order of rank, place and item."""
+    rank, place, item = (
+        np.concatenate([getattr(left, c), getattr(right, c)]) for c in ("rank", "place", "item")
+    )
+    order = np.lexsort((item, place, rank))
+    fresh = np.ones(len(order), dtype=np.int64)
+    fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (rank, place, item)], axis=0)
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
 
 
 def sides(table: pa.Table) -> Iterator[tuple[Side, Side]]:
@@ -249,18 +259,27 @@ def compare_sides(percent: int, may_match: Callable | None = None, extent: int =
         if extent:
             apart = np.abs(left.place[:, None] - right.place[None, :]) >= extent
             found &= apart | (left.rank[:, None] != right.rank[None, :])
-        i, j = np.nonzero(found)
-        if not len(i):
+        if not found.any():
             return
         # An item may stand on both sides.
         items, node = np.unique(np.concatenate([left.item, right.item]), return_inverse=True)
-        u, v = node[i], node[len(left.item) + j]
-        for at in spanning(len(items), u, v).tolist():
-            yield int(items[u[at]]), int(items[v[at]]), None
-        before, after = left.order, right.order
-        pairs = zip(i.tolist(), j.tolist())
-        for late in {max(before[x], after[y])[2] for x, y in pairs}:
-            yield late, None, late
+        turn = in_turn(left, right)
+        ours, theirs = node[: len(left.item)], node[len(left.item) :]
+        mine, other = turn[: len(left.item)], turn[len(left.item) :]
+        label, late = np.arange(len(items)), set()
+        # Some rows at a time, as nearly all pairs of a crowd are links.
+        for start in range(0, len(left.item), STRIP):
+            i, j = np.nonzero(found[start : start + STRIP])
+            i += start
+            late.update(np.where(mine[i] > other[j], left.item[i], right.item[j]).tolist())
+            between = np.flatnonzero(label[ours[i]] != label[theirs[j]])
+            u, v = ours[i[between]], theirs[j[between]]
+            chosen = spanning(len(items), label[u], label[v])
+            for at in chosen.tolist():
+                yield int(items[u[at]]), int(items[v[at]]), None
+            label = reachable(len(items), label[u[chosen]], label[v[chosen]])[label]
+        for item in late:
+            yield item, None, item
 
     def run(table: pa.Table) -> pa.Table:
         out = [row for left, right in sides(table) for row in compared(left, right)]

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +7,7 @@ from llm.plain_versions import classes
 
 from marginflow.llm.components import components
 from marginflow.llm.hashing import Words, shingle_sets, sliding, tune
-from marginflow.llm.links import linked, overlaps, reachable, spanning
+from marginflow.llm.links import compare_sides, linked, overlaps, pack, reachable, spanning
 
 
 def test_components_against_brute_force(spark):
@@ -95,3 +96,34 @@ def test_may_hold_keeps_every_wanted_row(spark):
     full = may_hold(rows, ["a"], rows.select("a"), 1 << 15)
     assert full.count() == 20_000  # a bitmap that is full lets all through
     assert may_hold(rows, ["a"], wanted.limit(0)).collect() == []
+
+
+def test_a_block_of_near_copies_needs_little_memory():
+    """Nearly all pairs of a crowd are links; what is told of them is not made from a list of pairs."""
+    draw, n = np.random.default_rng(4), 1024
+    base = draw.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [base.copy() for _ in range(2 * n)]
+    for s in sets:
+        s[draw.integers(0, 60)] = draw.integers(0, 2**63)
+    order = draw.permutation(2 * n)
+    table = pa.table(
+        {
+            "a": pa.array([1] * 2 * n),
+            "b": pa.array([2] * 2 * n),
+            "second": pa.array([False] * n + [True] * n),
+            "item": pa.array(np.arange(2 * n)),
+            "rank": pa.array(order // 2),
+            "place": pa.array(order % 2),
+            "values": pa.array([pack(s) for s in sets], pa.binary()),
+        }
+    )
+    tracemalloc.start()
+    told = compare_sides(80)(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * n * n  # bytes
+    ends = np.array([(r["item"], r["hub"]) for r in told if r["hub"] is not None])
+    assert len(ends) == 2 * n - 1 and not reachable(2 * n, *ends.T).any()
+    late = sorted(r["late"] for r in told if r["late"] is not None)
+    first = [min(order[:n]), min(order[n:])]
+    assert late == [i for i in range(2 * n) if order[i] > first[i < n]]
