@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -127,3 +128,31 @@ def test_a_block_of_near_copies_needs_little_memory():
     late = sorted(r["late"] for r in told if r["late"] is not None)
     first = [min(order[:n]), min(order[n:])]
     assert late == [i for i in range(2 * n) if order[i] > first[i < n]]
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Sums that are stored or saved leave their rows, not the shuffle that they were made with."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from marginflow.llm.frames import CLEANUP, saved, stored
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for d in folders.localDirsString() for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+    before, setting = files(), spark.conf.get(CLEANUP)
+    for keep in (stored, saved):
+        sums = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).agg(F.sum("id").alias("s"))
+        kept = keep(sums)
+        left = files() - before
+        for _ in range(50):  # they go in the background
+            if not left:
+                break
+            time.sleep(0.1)
+            left = files() - before
+        assert not left
+        assert kept.count() == kept.count() == 5_000
+    assert spark.conf.get(CLEANUP) == setting
