@@ -390,7 +390,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
         "around",
         F.col("lead.around").alias("_around"),
     )
-    return extended(met, percent)
+    # Written here, so that the shuffles with the words around do not stay for what follows.
+    return stored(extended(met, percent))
 
 
 def substring_dedup(
