@@ -143,8 +143,9 @@ def test_steps_leave_no_shuffle_files(spark):
     def files():
         return {f for d in folders.localDirsString() for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
 
-    before, setting = files(), spark.conf.get(CLEANUP)
+    setting = spark.conf.get(CLEANUP)
     for keep in (stored, saved):
+        before = files()  # those of other queries stay
         sums = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).agg(F.sum("id").alias("s"))
         kept = keep(sums)
         left = files() - before
