@@ -11,6 +11,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
+SOLID = ~BLANK
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,7 +75,7 @@ class Words:
         self.data, self.starts = data, starts
         n = len(data)
         solid = np.zeros(n + 2, dtype=bool)
-        solid[1:-1] = ~BLANK[data]
+        np.take(SOLID, data, out=solid[1:-1])
         # A text's first byte starts a word even if the text before ends in one.
         edge = np.zeros(n + 1, dtype=bool)
         edge[starts] = True
@@ -83,8 +84,10 @@ class Words:
         self.end = np.flatnonzero(before & (~now | edge))
         self.first = np.searchsorted(self.begin, starts)
         self.first[-1] = len(self.begin)
-        terms = _byte_values()[data] * powers(max(n, 1))[:n]
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        terms = np.take(_byte_values(), data)
+        terms *= powers(max(n, 1))[:n]
+        np.cumsum(terms, out=sums[1:])
         raw = (sums[self.end] - sums[self.begin]) * _inverse_powers(n)[self.begin]
         length = (self.end - self.begin).astype(np.uint64)
         self.hash = mixed(raw + length * np.uint64(0xD6E8FEB86659FD93))

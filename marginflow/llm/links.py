@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.llm.components import components
-from marginflow.llm.frames import may_hold, own_shuffle, saved, ship_code, stored
+from marginflow.llm.frames import dropped, may_hold, own_shuffle, saved, ship_code, stored
 
 BLOCK_ITEMS = 2048
 BLOCK_VALUES = 1 << 20  # hashes in the sets of a block, unless a single item has more
@@ -312,7 +312,9 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     found = hot.select(F.col("key").alias("_key")).hint("shuffle_hash")
     joined = few.join(found, F.col("key") == F.col("_key"))
     order = F.min(F.struct("rank", "place"))
-    return joined.groupBy("item", "key").agg(order.alias("at")).select("item", "key", "at.*")
+    shared = saved(joined.groupBy("item", "key").agg(order.alias("at")).select("item", "key", "at.*"))
+    dropped(hot)
+    return shared
 
 
 def dealt(groups: DataFrame, by: str) -> DataFrame:
@@ -544,7 +546,7 @@ def linked_components(
     items of each key that has several stars are compared. Items without a link have no row. The
     links behind it are verified and hold every component together; `class_links` counts all.
     """
-    shared = saved(shared_keys(keys))
+    shared = shared_keys(keys)
     members = _members(shared, fetch)
     compare = compare_sides(percent, extent=extent)
     stars = saved(star_links(shared, members, compare))
@@ -572,7 +574,16 @@ def late_items(
     most items that have an earlier partner find it there. Each of the others asks all items that
     come before it under one of its keys, where that is not just the one it was compared with.
     """
-    shared = saved(shared_keys(keys))
+    return late_among(shared_keys(keys), fetch, percent, may_match)
+
+
+def late_among(
+    shared: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    percent: int,
+    may_match: Callable | None = None,
+) -> DataFrame:
+    """What `late_items` does, for written rows of keys that several items have, one of each."""
     members = _members(shared, fetch)
     compare = compare_sides(percent, may_match)
     stars = saved(star_links(shared, members, compare).filter("late IS NOT NULL").select("late"))
@@ -580,9 +591,11 @@ def late_items(
     at = F.struct("rank", "place", "item")
     rows = shared.select("item", "key", at.alias("at"))
     firsts = rows.groupBy("key").agg(F.min("at").alias("first"))
-    placed = rows.join(
-        firsts.select(own_shuffle("key").alias("_key"), "first"), F.col("key") == F.col("_key")
-    ).drop("_key")
+    placed = saved(
+        rows.join(
+            firsts.select(own_shuffle("key").alias("_key"), "first"), F.col("key") == F.col("_key")
+        ).drop("_key")
+    )
     # An item was compared with the first of all its keys. It asks where another one comes before it.
     asked = rows.select("item").distinct().join(told, F.col("item") == F.col("_late"), "left_anti")
     leads = placed.groupBy("item").agg(F.min("first").alias("lead"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from marginflow.llm.frames import (
     append_columns,
+    dropped,
     explode_batches,
     may_hold,
     own_shuffle,
@@ -23,7 +24,7 @@ from marginflow.llm.hashing import Words, bands, mixed, shingles, tune
 from marginflow.llm.links import linked_components, pack
 
 ROWS = 4  # minima joined in a band
-SLICE_BYTES = 2 * 1024 * 1024
+SLICE_BYTES = 512 * 1024
 
 
 def natural_parts(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +196,8 @@ def repeated_parts(
         wanted = firsts.select("item", "first.*").join(items, "item")
         return read_parts(stored(wanted), docs, width, as_sets=True)
 
-    linked_items, _ = linked_components(keys, fetch, percent)
+    linked_items, members = linked_components(keys, fetch, percent)
+    dropped(members)
     near = linked_items.select(F.col("node").alias("item"), "component")
     known = stored(
         firsts.select("item", "first", "n")

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from marginflow.llm.frames import (
     WORD,
     append_columns,
+    dropped,
     explode_batches,
     may_hold,
     own_shuffle,
@@ -33,6 +34,7 @@ from marginflow.llm.frames import (
 from marginflow.llm.hashing import LARGEST, Words, mixed, seeds, shingles, sliding, tune
 from marginflow.llm.links import linked_components, pack
 from marginflow.llm.natural import repeated_parts
+from marginflow.llm.packed import repeated_keys
 
 PARAGRAPH = 20  # words
 REACH = 31  # with PARAGRAPH: passages of 50 words or more are found
@@ -42,7 +44,7 @@ RECALL = 0.99  # of a pair of paragraphs at the least similarity; equal ones are
 ROWS = 4
 CONTEXT = 32  # words beside a paragraph; anchors of a passage and its ends are nearer than that
 MANY_BITS = 1 << 26
-SLICE_BYTES = 2 * 1024 * 1024
+SLICE_BYTES = 512 * 1024  # arrays of this many numbers stay near the processor
 
 
 def anchors(words: Words) -> np.ndarray:
@@ -129,9 +131,10 @@ def counted_keys(owner: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.nd
 
     Paragraphs that overlap share most shingles and so many keys, which says nothing. Of the
     paragraphs of a text with the same key the first counts, and the last if they do not
-    overlap. Keys that count twice or more are at two places that do not overlap.
+    overlap. Keys that count twice or more are at two places that do not overlap. Rows come in
+    the order of `owner` and `start`.
     """
-    order = np.lexsort((start, key, owner))
+    order = np.argsort(key, kind="stable")
     o, k, s = owner[order], key[order], start[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
@@ -165,7 +168,7 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
                 continue
             owner = np.searchsorted(words.first, places, side="right") - 1
             first = places - words.first[owner]
-            values = paragraph_shingles(words, places)
+            values = np.ascontiguousarray(paragraph_shingles(words, places).T)
             salts = seeds(rows * bands, 22)
             keys = np.zeros((len(places), bands), dtype=np.uint64)
             told = np.zeros((len(places), bands), dtype=bool)
@@ -173,9 +176,10 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
                 keys[:, b] = salts[b]
                 for r in range(rows):
                     salt = salts[b * rows + r]
-                    order = (values ^ salt) * (salt | np.uint64(1))
+                    order = values ^ salt
+                    order *= salt | np.uint64(1)
                     order ^= order >> np.uint64(32)
-                    keys[:, b] = mixed(keys[:, b] + order.min(axis=1))
+                    keys[:, b] = mixed(keys[:, b] + order.min(axis=0))
                 told[:, b] = counted_keys(owner, first, keys[:, b])
             yield {
                 "doc_id": ids.take(pa.array(owner + start)),
@@ -190,6 +194,15 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     )
 
 
+def told_keys(batch: pa.RecordBatch) -> np.ndarray:
+    """The keys that count, of a batch of `paragraph_rows`."""
+    counted = batch.column("counted").to_numpy()
+    keys = batch.column("keys").flatten().to_numpy().view(np.uint64)
+    bands = len(keys) // max(1, len(counted))
+    told = (counted[:, None] >> np.arange(bands)[None, :]) & 1
+    return keys[told.ravel().astype(bool)]
+
+
 def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """Members for `linked_components`: `wanted` (`item`, `doc_id`, `start`) with shingles.
 
@@ -210,21 +223,24 @@ def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(-(2**63))
         for start, end in slices(texts, SLICE_BYTES):
             words = Words(texts.slice(start, end - start))
-            lists = [w or [] for w in wishes[start:end].to_pylist()]
-            asked = [(i, w) for i, ws in enumerate(lists) for w in ws]
+            own = wishes.slice(start, end - start)
+            owner = pc.list_parent_indices(own).to_numpy()
+            asked = pc.list_flatten(own)
+            item, first = (asked.field(i).to_numpy() for i in range(2))
             # Where an id repeats, each of its rows is asked for all; one has the paragraph.
-            asked = [(i, w) for i, w in asked if w["start"] + PARAGRAPH <= words.counts[i]]
-            places = np.array([words.first[i] + w["start"] for i, w in asked], dtype=np.int64)
-            items = np.array([w["item"] for _, w in asked], dtype=np.int64)
-            pick = np.flatnonzero(paragraph_hashes(words, places).view(np.int64) == items)
+            fits = np.flatnonzero(first + PARAGRAPH <= words.counts[owner])
+            places = words.first[owner[fits]] + first[fits]
+            mine = paragraph_hashes(words, places).view(np.int64) == item[fits]
+            pick, places = fits[mine], places[mine]
             if not len(pick):
                 continue
-            values = paragraph_shingles(words, places[pick])
+            values = np.sort(paragraph_shingles(words, places), axis=1)
+            repeats = (values[:, 1:] == values[:, :-1]).any(axis=1).tolist()
             yield {
-                "item": pa.array(items[pick]),
-                "rank": ids.take(pa.array([start + asked[i][0] for i in pick], type=pa.int64())),
-                "place": pa.array([asked[i][1]["start"] for i in pick], type=pa.int64()),
-                "values": [pack(v) for v in values],
+                "item": pa.array(item[pick]),
+                "rank": ids.take(pa.array(owner[pick] + start)),
+                "place": pa.array(first[pick].astype(np.int64)),
+                "values": [pack(v) if twice else v.tobytes() for v, twice in zip(values, repeats)],
             }
 
     return explode_batches(
@@ -234,14 +250,21 @@ def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def paragraph_contexts(spots: DataFrame, docs: DataFrame) -> DataFrame:
+def most_shift(percent: int) -> int:
+    """How many words apart two paragraphs that are as similar may start in the same passage."""
+    size = PARAGRAPH - WIDTH + 1
+    return size + (-2 * size * percent) // (100 + percent)
+
+
+def paragraph_contexts(spots: DataFrame, docs: DataFrame, shift: int) -> DataFrame:
     """`spots` (`doc_id`, `start`, `item`, `cluster`) with `around`, read from the documents.
 
-    `around` has 32-bit hashes of the paragraph's words and of CONTEXT words on either side, 0
-    where the text has none. Rows that repeat a document have the spots that are theirs.
+    `around` has 32-bit hashes of CONTEXT words on either side and of the first and last words of
+    the paragraph, of which a `shift` makes use, 0 where the text has none. Rows that repeat a
+    document have the spots that are theirs.
     """
     by_doc = spots.groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", "item", "cluster")).alias("wanted")
+        F.collect_list(F.struct("start", "item", "cluster")).alias("wanted")
     )
     rows = may_hold(docs, ["doc_id"], spots).join(
         by_doc.select(own_shuffle("doc_id").alias("_id"), "wanted"),
@@ -258,15 +281,21 @@ def paragraph_contexts(spots: DataFrame, docs: DataFrame) -> DataFrame:
             owner = pc.list_parent_indices(own).to_numpy()
             asked = pc.list_flatten(own)
             first, item, cluster = (asked.field(i).to_numpy() for i in range(3))
-            # Where an id repeats, each of its rows is asked for all.
-            fits = np.flatnonzero(first + PARAGRAPH <= words.counts[owner])
+            # Where an id repeats, each of its rows is asked for all, once.
+            order = np.lexsort((item, first, owner))
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = np.any([np.diff(x[order]) != 0 for x in (owner, first, item)], axis=0)
+            once = order[fresh]
+            fits = once[first[once] + PARAGRAPH <= words.counts[owner[once]]]
             places = words.first[owner[fits]] + first[fits]
             mine = paragraph_hashes(words, places).view(np.int64) == item[fits]
             pick, places = fits[mine], places[mine]
             if not len(pick):
                 continue
             low, high = words.first[owner[pick]], words.first[owner[pick] + 1]
-            at = places[:, None] + np.arange(-CONTEXT, PARAGRAPH + CONTEXT)[None, :]
+            edge = min(shift, PARAGRAPH // 2)
+            sides = np.r_[-CONTEXT:edge, PARAGRAPH - edge : PARAGRAPH + CONTEXT]
+            at = places[:, None] + sides[None, :]
             short = (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
             around = short[np.clip(at, 0, len(short) - 1)]
             around[(at < low[:, None]) | (at >= high[:, None])] = 0
@@ -283,7 +312,7 @@ def paragraph_contexts(spots: DataFrame, docs: DataFrame) -> DataFrame:
 def common_run(here: np.ndarray, lead: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """How many words before and after each paragraph are those beside the lead's paragraph.
 
-    (paragraphs, words) hashes, 0 for no word. Similar paragraphs may start up to `shift` words
+    (paragraphs, words) hashes, 0 for no word, the first and last CONTEXT beside them. Similar paragraphs may start up to `shift` words
     apart; the shift with the longest run counts.
     """
     before = after = np.zeros(len(here), dtype=np.int64)
@@ -295,7 +324,7 @@ def common_run(here: np.ndarray, lead: np.ndarray, shift: int) -> tuple[np.ndarr
             other[:, -d:] = lead[:, :d]
         same = (here == other) & (here != 0)
         left = np.cumprod(same[:, :CONTEXT][:, ::-1], axis=1).sum(axis=1)
-        right = np.cumprod(same[:, CONTEXT + PARAGRAPH :], axis=1).sum(axis=1)
+        right = np.cumprod(same[:, -CONTEXT:], axis=1).sum(axis=1)
         longer = left + right > before + after
         before, after = np.where(longer, left, before), np.where(longer, right, after)
     return before, after
@@ -306,8 +335,7 @@ def extended(spots: DataFrame, percent: int) -> DataFrame:
 
     `begin` and `end` of a removed one go on as far as the words are the lead's.
     """
-    size = PARAGRAPH - WIDTH + 1
-    shift = size + (-2 * size * percent) // (100 + percent)
+    shift = most_shift(percent)
 
     def compute(batch: pa.RecordBatch) -> dict:
         def matrix(name: str) -> np.ndarray:
@@ -343,18 +371,16 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     """
     n_bands = tune(least_similarity(percent), recall, ROWS)
     rows = stored(paragraph_rows(docs, n_bands))
-    band = [F.when(F.col("counted").bitwiseAND(F.lit(1 << b)) != 0, F.col("keys")[b]) for b in range(n_bands)]
-    told = rows.select(F.explode(F.array_compact(F.array(*band))).alias("key"))
-    several = stored(
-        told.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    )
+    total = rows.agg(F.sum(F.bit_count("counted"))).first()[0]
+    several = stored(repeated_keys(rows.select("keys", "counted"), told_keys, total))
     every = rows.select(
         "item",
         F.explode("keys").alias("key"),
         F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("rank"),
         F.col("start").cast("long").alias("place"),
     )
-    keys = may_hold(every, ["key"], several, MANY_BITS)
+    keys = stored(may_hold(every, ["key"], several, MANY_BITS))
+    dropped(several)
 
     def places(items: DataFrame) -> DataFrame:
         """(`doc_id`, `start`) of all paragraphs that are one of `items`, with its columns."""
@@ -366,32 +392,49 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
         wanted = places(items).groupBy("item").agg(F.min(F.struct("doc_id", "start")).alias("first"))
         return paragraph_sets(stored(wanted.select("item", "first.*")), docs)
 
-    linked_items, _ = linked_components(keys, fetch, percent, extent=PARAGRAPH)
+    linked_items, members = linked_components(keys, fetch, percent, extent=PARAGRAPH)
+    dropped(members, keys)
     clusters = linked_items.select(F.col("node").alias("item"), F.col("component").alias("cluster"))
-    again = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    known = again.select("item").unionByName(clusters.select("item")).distinct()
+    again = repeated_keys(
+        rows.select("item"), lambda batch: batch.column("item").to_numpy().view(np.uint64), rows.count()
+    )
+    known = again.select(F.col("key").alias("item")).unionByName(clusters.select("item")).distinct()
     known = stored(
         known.join(clusters, "item", "left").select(
             "item", F.coalesce("cluster", "item").alias("cluster")
         )
     )
-    spots = stored(paragraph_contexts(stored(places(known)), docs))
-    leads = spots.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", "around")).alias("lead"))
+    wanted = stored(places(known))
+    dropped(rows, known)
+    spots = stored(paragraph_contexts(wanted, docs, most_shift(percent)))
+    dropped(wanted)
+    # The words around are many bytes: those of the first are read where it is known to stand.
     here = F.struct("doc_id", "start")
-    lead = F.struct(F.col("lead.doc_id").alias("doc_id"), F.col("lead.start").alias("start"))
+    leads = stored(spots.groupBy("cluster").agg(F.min(here).alias("lead")).select("cluster", "lead.*"))
+    few = may_hold(spots, ["cluster", "doc_id", "start"], leads, MANY_BITS)
+    first = leads.select(
+        own_shuffle("cluster").alias("_cluster"), F.struct("doc_id", "start").alias("lead")
+    )
+    beside = (
+        few.join(first.hint("shuffle_hash"), (F.col("cluster") == F.col("_cluster")) & here.eqNullSafe(F.col("lead")))
+        .groupBy("_cluster", "lead")
+        .agg(F.min("around").alias("_around"))
+    )
     met = spots.join(
-        leads.select(own_shuffle("cluster").alias("_cluster"), "lead"),
+        beside.withColumn("_cluster", own_shuffle("_cluster")).hint("shuffle_hash"),
         F.col("cluster") == F.col("_cluster"),
     ).select(
         "doc_id",
         "start",
         "cluster",
-        (~here.eqNullSafe(lead)).alias("removed"),
+        (~here.eqNullSafe(F.col("lead"))).alias("removed"),
         "around",
-        F.col("lead.around").alias("_around"),
+        "_around",
     )
     # Written here, so that the shuffles with the words around do not stay for what follows.
-    return stored(extended(met, percent))
+    found = stored(extended(met, percent))
+    dropped(spots, leads)
+    return found
 
 
 def substring_dedup(

@@ -248,3 +248,22 @@ def test_natural_paragraphs_against_brute_force(docs):
         names[r.cluster].add((r.doc_id, r.start))
     assert sorted(map(len, names.values())) == sorted(len(x) for x in clusters.values() if len(x) > 1)
     assert repeated_parts(docs([]), 80, 0.99, 20, 5).collect() == []
+
+
+def test_tables_of_finished_steps_go(spark, docs):
+    """What a later step reads no more does not stay on the disk until the run ends."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from marginflow.llm.frames import work_folder
+
+    work_folder(spark)
+    home = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{home}/table-*"))
+    text = " ".join(f"word{i}" for i in range(70))
+    found = substring_dedup(docs([(i, f"start {i} {text} end {i}") for i in range(6)]))
+    made = set(glob.glob(f"{home}/table-*")) - before
+    columns = [pq.read_schema(glob.glob(f"{t}/*.parquet")[0]).names for t in made]
+    assert columns and not [c for c in columns if {"around", "counted"} & set(c)]
+    assert found.count() == 6
