@@ -16,23 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.llm.frames import (
+    dropped,
     explode_batches,
     may_hold,
     own_shuffle,
+    saved,
     ship_code,
     slices,
     stored,
 )
-from marginflow.llm.hashing import Words, mixed, shingle_sets
-from marginflow.llm.links import STRIP, late_items
+from marginflow.llm.hashing import Words, mixed, shingle_sets, text_bytes
+from marginflow.llm.links import STRIP, late_among
+from marginflow.llm.packed import partner_rows
 
 PERCENT = 80
 WIDTH = 5  # words of a token
 MIN_WORDS = 1  # of a line, unless the caller asks for another least
 SLOTS = 1 << 22  # counters of the rarity table
 CHUNKS = 64  # pieces of it that are added up apart from each other
-PARTS = 32  # groups of tasks whose pieces are added first
-SLICE_BYTES = 1024 * 1024
+PARTS = 8  # groups of tasks whose pieces are added first
+KEY_BYTES = 6  # of a rank, a number of 46 bits
+SLICE_BYTES = 512 * 1024  # arrays of this many numbers stay near the processor
 MOST_LINES = 1 << 17  # sorted at a time
 MANY_BITS = 1 << 26  # of the bitmap of lines with a verdict, 8 MB
 
@@ -103,8 +107,9 @@ COUNTS = "chunk int, part int, data binary"
 
 
 def _chunks(total: np.ndarray, chunks: list[int], part: int) -> pa.RecordBatch:
-    """Pieces of a table of counters as rows, compressed."""
+    """Pieces of a table of counters as rows, compressed; counters end at 2^32 - 1."""
     size = SLOTS // CHUNKS
+    total = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
     pieces = [total[i * size : (i + 1) * size] for i in range(len(chunks))]
     return pa.RecordBatch.from_pydict(
         {
@@ -120,8 +125,8 @@ def _added(table: pa.Table) -> pa.Table:
     size = SLOTS // CHUNKS
     total = np.zeros(size, dtype=np.uint64)
     for data in table.column("data"):
-        raw = pa.decompress(data.as_py(), decompressed_size=8 * size, codec="zstd", asbytes=True)
-        total += np.frombuffer(raw, dtype=np.uint64)
+        raw = pa.decompress(data.as_py(), decompressed_size=4 * size, codec="zstd", asbytes=True)
+        total += np.frombuffer(raw, dtype=np.uint32)
     chunk, part = table.column("chunk")[0].as_py(), table.column("part")[0].as_py()
     return pa.Table.from_batches([_chunks(total, [chunk], part)])
 
@@ -142,8 +147,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
             for start, end in slices(batch.column(0), SLICE_BYTES):
                 lines, _, _ = split_lines(batch.column(0).slice(start, end - start))
                 values, _ = shingle_sets(Words(lines), WIDTH)
-                slot, times = np.unique(values % np.uint64(SLOTS), return_counts=True)
-                total[slot.astype(np.int64)] += times.astype(np.uint64)
+                np.add.at(total, (values % np.uint64(SLOTS)).astype(np.int64), np.uint64(1))
         yield _chunks(total, list(range(CHUNKS)), TaskContext.get().partitionId() % PARTS)
 
     tables = docs.select("text").mapInArrow(count, COUNTS)
@@ -152,8 +156,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
     out = np.zeros(SLOTS, dtype=np.uint64)
     size = SLOTS // CHUNKS
     for row in tables.toArrow().to_pylist():
-        raw = pa.decompress(row["data"], decompressed_size=8 * size, codec="zstd", asbytes=True)
-        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(raw, dtype=np.uint64)
+        raw = pa.decompress(row["data"], decompressed_size=4 * size, codec="zstd", asbytes=True)
+        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(raw, dtype=np.uint32)
     return np.frexp(out.astype(np.float64))[1].astype(np.uint8)
 
 
@@ -164,8 +168,8 @@ def line_rows(
 
     (`doc_id`, `line_no`, `h1`, `h2`, `size`, `keys`): two independent 64-bit hashes stand for
     the words of the line in their order, so lines that differ in blanks alone are equal;
-    `size` is the number of its different tokens, `keys` its prefix, rarest first. A line of
-    fewer than WIDTH words has no keys: its one token is all its words, so it is similar to
+    `size` is the number of its different tokens, `keys` its prefix, rarest first, in KEY_BYTES
+    each. A line of fewer than WIDTH words has no keys: its one token is all its words, so it is similar to
     equal lines alone, and these are one item.
     """
 
@@ -191,21 +195,40 @@ def line_rows(
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 nth = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
                 keys = ranks[np.repeat(first[:-1], lengths) + nth]
+                keys = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
                 yield {
                     "doc_id": ids.take(pa.array(owner[some] + start)),
                     "line_no": pa.array(number[some].astype(np.int32)),
                     "h1": pa.array(h1[some].view(np.int64)),
                     "h2": pa.array(h2[some].view(np.int64)),
                     "size": pa.array(sizes.astype(np.int32)),
-                    "keys": pa.ListArray.from_arrays(
-                        pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64))
+                    "keys": pa.Array.from_buffers(
+                        pa.binary(),
+                        len(some),
+                        [
+                            None,
+                            pa.py_buffer((KEY_BYTES * ends).astype(np.int32)),
+                            pa.py_buffer(keys),
+                        ],
                     ),
                 }
 
     return explode_batches(
-        docs,
-        "doc_id long, line_no int, h1 long, h2 long, size int, keys array<long>",
-        compute,
+        docs, "doc_id long, line_no int, h1 long, h2 long, size int, keys binary", compute
+    )
+
+
+def prefix_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Item, size, number of tokens and the tokens of a batch of `line_rows` (`h1`, `size`, `keys`)."""
+    keys = batch.column("keys")
+    data, starts = text_bytes(keys)
+    tokens = np.zeros((len(data) // KEY_BYTES, 8), dtype=np.uint8)
+    tokens[:, :KEY_BYTES] = data.reshape(-1, KEY_BYTES)
+    return (
+        batch.column("h1").to_numpy(),
+        batch.column("size").to_numpy(),
+        np.diff(starts) // KEY_BYTES,
+        tokens.view(np.uint64).ravel(),
     )
 
 
@@ -298,13 +321,6 @@ def repeated_lines(
     """
     counters = docs.sparkSession.sparkContext.broadcast(rarity(docs))
     rows = stored(line_rows(docs, counters, percent, least))
-    rank = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
-    keys = rows.select(
-        F.col("h1").alias("item"),
-        F.explode("keys").alias("key"),
-        rank.alias("rank"),
-        F.col("line_no").cast("long").alias("place"),
-    )
     # One row per different line, where it comes first.
     firsts = stored(
         rows.groupBy("h1", "h2").agg(
@@ -313,17 +329,32 @@ def repeated_lines(
         )
     )
 
-    def fetch(items: DataFrame) -> DataFrame:
-        asked = items.select(own_shuffle("item").alias("item"))
-        few = may_hold(
-            firsts.withColumnRenamed("h1", "_h1"), ["_h1"], items.select(F.col("item").alias("_h1"))
-        )
-        wanted = few.join(asked, F.col("_h1") == F.col("item")).select(
-            "item", "first.doc_id", "first.line_no"
-        )
-        return line_sets(stored(wanted), docs, counters)
-
-    late = stored(late_items(keys, fetch, percent, may_match))
+    n, tokens = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
+    total = n + (tokens or 0) * (100 - percent) // 100
+    partners = stored(
+        partner_rows(rows.select("h1", "size", "keys"), prefix_tokens, percent, total)
+    )
+    names = partners.select("item").distinct()
+    few = may_hold(firsts.withColumnRenamed("h1", "item"), ["item"], names)
+    wanted = stored(
+        few.join(names.select(own_shuffle("item").alias("_item")), F.col("item") == F.col("_item"))
+        .groupBy("item").agg(F.min("first").alias("first"))
+        .select("item", "first.*")
+    )
+    shared = saved(
+        partners.join(
+            wanted.select(
+                own_shuffle("item").alias("_item"),
+                F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("rank"),
+                F.col("line_no").cast("long").alias("place"),
+            ),
+            F.col("item") == F.col("_item"),
+        ).drop("_item")
+    )
+    dropped(partners)
+    late = stored(
+        late_among(shared, lambda items: line_sets(wanted, docs, counters), percent, may_match)
+    )
     verdicts = firsts.join(
         late.select(own_shuffle("item").alias("_item"), F.lit(True).alias("late")),
         F.col("h1") == F.col("_item"),
