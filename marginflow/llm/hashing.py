@@ -35,17 +35,20 @@ def _byte_values() -> np.ndarray:
     return seeds(256, 1)
 
 
-@cache
-def _powers(n: int) -> np.ndarray:
-    """ODD ** 0, 1, ... modulo 2**64."""
-    out = np.full(n, ODD, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}  # by base, as many as a text has needed
+
+
+def powers_of(base: int, n: int) -> np.ndarray:
+    """`base` ** 0, 1, ... modulo 2**64, at least `n`; one array is kept, whatever sizes are asked for."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(1 << max(12, (n - 1).bit_length()), np.uint64(base), dtype=np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base]
 
 
 def powers(n: int) -> np.ndarray:
-    size = 1 << max(12, (n - 1).bit_length())
-    return _powers(size)[:n]
+    return powers_of(int(ODD), n)[:n]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +107,8 @@ class Words:
         return np.diff(self.first)
 
 
-@cache
-def _inverse(n: int) -> np.ndarray:
-    inverse = pow(int(ODD), -1, 1 << 64)
-    out = np.full(n, np.uint64(inverse), dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def _inverse_powers(n: int) -> np.ndarray:
-    size = 1 << max(12, (max(n, 1) - 1).bit_length())
-    return _inverse(size)
+    return powers_of(pow(int(ODD), -1, 1 << 64), max(n, 1))
 
 
 def shingles(hashes: np.ndarray, width: int, salt: int = 2) -> np.ndarray:

@@ -18,7 +18,7 @@ WIDTH = 5  # words of an n-gram
 PERCENT = 80  # least similarity
 ROWS = 5  # minima joined in a band
 RECALL = 0.999  # chance that a pair at the least similarity shares a band
-SLICE_BYTES = 2 * 1024 * 1024
+SLICE_BYTES = 512 * 1024  # a slice's arrays have eight bytes and more for each byte of text
 
 
 def text_id(text: Column) -> Column:

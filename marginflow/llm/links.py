@@ -26,7 +26,8 @@ BLOCK_VALUES = 1 << 20  # hashes in the sets of a block, unless a single item ha
 MANY_BITS = 1 << 26  # of the bitmap of shared keys, 8 MB
 CALL_ITEMS = 4096  # items that one call compares, about
 CALL_VALUES = 1 << 20  # hashes in their sets, about
-SMALL = 64  # pairs up to which sets are compared one by one
+SMALL = 64  # pairs up to which those of all such pairs of blocks are compared at once
+PAIR_VALUES = 1 << 18  # hashes in the sets of these pairs, at a time
 CHUNK = 1024  # columns of the incidence matrix at a time
 STRIP = 256  # rows of a matrix of pairs at a time, where it needs further ones of its size
 
@@ -150,8 +151,59 @@ def in_turn(left: Side, right: Side) -> np.ndarray:
     return out
 
 
-def sides(table: pa.Table) -> Iterator[tuple[Side, Side]]:
-    """The pairs of blocks that were dealt to one call, each with its two sides.
+@dataclass
+class Few:
+    """Pairs of items (`i`, `j`) of all pairs of blocks that have few of them.
+
+    `i` and `j` are places in the arrays of the items that meet there, of which one may stand for
+    an item more than once. `own` tells the pairs of a block that meets itself, each once. `both` are
+    the sizes of the intersections, `sizes` those of the items' sets.
+    """
+
+    item: np.ndarray
+    rank: np.ndarray
+    place: np.ndarray
+    sizes: np.ndarray
+    i: np.ndarray
+    j: np.ndarray
+    own: np.ndarray
+    both: np.ndarray
+
+    def linked(self, percent: int) -> np.ndarray:
+        either = self.sizes[self.i] + self.sizes[self.j] - self.both
+        return (self.both > 0) & (100 * self.both >= percent * either)
+
+
+def pair_overlaps(
+    values: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int
+) -> np.ndarray:
+    """Sizes of the intersections of the sets `i` and `j`, 0 if one is too small for `percent`.
+
+    Set n is values[starts[n]] to values[starts[n + 1] - 1]. The values of some pairs are sorted at once.
+    """
+    out = np.zeros(len(i), dtype=np.int64)
+    size = np.diff(starts)
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    some = np.flatnonzero((low > 0) & (100 * low >= percent * high))
+    known, number = np.unique(values, return_inverse=True)
+    ends = np.cumsum(low[some] + high[some])
+    at = 0
+    while at < len(some):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIR_VALUES, "right")))
+        pairs = some[at:upto]
+        owner = np.concatenate([i[pairs], j[pairs]])
+        n = size[owner]
+        where = np.repeat(starts[owner] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        nth = np.repeat(np.tile(np.arange(len(pairs)), 2), n)
+        met = np.sort(nth * len(known) + number[where])
+        twice = met[1:][met[1:] == met[:-1]] // len(known)
+        out[pairs] = np.bincount(twice, minlength=len(pairs))
+        at = upto
+    return out
+
+
+def sides(table: pa.Table, percent: int) -> tuple[Few, Iterator[tuple[Side, Side]]]:
+    """The pairs of blocks that were dealt to one call: those of few items, and the two sides of others.
 
     A block without a second side meets itself.
     """
@@ -167,29 +219,49 @@ def sides(table: pa.Table) -> Iterator[tuple[Side, Side]]:
     # Rows that repeat a document have brought the same item more than once.
     fresh = new.copy()
     fresh[1:] |= (item[1:] != item[:-1]) | (second[1:] != second[:-1])
-    starts = np.append(np.flatnonzero(new), len(order))
-
-    def side(mine: np.ndarray) -> Side:
-        at = order[mine]
-        return Side(item[mine], rank[at], place[at], values.take(pa.array(at)).to_pylist())
-
-    for start, end in zip(starts[:-1], starts[1:]):
-        mine = np.arange(start, end)[fresh[start:end]]
-        left = side(mine[~second[mine]])
-        yield left, side(mine[second[mine]]) if second[mine].any() else left
-
-
-def one_by_one(left: Side, right: Side, percent: int) -> np.ndarray:
-    """What `linked` tells, for few pairs."""
-    out = np.zeros((len(left.item), len(right.item)), dtype=bool)
-    ours, theirs = ([frozenset(s.tolist()) for s in x.sets()] for x in (left, right))
-    for i, x in enumerate(ours):
-        for j, y in enumerate(theirs):
-            # The smaller set has `percent` of the larger, or they are not similar enough.
-            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                both = len(x & y)
-                out[i, j] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-    return out
+    # Of each pair of blocks the items of the first side stand before those of the second.
+    group = np.cumsum(new)[fresh] - 1
+    order, second, item, rank, place = order[fresh], second[fresh], item[fresh], rank[order[fresh]], place[order[fresh]]
+    n = np.bincount(group)
+    starts = np.cumsum(n) - n
+    n_right = np.bincount(group, weights=second).astype(np.int64)
+    n_left = n - n_right
+    own = n_right == 0
+    right = np.where(own, starts, starts + n_left)
+    n_right = np.where(own, n_left, n_right)
+    few = n_left * n_right <= SMALL
+
+    def side(start: int, size: int) -> Side:
+        mine = slice(start, start + size)
+        data = values.take(pa.array(order[mine])).to_pylist()
+        return Side(item[mine], rank[mine], place[mine], data)
+
+    def many() -> Iterator[tuple[Side, Side]]:
+        for g in np.flatnonzero(~few).tolist():
+            left = side(starts[g], n_left[g])
+            yield left, left if own[g] else side(right[g], n_right[g])
+
+    some = np.flatnonzero(few)
+    times = (n_left * n_right)[some]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    pairs = np.repeat(some, times)
+    i, j = starts[pairs] + nth // n_right[pairs], right[pairs] + nth % n_right[pairs]
+    once = ~own[pairs] | (i < j)
+    pairs, i, j = pairs[once], i[once], j[once]
+    # Numbered among the items that stand in one of these.
+    mine = np.flatnonzero(few[group])
+    number = np.cumsum(few[group]) - 1
+    flat = pa.concat_arrays(values.take(pa.array(order[mine])).chunks) if len(mine) else None
+    if flat is None:
+        data, offsets = np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+    else:
+        raw = flat.buffers()
+        ends = np.frombuffer(raw[1], dtype=np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+        whole = np.frombuffer(raw[2], dtype=np.uint8) if raw[2] else np.zeros(0, dtype=np.uint8)
+        data, offsets = whole[ends[0] : ends[-1]].view(np.uint64), (ends - ends[0]) // 8
+    i, j = number[i], number[j]
+    both = pair_overlaps(data, offsets, i, j, percent)
+    return Few(item[mine], rank[mine], place[mine], np.diff(offsets), i, j, own[pairs], both), many()
 
 
 def count_sides(percent: int) -> Callable:
@@ -198,12 +270,18 @@ def count_sides(percent: int) -> Callable:
     An item counts `place` times. `rep` is the smallest `rank` of the items it is linked to.
     """
 
+    def counted_few(few: Few) -> Iterator[tuple]:
+        links = np.zeros(len(few.item), dtype=np.int64)
+        least = np.full(len(few.item), NO_RANK, dtype=np.int64)
+        found = few.linked(percent)
+        for i, j in ((few.i[found], few.j[found]), (few.j[found], few.i[found])):
+            np.add.at(links, i, few.place[j])
+            np.minimum.at(least, i, few.rank[j])
+        yield from zip(few.item.tolist(), links.tolist(), least.tolist())
+
     def counted(left: Side, right: Side) -> Iterator[tuple]:
-        if len(left.item) * len(right.item) <= SMALL:
-            found = one_by_one(left, right, percent)
-        else:
-            ours = left.sets()
-            found = linked(ours, ours if right is left else right.sets(), percent)
+        ours = left.sets()
+        found = linked(ours, ours if right is left else right.sets(), percent)
         if right is left:
             np.fill_diagonal(found, False)
         both = [(left, right, found)] if right is left else [(left, right, found), (right, left, found.T)]
@@ -215,7 +293,8 @@ def count_sides(percent: int) -> Callable:
                 yield from zip(mine.item[start : start + STRIP].tolist(), links.tolist(), least.tolist())
 
     def run(table: pa.Table) -> pa.Table:
-        out = [row for left, right in sides(table) for row in counted(left, right)]
+        few, many = sides(table, percent)
+        out = [*counted_few(few), *(row for left, right in many for row in counted(left, right))]
         columns = zip(*out) if out else ([], [], [])
         return pa.table(
             {
@@ -250,9 +329,24 @@ def compare_sides(percent: int, may_match: Callable | None = None, extent: int =
         )
         return out & maybe
 
+    def compared_few(few: Few) -> Iterator[tuple]:
+        found = few.linked(percent)
+        i, j = few.i[found], few.j[found]
+        found = few.item[i] != few.item[j]
+        if extent:
+            found &= (np.abs(few.place[i] - few.place[j]) >= extent) | (few.rank[i] != few.rank[j])
+        i, j = i[found], j[found]
+        items, node = np.unique(few.item, return_inverse=True)
+        order = np.lexsort((few.item, few.place, few.rank))
+        turn = np.empty(len(order), dtype=np.int64)
+        turn[order] = np.arange(len(order))
+        for at in spanning(len(items), node[i], node[j]).tolist():
+            yield int(few.item[i[at]]), int(few.item[j[at]]), None
+        for item in np.unique(few.item[np.where(turn[i] > turn[j], i, j)]).tolist():
+            yield item, None, item
+
     def compared(left: Side, right: Side) -> Iterator[tuple]:
-        few = len(left.item) * len(right.item) <= SMALL
-        found = one_by_one(left, right, percent) if few else at_once(left, right)
+        found = at_once(left, right)
         found &= left.item[:, None] != right.item[None, :]
         if right is left:
             found = np.triu(found)
@@ -282,7 +376,8 @@ def compare_sides(percent: int, may_match: Callable | None = None, extent: int =
             yield item, None, item
 
     def run(table: pa.Table) -> pa.Table:
-        out = [row for left, right in sides(table) for row in compared(left, right)]
+        few, many = sides(table, percent)
+        out = [*compared_few(few), *(row for left, right in many for row in compared(left, right))]
         columns = zip(*out) if out else ([], [], [])
         return pa.table(
             {
@@ -308,7 +403,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         .filter(F.col("_first") < F.col("_last"))
         .select("key")
     )
-    few = may_hold(keys, ["key"], hot, MANY_BITS)
+    few = may_hold(keys, ["key"], hot, MANY_BITS, hot.count())
     found = hot.select(F.col("key").alias("_key")).hint("shuffle_hash")
     joined = few.join(found, F.col("key") == F.col("_key"))
     order = F.min(F.struct("rank", "place"))
@@ -478,7 +573,10 @@ def key_links(rows: DataFrame, members: DataFrame, compare: Callable) -> DataFra
 
 
 def _members(shared: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return stored(fetch(shared.select("item").distinct()))
+    items = stored(shared.select("item").distinct())
+    members = stored(fetch(items))
+    dropped(items)
+    return members
 
 
 def star_labels(stars: DataFrame) -> DataFrame:

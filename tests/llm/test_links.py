@@ -99,6 +99,85 @@ def test_may_hold_keeps_every_wanted_row(spark):
     assert may_hold(rows, ["a"], wanted.limit(0)).collect() == []
 
 
+def test_a_bitmap_is_as_large_as_its_keys_need(spark):
+    from marginflow.llm.frames import may_hold
+
+    rows = spark.range(20_000).toDF("a")
+    wanted = rows.filter("a % 4000 = 7")
+    few = may_hold(rows, ["a"], wanted, 1 << 26, rows=5)
+    got = {r.a for r in few.collect()}
+    assert {7, 4007, 8007, 12007, 16007} <= got and len(got) < 100
+    assert "pmod(xxhash64(a" in (plan := few._jdf.queryExecution().analyzed().toString())
+    assert f"{1 << 15}" in plan and f"{1 << 26}" not in plan
+    many = may_hold(rows, ["a"], rows, 1 << 16, rows=20_000)
+    assert many.count() == 20_000  # `bits` is the most
+
+
+def test_powers_of_many_sizes_are_kept_once():
+    from marginflow.llm import hashing
+
+    for n in (10, 5000, 70_000, 300_000, 900):
+        words = Words(pa.array(["ab " * n, "ab"]))
+        assert len(set(words.hash.tolist())) == 1
+    assert sum(len(x) for x in hashing._POWERS.values()) <= 2 * max(map(len, hashing._POWERS.values()))
+
+
+def test_batches_are_cut_by_their_bytes(spark):
+    from marginflow.llm import frames
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(3000)), "t": ["x" * 4000] * 2999 + [None]})
+    cut = list(frames.parts(batch))
+    assert len(cut) > 2 and max(p.nbytes for p in cut) < 1.1 * frames.BATCH_BYTES
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in frames.parts(batch.slice(0, 0))] == [0]
+    frames.ship_code(spark)
+    assert spark.conf.get(frames.BATCH_SETTING) == str(frames.BATCH_BYTES)
+
+
+def test_pairs_of_small_blocks_are_compared_at_once(monkeypatch):
+    """As many pairs of blocks as a star each; results are those of blocks compared alone."""
+    from marginflow.llm import links
+
+    draw, rows = np.random.default_rng(7), []
+    base = draw.integers(0, 2**63, (30, 16)).astype(np.uint64)
+    sets = {}
+    for g in range(4000):
+        family = int(draw.integers(0, 30))
+        for second in (False, True)[: 1 + g % 2]:
+            for item in (family + 30 * draw.integers(0, 50, draw.integers(1, 5))).tolist():
+                if item not in sets:
+                    own = base[family].copy()
+                    own[: item % 3] = draw.integers(0, 2**63, item % 3)
+                    sets[item] = (pack(own[: 16 * (item % 17 > 0)]), item % 5, item % 61)
+                rows.append((g // 3, g, second, item, sets[item][1], sets[item][2], sets[item][0]))
+    names = ["a", "b", "second", "item", "rank", "place", "values"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows)))))
+
+    def told():
+        took = time.process_time()
+        links_of = compare_sides(80, extent=20)(table).to_pylist()
+        counts = links.count_sides(80)(table).to_pylist()
+        took = time.process_time() - took
+        hub = {i: set() for i in sets}
+        for r in links_of:
+            if r["hub"] is not None:
+                hub[r["item"]].add(r["hub"])
+                hub[r["hub"]].add(r["item"])
+        late = {r["late"] for r in links_of} - {None}
+        number = {i: n for n, i in enumerate(sorted(hub))}
+        joined = classes(len(hub), {number[i]: {number[j] for j in v} for i, v in hub.items()})
+        sums = {}
+        for r in counts:
+            links_n, rep = sums.get(r["item"], (0, links.NO_RANK))
+            sums[r["item"]] = (links_n + r["links"], min(rep, r["rep"]))
+        return (late, joined, sums), took
+
+    at_once, quick = told()
+    monkeypatch.setattr(links, "SMALL", 0)
+    alone, slow = told()
+    assert at_once == alone and 2 * quick < slow
+
+
 def test_a_block_of_near_copies_needs_little_memory():
     """Nearly all pairs of a crowd are links; what is told of them is not made from a list of pairs."""
     draw, n = np.random.default_rng(4), 1024
