@@ -106,7 +106,7 @@ def read_parts(wanted: DataFrame, docs: DataFrame, width: int, as_sets: bool) ->
     by_doc = wanted.groupBy("doc_id").agg(
         F.collect_set(F.struct("start", "size", "item")).alias("wanted")
     )
-    rows = may_hold(docs, ["doc_id"], wanted).join(
+    rows = may_hold(docs, ["doc_id"], wanted, rows=wanted.count()).join(
         by_doc.select(own_shuffle("doc_id").alias("_id"), "wanted"),
         F.col("doc_id").eqNullSafe(F.col("_id")),
     ).select("text", "wanted")
@@ -233,7 +233,7 @@ def repeated_parts(
     verdicts = led.join(ends, "item", "left").select(
         own_shuffle("item").alias("_item"), "cluster", "lead", "low", "high"
     )
-    spots = may_hold(rows.select("doc_id", "start", "size", "item"), ["item"], known)
+    spots = may_hold(rows.select("doc_id", "start", "size", "item"), ["item"], known, rows=known.count())
     met = spots.join(verdicts, F.col("item") == F.col("_item"))
     leads_itself = F.col("doc_id").eqNullSafe(F.col("lead.first.doc_id")) & (
         F.col("start") == F.col("lead.first.start")

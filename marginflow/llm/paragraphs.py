@@ -212,7 +212,7 @@ def paragraph_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     by_doc = wanted.groupBy("doc_id").agg(
         F.collect_list(F.struct("item", "start")).alias("wanted")
     )
-    rows = may_hold(docs, ["doc_id"], wanted).join(
+    rows = may_hold(docs, ["doc_id"], wanted, rows=wanted.count()).join(
         by_doc.select(own_shuffle("doc_id").alias("_id"), "wanted"),
         F.col("doc_id").eqNullSafe(F.col("_id")),
     ).select("doc_id", "text", "wanted")
@@ -266,7 +266,7 @@ def paragraph_contexts(spots: DataFrame, docs: DataFrame, shift: int) -> DataFra
     by_doc = spots.groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "item", "cluster")).alias("wanted")
     )
-    rows = may_hold(docs, ["doc_id"], spots).join(
+    rows = may_hold(docs, ["doc_id"], spots, rows=spots.count()).join(
         by_doc.select(own_shuffle("doc_id").alias("_id"), "wanted"),
         F.col("doc_id").eqNullSafe(F.col("_id")),
     ).select("doc_id", "text", "wanted")
@@ -303,12 +303,25 @@ def paragraph_contexts(spots: DataFrame, docs: DataFrame, shift: int) -> DataFra
                 "doc_id": ids.take(pa.array(owner[pick] + start)),
                 "start": pa.array(first[pick]),
                 "cluster": pa.array(cluster[pick]),
-                "around": [x.tobytes() for x in around],
+                "around": pa.Array.from_buffers(
+                    pa.binary(),
+                    len(around),
+                    [
+                        None,
+                        pa.py_buffer(np.arange(len(around) + 1, dtype=np.int32) * around.shape[1] * 4),
+                        pa.py_buffer(np.ascontiguousarray(around)),
+                    ],
+                ),
             }
 
     return explode_batches(rows, "doc_id long, start int, cluster long, around binary", compute)
 
 
+def first_false(same: np.ndarray) -> np.ndarray:
+    """How many entries of each row come before the first that is false."""
+    return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+
+
 def common_run(here: np.ndarray, lead: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """How many words before and after each paragraph are those beside the lead's paragraph.
 
@@ -323,8 +336,8 @@ def common_run(here: np.ndarray, lead: np.ndarray, shift: int) -> tuple[np.ndarr
         else:
             other[:, -d:] = lead[:, :d]
         same = (here == other) & (here != 0)
-        left = np.cumprod(same[:, :CONTEXT][:, ::-1], axis=1).sum(axis=1)
-        right = np.cumprod(same[:, -CONTEXT:], axis=1).sum(axis=1)
+        left = first_false(same[:, :CONTEXT][:, ::-1])
+        right = first_false(same[:, -CONTEXT:])
         longer = left + right > before + after
         before, after = np.where(longer, left, before), np.where(longer, right, after)
     return before, after
@@ -340,8 +353,9 @@ def extended(spots: DataFrame, percent: int) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> dict:
         def matrix(name: str) -> np.ndarray:
             column = batch.column(batch.schema.get_field_index(name))
-            data = b"".join(column.to_pylist())
-            return np.frombuffer(data, dtype=np.uint32).reshape(len(column), -1)
+            _, offsets, data = column.buffers()
+            ends = np.frombuffer(offsets, dtype=np.int32)[[column.offset, column.offset + len(column)]]
+            return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[1]].view(np.uint32).reshape(len(column), -1)
 
         start, removed = (
             batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
@@ -379,13 +393,13 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
         F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("rank"),
         F.col("start").cast("long").alias("place"),
     )
-    keys = stored(may_hold(every, ["key"], several, MANY_BITS))
+    keys = stored(may_hold(every, ["key"], several, MANY_BITS, several.count()))
     dropped(several)
 
     def places(items: DataFrame) -> DataFrame:
         """(`doc_id`, `start`) of all paragraphs that are one of `items`, with its columns."""
         asked = items.withColumn("_item", own_shuffle("item")).drop("item")
-        few = may_hold(rows.select("doc_id", "start", "item"), ["item"], items, MANY_BITS)
+        few = may_hold(rows.select("doc_id", "start", "item"), ["item"], items, MANY_BITS, items.count())
         return few.join(asked, F.col("item") == F.col("_item")).drop("_item")
 
     def fetch(items: DataFrame) -> DataFrame:
@@ -411,7 +425,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     # The words around are many bytes: those of the first are read where it is known to stand.
     here = F.struct("doc_id", "start")
     leads = stored(spots.groupBy("cluster").agg(F.min(here).alias("lead")).select("cluster", "lead.*"))
-    few = may_hold(spots, ["cluster", "doc_id", "start"], leads, MANY_BITS)
+    few = may_hold(spots, ["cluster", "doc_id", "start"], leads, MANY_BITS, leads.count())
     first = leads.select(
         own_shuffle("cluster").alias("_cluster"), F.struct("doc_id", "start").alias("lead")
     )

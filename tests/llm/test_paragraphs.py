@@ -267,3 +267,27 @@ def test_tables_of_finished_steps_go(spark, docs):
     columns = [pq.read_schema(glob.glob(f"{t}/*.parquet")[0]).names for t in made]
     assert columns and not [c for c in columns if {"around", "counted"} & set(c)]
     assert found.count() == 6
+
+
+def test_words_beside_a_paragraph_are_counted_in_place():
+    import time
+
+    import numpy as np
+
+    from marginflow.llm.paragraphs import CONTEXT, common_run, first_false
+
+    same = np.array([[True, True, False], [False, True, True], [True, True, True]])
+    assert first_false(same).tolist() == [2, 0, 3]
+    draw = np.random.default_rng(5)
+    lead = draw.integers(1, 2**32, (20_000, 2 * CONTEXT + 2)).astype(np.uint32)
+    here = np.where(draw.random(lead.shape) < 0.1, np.uint32(7), lead)
+    before, after = common_run(here, lead, 0)
+    plain = here == lead
+    took = time.process_time()
+    left = np.cumprod(plain[:, :CONTEXT][:, ::-1], axis=1).sum(axis=1)
+    took = time.process_time() - took
+    right = np.cumprod(plain[:, -CONTEXT:], axis=1).sum(axis=1)
+    assert (before == left).all() and (after == right).all()
+    own = time.process_time()
+    first_false(plain[:, :CONTEXT][:, ::-1])
+    assert time.process_time() - own < took
