@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginflow.llm.components import components
+from marginflow.llm.components import components, reachable
 from marginflow.llm.frames import dropped, may_hold, own_shuffle, saved, ship_code, stored
 
 BLOCK_ITEMS = 2048
@@ -93,19 +93,6 @@ def linked(
     return out
 
 
-def reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The smallest of `n` nodes that each hangs together with over the links (`u`, `v`)."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, u, label[v])
-        np.minimum.at(new, v, label[u])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Places of some of the links (`u`, `v`), under n, that hold together all that the links do."""
     label, chosen = np.arange(n), np.zeros(0, dtype=np.int64)

@@ -236,3 +236,54 @@ def test_steps_leave_no_shuffle_files(spark):
         assert not left
         assert kept.count() == kept.count() == 5_000
     assert spark.conf.get(CLEANUP) == setting
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """A task holds together the links it has: few are done by then, and of many their ends are right."""
+    from marginflow.llm import components as module
+
+    written = []
+    saved = module.saved
+    monkeypatch.setattr(module, "saved", lambda df: written.append(saved(df)) or written[-1])
+    order = list(range(120))
+    random.Random(7).shuffle(order)
+    chain = [*zip(order, order[1:]), (4000, 4001), (4001, 4001), (4000, 4001), (None, 4002)]
+    edges = spark.createDataFrame(chain, "u long, v long").repartition(8)
+    want = {**dict.fromkeys(range(120), 0), 4000: 4000, 4001: 4000}
+    got = components(edges).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert len(written) == 2
+    monkeypatch.setattr(module, "TASK_LINKS", 40)  # so four tasks have a part each
+    got = components(edges).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert len(written) > 4
+
+
+def test_stars_of_some_links_at_a_time(monkeypatch):
+    from marginflow.llm import components as module
+
+    monkeypatch.setattr(module, "TASK_LINKS", 4)
+    batches = [
+        pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        for u, v in (([9, 5], [7, 3]), ([7, 2**62], [5, -8]), ([], []), ([9], [8]))
+    ]
+    got = [list(zip(*(b.column(c).to_pylist() for c in ("u", "v")))) for b in module.stars(iter(batches))]
+    assert got == [[(5, 3), (7, 3), (9, 3), (2**62, -8)], [(9, 8)]]
+    assert list(module.stars(iter(batches[2:3]))) == []
+
+
+def test_the_driver_lets_go_of_finished_steps(spark):
+    """When tables of finished steps go, the driver's garbage is collected, with the plans behind them."""
+    from marginflow.llm.frames import dropped, stored
+
+    table = stored(spark.range(10).toDF("id"))
+    factory = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+
+    def whole_heap():
+        return [b.getCollectionCount() for b in factory.getGarbageCollectorMXBeans() if "Young" not in b.getName()]
+
+    before = whole_heap()
+    dropped()
+    assert whole_heap() == before
+    dropped(table)
+    assert sum(whole_heap()) > sum(before)
