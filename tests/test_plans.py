@@ -72,6 +72,29 @@ def test_totals_share_the_distinct_rows(stored):
     assert len(re.findall("FileScan", plan)) == 1 and "BroadcastHashJoin" in plan
 
 
+def test_counting_keys_of_derived_rows_writes_no_amounts(spark):
+    """The job ahead of the join by key leaves out the text of every amount."""
+    plan = plan_of(QUERIES["measures_with_totals"](Tables(spark, SMALL)).select("store", "month").distinct())
+    assert "l_extendedprice" in plan
+    plan = plan_of(Tables(spark, SMALL).measures.select("store", "month").distinct())
+    assert "l_extendedprice" not in plan and "l_tax" not in plan
+
+
+def test_few_suppliers_are_broadcast_at_any_file_size(spark, tmp_path):
+    """Lines do not move to their suppliers if the suppliers' keys fit."""
+    for name in ("lineitem", "nation", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    many = spark.range(30_000).selectExpr("id s_suppkey", "CAST(id % 25 AS INT) s_nationkey", "CAST(id AS DOUBLE) s_acctbal")
+    many.write.parquet(str(tmp_path / "supplier.parquet"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        plan = plan_of(Tables(spark, str(tmp_path)).measures)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "l_suppkey" in plan and "hashpartitioning(l_suppkey" not in plan
+
+
 def test_names_are_normalized_after_the_sums(stored):
     """No regular expression below the first shuffle."""
     for operator in (margin_cascade, kpi_overview, period_rollup, st.margin_statement):
