@@ -38,7 +38,6 @@ from marginflow.sources import (
 )
 from marginflow.sources.derived import with_large_amounts
 
-BUCKETS = 8  # of the table by month; the given tables are small
 MAX_AGE = 3600.0  # seconds after which a load is made anew
 
 
@@ -72,7 +71,7 @@ def by_month(t: Tables) -> str:
     """Name of the table in buckets by store and month."""
     name = table_name(t, "by_month")
     if not t.spark.catalog.tableExists(name):
-        publish_by_month(t.measures, name, BUCKETS, f"{folder(t)}/by_month", "overwrite")
+        publish_by_month(t.measures, name, None, f"{folder(t)}/by_month", "overwrite")
     return name
 
 

@@ -19,11 +19,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 from marginflow import catalog
 from marginflow.functions import strip_space
 from marginflow.operators.ordering import sorted_scan
+from marginflow.plans.settings import shuffles_dropped
 from marginflow.sources import versions
 from marginflow.sources.schema import REQUIRED_STRICT, adapt_columns, adapt_levels, require_columns
 
 STORED_NAME = "_store_as_stored"  # below the projection of `clean_stores`
 MOST_ROWS = 50_000_000  # of one store and month in a table published by month
+ROWS_A_BUCKET = 500_000  # where buckets go by the rows: what a task holds without spilling
+LEAST_BUCKETS, MOST_BUCKETS = 8, 100_000
+ROWS_AT_ONCE = 300_000_000  # of a table published by month; beyond, buckets are written in turns
+MOST_TURNS = 8  # as the source is read in each
 
 
 def read_measures(
@@ -161,7 +166,7 @@ def publish(
 def publish_by_month(
     df: DataFrame,
     table: str,
-    buckets: int = 200,
+    buckets: int | None = 200,
     path: str | None = None,
     mode: str = "errorifexists",
     most_rows: int = MOST_ROWS,
@@ -170,15 +175,51 @@ def publish_by_month(
 
     All rows of a store's month are in one bucket, so their distinct rows, their totals and the
     way back of the totals need no shuffle (see `measures_with_totals`). A task reads a bucket,
-    so `buckets` should be the table's size by what a task can hold. A store's month is never
-    split: one of more than `most_rows` rows is refused, as its bucket would be one long task;
-    `publish` has no such bound.
+    so `buckets` should be the table's size by what a task can hold; None takes one for every
+    `ROWS_A_BUCKET` rows. A store's month is never split: one of more than `most_rows` rows is
+    refused, as its bucket would be one long task; `publish` has no such bound.
+
+    Of more than `ROWS_AT_ONCE` rows some buckets are written after the others, so that the disks
+    hold the shuffle of a part of the rows at a time. `df` is read again for each of up to
+    `MOST_TURNS` turns and must give the same rows. The table is there when all are written. What
+    is added to a table, or replaces one at a given path, is written at once.
     """
+    spark = df.sparkSession
     rows = df.withColumn("store", strip_space(F.col("store").cast("string")))
-    hottest = rows.groupBy("store", "month").count().agg(F.max("count")).first()[0] or 0
-    if hottest > most_rows:
-        raise ValueError(f"a store's month has {hottest} rows, more than {most_rows}: use publish")
-    # One task writes a bucket, so there is one file for each.
+    with shuffles_dropped(spark):
+        sizes = rows.groupBy("store", "month").count()
+        hottest, count = sizes.agg(F.max("count"), F.sum("count")).first()
+        if (hottest or 0) > most_rows:
+            raise ValueError(
+                f"a store's month has {hottest} rows, more than {most_rows}: use publish"
+            )
+        if buckets is None:
+            buckets = min(max(LEAST_BUCKETS, -(-(count or 0) // ROWS_A_BUCKET)), MOST_BUCKETS)
+        turns = min(-(-(count or 0) // ROWS_AT_ONCE), MOST_TURNS, buckets)
+        there = turns > 1 and spark.catalog.tableExists(table)
+        if turns <= 1 or (there and (mode.lower() != "overwrite" or path is not None)):
+            _write_buckets(rows, table, buckets, path, mode)
+            return
+        unfinished = f"{table[:-1]}_unfinished`" if table.endswith("`") else f"{table}_unfinished"
+        spark.sql(f"DROP TABLE IF EXISTS {unfinished}")
+        # The number that Spark gives a bucket, so that each is written in one turn.
+        turn = F.pmod(F.hash("store", "month"), F.lit(buckets)) % turns
+        try:
+            for number in range(turns):
+                some = rows.filter(turn == number)
+                _write_buckets(some, unfinished, buckets, path, "append" if number else mode)
+            if there:
+                spark.sql(f"DROP TABLE {table}")
+            spark.sql(f"ALTER TABLE {unfinished} RENAME TO {table}")
+        except BaseException:
+            spark.sql(f"DROP TABLE IF EXISTS {unfinished}")
+            raise
+
+
+def _write_buckets(
+    rows: DataFrame, table: str, buckets: int, path: str | None, mode: str
+) -> None:
+    """Rows as a table in buckets. One task writes a bucket, so there is one file for each."""
     writer = (
         rows.repartition(buckets, "store", "month")
         .write.mode(mode)

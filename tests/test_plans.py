@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import SMALL
 from marginflow.operators import statement as st
 from marginflow.operators.cascade import kpi_overview, margin_cascade, period_rollup
@@ -16,6 +18,7 @@ from marginflow.sources import (
     published_stores,
     read_footers,
     read_measures,
+    readers,
     scan_store,
 )
 
@@ -183,6 +186,67 @@ def test_totals_by_month_move_no_rows_and_start_no_job(spark, measures, tmp_path
         spark.sql("DROP TABLE plan_by_month")
 
 
+def odd_rows(table):
+    stores, months = ("A", " B", "NATION_1", "ä", None), ("2024-01-01", "2024-02-01", "2023-05-01", None)
+    return table([(s, m, "E1", p, "m\x01s", None, "", v) for s in stores for m in months
+                  for p, v in (("1", "1"), ("1", "1"), (None, "2"), ("3", "n/a"), ("4", None))])
+
+
+def buckets_of(folder):
+    return [re.search(r"_(\d{5})\.c", f.name).group(1) for f in folder.glob("*.parquet")]
+
+
+@pytest.mark.parametrize("at_once", [1000, 30])
+def test_buckets_go_by_rows_and_are_written_in_turns(spark, table, tmp_path, monkeypatch, at_once):
+    """The same table, one file a bucket, whether it is written at once or in turns."""
+    monkeypatch.setattr(readers, "ROWS_AT_ONCE", at_once)
+    monkeypatch.setattr(readers, "ROWS_A_BUCKET", 5)
+    df, path = odd_rows(table), str(tmp_path / "t")
+    publish_by_month(df, "in_turns", None, path)
+    try:
+        found = spark.table("in_turns")
+        assert found.columns == df.columns
+        want = df.withColumn("store", F.trim("store"))
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+        got = measures_with_totals(found, by_month=True)
+        assert "SelectedBucketsCount: 20 out of 20" in plan_of(got)
+        assert sorted(map(str, got.collect())) == sorted(map(str, measures_with_totals(want).collect()))
+        files = buckets_of(tmp_path / "t")
+        assert len(files) == len(set(files)) > 4
+        assert not spark.catalog.tableExists("in_turns_unfinished")
+        with pytest.raises(Exception, match="(?i)exists"):
+            publish_by_month(df, "in_turns", None, path)
+    finally:
+        spark.sql("DROP TABLE IF EXISTS in_turns")
+
+
+def test_a_table_in_turns_is_there_whole_or_not_at_all(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "ROWS_AT_ONCE", 30)
+    write, turns = readers._write_buckets, []
+
+    def broken(*args):
+        turns.append(args)
+        if len(turns) == 3:
+            raise RuntimeError("no space left")
+        write(*args)
+
+    monkeypatch.setattr(readers, "_write_buckets", broken)
+    with pytest.raises(RuntimeError, match="no space"):
+        publish_by_month(odd_rows(table), "broken_off", 4, str(tmp_path / "t"))
+    assert not spark.catalog.tableExists("broken_off")
+    assert not spark.catalog.tableExists("broken_off_unfinished")
+
+
+def test_a_table_is_replaced_in_turns_by_its_own_rows(spark, table, monkeypatch):
+    monkeypatch.setattr(readers, "ROWS_AT_ONCE", 30)
+    publish_by_month(odd_rows(table), "replaced", 4)
+    try:
+        publish_by_month(spark.table("replaced").filter("value = '1'"), "replaced", 4, mode="overwrite")
+        assert spark.table("replaced").groupBy("value").count().collect() == [("1", 40)]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS replaced")
+
+
 def test_counts_and_extremes_come_from_footers(spark, measures, tmp_path):
     from marginflow.operators.periods import latest_year
     from marginflow.operators.quality import row_count
