@@ -51,7 +51,7 @@ WITH base AS (
   SELECT store, month, {sums}, CAST(sum(amount) AS {MONEY}) AS {TOTAL_COLUMNS[3]}
   FROM per_level GROUP BY store, month
 )
-SELECT {_names(MEASURES.names, "b.")}, {_names(TOTAL_COLUMNS, "t.")}
+SELECT /*+ SHUFFLE_HASH(t) */ {_names(MEASURES.names, "b.")}, {_names(TOTAL_COLUMNS, "t.")}
 FROM base b JOIN totals t ON b.store = t.store AND b.month = t.month"""
 
 

@@ -20,6 +20,7 @@ from marginflow.sources import (
     read_measures,
     readers,
     scan_store,
+    views,
 )
 
 # Results that are one row or a top list, and the sample entitlements made from a top list.
@@ -247,6 +248,18 @@ def test_a_table_is_replaced_in_turns_by_its_own_rows(spark, table, monkeypatch)
         spark.sql("DROP TABLE IF EXISTS replaced")
 
 
+def test_totals_look_up_their_month_without_sorting_rows(spark, measures, tmp_path):
+    publish_by_month(measures, "looked_up", 4, str(tmp_path / "t"))
+    try:
+        views.publish_views(spark, measures="looked_up", with_totals="looked_up_view")
+        for df in (measures_with_totals(spark.table("looked_up"), by_month=True), spark.table("looked_up_view")):
+            plan = final_plan(df)
+            assert "ShuffledHashJoin" in plan and "Sort " not in plan and "Exchange" not in plan
+    finally:
+        spark.sql("DROP VIEW IF EXISTS looked_up_view")
+        spark.sql("DROP TABLE looked_up")
+
+
 def test_counts_and_extremes_come_from_footers(spark, measures, tmp_path):
     from marginflow.operators.periods import latest_year
     from marginflow.operators.quality import row_count
