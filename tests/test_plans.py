@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from marginflow.operators import statement as st
 from marginflow.operators.cascade import kpi_overview, margin_cascade, period_rollup
+from marginflow.operators.ordering import view_order
 from marginflow.operators.totals import measures_with_totals
 from marginflow.plans.settings import cluster_settings
 from marginflow.registry import QUERIES, Tables, registered
@@ -99,6 +100,14 @@ def test_few_suppliers_are_broadcast_at_any_file_size(spark, tmp_path):
     assert "l_suppkey" in plan and "hashpartitioning(l_suppkey" not in plan
 
 
+def test_rows_in_view_order_are_packed_until_they_are_whole(stored):
+    """Texts are packed in the distinct ahead of the sort, and read from files once."""
+    plan = final_plan(view_order(measures_with_totals(stored)))
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(store" in x and "month" in x]
+    assert any("_packed_texts" in x for x in moved) and not any("measure#" in x for x in moved)
+    assert "Exchange rangepartitioning(month" in plan and len(re.findall("FileScan", plan)) == 1
+
+
 def test_names_are_normalized_after_the_sums(stored):
     """No regular expression below the first shuffle."""
     for operator in (margin_cascade, kpi_overview, period_rollup, st.margin_statement):
